@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed by the public tokenizer format).
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: A space between two other white-space characters, or beside another space: there, cutting at spaces is not enough.
+#: A space between two other white-space characters: there, cutting at spaces is not enough.
 _ODD = re.compile(r"\s \s").search
 #: Pre-tokens a worker remembers, and the longest one worth remembering (characters).
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
@@ -74,6 +74,11 @@ def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[in
     return [s for s in sym if s >= 0]
 
 
+def cuttable(text: str) -> bool:
+    """Whether cutting before every space cuts only where the pre-tokenizer does."""
+    return not (not text or "  " in text or text[-1] == " " or _ODD(text))
+
+
 class _Pieces(dict):
     """Ids of pieces of text, each put together from its pre-tokens; ``lead`` stands before every piece."""
 
@@ -128,7 +133,7 @@ class Bpe(dict):
 
     def _plain(self, text: str) -> bytes:
         # A single space always belongs to the pre-token after it, so pieces cut before spaces can be looked up whole.
-        if not text or "  " in text or text[-1] == " " or _ODD(text):
+        if not cuttable(text):
             return b"".join(map(self.__getitem__, self.find(text)))
         first, *rest = text.split(" ")
         return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))

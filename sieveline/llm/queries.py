@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, records
+from . import bpe, quality, records, simhash
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,9 +23,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op10_token_records": op10_token_records}
+QUERIES = {"op3_bpe": op3_bpe, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op10_token_records": op10_token_records}
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,7 @@ first and is stored as the smallest 64-bit number.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -29,10 +30,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer
+from .bpe import CACHE_WORDS, cuttable
 from .store import Scratch
 
 _NULL_ID = -(2**63)
+#: Documents encoded at a time.
+STEP = 1000
+
+
+class LibraryEncoder:
+    """Texts to ids by the tokenizers library.
+
+    The library is slow on whole texts of few distinct words, so texts are cut before single spaces, where its
+    pre-tokenizer always cuts too, and each distinct piece goes through it once; pieces already met are remembered up to
+    a bound. Texts where cutting at spaces is not enough, and those with special tokens in them, go through it whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        whole, cut = [], {}
+        for i, x in enumerate(texts):
+            if not cuttable(x) or any(s in x for s in self.special):
+                whole.append(i)
+            else:
+                first, *rest = x.split(" ")
+                cut[i] = [first, *(" " + r for r in rest)]
+        new = list(set().union(*cut.values()).difference(self.known)) if cut else []
+        self.known.update(zip(new, self._encode(new), strict=True))
+        get = self.known.__getitem__
+        out = {i: b"".join(map(get, pieces)) for i, pieces in cut.items()}
+        out.update(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+        return [out[i] for i in range(len(texts))]
+
+
+_loaded: dict[str, LibraryEncoder] = {}
+
+
+def library(path: str) -> LibraryEncoder:
+    """The encoder at path, loaded once in each Python process; its own threads are off, since tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _loaded:
+        _loaded[path] = LibraryEncoder(path)
+    return _loaded[path]
 
 
 def masked_crc(data: bytes) -> int:
@@ -67,16 +120,17 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, parts: int, wide
     kind = np.dtype("<u4") if wide else np.dtype("<u2")
 
     def run(batches):
-        bpe, part = tokenizer(path), TaskContext.get().partitionId()
+        encoder, part = library(path), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         name, attempt = f"tokens-{part:06d}", uuid.uuid4().hex[:8]
         rows, at, n = [], 0, 0
         temporary = f"{base}/.{name}.{attempt}"
         with store.open_output_stream(f"{temporary}.records") as out:
-            for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(bpe.encode(text or ""), np.int32)
+            for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
+                texts = [x or "" for x in b.column(1).to_pylist()]
+                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                    ids = np.frombuffer(ids, np.int32)
                     key = _NULL_ID if doc_id is None else doc_id
                     payload = struct.pack("<qQ", key, len(ids) + 1) + np.append(ids, end_id).astype(kind).tobytes()
                     data = frame(payload)
@@ -128,7 +182,7 @@ def export(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, par
     """Write docs in doc_id order to a shared folder and read every record back with its global start."""
     scratch = Scratch(spark, "token-records")
     folder = scratch.path("files")
-    wide = max(tokenizer(path).strings, default=0) >= 1 << 16 or end_id >= 1 << 16
+    wide = max(library(path).size, end_id + 1) > 1 << 16
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = scratch.table(write(docs, path, folder, end_id, parts, wide), "manifest")
     # The manifest has one row per file, as many as ``parts``; its prefix sum is taken on the driver.
