@@ -29,7 +29,7 @@ _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\
 #: A space between two other white-space characters: there, cutting at spaces is not enough.
 _ODD = re.compile(r"\s \s").search
 #: Pre-tokens a worker remembers, and the longest one worth remembering (characters).
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -80,13 +80,18 @@ def cuttable(text: str) -> bool:
 
 
 class _Pieces(dict):
-    """Ids of pieces of text, each put together from its pre-tokens; ``lead`` stands before every piece."""
+    """Ids of pieces of text as little-endian int32 bytes, by piece; ``lead`` stands before every piece."""
 
     def __init__(self, bpe: Bpe, lead: str):
         self.bpe, self.lead = bpe, lead
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.bpe.__getitem__, self.bpe.find(self.lead + piece)))
+        bpe, words = self.bpe, self.bpe.find(self.lead + piece)
+        if len(words) == 1:
+            byte_id = bpe.byte_id
+            ids = np.array(merge([byte_id[b] for b in words[0].encode()], bpe.ranks, bpe.made), np.int32).tobytes()
+        else:
+            ids = b"".join(bpe.spaced[w[1:]] if w[0] == " " and len(w) > 1 and w.strip() else bpe.pieces[w] for w in words)
         if len(piece) <= CACHE_CHARS and "\n" not in piece:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -94,8 +99,8 @@ class _Pieces(dict):
         return ids
 
 
-class Bpe(dict):
-    """A tokenizer file in memory; as a mapping, pre-token -> its ids as little-endian int32 bytes."""
+class Bpe:
+    """A tokenizer file in memory."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -117,14 +122,6 @@ class Bpe(dict):
         self.find = regex.compile(_PATTERN).findall
         self.pieces, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(merge([self.byte_id[b] for b in word.encode()], self.ranks, self.made), np.int32).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian int32 bytes; special tokens' strings in it become their ids."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -134,7 +131,7 @@ class Bpe(dict):
     def _plain(self, text: str) -> bytes:
         # A single space always belongs to the pre-token after it, so pieces cut before spaces can be looked up whole.
         if not cuttable(text):
-            return b"".join(map(self.__getitem__, self.find(text)))
+            return b"".join(map(self.pieces.__getitem__, self.find(text)))
         first, *rest = text.split(" ")
         return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, records, simhash
+from . import bpe, chat, decontaminate, quality, records, simhash, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,6 +23,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(spark, _table(spark, sf_dir, "documents"))
 
@@ -31,9 +39,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op10_token_records": op10_token_records}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op9_chat, op10_token_records)}
+ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op9_chat": chat.SQL}
