@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, quality, records, simhash, warc
+from . import bpe, chat, decontaminate, language, quality, records, simhash, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -39,6 +39,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -47,5 +51,5 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op9_chat, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op9_chat": chat.SQL}
