@@ -53,7 +53,7 @@ class Prefix:
         n = len(self.sums) - 1 - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width) * np.uint64(0x2545F4914F6CDD1D))
+        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width * 0x2545F4914F6CDD1D % 2**64))
 
 
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
