@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, language, quality, records, simhash, warc
+from . import bpe, chat, decontaminate, language, quality, records, simhash, substrings, suffixes, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -51,5 +59,5 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op9_chat": chat.SQL}
