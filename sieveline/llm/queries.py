@@ -59,5 +59,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records, pipeline)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op9_chat": chat.SQL}
