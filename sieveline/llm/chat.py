@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 END = "<|end|>\n"
 
 
@@ -38,7 +40,8 @@ def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
     order = ["turn", "speaker", "segment"]
     ranged = rows.repartitionByRange(parts, "conv_id", "participant", *order).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part", "conv_id", "participant").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("until", F.sum("size").over(inside)).withColumn("no", F.count("*").over(inside))
+    # Written out, since the ranges are drawn anew each time the plan runs.
+    local = Scratch(turns.sparkSession, "chat").table(ranged.withColumn("until", F.sum("size").over(inside)).withColumn("no", F.count("*").over(inside)), "ranges")
     sums = local.groupBy("conv_id", "participant", "part").agg(F.max("until").alias("total"), F.max("no").alias("count"))
     before = Window.partitionBy("conv_id", "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # Only dialogues that cross a range's edge have anything before a range: fewer rows than ranges.
