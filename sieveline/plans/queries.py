@@ -1,0 +1,435 @@
+"""The registered queries of the scanner, each with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.functions import text as fn
+from sieveline.operators import baseline, detect, quality, report, scan
+from sieveline.plans import rules as R
+
+TOKEN = R.Rule("corpus-token-assignment", "Token assigned in text", r'token = "([0-9a-f]{40})"', 1, ("token",), 2.0)
+TOKENS_ONLY = scan.Config((TOKEN,), builtin=False, base64=False)
+
+#: Lines that are put behind the documents' texts, by doc_id % 8, as the tables hold few of these shapes. The same on both sides.
+_LINES = [
+    "concat('password = \"S3cr', doc_id, 'xyz\"')",
+    "concat('api_key: ''value-', doc_id, '-abc'',')",
+    "concat('my_secret=Abcd', doc_id, 'efgh;')",
+    "concat('see postgres://user:pw', doc_id, '@db.example/x')",
+    "concat('password = \"changeme\" // ', doc_id)",
+    "concat('auth_token = \"please rotate this, it is not a real one ', doc_id, '.\"')",
+    "concat('api_key = \"process.env.KEY', doc_id, '\"')",
+    "concat('access_token = \"aaaaaaaaaa\" # ', doc_id)",
+]
+_SUFFIX = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_LINES)) + " END"
+#: Spark reads a doubled quote inside a literal as two literals side by side, which is why the lines' quotes are escaped for it.
+_SPARK_SUFFIX = _SUFFIX.replace("''", "\\'")
+_SEEDED = f"SELECT doc_id, source, text || chr(10) || {_SUFFIX} AS text FROM documents"
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+
+
+def _seeded(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).withColumn("text", F.concat("text", F.lit("\n"), F.expr(_SPARK_SUFFIX)))
+
+
+def _path() -> Column:
+    return F.concat(F.col("source"), F.lit("/./doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+_SQL_PATH = "source || '/./doc-' || doc_id || '.txt'"
+
+
+def _scan(df: DataFrame, config: scan.Config, secrets: bool = False) -> DataFrame:
+    inputs = df.select("doc_id", _path().alias("path"), fn.logical_identity(_path()).alias("identity"), F.encode("text", "UTF-8").alias("content"))
+    return scan.findings(inputs, config, secrets=secrets)
+
+
+def _secret_hash(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "rule_id", F.sha2(F.encode("secret", "ISO-8859-1"), 256).alias("secret_sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FINGERPRINT = "sha256('20:sieveline/finding/v1,' || strlen(rule_id) || ':' || rule_id || ',' || strlen(identity) || ':' || identity || ',' || strlen(hexed) || ':' || hexed || ',')"
+#: Token findings with their places; every match is 50 characters long, 9 of them before the secret.
+_TOKENS = f"""
+parts AS (
+  SELECT doc_id, source, text, regexp_extract_all(text, {_quoted(TOKEN.pattern)}, 1) AS secrets,
+         string_split_regex(text, 'token = "[0-9a-f]{{40}}"') AS gaps FROM documents),
+found AS (SELECT *, unnest(range(1, len(secrets) + 1)) AS i FROM parts),
+placed AS (
+  SELECT doc_id, source, secrets[i] AS secret, '{TOKEN.id}' AS rule_id, source || '/doc-' || doc_id || '.txt' AS identity, upper(hex(secrets[i])) AS hexed,
+         substr(text, 1, CAST(list_sum(list_transform(gaps[:i], lambda g: length(g))) + 50 * (i - 1) + 9 AS BIGINT)) AS prefix FROM found),
+located AS (
+  SELECT doc_id, rule_id, {_SQL_PATH} AS path, CAST(strlen(prefix) AS BIGINT) AS start, CAST(strlen(prefix) + 40 AS BIGINT) AS "end",
+         CAST(length(prefix) - length(replace(prefix, chr(10), '')) + 1 AS BIGINT) AS line,
+         CAST(strlen(list_last(string_split(prefix, chr(10)))) AS BIGINT) AS "column", {_FINGERPRINT} AS fingerprint FROM placed)"""
+
+
+def keyword_gate(spark, sf):
+    docs = _seeded(spark, sf).select(F.lower("text").alias("low"))
+    counts = [F.count(F.when(detect.keyword_gate(F.col("low"), r), 1)).alias(r.id) for r in [*R.authored(), TOKEN]]
+    wide = docs.agg(*counts)
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.col(f"`{r.id}`").alias("documents")) for r in [*R.authored(), TOKEN]))).alias("x")).select("x.*")
+
+
+def _gate_sql(r: R.Rule) -> str:
+    test = " OR ".join(f"contains(lower(text), {_quoted(k)})" for k in r.keywords)
+    return f"SELECT '{r.id}' AS rule_id, count(*) AS documents FROM seeded WHERE {test}"
+
+
+def regex_findings(spark, sf):
+    return _scan(_docs(spark, sf), TOKENS_ONLY).select("doc_id", "rule_id", "path", "start", "end", "line", "column", "fingerprint")
+
+
+def line_column(spark, sf):
+    return _scan(_docs(spark, sf), TOKENS_ONLY).select("doc_id", "start", "line", "column")
+
+
+def pages_findings(spark, sf):
+    rule = R.Rule("page-token", "Token in a page", "token = &quot;([0-9a-f]{40})&quot;", 1, ("token",))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.col("url").alias("path"), F.col("url").alias("identity"), F.encode("html", "UTF-8").alias("content"))
+    found = scan.findings(pages, scan.Config((rule,), builtin=False, base64=False), secrets=True)
+    return found.select("page_id", "path", F.sha2("secret", 256).alias("secret_sha256"))
+
+
+def path_predicates(spark, sf):
+    rule = R.Rule("by-path", "Token by path", TOKEN.pattern, 1, ("token",), path=r"^src\d*[02468]/", exclude_paths=(r"doc-\d*7\.txt$",), allowlist=(R.Allow(paths=(r"^src4/",)),))
+    return _scan(_docs(spark, sf), scan.Config((rule,), builtin=False, base64=False)).select("doc_id", "path")
+
+
+def secret_selection(spark, sf):
+    whole = R.Rule("whole", "Whole match", r'token = "[0-9a-f]{40}"', 0, ("token",))
+    first = R.Rule("first", "First capture", r'token = "([0-9a-f]{40})"', None, ("token",))
+    return _secret_hash(_scan(_docs(spark, sf), scan.Config((whole, first), builtin=False, base64=False), secrets=True))
+
+
+_ASSIGN = r'(?:password|access_token|api_key) = "([^"\n]{4,60})"'
+
+
+def _assigned(spark, sf, **parts):
+    rule = R.Rule("assigned", "Assigned literal", _ASSIGN, 1, ("password", "access_token", "api_key"), **parts)
+    return _secret_hash(_scan(_seeded(spark, sf), scan.Config((rule,), builtin=False, base64=False), secrets=True))
+
+
+_PLACEHOLDER_SQL = "lower(secret) IN (" + ", ".join(map(_quoted, fn.PLACEHOLDERS)) + ") OR (strlen(secret) >= 8 AND replace(secret, secret[1], '') = '')"
+_ASSIGNED_SQL = f"""WITH seeded AS ({_SEEDED}),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_ASSIGN)}, 1)) AS secret FROM seeded)
+SELECT doc_id, 'assigned' AS rule_id, sha256(secret) AS secret_sha256 FROM found WHERE NOT ({_PLACEHOLDER_SQL})"""
+
+
+def placeholder_filter(spark, sf):
+    return _assigned(spark, sf)
+
+
+def entropy_filter(spark, sf):
+    return _assigned(spark, sf, min_entropy=3.3)
+
+
+def entropy_values(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", F.substring("source", 1, 5).alias("s"))
+    return docs.select("doc_id", F.round(fn.entropy(F.concat("s", F.col("doc_id").cast("string"))), 9).alias("bits"))
+
+
+def allowlist_groups(spark, sf):
+    allow = (R.Allow("and", "match", (r"password",), (), ("s3cr1",)), R.Allow("or", "line", (r"//", "KEY[0-9]*6")))
+    return _assigned(spark, sf, allowlist=allow)
+
+
+def prose_filter(spark, sf):
+    rule = R.Rule("generic-credential-test", "Assigned literal", r'(?:auth_token|password) = "([^"\n]{4,90})"', 1, ("auth_token", "password"))
+    return _secret_hash(_scan(_seeded(spark, sf), scan.Config((rule,), builtin=False, base64=False), secrets=True))
+
+
+def non_value_filter(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN 'api_key, \"' WHEN 1 THEN '\"api_key\", \"' WHEN 2 THEN 'key: ' ELSE '{\"key\": \"' END").alias("lead"), F.expr("CASE doc_id % 3 WHEN 0 THEN '\" : 1' WHEN 1 THEN '\", x' ELSE '' END").alias("tail"))
+    return docs.select("doc_id", fn.is_non_value(F.col("lead"), F.col("tail")).alias("non_value"))
+
+
+_TWO = (
+    R.Rule("generic-a", "A", r'token = "([0-9a-f]{40})"', 1, ("token",), confidence="high"), R.Rule("provider-z", "Z", r'"([0-9a-f]{40})"', 1, ("token",)),
+    R.Rule("provider-b", "B", r'= "([0-9a-f]{40})"', 1, ("token",), confidence="high"), R.Rule("provider-a", "PA", r'n = "([0-9a-f]{40})"', 1, ("token",), confidence="high"),
+)
+
+
+def exact_span_merge(spark, sf):
+    found = _scan(_docs(spark, sf), scan.Config(_TWO, builtin=False, base64=False))
+    return found.select("doc_id", "start", "end", "rule_id", F.array_join("matched_rule_ids", ",").alias("matched"))
+
+
+def primary_rule_rank(spark, sf):
+    docs = _docs(spark, sf).withColumn("view", fn.latin1(F.encode("text", "UTF-8")))
+    rows = docs.select("doc_id", F.explode(detect.all_candidates(F.col("view"), F.lower("view"), F.lit("p"), list(_TWO))).alias("c")).select("doc_id", "c.*")
+    out = detect.merge_by_window(rows, ["doc_id"])
+    return out.select("doc_id", "start", "end", "rule_id", F.array_join("matched", ",").alias("matched"))
+
+
+def _coded(spark, sf):
+    return _docs(spark, sf).withColumn("text", F.concat(F.substring("text", 1, 200), F.lit("\n"), F.base64(F.encode(F.concat(F.lit('password = "inside-'), F.col("doc_id").cast("string"), F.lit('"')), "UTF-8")), F.lit(" .")))
+
+
+_CODED = "SELECT doc_id, source, substr(text, 1, 200) || chr(10) || to_base64(encode('password = \"inside-' || doc_id || '\"')) || ' .' AS text FROM documents"
+
+
+def base64_candidates(spark, sf):
+    runs = scan.base64_runs(fn.latin1(F.encode("text", "UTF-8")))
+    return _coded(spark, sf).select("doc_id", F.explode(runs).alias("m")).select("doc_id", F.col("m.match").alias("run"), F.length("m.match").cast("long").alias("size"))
+
+
+def base64_findings(spark, sf):
+    found = _scan(_coded(spark, sf), scan.Config(min_confidence="medium"), secrets=True).where("is_base64_encoded")
+    return found.select("doc_id", "rule_id", (F.col("end") - F.col("start")).alias("width"), F.sha2("secret", 256).alias("secret_sha256"))
+
+
+def _authored(spark, sf, prefix):
+    rules = tuple(r for r in R.authored() if r.id.startswith(prefix))
+    return _secret_hash(_scan(_seeded(spark, sf), scan.Config(rules, builtin=False, base64=False), secrets=True))
+
+
+def generic_assignments(spark, sf):
+    return _authored(spark, sf, "generic-")
+
+
+def uri_passwords(spark, sf):
+    return _authored(spark, sf, "uri-")
+
+
+def _authored_sql(prefix: str) -> str:
+    parts = []
+    for r in R.authored():
+        if r.id.startswith(prefix):
+            allow = " OR ".join(f"regexp_matches(secret, {_quoted(x)})" for a in r.allowlist for x in a.regexes)
+            token = "regexp_matches(lower(lead), '(api_?key|access_?token|auth_?token)[\"'']?[ \\t]*[:=]')"
+            prose = f"{token} AND len(list_filter(string_split_regex(secret, '[ \\t]+'), lambda x: x <> '')) >= 8 AND regexp_matches(secret, '[,;.!?]([ \\t]|$)')" if prefix == "generic-" else "false"
+            pairs = f"SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(r.pattern)}, 1)) AS secret, unnest(regexp_extract_all(text, {_quoted(r.pattern)}, 0)) AS lead FROM seeded"
+            parts.append(f"SELECT doc_id, '{r.id}' AS rule_id, sha256(secret) AS secret_sha256 FROM ({pairs}) WHERE secret <> '' AND NOT ({_PLACEHOLDER_SQL}) AND NOT ({allow}) AND NOT ({prose})")
+    return f"WITH seeded AS ({_SEEDED})\n" + "\nUNION ALL ".join(parts)
+
+
+def _split(spark, sf):
+    found = regex_findings(spark, sf)
+    old, now = found.where("doc_id % 3 <> 0"), found.where("doc_id % 3 <> 1")
+    extra = F.lit("x").alias("explanation")
+    del extra
+    return now, baseline.from_findings(old, context={})
+
+
+def baseline_new(spark, sf):
+    now, old = _split(spark, sf)
+    return baseline.new(now, old).select("doc_id", "fingerprint")
+
+
+def baseline_resolved(spark, sf):
+    now, old = _split(spark, sf)
+    return baseline.resolved(now, old).select("fingerprint", F.col("finding.doc_id").alias("doc_id"))
+
+
+def baseline_carry_forward(spark, sf):
+    now, old = _split(spark, sf)
+    marked = old.withColumn("disposition", F.concat(F.lit("seen in "), F.col("finding.doc_id").cast("string")))
+    return baseline.from_findings(now, marked, context={}, previous_context={}).select("fingerprint", F.col("finding.doc_id").alias("doc_id"), "disposition")
+
+
+def size_gate(spark, sf):
+    inputs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    kept, errors = scan.size_gate(inputs, 4000)
+    return kept.select("path", F.lit("").alias("message")).unionByName(errors)
+
+
+def scan_summary(spark, sf):
+    docs = _docs(spark, sf)
+    inputs = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), "doc_id", "text", "source")
+    kept, errors = scan.size_gate(inputs, 4000)
+    counted = report.stats(inputs.select(F.octet_length("content").cast("long").alias("length")), 4000)
+    return report.summary(_scan(kept.select("doc_id", "text", "source"), TOKENS_ONLY), errors).crossJoin(counted)  # one row each
+
+
+def rule_inventory(spark, sf):
+    return R.inventory(spark, R.override(R.authored(), R.providers(), [TOKEN], [R.Rule("github-pat", "Overridden", "x(y)", 1)]))
+
+
+_RELATIONS = """commits AS (SELECT o_orderkey AS commit, o_custkey AS tree FROM orders),
+entries AS (SELECT DISTINCT o_custkey AS tree, o_custkey % 97 AS oid, 'file-' || (o_custkey % 97) || '.txt' AS path FROM orders)"""
+
+
+def git_occurrences(spark, sf):
+    """Findings of blobs placed in commits, on relations made from orders: a stand-in for a repository, to try the joins."""
+    from sieveline.sources import git
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    log = orders.select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("tree"))
+    oid = (F.col("o_custkey") % 97).alias("oid")
+    entries = orders.select(F.col("o_custkey").alias("tree"), oid, F.concat(F.lit("file-"), (F.col("o_custkey") % 97).cast("string"), F.lit(".txt")).alias("path")).distinct()
+    blobs = entries.select("oid", "path").distinct().select("oid", "path", F.col("path").alias("identity"), F.encode(F.concat(F.lit('x\npassword = "blob'), F.col("oid").cast("string"), F.lit('"')), "UTF-8").alias("content"))
+    found = scan.findings(blobs.where("oid % 2 = 0"), scan.Config(base64=False))
+    return git.occurrences(found, entries, log).select("commit", "path", "rule_id", "line")
+
+
+def quality_confusion(spark, sf):
+    found = regex_findings(spark, sf).withColumn("finding_id", F.xxhash64("path", "start"))
+    shifted = found.select("finding_id", "path", (F.col("start") - F.col("doc_id") % 4 * 10).alias("start"), (F.col("end") - F.col("doc_id") % 4 * 10).alias("end"))
+    labels = found.select(F.col("finding_id").alias("label_id"), "path", "start", "end", F.when(F.col("doc_id") % 5 == 0, "negative").otherwise("positive").alias("label"))
+    return quality.confusion(shifted, labels)
+
+
+def preview_topk(spark, sf):
+    found = regex_findings(spark, sf)
+    return report.preview(found.drop("doc_id"), rows=10).select("place", F.get_json_object("finding", "$.path").alias("path"), F.get_json_object("finding", "$.start").cast("long").alias("start"))
+
+
+def sarif_results(spark, sf):
+    return report.sarif_results(_scan(_docs(spark, sf), TOKENS_ONLY)).select("path", "start", F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.locations[0].physicalLocation.region.startLine").cast("long").alias("line"), F.get_json_object("result", "$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"))
+
+
+def sarif_rules(spark, sf):
+    return report.sarif_rules(_scan(_docs(spark, sf), TOKENS_ONLY))
+
+
+def path_uris(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "/").otherwise(""), F.col("page_id").cast("string"), F.lit(" a~b*c+é/"), F.lit("x.y"))
+    return pages.select("page_id", fn.path_uri(path).alias("uri"))
+
+
+def logical_identities(spark, sf):
+    return _docs(spark, sf).select("doc_id", fn.logical_identity(F.concat(F.lit("./"), _path())).alias("identity"))
+
+
+def archive_names(spark, sf):
+    docs = _docs(spark, sf)
+    name = F.concat(F.lit("dir/f"), F.col("doc_id").cast("string"), F.expr("CASE doc_id % 4 WHEN 0 THEN '.tgz' WHEN 1 THEN '.GZ' WHEN 2 THEN '.zip' ELSE '.txt' END"))
+    data = F.expr("CASE doc_id % 5 WHEN 0 THEN X'504B0304' WHEN 1 THEN X'1F8B08' ELSE X'00' END")
+    return docs.select("doc_id", fn.archive_format(name, data).alias("format"), fn.gzip_member(name).alias("member"))
+
+
+def progress_throttle(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 0 or event_id >= 0")
+    each = events.select("user_id", (F.unix_micros("ts") / 1000).cast("long").alias("ms")).groupBy("user_id").agg(F.array_sort(F.collect_list("ms")).alias("times"))
+    return each.select("user_id", F.size(report.throttle(F.col("times"), 3_600_000)).cast("long").alias("kept"))
+
+
+def archive_expand(spark, sf):
+    """Gzip and ZIP files made from documents, expanded and scanned."""
+    import gzip
+    import io
+    import zipfile
+
+    from sieveline.sources import archives
+
+    def packed(frames):
+        for pdf in frames:
+            out = []
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                data = (text or "").encode()
+                if i % 2:
+                    out.append(gzip.compress(data, mtime=0))
+                else:
+                    sink = io.BytesIO()
+                    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("a.txt", data)
+                    out.append(sink.getvalue())
+            names = [f"d{i}.gz" if i % 2 else f"d{i}.zip" for i in pdf["doc_id"]]
+            yield pdf.assign(path=names, identity=names, content=out)[["path", "identity", "content"]]
+
+    inputs = _docs(spark, sf).select("doc_id", "text").mapInPandas(packed, "path string, identity string, content binary")
+    members = archives.expand(inputs).where("error is null").select("path", "identity", "content")
+    return scan.findings(members, TOKENS_ONLY, space="archive_member_bytes").select("path", "rule_id", "start", "end", "line", "coordinate_space")
+
+
+def stream_scan(spark, sf):
+    """A stream of documents scanned in micro-batches into a table."""
+    import uuid
+
+    from sieveline.streaming import scan as streaming
+
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:/tmp/sieveline-stream"
+    place = f"{place}/stream-{uuid.uuid4().hex[:12]}"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select("doc_id", _path().alias("path"), fn.logical_identity(_path()).alias("identity"), F.encode("text", "UTF-8").alias("content"))
+    query = streaming.start(docs, lambda rows, _: rows.drop("matched_rule_ids").write.mode("append").parquet(f"{place}/findings"), f"{place}/state", TOKENS_ONLY)
+    query.awaitTermination()
+    return spark.read.parquet(f"{place}/findings").select("doc_id", "rule_id", "path", "start", "end", "line", "column", "fingerprint")
+
+
+def _utf16(spark, sf):
+    docs = _docs(spark, sf)
+    body = F.encode("text", "UTF-16LE")
+    broken = F.expr("doc_id % 10 = 3")
+    return docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").cast("string").alias("identity"), F.concat(F.lit(b"\xff\xfe"), body, F.when(broken, F.lit(b"\x00")).otherwise(F.lit(b""))).alias("content"))
+
+
+def utf16_findings(spark, sf):
+    from sieveline.sources import encodings
+
+    good, errors = encodings.decode_utf16(_utf16(spark, sf))
+    found = scan.findings(good.drop("utf16"), TOKENS_ONLY, secrets=True).select("doc_id", F.sha2("secret", 256).alias("secret_sha256"))
+    return found.unionByName(errors.select(F.col("path").cast("long").alias("doc_id"), F.col("message").alias("secret_sha256")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        keyword_gate, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
+        exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
+        git_occurrences, quality_confusion, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
+    )
+}
+
+_SIMPLE_TOKEN = _quoted(TOKEN.pattern)
+_MERGED = "SELECT doc_id, start, \"end\", 'provider-a' AS rule_id, 'generic-a,provider-a,provider-b,provider-z' AS matched FROM located"
+#: Entropy of a string in SQL.
+_BITS = "list_sum(list_transform(list_distinct(string_split(s, '')), lambda c: -(strlen(s) - strlen(replace(s, c, ''))) / strlen(s) * log2((strlen(s) - strlen(replace(s, c, ''))) / strlen(s))))"
+
+ORACLES = {
+    "keyword_gate": f"WITH seeded AS ({_SEEDED})\n" + "\nUNION ALL ".join(_gate_sql(r) for r in [*R.authored(), TOKEN]),
+    "regex_findings": f"WITH {_TOKENS} SELECT * FROM located",
+    "stream_scan": f"WITH {_TOKENS} SELECT * FROM located",
+    "line_column": f'WITH {_TOKENS} SELECT doc_id, start, line, "column" FROM located',
+    "pages_findings": "SELECT page_id, url AS path, sha256(unnest(regexp_extract_all(html, 'token = &quot;([0-9a-f]{40})&quot;', 1))) AS secret_sha256 FROM pages",
+    "path_predicates": f"WITH {_TOKENS} SELECT doc_id, path FROM located WHERE regexp_matches(path, '^src\\d*[02468]/') AND NOT regexp_matches(path, 'doc-\\d*7\\.txt$') AND NOT regexp_matches(path, '^src4/')",
+    "secret_selection": f"SELECT doc_id, 'first' AS rule_id, sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 1))) AS secret_sha256 FROM documents UNION ALL SELECT doc_id, 'whole', sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 0))) FROM documents",
+    "placeholder_filter": _ASSIGNED_SQL,
+    "entropy_filter": _ASSIGNED_SQL + f" AND (SELECT {_BITS} FROM (SELECT secret AS s)) > 3.3",
+    "entropy_values": f"SELECT doc_id, round({_BITS}, 9) AS bits FROM (SELECT doc_id, substr(source, 1, 5) || doc_id AS s FROM documents)",
+    "allowlist_groups": f"""WITH seeded AS ({_SEEDED}),
+found AS (SELECT doc_id, list_last(string_split(text, chr(10))) AS line, regexp_extract_all(text, {_quoted(_ASSIGN)}, 1) AS secrets, regexp_extract_all(text, {_quoted(_ASSIGN)}, 0) AS matches FROM seeded),
+each AS (SELECT doc_id, line, unnest(secrets) AS secret, unnest(matches) AS matched FROM found)
+SELECT doc_id, 'assigned' AS rule_id, sha256(secret) AS secret_sha256 FROM each
+WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (contains(matched, 'password') AND contains(lower(secret), 's3cr1')) AND NOT (regexp_matches(line, '//') OR regexp_matches(line, 'KEY[0-9]*6'))""",
+    "prose_filter": f"""WITH seeded AS ({_SEEDED}),
+each AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:auth_token|password) = "([^"\\n]{{4,90}})"', 1)) AS secret, unnest(regexp_extract_all(text, '(?:auth_token|password) = "([^"\\n]{{4,90}})"', 0)) AS matched FROM seeded)
+SELECT doc_id, 'generic-credential-test' AS rule_id, sha256(secret) AS secret_sha256 FROM each
+WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (starts_with(matched, 'auth_token') AND len(string_split(secret, ' ')) >= 8 AND regexp_matches(secret, '[,;.!?]( |$)'))""",
+    "non_value_filter": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN doc_id % 3 = 0 WHEN 2 THEN false ELSE doc_id % 3 = 0 END AS non_value FROM documents""",
+    "exact_span_merge": f"WITH {_TOKENS} {_MERGED}",
+    "primary_rule_rank": f"WITH {_TOKENS} {_MERGED}",
+    "base64_candidates": f"SELECT doc_id, run, CAST(strlen(run) AS BIGINT) AS size FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_-]{{24,}}={{0,2}}')) AS run FROM ({_CODED}))",
+    "base64_findings": "SELECT doc_id, 'generic-credential-double' AS rule_id, CAST(strlen(to_base64(encode('password = \"inside-' || doc_id || '\"'))) AS BIGINT) AS width, sha256('inside-' || doc_id) AS secret_sha256 FROM documents",
+    "generic_assignments": _authored_sql("generic-"),
+    "uri_passwords": _authored_sql("uri-"),
+    "baseline_new": f"WITH {_TOKENS} SELECT doc_id, fingerprint FROM located WHERE doc_id % 3 <> 1 AND fingerprint NOT IN (SELECT fingerprint FROM located WHERE doc_id % 3 <> 0)",
+    "baseline_resolved": f"WITH {_TOKENS} SELECT fingerprint, min(doc_id) AS doc_id FROM located WHERE doc_id % 3 <> 0 AND fingerprint NOT IN (SELECT fingerprint FROM located WHERE doc_id % 3 <> 1) GROUP BY fingerprint",
+    "baseline_carry_forward": f"WITH {_TOKENS} SELECT fingerprint, min(doc_id) AS doc_id, CASE WHEN min(doc_id) % 3 <> 0 THEN 'seen in ' || min(doc_id) END AS disposition FROM located WHERE doc_id % 3 <> 1 GROUP BY fingerprint",
+    "size_gate": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN strlen(text) > 4000 THEN 'input exceeds 4000 byte limit' ELSE '' END AS message FROM documents",
+    "scan_summary": f"""WITH {_TOKENS}, kept AS (SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE strlen(text) <= 4000),
+over AS (SELECT count(*) AS skipped FROM documents WHERE strlen(text) > 4000),
+n AS (SELECT count(*) AS finding_count FROM located JOIN documents USING (doc_id) WHERE strlen(text) <= 4000)
+SELECT finding_count, skipped AS error_count, skipped = 0 AS complete, CASE WHEN skipped > 0 THEN 2 WHEN finding_count > 0 THEN 1 ELSE 0 END AS exit_code, files, bytes, skipped, files AS detection_passes FROM n, kept, over""",
+    "rule_inventory": "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(r.id)}, {_quoted(r.name)}, {_quoted(r.confidence)})" for r in R.override(R.authored(), R.providers(), [TOKEN], [R.Rule("github-pat", "Overridden", "x(y)", 1)])) + ") t(id, name, confidence)",
+    "git_occurrences": f"WITH {_RELATIONS} SELECT commit, 'git:' || commit || ':' || path AS path, 'generic-credential-double' AS rule_id, CAST(2 AS BIGINT) AS line FROM commits JOIN entries USING (tree) WHERE oid % 2 = 0",
+    "preview_topk": f"WITH {_TOKENS} SELECT row_number() OVER (ORDER BY path, start) - 1 AS place, path, start FROM located ORDER BY path, start LIMIT 10",
+    "sarif_results": f"WITH {_TOKENS} SELECT path, start, rule_id AS rule, line, path AS uri FROM located",
+    "sarif_rules": f"WITH {_TOKENS} SELECT DISTINCT rule_id, 'Matched {TOKEN.name} (medium confidence); not live-validated' AS text FROM located",
+    "path_uris": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'file:///' ELSE '' END || page_id || '%20a~b%2Ac%2B%C3%A9/x.y' AS uri FROM pages",
+    "logical_identities": "SELECT doc_id, source || '/doc-' || doc_id || '.txt' AS identity FROM documents",
+    "archive_names": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 4 = 2 THEN 'zip' WHEN doc_id % 5 = 1 OR doc_id % 4 IN (0, 1) THEN 'gzip' END AS format,
+CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id || '.tar' WHEN 1 THEN 'f' || doc_id ELSE 'content' END AS member FROM documents""",
+    "utf16_findings": f"SELECT doc_id, sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 1))) AS secret_sha256 FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, 'invalid UTF-16 content' FROM documents WHERE doc_id % 10 = 3",
+}
