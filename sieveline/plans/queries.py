@@ -310,8 +310,8 @@ def archive_names(spark, sf):
 
 
 def progress_throttle(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 0 or event_id >= 0")
-    each = events.select("user_id", (F.unix_micros("ts") / 1000).cast("long").alias("ms")).groupBy("user_id").agg(F.array_sort(F.collect_list("ms")).alias("times"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    each = events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms")).groupBy("user_id").agg(F.array_sort(F.collect_list("ms")).alias("times"))
     return each.select("user_id", F.size(report.throttle(F.col("times"), 3_600_000)).cast("long").alias("kept"))
 
 
