@@ -100,7 +100,9 @@ def chains(graph: DataFrame) -> DataFrame:
     simple = into.where("n_in = 1").join(out.where("n_out = 1"), "node").select(F.col("node").alias("head"), "last")
     linked = graph.join(simple, "head", "left")
     here = Window.partitionBy("row").orderBy("pos")
-    follows = F.coalesce((F.col("last.row") == F.col("row")) & (F.col("last.pos") == F.lag("pos").over(here)), F.lit(False))
+    # Only an edge that begins where the one before it in this source ends goes on its chain; equal nodes can lie further apart.
+    adjacent = F.lag(F.expr("pos + size")).over(here) == F.col("pos")
+    follows = F.coalesce(adjacent & (F.col("last.row") == F.col("row")) & (F.col("last.pos") == F.lag("pos").over(here)), F.lit(False))
     linked = linked.withColumn("opens", ~follows)
     start = F.max(F.when(F.col("opens"), F.col("pos"))).over(here)
     return linked.select("row", "pos", "size", start.alias("start"), F.when(F.col("opens"), F.col("last")).alias("before"))
