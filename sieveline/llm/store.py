@@ -40,6 +40,7 @@ class Scratch:
         self._n += 1
         path = self.path(f"{self._n:03d}-{name}")
         df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files of plans that are done with are deleted then
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
