@@ -1,8 +1,8 @@
 """WARC records in ZIP packages: writing them, and reading single records by byte range without extraction.
 
-A package is a ZIP file whose members are stored, not compressed: ``archive/data.warc`` with the records and
-``indexes/index.cdxj`` with one line per record (key, time, JSON with the record's offset and length in the member). The
-reader parses the end-of-directory record, its ZIP64 forms where present, and the central directory, places the stored
+A package is a ZIP file whose members are stored, not compressed again: ``archive/data.warc.gz`` with the records, each a gzip
+member of its own, and ``indexes/index.cdxj`` with one line per record (key, time, JSON with the record's offset and length
+in the member). The reader parses the end-of-directory record, its ZIP64 forms where present, and the central directory, places the stored
 members by their local headers, and reads the index and then only the bytes of the records that are asked for.
 
 Records with equal payloads of at least ``least`` bytes are written once: that with the largest page_id is the response, the others are
@@ -12,6 +12,7 @@ page_ids are separate records; among equal payloads of one page_id one is the re
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 LEAST = 1000
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"  # the tables hold no capture time
 _EOCD, _EOCD64, _LOCATOR, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -65,7 +66,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65557)
     tail = at(tail_at, size - tail_at)
     end = tail.rfind(_EOCD)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(_EOCD, 0, end)
     if end < 0:
         raise ValueError("no end of central directory")
@@ -140,6 +141,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
                         else:
                             fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{_name(r['refers_to'])}>"}
                             data = record("revisit", uri, f"{_name(page)}:revisit", b"", fields)
+                        data = gzip.compress(data, 1, mtime=0)
                         out.write(data)
                         lines.append(f"{uri.replace(' ', '%20')} {_DATE} {json.dumps({'offset': at, 'length': len(data)})}\n")
                         at += len(data)
@@ -200,7 +202,7 @@ def read(located: DataFrame, folder: str) -> DataFrame:
                     if name != now:
                         now, f = name, store.open_input_file(f"{base}/{name}")
                     f.seek(offset)
-                    fields, payload = parse(f.read(length))
+                    fields, payload = parse(gzip.decompress(f.read(length)))
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     kind = fields["warc-type"]
                     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["warc-payload-length"])):
