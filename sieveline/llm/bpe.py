@@ -173,7 +173,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 column = _list_column([bpe.encode(x or "") for x in b.column(len(kept)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], column], names=[*kept, ids])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
+    return plain.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -189,7 +190,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 column = pa.array([bpe.decode(x or ()) for x in b.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*kept, out])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
