@@ -16,7 +16,7 @@ def classify(findings: DataFrame, labels: DataFrame) -> DataFrame:
     f, g = findings.select("finding_id", "path", "start", "end"), labels.select("label_id", "path", F.col("start").alias("l_start"), F.col("end").alias("l_end"), "label")
     pairs = f.join(g, "path", "left")
     exact = (F.col("start") == F.col("l_start")) & (F.col("end") == F.col("l_end"))
-    shared = F.least("end", "l_end") - F.greatest("start", "l_start")
+    shared = F.when(F.col("label_id").isNotNull(), F.least("end", "l_end") - F.greatest("start", "l_start"))  # least() passes over nulls
     width = F.col("l_end") - F.col("l_start")
     overlap = (shared >= width * 0.5) & (F.col("end") - F.col("start") <= F.greatest(F.lit(1), width) * 4)
     ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("label_id", "label"))))

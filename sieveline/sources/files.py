@@ -69,6 +69,12 @@ def listing(roots: list[str], respect_ignore: bool = True) -> tuple[list[tuple[s
     return found, errors
 
 
+def _opened(frames):
+    for pdf in frames:
+        contents = [Path(f.removeprefix("file:")).read_bytes() for f in pdf["file"]]
+        yield pdf.assign(content=contents, length=[len(c) for c in contents])
+
+
 def read(spark: SparkSession, roots: list[str], respect_ignore: bool = True, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(inputs path, identity, content; errors path, message) of file trees that the driver can list."""
     found, missing = listing(roots, respect_ignore)
@@ -76,8 +82,14 @@ def read(spark: SparkSession, roots: list[str], respect_ignore: bool = True, max
     if not found:
         return spark.createDataFrame([], "path string, identity string, content binary"), errors
     names = spark.createDataFrame([(d, "file:" + p) for d, p in found], "display string, file string")
-    files = spark.read.format("binaryFile").load([f"file://{p}" for _, p in found])
-    files = files.withColumn("file", F.regexp_replace("path", "^file:/+", "file:/")).drop("path").join(names, "file")
+    # Spark's readers pass over names that begin with a dot or an underscore, so tasks open those themselves.
+    plain = [p for _, p in found if os.path.basename(p)[0] not in "._"]
+    odd = names.where(F.substring_index("file", "/", -1).rlike("^[._]")).mapInPandas(_opened, "display string, file string, content binary, length bigint")
+    files = odd
+    if plain:
+        read_ = spark.read.format("binaryFile").load([f"file://{p}" for p in plain])
+        read_ = read_.withColumn("file", F.regexp_replace("path", "^file:/+", "file:/")).join(names, "file")
+        files = read_.select("display", "file", "content", "length").unionByName(odd)
     over = F.col("length") > max_bytes
     errors = errors.unionByName(files.where(over).select(F.col("display").alias("path"), F.lit(f"input exceeds {max_bytes} byte limit").alias("message")))
     return files.where(~over).select(F.col("display").alias("path"), F.regexp_replace("file", "^file:", "").alias("identity"), "content"), errors

@@ -1,0 +1,128 @@
+"""Files, archives, Git, UTF-16, streams, scoring."""
+
+import gzip
+import io
+import subprocess
+import tarfile
+import zipfile
+
+from sieveline.functions import regex
+from sieveline.operators import quality, scan
+from sieveline.plans import rules as R
+from sieveline.sources import archives, encodings, files, git
+
+RULE = R.Rule("fixture", "Fixture", "fixture_([A-Za-z0-9]{24})", 1, ("fixture_",))
+VALUE = "fixture_" + "aB3dE5gH7jK9mN1pQ2rS4tU6"
+CONFIG = scan.Config((RULE,), builtin=False)
+
+
+def _zip(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_archives():
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        info = tarfile.TarInfo("t.txt")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+        link = tarfile.TarInfo("l")
+        link.type = tarfile.SYMTYPE
+        t.addfile(link)
+    got = {p: (c, e) for p, _, c, e, _ in archives.expand_one("o.zip", "o.zip", _zip(a=b"1", b=gzip.compress(tar.getvalue()), c=b"PK\x03\x04broken"), 1 << 20)}
+    assert got["o.zip!a"] == (b"1", None)
+    assert got["o.zip!b!content!t.txt"] == (b"abc", None)
+    assert got["o.zip!b!content!l"][1] == "archive link is not followed"
+    assert got["o.zip!c"][1] == "nested archive is corrupt or unsupported"
+    limited = list(archives.expand_one("o.zip", "o", _zip(a=b"x" * 10, b=b"y"), 5))
+    assert limited[0][3] == "archive cumulative decompressed byte limit exceeded"
+    deep = b"end"
+    for _ in range(6):
+        deep = _zip(**{"x.zip": deep})
+    assert list(archives.expand_one("d.zip", "d", deep, 1 << 20))[0][3] == "archive nesting depth limit exceeded"
+
+
+def test_file_trees(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".hidden").write_text(VALUE)
+    (tmp_path / "sub" / "b.txt").write_text("x")
+    (tmp_path / "skip.log").write_text(VALUE)
+    (tmp_path / ".ignore").write_text("*.log\n")
+    (tmp_path / "big.txt").write_text("z" * 500)
+    inputs, errors = files.read(spark, [str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "none")], max_bytes=400)
+    assert sorted(r.path for r in inputs.collect()) == [".hidden", ".ignore", "sub/b.txt"]
+    assert {r.message for r in errors.collect()} == {"input path does not exist", "input exceeds 400 byte limit"}
+    assert [r.path for r in scan.findings(inputs, CONFIG).collect()] == [".hidden"]
+    assert "skip.log" in {d for d, _ in files.listing([str(tmp_path)], respect_ignore=False)[0]}
+
+
+def test_git(spark, tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    run("init", "-q")
+    (tmp_path / "a.txt").write_text(VALUE)
+    run("add", "."), run("commit", "-qm", "1")
+    (tmp_path / "b.txt").write_text("clean")
+    run("add", "."), run("commit", "-qm", "2")
+    (tmp_path / "c.txt").write_text(VALUE)
+    run("add", ".")
+    (tmp_path / "c.txt").write_text("clean now")
+    rows, errors = git.history(spark, str(tmp_path), config=CONFIG)
+    got = rows.collect()
+    assert len(got) == 2 and len({r.fingerprint for r in got}) == 1 and all(r.path.startswith("git:") and r.path.endswith(":a.txt") for r in got)
+    assert errors.count() == 0
+    index, _ = git.staged(spark, str(tmp_path), CONFIG)
+    assert [r.path for r in index.collect()] == ["c.txt"]
+    assert git.history(spark, str(tmp_path), config=CONFIG, max_bytes=3)[1].count() == 2
+
+
+def test_utf16(spark):
+    rows = [("ok", b"\xff\xfe" + f"é😀 {VALUE}".encode("utf-16-le")), ("be", b"\xfe\xff" + VALUE.encode("utf-16-be")), ("odd", b"\xff\xfea"), ("lone", b"\xff\xfe\x00\xd8a\x00"), ("utf32", b"\xff\xfe\x00\x00a"), ("raw", VALUE.encode())]
+    inputs = spark.createDataFrame([(p, p, bytearray(c)) for p, c in rows], "path string, identity string, content binary")
+    good, errors = encodings.decode_utf16(inputs)
+    assert {r.path for r in errors.collect()} == {"odd", "lone"}
+    assert {r.path for r in scan.findings(good.drop("utf16"), CONFIG).collect()} == {"ok", "be", "raw"}
+    at = spark.createDataFrame([("é😀 ",)], "p string").select(encodings.source_offset(__import__("pyspark").sql.functions.col("p")).alias("n")).first().n
+    assert at == 2 + 2 * 4
+
+
+def test_requests_and_streams(spark, tmp_path):
+    import json
+
+    from sieveline.streaming import scan as streaming
+
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"id": 1, "text": VALUE}), "{broken", json.dumps({"id": 2, "path": "p", "text": "x"})]
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    inputs, errors = streaming.requests(spark.read.text(str(tmp_path / "in")))
+    assert sorted((r.id, r.path) for r in inputs.collect()) == [("1", "stdin"), ("2", "p")]
+    assert errors.count() == 1
+    seen = []
+    source = streaming.requests(spark.readStream.text(str(tmp_path / "in")))[0]
+    streaming.start(source, lambda df, _: seen.extend(df.collect()), str(tmp_path / "state"), CONFIG).awaitTermination()
+    assert [(r.id, r.rule_id) for r in seen] == [("1", "fixture")]
+
+
+def test_scoring(spark):
+    labels = spark.createDataFrame([(1, "a", 10, 20, "positive"), (2, "a", 40, 50, "positive"), (3, "b", 0, 9, "negative")], "label_id int, path string, start long, end long, label string")
+    rows = [(1, "a", 10, 20), (2, "a", 12, 20), (3, "a", 48, 60), (4, "b", 0, 9), (5, "c", 1, 2)]
+    found = spark.createDataFrame(rows, "finding_id int, path string, start long, end long")
+    assert {r.finding_id: r["class"] for r in quality.classify(found, labels).collect()} == {1: "tp", 2: "duplicate", 3: "unlocalized", 4: "fp", 5: "fp"}
+    one = quality.confusion(found, labels).first()
+    assert (one.tp, one.fp, one.fn, one.unlocalized, one.duplicates) == (1, 2, 1, 1, 1)
+
+
+def test_patterns():
+    assert regex.translate("a$") == r"(?d)a\z" and regex.translate("(?m)a$") == "(?d)(?m)a$"
+    assert regex.with_lead("(?i)ab(?:c)(d)e", 1) == ("(?i)(ab(?:c))(d)e", 2)
+    for bad in ("(a|(b))", "é", r"\p{L}", "[a&&b]"):
+        try:
+            regex.with_lead(bad, 2) if bad.startswith("(") else regex.translate(bad)
+        except regex.Unsupported:
+            continue
+        raise AssertionError(bad)
