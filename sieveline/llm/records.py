@@ -38,6 +38,17 @@ _NULL_ID = -(2**63)
 STEP = 1000
 
 
+class _Known(dict):
+    """Ids of pieces already met, by piece; a piece that is not known is noted and stands for itself until it is."""
+
+    def __init__(self, lead: str):
+        self.lead, self.wanted = lead, set()
+
+    def __missing__(self, piece: str) -> str:
+        self.wanted.add(piece)
+        return piece
+
+
 class LibraryEncoder:
     """Texts to ids by the tokenizers library.
 
@@ -53,28 +64,34 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.first, self.rest = _Known(""), _Known(" ")
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        whole, cut = [], {}
+        for known in (self.first, self.rest):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+        out: list = [None] * len(texts)
+        whole, cut, look = [], [], self.rest.__getitem__
         for i, x in enumerate(texts):
             if not cuttable(x) or any(s in x for s in self.special):
                 whole.append(i)
             else:
                 first, *rest = x.split(" ")
-                cut[i] = [first, *(" " + r for r in rest)]
-        new = list(set().union(*cut.values()).difference(self.known)) if cut else []
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        out = {i: b"".join(map(get, pieces)) for i, pieces in cut.items()}
-        out.update(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        return [out[i] for i in range(len(texts))]
+                cut.append((i, self.first[first], list(map(look, rest))))
+        for known in (self.first, self.rest):
+            new = list(known.wanted)
+            known.wanted.clear()
+            known.update(zip(new, self._encode([known.lead + p for p in new]), strict=True))
+        for i, first, rest in cut:
+            head = self.first[first] if first.__class__ is str else first
+            out[i] = head + b"".join([look(p) if p.__class__ is str else p for p in rest])
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 _loaded: dict[str, LibraryEncoder] = {}
