@@ -63,8 +63,6 @@ def matches(view: Column, pattern: str, group: int | None) -> Column:
     def build(x: Column) -> Column:
         m, s = x["m"], x["s"]
         steps = F.zip_with(x["g"], F.transform(m, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-        start = F.lit(None).cast("struct<at: bigint, out: array<bigint>>")
-        del start
         zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
         run = F.aggregate(steps, zero, lambda acc, y: F.struct((acc["at"] + y["g"] + F.coalesce(y["n"], F.lit(0))).alias("at"), F.concat(acc["out"], F.array((acc["at"] + y["g"]).cast("bigint"))).alias("out")))["out"]
 
@@ -108,7 +106,6 @@ def candidates(view: Column, low: Column, path: Column, rule: Rule, min_entropy:
     def keep(m: Column) -> Column:
         secret, lead = m["secret"], m["lead"]
         ok = (secret != "") & ~fn.is_placeholder(secret)
-        start = m["mstart"] + F.length(lead)
         if rule.id in CONTEXTUAL:
             ok = ok & ~fn.is_non_value(lead, F.substring(m["match"], F.length(lead) + F.length(secret) + 1, F.length(m["match"])))
         if threshold > 0:
@@ -118,7 +115,6 @@ def candidates(view: Column, low: Column, path: Column, rule: Rule, min_entropy:
         if rule.allowlist:
             lines = fn.surrounding_lines(view, m["mstart"].cast("int"), (m["mstart"] + F.length(m["match"])).cast("int")) if any(a.target == "line" for a in rule.allowlist) else F.lit("")
             ok = ok & ~allowed(rule, path, secret, m["match"], lines)
-        del start
         return ok
 
     def shape(m: Column) -> Column:

@@ -216,8 +216,6 @@ def _authored_sql(prefix: str) -> str:
 def _split(spark, sf):
     found = regex_findings(spark, sf)
     old, now = found.where("doc_id % 3 <> 0"), found.where("doc_id % 3 <> 1")
-    extra = F.lit("x").alias("explanation")
-    del extra
     return now, baseline.from_findings(old, context={})
 
 
