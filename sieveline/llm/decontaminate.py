@@ -15,17 +15,21 @@ as well; extra columns are ignored. Without items nothing is hit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import repeats
 from .seq import ALPHANUMERIC, LOWER, Tokens, slices
 from .store import Scratch
 
 PHRASE = 10
-#: Benchmark terms that are sent to all executors at most (8 bytes each); beyond that they are looked up by joins.
+#: Terms that are sent to all executors at a time, at most (8 bytes each). Beyond that terms are counted by joins, and phrases are searched in
+#: several parts, each with a pass over the documents.
 BROADCAST_TERMS = 2_000_000
 
 
@@ -87,16 +91,16 @@ _POSTING = "array<struct<term: bigint, pos: int, around: array<bigint>>>"
 
 
 def store_index(docs: DataFrame, terms: DataFrame, scratch: Scratch, around: int = PHRASE - 1) -> DataFrame:
-    """Store the postings of ``terms``: one row per document (row, doc_id, n_words, postings), ``row`` being unique.
+    """Store the postings of ``terms`` in docs (row, text): one row per document (row, n_words, postings), ``row`` being unique.
 
     A posting holds its position and the codes of the words from ``around`` before it to ``around`` after it; places
     beyond the text's edges hold null.
     """
     held = _sorted_terms(terms)
     if held is None:
-        raise ValueError(f"more than {BROADCAST_TERMS} chosen terms: split the benchmark into parts")
+        raise ValueError(f"more than {BROADCAST_TERMS} terms: index them in parts")
     sent = docs.sparkSession.sparkContext.broadcast(held)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("postings", T._parse_datatype_string(_POSTING))])
+    schema = T.StructType([docs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("postings", T._parse_datatype_string(_POSTING))])
 
     def run(batches):
         wanted = sent.value
@@ -117,11 +121,10 @@ def store_index(docs: DataFrame, terms: DataFrame, scratch: Scratch, around: int
                 entry = pa.StructArray.from_arrays([pa.array(codes[hits]), pa.array((hits - t.ranges[:-1][owner]).astype(np.int32)), lists], ["term", "pos", "around"])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, end - first), pa.array(np.diff(t.ranges).astype(np.int64)), pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), entry)],
-                    names=["doc_id", "n_words", "postings"],
+                    names=["row", "n_words", "postings"],
                 )
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    return scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "postings")
+    return scratch.table(docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "postings")
 
 
 def phrase_matches(index: DataFrame, plans: DataFrame, around: int = PHRASE - 1) -> DataFrame:
@@ -158,6 +161,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, width: int) -> DataF
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = PHRASE) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, items (sorted item ids that occur in it)."""
     scratch = Scratch(spark, "decontaminate")
+    docs = repeats.keyed(docs.select("doc_id", "text"), scratch)
     items = scratch.table(phrases(benchmark, width), "phrases")
     distinct = scratch.table(items.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "distinct")
     vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
@@ -167,14 +171,20 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int
     ranked = placed.join(counts, "term").groupBy("phrase").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "at"))), 1, 2).alias("rare"))
     chosen = distinct.join(ranked, "phrase").select("phrase", "terms", F.col("rare")[0]["term"].alias("first"), F.col("rare")[0]["at"].alias("first_at"), F.get("rare", 1)["term"].alias("second"), F.get("rare", 1)["at"].alias("second_at"))
     plans = scratch.table(chosen, "plans")
-    terms = plans.select(F.col("first").alias("term")).unionByName(plans.where("second is not null").select(F.col("second").alias("term"))).distinct()
-    index = store_index(docs, terms, scratch, width - 1)
-    found = scratch.table(phrase_matches(index, plans, width - 1), "matches")
+    parts = max(1, -(-4 * plans.count() // BROADCAST_TERMS))  # two terms a phrase at most, and room for uneven parts
+    matches, sizes = [], None
+    for part in range(parts):
+        own = plans.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part)
+        terms = own.select(F.col("first").alias("term")).unionByName(own.where("second is not null").select(F.col("second").alias("term"))).distinct()
+        index = store_index(docs, terms, scratch, width - 1)
+        matches.append(scratch.table(phrase_matches(index, own, width - 1), "matches"))
+        sizes = index if sizes is None else sizes
+    found = reduce(DataFrame.unionByName, matches)
 
     covered = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = found.select("row", "phrase").distinct().join(distinct, "phrase").join(items, "terms").select("row", "item").distinct()
     named = named.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = index.select("row", "doc_id", "n_words").join(covered, "row", "left").join(named, "row", "left")
+    out = docs.select("row", "doc_id").join(sizes.select("row", "n_words"), "row").join(covered, "row", "left").join(named, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveline.llm import bpe, chat, decontaminate, language, quality, records, store, warc
+from sieveline.llm import bpe, chat, decontaminate, language, quality, records, repeats, store, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -114,7 +114,9 @@ def _words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("terms", [decontaminate.BROADCAST_TERMS, 15])
+def test_decontamination(spark, docs, monkeypatch, terms):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", terms)  # few: terms counted by joins, phrases in parts
     rng = random.Random(2)
     vocab = [f"t{i}" for i in range(60)] + ["é漢", "Zz"]
     items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (25, 14, 10, 4, 1)] + ["same " * 12, "...", "", None]
@@ -152,9 +154,10 @@ def test_proximity(spark, docs):
     texts = ["x a y b z c", "a b q q q q q q q c", "c b a", "a b"]
     terms = spark.createDataFrame([("a b c",)], "text string").select(F.lit("q").alias("item_id"), "text")
     row = decontaminate.phrases(terms).first()
-    index = decontaminate.store_index(docs(*texts), spark.createDataFrame([(t,) for t in row.terms], "term long"), store.Scratch(spark, "t"))
+    rows = repeats.keyed(docs(*texts), store.Scratch(spark, "t"))
+    index = decontaminate.store_index(rows, spark.createDataFrame([(t,) for t in row.terms], "term long"), store.Scratch(spark, "t"))
     queries = spark.createDataFrame([("q", row.terms, row.terms[0])], "query string, terms array<long>, first long")
-    near = decontaminate.proximity_matches(index, queries, 5).join(index, "row").select("doc_id")
+    near = decontaminate.proximity_matches(index, queries, 5).select(F.col("row").alias("doc_id"))
     assert {r.doc_id for r in near.collect()} == {0, 2}
 
 
