@@ -9,8 +9,8 @@ documents, the trusted one over the documents of a bounded sample of the trusted
 below ``threshold`` is rejected; there is no randomness. Everything runs as DataFrame functions.
 
 Null texts have no words and fail the base rules; so do empty ones. Repeated rows are judged alike, each one is
-returned. Extra columns are ignored by ``judge`` and kept by ``keep``. Without any trusted label both multinomials are
-uniform over their counts' smoothing and only the base rules decide.
+returned. Extra columns are ignored by ``judge`` and kept by ``keep``. Without any trusted text every ratio is 0
+and only the base rules decide.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ _SYMBOLS = "#*$%&|<>"
 
 def words(text: Column) -> Column:
     """The words of a text (null: none). A one-character separator keeps the split off the regex engine."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS)), " "), "")
+    spaced = F.coalesce(text, F.lit(""))
+    for c in _BLANKS:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -38,47 +41,76 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: A window's hash and place share a number while they can be sorted so: 44 bits of the hash, 20 of the place.
+_PLACE_BITS = 20
+_HIGH = -(1 << _PLACE_BITS)
+
+
 def repeated_words(tokens: Column, width: int = 3) -> Column:
-    """How many words lie in windows of ``width`` words that occur at least twice in the text, the first included."""
+    """How many words lie in windows of ``width`` words that occur at least twice in the text, the first included.
+
+    Windows are compared by 64-bit hashes. Texts without equal hashes are done after one look. Else hashes are sorted together with
+    their places, as single numbers where the upper 44 bits of the hashes part them as well as all 64 do, and as pairs where not.
+    """
 
     def covered(at: Column) -> Column:
         steps = F.zip_with(F.slice(at, 2, F.size(at)), at, lambda b, a: F.least(b - a, F.lit(width)))
         # zip_with pads the shorter side with null, which stands for the last window: it covers its full width
         return F.aggregate(steps, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(width)))
 
-    def twice(keys: Column) -> Column:
-        same = lambda a, b: F.coalesce(F.get(keys, a)["h"] == F.get(keys, b)["h"], F.lit(False))
-        hit = F.filter(F.transform(keys, lambda k, i: F.when(same(i, i - 1) | same(i, i + 1), k["i"])), lambda x: x.isNotNull())
-        return F.when(F.size(hit) > 0, _let(F.sort_array(hit), covered)).otherwise(0)
+    def union(hit: Column) -> Column:
+        return _let(F.sort_array(F.filter(hit, lambda x: x.isNotNull())), covered)
+
+    def by_pairs(h: Column) -> Column:
+        def twice(keys: Column) -> Column:
+            same = lambda a, b: F.coalesce(F.get(keys, a)["h"] == F.get(keys, b)["h"], F.lit(False))
+            return union(F.transform(keys, lambda k, i: F.when(same(i, i - 1) | same(i, i + 1), k["i"])))
+
+        return _let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), twice)
 
-    def keyed(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - width)
-        return F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*(F.get(w, i + j) for j in range(width))).alias("h"), i.alias("i"))))
+    def by_numbers(h: Column) -> Column:
+        def twice(keys: Column) -> Column:
+            near = lambda k, i: F.shiftright(k.bitwiseXOR(F.coalesce(F.get(keys, i), F.bitwise_not(k))), _PLACE_BITS) == 0
+            return union(F.transform(keys, lambda k, i: F.when(near(k, i - 1) | near(k, i + 1), k.bitwiseAND(F.lit(~_HIGH)).cast("int"))))
 
-    return F.when(F.size(tokens) < width, 0).otherwise(_let(keyed(tokens), twice)).cast("long")
+        return _let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long")))), twice)
 
+    def counted(h: Column) -> Column:
+        upper = F.size(F.array_distinct(F.transform(h, lambda x: F.shiftright(x, _PLACE_BITS))))
+        distinct = F.size(F.array_distinct(h))
+        return F.when(distinct == F.size(h), 0).when((F.size(h) < 1 << _PLACE_BITS) & (upper == distinct), by_numbers(h)).otherwise(by_pairs(h))
 
-def statistics(docs: DataFrame, text: str = "text") -> list[Column]:
-    """The base statistics as named columns over docs with a column ``w`` of its words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " " + _BLANKS, "") != "")
+    hashed = F.transform(F.sequence(F.lit(0), F.size(tokens) - width), lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(width))))
+    return F.when(F.size(tokens) < width, 0).otherwise(_let(hashed, counted)).cast("long")
+
+
+def statistics(text: Column, w: Column) -> list[Column]:
+    """The base statistics of a text and its words ``w`` as named columns."""
+    t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" " + _BLANKS)) != "")
+    symbols = sum((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in _SYMBOLS), F.lit(0))
     return [
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate(t, " " + _BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("n_repeat_words"),
+        repeated_words(w).alias("n_repeat_words"),
     ]
 
 
+def _bucket(buckets: int, *grams: Column) -> Column:
+    return F.pmod(F.xxhash64(*grams), F.lit(buckets)).cast("int")
+
+
 def buckets_of(w: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of the lower-cased unigrams and bigrams of a word list."""
-    def grams(low: Column) -> Column:
-        one = F.transform(low, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-        two = F.transform(low, lambda x, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(low, i - 1), x), F.lit(buckets)).cast("int")))
-        return F.concat(one, F.slice(two, 2, F.greatest(F.size(two), F.lit(1))))
+    """Hash buckets of the unigrams and bigrams of a word list, as pairs; the first word has no bigram."""
+    return F.transform(w, lambda x, i: F.array(_bucket(buckets, x), F.when(i > 0, _bucket(buckets, F.get(w, i - 1), x))))
+
 
-    return _let(w, grams)
+def mean_ratio(w: Column, table: Column, buckets: int = BUCKETS) -> Column:
+    """Mean of the table's values over the unigrams and bigrams of a word list; 0 for none."""
+    each = F.transform(w, lambda x, i: F.get(table, _bucket(buckets, x)) + F.when(i > 0, F.get(table, _bucket(buckets, F.get(w, i - 1), x))).otherwise(0.0))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(2 * F.size(w) - 1, F.lit(1))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE) -> list[float]:
@@ -86,26 +118,24 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sampl
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     trusted = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("trusted", F.lit(1))
     # At most ``sample`` ids, so the broadcast is bounded.
-    flagged = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(trusted), "doc_id", "left")
-    grams = flagged.select("trusted", F.explode(buckets_of(words(F.col("text")), buckets)).alias("b"))
+    flagged = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(trusted), "doc_id", "left")
+    grams = flagged.select("trusted", F.explode(F.flatten(buckets_of(F.col("w"), buckets))).alias("b")).where("b is not null")
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
     counts = {r["b"]: (r["raw"], r["trusted"]) for r in rows}
+    if not any(t for _, t in counts.values()):
+        return [0.0] * buckets
     all_raw, all_trusted = (sum(c[k] for c in counts.values()) + buckets for k in (0, 1))
-    pairs = (counts.get(b, (0, 0)) for b in range(buckets))
-    return [math.log((t + 1) / all_trusted) - math.log((r + 1) / all_raw) for r, t in pairs]
+    found = (counts.get(b, (0, 0)) for b in range(buckets))
+    return [math.log((t + 1) / all_trusted) - math.log((r + 1) / all_raw) for r, t in found]
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, the statistics, base_failed, the mean log ratio ``llr`` and ``kept``."""
     ratios = log_ratios(docs, labels, buckets, sample)
     table = F.split(F.lit(",".join(f"{x:.9f}" for x in ratios)), ",").cast("array<double>")
-    out = docs.select("doc_id", "text", *(F.col(c) for c in keep or ()), words(F.col("text")).alias("w"))
-    out = out.select(
-        "doc_id",
-        *(F.col(c) for c in keep or ()),
-        *statistics(out),
-        _let(buckets_of(words(F.lower("text")), buckets), lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(table, x)) / F.greatest(F.size(b), F.lit(1))).alias("llr"),
-    )
+    verdict = _let(words(F.col("text")), lambda w: F.struct(*statistics(F.col("text"), w), mean_ratio(w, table, buckets).alias("llr")))
+    # Behind a generator a filter on the verdict stays where it is; pushed below it, the verdict would be worked out twice.
+    out = docs.select("doc_id", *(F.col(c) for c in keep or ()), F.explode(F.array(verdict)).alias("v")).select("doc_id", *(keep or ()), "v.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
