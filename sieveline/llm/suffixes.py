@@ -27,8 +27,8 @@ from .seq import slices
 from .store import Scratch
 
 LENGTH, ANCHOR = 100, 40
-#: Bytes of runs in a shard, about.
-SHARD = 1 << 20
+#: Bytes of runs in a shard, about, and the most that one anchor may bring into one.
+SHARD, MOST = 1 << 20, 4 << 20
 
 
 def byte_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -173,13 +173,29 @@ def mixed_runs(texts: DataFrame, length: int, shards: int) -> DataFrame:
     return sharded.groupBy("shard").applyInPandas(search, "row long, start int, end int, mask long")
 
 
+def hot_runs(texts: DataFrame, length: int) -> DataFrame:
+    """The same for anchors whose runs are too many for one task: every string is looked up by two hashes, and earliest sources combine before they travel."""
+    at = texts.select("a", "seg", "row", "s", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    string = F.substring(F.col("bytes"), F.col("o") + 1, F.lit(length))
+    at = at.select("a", "seg", "row", "s", "o", F.struct("row", (F.col("s") + F.col("o")).alias("pos")).alias("source"), F.xxhash64(string).alias("h"), F.xxhash64(F.reverse(F.hex(string)), F.lit(1)).alias("g"))
+    first = at.groupBy("a", "h", "g").agg(F.min("source").alias("first"))
+    later = at.join(first, ["a", "h", "g"]).where("source <> first")
+    masks = later.groupBy("a", "seg", "row", "s").agg(F.expr("bit_or(shiftleft(1L, o))").alias("mask"))
+    return masks.select("row", F.col("s").alias("start"), F.col("s").alias("end"), "mask")
+
+
 def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """What later copies cover in docs (row, text): marks (row, start, end, mask; see repeats.covered)."""
     packed = scratch.table(repeats.repeated(byte_runs(docs, length, k)), "runs")
     leaders = packed.where("leader and mixed").select("a", "seg", "n", "row", "s").dropDuplicates(["a", "seg"])
     texts = scratch.table(run_texts(docs, leaders, length), "texts")
     total = texts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    mixed = mixed_runs(texts, length, max(1, -(-total // SHARD)))
+    shards = max(1, -(-total // SHARD))
+    hot = texts.groupBy("a").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > MOST).select("a")
+    if hot.limit(1).count():
+        mixed = mixed_runs(texts.join(hot, "a", "left_anti"), length, shards).unionByName(hot_runs(texts.join(hot, "a", "left_semi"), length))
+    else:
+        mixed = mixed_runs(texts, length, shards)
     at = repeats.places(packed.select("n", "row", "s", "more", "first")).where("not (row = first.row and s = first.s)")
     copies = at.select("row", F.col("s").alias("start"), F.expr(f"s + n - 1 + {length}").cast("int").alias("end"), F.lit(None).cast("long").alias("mask"))
     return mixed.unionByName(copies)
