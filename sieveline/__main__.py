@@ -16,6 +16,8 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--no-base64", action="store_true")
     parser.add_argument("--max-bytes", type=int, default=64 << 20)
     parser.add_argument("--format", choices=["jsonl", "sarif"], default="jsonl")
+    parser.add_argument("--baseline", help="report only what this kept baseline lacks")
+    parser.add_argument("--write-baseline", help="keep the findings of a complete scan here")
     commands = parser.add_subparsers(dest="command", required=True)
     scan_ = commands.add_parser("scan")
     scan_.add_argument("paths", nargs="+")
@@ -30,7 +32,8 @@ def main(args: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from sieveline.operators import report, scan
+    from sieveline.operators import baseline, report, scan
+    from sieveline.plans import context as C
     from sieveline.plans import rules as R
     from sieveline.sources import archives, files, git
 
@@ -53,6 +56,13 @@ def main(args: list[str] | None = None) -> int:
     else:
         found, errors = git.staged(spark, given.repo, config, given.max_bytes)
     found, errors = found.cache(), errors.cache()
+    scanned = C.context(given.command, given.paths if given.command == "scan" else [given.repo, getattr(given, "range", None) or ""], config)
+    complete = errors.limit(1).count() == 0
+    if given.write_baseline:
+        baseline.write(baseline.from_findings(found, complete=complete, context=scanned), given.write_baseline, scanned)
+    if given.baseline:
+        old, own = baseline.read(spark, given.baseline)
+        found = baseline.diff(found, old, complete=complete, context=scanned, baseline_context=own)[0]
     closing = report.summary(found, errors)
     out = report.sarif(found, errors) if given.format == "sarif" else report.json_lines(found, errors, closing)
     for row in out.toLocalIterator():

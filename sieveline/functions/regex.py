@@ -103,6 +103,22 @@ def translate(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
+def to_python(pattern: str) -> bytes:
+    """The pattern for Python's byte regular expressions, which has what Java's translation refuses."""
+    out, multiline = [], False
+    for kind, text, _ in tokens(pattern):
+        if kind == "open" and text.startswith("(?") and text[-1] in ":)":
+            multiline = multiline or "m" in text[2:-1].split("-")[0]
+        elif kind == "class":
+            text = re.sub(r"\[:(\w+):\]", lambda m: _POSIX[m[1]].replace(r"\x0B", r"\x0b") if m[1] in _POSIX else _reject(f"class {m[1]}"), text)
+        elif text == r"\z" or (text == "$" and not multiline):
+            text = r"\Z"
+        elif kind == "escape" and text[1] in "pPuUXGQEkZ":
+            raise Unsupported(f"escape {text}")
+        out.append(text)
+    return "".join(out).encode()
+
+
 def groups(pattern: str) -> list[tuple[int, int, int]]:
     """Capture groups: (place of the opening, place after the closing, how many groups it is inside of)."""
     found, stack = [], []

@@ -6,7 +6,9 @@ contexts is refused, and an incomplete scan neither makes a baseline nor resolve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("path", "start", "end", "rule_id")
@@ -56,3 +58,24 @@ def diff(findings: DataFrame, baseline: DataFrame, *, complete: bool = True, con
     """(new findings, resolved entries)."""
     _same_context(baseline_context, context)
     return new(findings, baseline), resolved(findings, baseline, complete)
+
+
+VERSION = 2
+
+
+def write(entries: DataFrame, path: str, context: dict) -> None:
+    """Keep a baseline as a table. It is written whole or not at all: Spark commits the files of a job together."""
+    kept = F.lit(json.dumps(context, sort_keys=True))
+    entries.select(F.lit(VERSION).alias("schema_version"), kept.alias("context"), "fingerprint", "finding", "disposition").write.mode("overwrite").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
+    """A kept baseline and its context (null if it has no entries); damaged ones are refused, never taken as empty."""
+    table = spark.read.parquet(path)
+    wrong = table.where((F.col("schema_version") != VERSION) | F.col("fingerprint").isNull() | (F.col("fingerprint") == "") | ~F.col("fingerprint").eqNullSafe(F.col("finding.fingerprint")))
+    if wrong.limit(1).count():
+        raise ContextError("the baseline has another schema version or an inconsistent fingerprint")
+    contexts = [r[0] for r in table.select("context").distinct().limit(2).collect()]
+    if len(contexts) > 1:
+        raise ContextError("the baseline mixes scan contexts")
+    return table.select("fingerprint", "finding", "disposition"), json.loads(contexts[0]) if contexts else None

@@ -40,11 +40,49 @@ def path_gate(path: Column, rule: Rule) -> Column:
     return ok & ~any_of(skip)
 
 
-def matches(view: Column, pattern: str, group: int | None) -> Column:
+MATCH = "array<struct<mstart: bigint, match: string, lead: string, secret: string>>"
+
+
+def matches(view: Column, pattern: str, group: int | None, gate: Column | None = None) -> Column:
     """All matches of a pattern: array of (mstart, match, lead, secret), offsets and lengths in bytes.
 
     ``lead`` is what of the match stands before the secret. Group 0 is the whole match; null is the first non-empty capture, else the whole.
+    A pattern whose secret has no fixed place at the top level runs in Arrow batches of the rows that pass the gate.
     """
+    try:
+        return native_matches(view, pattern, group)
+    except regex.Unsupported:
+        return arrow_matches(pattern, group)(view if gate is None else F.when(gate, view))
+
+
+def arrow_matches(pattern: str, group: int | None):
+    """The same as a function of Arrow batches, for patterns with nested, optional or several captures."""
+    import re
+
+    import pandas as pd
+
+    wanted = regex.to_python(pattern)
+
+    def secret_of(m) -> tuple[int, int] | None:
+        if group is not None:
+            return m.span(group) if m.start(group) >= 0 else None
+        return next((m.span(g) for g in range(1, m.re.groups + 1) if m.start(g) >= 0 and m.span(g)[0] < m.span(g)[1]), m.span())
+
+    def one(view: str | None) -> list[dict] | None:
+        if view is None:
+            return None
+        data, out = view.encode("latin-1"), []
+        for m in re.compile(wanted).finditer(data):
+            if (span := secret_of(m)) is not None:
+                text = lambda a, b: data[a:b].decode("latin-1")
+                out.append({"mstart": m.start(), "match": text(*m.span()), "lead": text(m.start(), span[0]), "secret": text(*span)})
+        return out
+
+    return F.pandas_udf(lambda views: pd.Series([one(v) for v in views]), MATCH)
+
+
+def native_matches(view: Column, pattern: str, group: int | None) -> Column:
+    """Matches by Spark's own functions; raises Unsupported for what they cannot place."""
     found = regex.groups(pattern)
     if group is None and len(found) > 1:
         raise regex.Unsupported("a rule with several captures must name its secret's group")
@@ -123,10 +161,10 @@ def candidates(view: Column, low: Column, path: Column, rule: Rule, min_entropy:
             start.alias("start"), (start + F.length(m["secret"])).alias("end"), F.lit(int(rule.id.startswith("generic-"))).alias("generic"), F.lit(-rule.rank).alias("rank"), F.lit(rule.id).alias("rule_id"), m["secret"].alias("secret"),
         )
 
-    run = F.transform(F.filter(matches(view, rule.pattern, rule.secret_group), keep), shape)
     condition = path_gate(path, rule)
     if gate:
         condition = condition & keyword_gate(low, rule)
+    run = F.transform(F.filter(matches(view, rule.pattern, rule.secret_group, condition), keep), shape)
     return F.when(condition, run).otherwise(F.array().cast(CANDIDATE))
 
 

@@ -147,7 +147,9 @@ def check_entropy(value: float | None) -> None:
 
 def check(rules: list[Rule]) -> None:
     """Raise RuleError for the first rule that cannot work. Patterns are compiled as they will run, by Java."""
-    from sieveline.functions.regex import Unsupported, groups, translate
+    import re
+
+    from sieveline.functions.regex import Unsupported, groups, to_python, translate
 
     java = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern
 
@@ -157,15 +159,26 @@ def check(rules: list[Rule]) -> None:
         except (Unsupported, Exception):
             raise RuleError(f"invalid regex syntax in {what} of rule {rule.id}") from None
 
+    def checked(rule: Rule) -> bool:
+        """Whether the pattern matches nothing at all; it must compile for one of the two engines."""
+        try:
+            translate(rule.pattern)
+        except Unsupported:
+            try:
+                return bool(re.search(to_python(rule.pattern), b""))
+            except (Unsupported, re.error):
+                raise RuleError(f"invalid regex syntax in the pattern of rule {rule.id}") from None
+        return compiled(rule.pattern, "the pattern", rule).matcher("").find()
+
     for r in rules:
         if not r.id:
             raise RuleError("a rule's id must not be empty")
         if not (math.isfinite(r.min_entropy) and 0 <= r.min_entropy <= 8):
             raise RuleError(f"invalid entropy threshold for rule {r.id}")
-        pattern = compiled(r.pattern, "the pattern", r)
+        matches_empty = checked(r)
         if r.secret_group is not None and not 0 <= r.secret_group <= len(groups(r.pattern)):
             raise RuleError(f"capture group missing for rule {r.id}")
-        if pattern.matcher("").find():
+        if matches_empty:
             raise RuleError(f"rule {r.id} matches empty input")
         if not all(r.keywords):
             raise RuleError(f"empty keyword for rule {r.id}")

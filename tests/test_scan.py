@@ -201,3 +201,53 @@ def test_preview_passes_over_what_does_not_fit(spark):
 def test_throttle(spark):
     times = spark.createDataFrame([([0, 0, 1, 99, 100, 101, 199, 200, 450, 451],)], "t array<long>")
     assert times.select(report.throttle(F.col("t")).alias("k")).first().k == [0, 100, 200, 450]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "group", "text", "secret"),
+    [
+        (r"id=(?:k_([a-z]{4})|t_([a-z]{4}))", None, "id=t_wxyz", "wxyz"),
+        (r"id=((?:a|b)([0-9]{4}))", 2, "id=b1234", "1234"),
+        (r"key(?:=([a-z]+))?!", 1, "key! key=abcd!", "abcd"),
+        (r"é=([a-z]{4})", 1, "é=abcd", "abcd"),
+        (r"(x)(y{3})$", 2, "xyyy\nxyyy", "yyy"),
+    ],
+)
+def test_captures_of_any_shape(spark, pattern, group, text, secret):
+    rows = found(spark, [("a", text)], only(R.Rule("r", "R", pattern, group)), secrets=True)
+    data = text.encode()
+    assert [r.secret for r in rows] == [secret]
+    assert data[rows[0].start : rows[0].end].decode() == secret and rows[0].start == data.rindex(secret.encode())
+
+
+def test_kept_baselines(spark, tmp_path):
+    from sieveline.plans import context as C
+
+    inputs = spark.createDataFrame([("f", "f", VALUE.encode())], "path string, identity string, content binary")
+    rows, own = scan.findings(inputs, only(SIMPLE)), C.context("scan", ["b", "a"], only(SIMPLE))
+    baseline.write(baseline.from_findings(rows, context=own), str(tmp_path / "kept"), own)
+    back, context = baseline.read(spark, str(tmp_path / "kept"))
+    assert context == own and baseline.diff(rows, back, context=own, baseline_context=context)[0].count() == 0
+    assert C.configuration_id(only(SIMPLE)) != C.configuration_id(only(SIMPLE, min_entropy=1.0))
+    spoiled = back.withColumn("fingerprint", F.lit("other"))
+    baseline.write(spoiled, str(tmp_path / "spoiled"), own)
+    with pytest.raises(baseline.ContextError):
+        baseline.read(spark, str(tmp_path / "spoiled"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from sieveline.__main__ import main
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.txt").write_text('password = "hunter2abc"\n')
+    kept = str(tmp_path / "kept")
+    assert main(["--write-baseline", kept, "scan", str(tmp_path / "tree")]) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["type"] for x in lines] == ["finding", "summary"] and "hunter2" not in json.dumps(lines)
+    assert main(["--baseline", kept, "scan", str(tmp_path / "tree")]) == 0
+    assert main(["scan", str(tmp_path / "none")]) == 2
+    capsys.readouterr()
+    assert main(["rules"]) == 0
+    assert len(json.loads(capsys.readouterr().out)) == 4
