@@ -89,6 +89,11 @@ def regex_findings(spark, sf):
     return _scan(_docs(spark, sf), TOKENS_ONLY).select("doc_id", "rule_id", "path", "start", "end", "line", "column", "fingerprint")
 
 
+def flagship(spark, sf):
+    """The whole findings relation: authored rules and the token rule over documents with seeded lines."""
+    return _scan(_seeded(spark, sf), scan.Config((TOKEN,)))
+
+
 def line_column(spark, sf):
     return _scan(_docs(spark, sf), TOKENS_ONLY).select("doc_id", "start", "line", "column")
 
