@@ -204,3 +204,28 @@ def keep(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFram
     """docs without contaminated documents; rows with one doc_id go together, rows without one stay."""
     gone = scan(spark, docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark),
+cut AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS p, least(10, len(w)) AS n FROM cut),
+sizes AS (SELECT DISTINCT n FROM phrases),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (
+  SELECT r, i, q.n, item
+  FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM places) q JOIN phrases ON q.p = phrases.p AND q.n = phrases.n),
+spread AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS at FROM hits),
+covered AS (SELECT r, count(*) AS n_hit FROM spread GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
