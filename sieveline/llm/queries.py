@@ -66,4 +66,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records, pipeline)}
-ORACLES: dict[str, str] = {"op1_debruijn": substrings.SQL, "op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op9_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op1_debruijn": substrings.SQL, "op2_suffix_array": suffixes.SQL, "op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op9_chat": chat.SQL}

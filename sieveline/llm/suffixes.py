@@ -234,3 +234,20 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int =
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove(spark, docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT r, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100),
+strings AS (SELECT r, i, md5(array_slice(b, i, i + 99)) AS s FROM places),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS n FROM strings) WHERE n > 1),
+steps AS (SELECT r, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM later WINDOW w AS (PARTITION BY r ORDER BY i)),
+sums AS (SELECT r, sum(least(100, coalesce(after - i, 100))) AS n_removed, count(*) FILTER (WHERE after IS NULL OR after > i + 100) AS n_spans FROM steps GROUP BY r),
+gaps AS (
+  SELECT r, coalesce(before + 100, 1) AS a, i - 1 AS z FROM steps WHERE before IS NULL OR before + 100 < i
+  UNION ALL SELECT r, i + 100, NULL FROM steps WHERE after IS NULL),
+parts AS (SELECT r, string_agg(hex(array_slice(b, a, coalesce(z, octet_length(b)))), '' ORDER BY a) AS kept FROM gaps JOIN d USING (r) WHERE a <= coalesce(z, octet_length(b)) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN parts USING (r)
+"""
