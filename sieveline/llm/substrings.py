@@ -154,14 +154,14 @@ def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCH
     return by_source.unionByName(full.select("row", "start", F.col("end").cast("int").alias("end"), "mask")).unionByName(partial), compacted
 
 
-def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """docs with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``; all columns stay."""
+def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
+    """docs with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``; all other columns stay, the text if asked for."""
     scratch = Scratch(spark, "substrings")
     own = [c for c in docs.columns]
     rows = repeats.keyed(docs, scratch)
     found, _ = marks(rows.select("row", "text"), scratch, length, k)
     per_row = scratch.table(repeats.marks_by_row(found), "marks")
-    held = F.struct(*(F.col(f"`{c}`") for c in own)).alias("held")
+    held = F.struct(F.col("row").alias("_row"), *(F.col(f"`{c}`") for c in own if c != "text")).alias("held")
     joined = rows.select(held, "row", F.col("text").cast("string").alias("text")).join(per_row, "row", "left").select("held", "text", "marks")
 
     def run(batches):
@@ -173,17 +173,20 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int =
                 edges_ = np.append(0, np.cumsum(sizes))
                 removed = np.diff(np.append(0, np.cumsum(gone))[edges_])
                 kept = [b" ".join(x if not r else compress(x, (~gone[i:j]).tolist())).decode() for x, r, i, j in zip(texts, removed.tolist(), edges_[:-1].tolist(), edges_[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(sizes), pa.array(removed.astype(np.int64))], names=["held", "kept_text", "n_words", "n_removed"])
+                before = [b.column(1)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([b.column(0), *before, pa.array(kept, pa.string()), pa.array(sizes), pa.array(removed.astype(np.int64))], names=schema.names)
 
-    schema = T.StructType([joined.schema["held"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    added = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    schema = T.StructType([joined.schema["held"], *([T.StructField("text", T.StringType())] if keep_text else []), *added])
     out = joined.mapInArrow(run, schema)
-    added = {"kept_text", "n_words", "n_removed"}
-    return out.select(*(F.col(f"held.`{c}`") for c in own if c not in added), *sorted(added))
+    names = [f.name for f in added]
+    kept = [F.col("text") if c == "text" else F.col(f"held.`{c}`") for c in own if c not in names and (keep_text or c != "text")]
+    return out.select(*kept, *names)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return remove(spark, docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return remove(spark, docs.select("doc_id", "text"), keep_text=False).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL = r"""
