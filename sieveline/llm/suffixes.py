@@ -201,13 +201,13 @@ def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCH
     return mixed.unionByName(copies)
 
 
-def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """docs with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``; all columns stay."""
+def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
+    """docs with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``; all other columns stay, the text if asked for."""
     scratch = Scratch(spark, "suffixes")
     own = [c for c in docs.columns]
     rows = repeats.keyed(docs, scratch)
     per_row = scratch.table(repeats.marks_by_row(marks(rows.select("row", "text"), scratch, length, k)), "marks")
-    held = F.struct(*(F.col(f"`{c}`") for c in own)).alias("held")
+    held = F.struct(F.col("row").alias("_row"), *(F.col(f"`{c}`") for c in own if c != "text")).alias("held")
     joined = rows.select(held, "row", F.col("text").cast("string").alias("text")).join(per_row, "row", "left").select("held", "text", "marks")
 
     def run(batches):
@@ -223,17 +223,19 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int =
                 removed = np.diff(np.append(0, np.cumsum(gone))[offsets])
                 spans = np.diff(np.append(0, np.cumsum(opens))[offsets])
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(data[~gone].tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0), kept.cast(pa.binary()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64))], names=["held", "kept", "n_bytes", "n_removed", "n_spans"])
+                before = [b.column(1)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([b.column(0), *before, kept.cast(pa.binary()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64))], names=schema.names)
 
     added = ["kept", "n_bytes", "n_removed", "n_spans"]
-    schema = T.StructType([joined.schema["held"], T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
+    schema = T.StructType([joined.schema["held"], *([T.StructField("text", T.StringType())] if keep_text else []), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
     out = joined.mapInArrow(run, schema)
-    return out.select(*(F.col(f"held.`{c}`") for c in own if c not in added), *added)
+    kept = [F.col("text") if c == "text" else F.col(f"held.`{c}`") for c in own if c not in added and (keep_text or c != "text")]
+    return out.select(*kept, *added)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove(spark, docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove(spark, docs.select("doc_id", "text"), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""
