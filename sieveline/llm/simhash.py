@@ -38,19 +38,26 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
-    """SimHash of the shingles of ``width`` words of a UTF-8 text, repeats included; fewer words are one shingle."""
+def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words of a UTF-8 text in their order; fewer words are one shingle, no words none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     stops = (ends[width - 1 :] - 1).tolist()
     starts = [0, *ends[:-width].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    """SimHash of the shingles of ``width`` words of a UTF-8 text, repeats included; fewer words are one shingle."""
+    hashes = shingles(text, width, seed)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     n, out = len(hashes), 0
     at = np.arange(0, n, 255)
     for bit in range(8):
