@@ -35,7 +35,7 @@ def main(args: list[str] | None = None) -> int:
     from sieveline.operators import baseline, report, scan
     from sieveline.plans import context as C
     from sieveline.plans import rules as R
-    from sieveline.sources import archives, files, git
+    from sieveline.sources import archives, encodings, files, git
 
     spark = SparkSession.builder.appName("sieveline").getOrCreate()
     config = scan.Config(tuple(r for p in given.rules for r in R.load(p)), not given.no_builtin, given.min_confidence, given.min_entropy, not given.no_base64, max_bytes=given.max_bytes)
@@ -46,9 +46,10 @@ def main(args: list[str] | None = None) -> int:
         inputs, errors = files.read(spark, given.paths, not given.no_ignore, given.max_bytes)
         rows = archives.expand(inputs, given.max_bytes)
         errors = errors.unionByName(rows.where("error is not null").select("path", rows["error"].alias("message")))
-        members = rows.where("error is null")
-        found = scan.findings(members.where("not is_member").select("path", "identity", "content"), config).unionByName(
-            scan.findings(members.where("is_member").select("path", "identity", "content"), config, space="archive_member_bytes")
+        members, malformed = encodings.decode_utf16(rows.where("error is null"))
+        errors = errors.unionByName(malformed)
+        found = scan.findings(members.where("not is_member").select("path", "identity", "content", "utf16"), config).unionByName(
+            scan.findings(members.where("is_member").select("path", "identity", "content", "utf16"), config, space="archive_member_bytes")
         )
     elif given.command == "history":
         found, errors = git.history(spark, given.repo, given.range, config, given.max_bytes)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as fn
 from sieveline.operators import detect
 from sieveline.plans import rules as R
+from sieveline.sources import encodings
 
 BASE64_RUN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
 FINDING = (
@@ -71,29 +72,41 @@ def views(inputs: DataFrame, base64: bool = True) -> DataFrame:
 
 
 def findings(inputs: DataFrame, config: Config | None = None, space: str = "source_bytes", secrets: bool = False) -> DataFrame:
-    """Findings in inputs (path, identity, content): one row each, without the secret unless ``secrets`` is asked for by a test."""
+    """Findings in inputs (path, identity, content): one row each, without the secret unless ``secrets`` is asked for by a test.
+
+    Where a column ``utf16`` (see encodings.decode_utf16) is true, the content is decoded text and places are those in its UTF-16 source.
+    """
     config = config or Config()
     rules = config.compiled()
     names = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.name)))
     levels = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.confidence)))
-    extra = [c for c in inputs.columns if c not in ("content",)]
+    extra = [c for c in inputs.columns if c not in ("content", "utf16")]
+    marked = ["utf16"] if "utf16" in inputs.columns else []
+    decoded = F.col("utf16") if marked else F.lit(False)
     seen = views(inputs, config.base64)
     found = detect.merge(detect.all_candidates(F.col("view"), F.lower("view"), F.col("path"), rules, config.min_entropy), len(rules))
-    rows = seen.select(*extra, "raw", "base64", "box_start", "box_end", F.explode(found).alias("f"))
+    rows = seen.select(*extra, *marked, "raw", "base64", "box_start", "box_end", F.explode(found).alias("f"))
     start = F.when(F.col("base64"), F.col("box_start")).otherwise(F.col("f.start"))
+    end = F.when(F.col("base64"), F.col("box_end")).otherwise(F.col("f.end"))
     prefix = F.substring(F.col("raw"), F.lit(1), start.cast("int"))
+    column = fn.column_of(prefix)
+    source_start, source_end = start, end
+    if marked:
+        source_start = F.when(decoded, encodings.source_start(F.col("raw"), start)).otherwise(start)
+        source_end = F.when(decoded, encodings.source_end(F.col("raw"), end)).otherwise(end)
+        column = F.when(decoded, encodings.source_column(F.col("raw"), start)).otherwise(column)
     out = rows.select(
         *(c for c in extra if c not in ("path", "identity")),
         F.col("f.rule_id").alias("rule_id"),
         F.col("f.matched").alias("matched_rule_ids"),
         "path",
-        start.alias("start"),
-        F.when(F.col("base64"), F.col("box_end")).otherwise(F.col("f.end")).alias("end"),
+        source_start.alias("start"),
+        source_end.alias("end"),
         fn.line_of(prefix).alias("line"),
-        fn.column_of(prefix).alias("column"),
+        column.alias("column"),
         F.lit(fn.REDACTED).alias("redacted"),
         fn.fingerprint(F.col("f.rule_id"), F.col("identity"), F.hex(F.encode(F.col("f.secret"), "ISO-8859-1")), config.fingerprint_key).alias("fingerprint"),
-        fn.explanation(names[F.col("f.rule_id")], levels[F.col("f.rule_id")], F.col("base64"), F.lit(False)).alias("explanation"),
+        fn.explanation(names[F.col("f.rule_id")], levels[F.col("f.rule_id")], F.col("base64"), decoded).alias("explanation"),
         levels[F.col("f.rule_id")].alias("confidence"),
         F.col("base64").alias("is_base64_encoded"),
         F.lit(space).alias("coordinate_space"),

@@ -372,7 +372,7 @@ def utf16_findings(spark, sf):
     from sieveline.sources import encodings
 
     good, errors = encodings.decode_utf16(_utf16(spark, sf))
-    found = scan.findings(good.drop("utf16"), TOKENS_ONLY, secrets=True).select("doc_id", F.sha2("secret", 256).alias("secret_sha256"))
+    found = scan.findings(good, TOKENS_ONLY, secrets=True).select("doc_id", F.sha2("secret", 256).alias("secret_sha256"))
     return found.unionByName(errors.select(F.col("path").cast("long").alias("doc_id"), F.col("message").alias("secret_sha256")))
 
 

@@ -43,3 +43,32 @@ def source_offset(prefix: Column) -> Column:
     """The source byte offset after a decoded prefix: the mark, and two bytes for each UTF-16 unit."""
     units = F.length(prefix) + F.length(F.regexp_replace(prefix, r"[^\x{10000}-\x{10FFFF}]", ""))
     return (2 + 2 * units).cast("long")
+
+
+def _text(view: Column) -> Column:
+    """The text of a Latin-1 view of whole UTF-8 characters."""
+    return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
+
+
+def _before(view: Column, start: Column) -> Column:
+    """The text of the whole characters before a place of a decoded view; a place inside a character is that character's."""
+    prefix = F.substring(view, F.lit(1), start.cast("int"))
+    inside = F.substring(view, start.cast("int") + 1, F.lit(1)).rlike(r"[\x80-\xBF]")
+    return _text(F.when(inside, F.regexp_replace(prefix, r"[\xC0-\xFF][\x80-\xBF]*\z", "")).otherwise(prefix))
+
+
+def source_start(view: Column, start: Column) -> Column:
+    """The source byte offset of a start in the Latin-1 view of decoded content."""
+    return source_offset(_before(view, start))
+
+
+def source_end(view: Column, end: Column) -> Column:
+    """The source byte offset of an end in the Latin-1 view of decoded content; an end inside a character is behind it."""
+    more = F.length(F.regexp_extract(F.substring(view, end.cast("int") + 1, F.lit(3)), r"\A[\x80-\xBF]*", 0))
+    return source_offset(_text(F.substring(view, F.lit(1), end.cast("int") + more)))
+
+
+def source_column(view: Column, start: Column) -> Column:
+    """0-based byte column of a start in the source; on the first line the mark counts, on others the line's units only."""
+    before = _before(view, start)
+    return F.when(F.instr(before, "\n") > 0, source_offset(F.substring_index(before, "\n", -1)) - 2).otherwise(source_offset(before))

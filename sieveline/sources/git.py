@@ -73,6 +73,15 @@ def size_errors(contents: DataFrame, max_bytes: int) -> DataFrame:
     return contents.where(F.octet_length("content") > max_bytes).select(F.concat(F.lit("git-object:"), "oid").alias("path"), F.lit(f"blob exceeds {max_bytes} byte limit").alias("message"))
 
 
+def decoded(contents: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(contents within the limit, UTF-16 ones decoded and flagged; errors of all others)."""
+    from sieveline.sources import encodings
+
+    small = contents.where(F.octet_length("content") <= max_bytes).withColumn("path", F.concat(F.lit("git-object:"), "oid"))
+    good, malformed = encodings.decode_utf16(small)
+    return good.drop("path"), size_errors(contents, max_bytes).unionByName(malformed)
+
+
 def occurrences(found: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
     """Findings per (oid, path) placed in every commit that holds them: path becomes git:<commit>:<path>, fingerprints stay."""
     held = found.join(entries.withColumnRenamed("path", "repo_path"), (found["oid"] == entries["oid"]) & (found["path"] == F.col("repo_path"))).drop(entries["oid"]).drop("repo_path")
@@ -87,9 +96,9 @@ def history(spark: SparkSession, repo: str, revisions: str | None = None, config
     log = commits(spark, repo, revisions)
     trees = [r[0] for r in log.select("tree").distinct().collect()]
     entries = tree_entries(spark, repo, trees)
-    contents = blobs(entries, repo)
-    inputs = contents.where(F.octet_length("content") <= max_bytes).join(entries.select("oid", "path").distinct(), "oid").withColumn("identity", F.col("path"))
-    return occurrences(scan.findings(inputs, config), entries, log), size_errors(contents, max_bytes)
+    contents, errors = decoded(blobs(entries, repo), max_bytes)
+    inputs = contents.join(entries.select("oid", "path").distinct(), "oid").withColumn("identity", F.col("path"))
+    return occurrences(scan.findings(inputs, config), entries, log), errors
 
 
 def staged(spark: SparkSession, repo: str, config=None, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
@@ -97,6 +106,6 @@ def staged(spark: SparkSession, repo: str, config=None, max_bytes: int = 64 << 2
     from sieveline.operators import scan
 
     entries = staged_entries(spark, repo)
-    contents = blobs(entries, repo)
-    inputs = contents.where(F.octet_length("content") <= max_bytes).join(entries, "oid").withColumn("identity", F.col("path"))
-    return scan.findings(inputs, config).drop("oid"), size_errors(contents, max_bytes)
+    contents, errors = decoded(blobs(entries, repo), max_bytes)
+    inputs = contents.join(entries, "oid").withColumn("identity", F.col("path"))
+    return scan.findings(inputs, config).drop("oid"), errors

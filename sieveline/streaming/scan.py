@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.operators import scan
+from sieveline.sources import encodings
 
 
 def requests(lines: DataFrame, max_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
@@ -23,11 +24,28 @@ def requests(lines: DataFrame, max_bytes: int = 8 << 20) -> tuple[DataFrame, Dat
 
 
 def stream_findings(source: DataFrame, config: scan.Config | None = None) -> DataFrame:
-    """Findings of a streaming table of inputs (path, identity, content); stateless, append mode."""
-    return scan.findings(source, config)
+    """Findings of a streaming table of inputs (path, identity, content); stateless, append mode. Malformed UTF-16 is left to stream_errors."""
+    return scan.findings(encodings.decode_utf16(source)[0], config)
 
 
-def start(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, config: scan.Config | None = None, **trigger) -> StreamingQuery:
-    """Run a stream into ``sink(findings, batch_id)``. An exception of the sink stops the query and is raised by awaitTermination."""
+def stream_errors(source: DataFrame) -> DataFrame:
+    """Errors (path, message) of a streaming table of inputs: malformed UTF-16."""
+    return encodings.decode_utf16(source)[1]
+
+
+def start(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, config: scan.Config | None = None, errors: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Run a stream into ``sink(findings, batch_id)``, and error rows into ``errors``. An exception of a sink stops the query and is raised by awaitTermination.
+
+    Without ``errors`` an input that cannot be scanned stops the query before its batch's findings are handed on.
+    """
     options = trigger or {"availableNow": True}
-    return stream_findings(source, config).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**options).start()
+
+    def batch(inputs: DataFrame, number: int) -> None:
+        wrong = stream_errors(inputs)
+        if errors is not None:
+            errors(wrong, number)
+        elif (first := wrong.limit(1).collect()):
+            raise ValueError(f"{first[0].message}: {first[0].path}")
+        sink(stream_findings(inputs, config), number)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**options).start()
