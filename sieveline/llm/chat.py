@@ -7,7 +7,9 @@ where nothing of the turn is). Segments in the order of ``turn_no`` make up the
 in one task, however long.
 
 System turns are nobody's: they are rendered as such and belong to no participant. Turns are ordered by turn, role and text, repeated
-rows are separate turns; a null turn comes first. A null role is the speaker ``unknown``, a null text is empty, and a null
+rows are separate turns; a null turn comes first. Participants are told apart by the role as it is given. Their rendered labels have ``_`` for characters
+that could break the format; where several roles of a conversation would share a label, those that differ from it get ``~`` and their UTF-8 bytes
+in hex behind it, so that a label is one participant's only. A null role is the speaker ``unknown``, a null text is empty, and a null
 conv_id is a conversation of its own. Marks in a text that look like the format's own are broken up. Conversations without participants
 (system turns only) give no rows.
 """
@@ -26,10 +28,22 @@ def speaker(role: Column) -> Column:
     return F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[^A-Za-z0-9_.-]", "_")
 
 
+def _labelled(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """base (conv_id, role, speaker, ...) with a speaker of its own for each role of a conversation, without role."""
+    shared = base.groupBy("conv_id", "speaker").agg(F.min("role").alias("low"), F.max("role").alias("high")).where("low < high")
+    # Written out, so that its size is known: mostly there is none, and the join needs no shuffle then.
+    shared = scratch.table(shared.select(F.col("conv_id").alias("c"), F.col("speaker").alias("s"), F.lit(True).alias("shared")), "shared")
+    both = base.join(shared, base["conv_id"].eqNullSafe(shared["c"]) & (base["speaker"] == shared["s"]), "left")
+    own = F.concat("speaker", F.lit("~"), F.hex(F.encode("role", "UTF-8")))
+    return both.withColumn("speaker", F.when(F.col("shared") & (F.col("role") != F.col("speaker")), own).otherwise(F.col("speaker"))).drop("role", "c", "s", "shared")
+
+
 def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
     """turns: conv_id, turn, role, text. See the module for the result."""
     parts = parts or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = turns.select("conv_id", "turn", speaker(F.col("role")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
+    scratch = Scratch(turns.sparkSession, "chat")
+    base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), speaker(F.col("role")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
+    base = _labelled(base, scratch)
     people = base.where("speaker <> 'system'").select(F.col("conv_id").alias("conv"), F.col("speaker").alias("participant")).distinct()
     rows = base.join(people, base["conv_id"].eqNullSafe(people["conv"])).drop("conv")
     own = F.col("speaker") == F.col("participant")
@@ -41,7 +55,7 @@ def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
     ranged = rows.repartitionByRange(parts, "conv_id", "participant", *order).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part", "conv_id", "participant").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Written out, since the ranges are drawn anew each time the plan runs.
-    local = Scratch(turns.sparkSession, "chat").table(ranged.withColumn("until", F.sum("size").over(inside)).withColumn("no", F.count("*").over(inside)), "ranges")
+    local = scratch.table(ranged.withColumn("until", F.sum("size").over(inside)).withColumn("no", F.count("*").over(inside)), "ranges")
     sums = local.groupBy("conv_id", "participant", "part").agg(F.max("until").alias("total"), F.max("no").alias("count"))
     before = Window.partitionBy("conv_id", "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # Only dialogues that cross a range's edge have anything before a range: fewer rows than ranges.
