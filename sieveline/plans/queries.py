@@ -177,7 +177,7 @@ def primary_rule_rank(spark, sf):
 
 
 def _coded(spark, sf):
-    return _docs(spark, sf).withColumn("text", F.concat(F.substring("text", 1, 200), F.lit("\n"), F.base64(F.encode(F.concat(F.lit('password = "inside-'), F.col("doc_id").cast("string"), F.lit('"')), "UTF-8")), F.lit(" .")))
+    return _docs(spark, sf).withColumn("text", F.concat("text", F.lit("\n"), F.base64(F.encode(F.concat(F.lit('password = "inside-'), F.col("doc_id").cast("string"), F.lit('"')), "UTF-8")), F.lit(" .")))
 
 
 _CODED = "SELECT doc_id, source, substr(text, 1, 200) || chr(10) || to_base64(encode('password = \"inside-' || doc_id || '\"')) || ' .' AS text FROM documents"
