@@ -3,9 +3,11 @@
 Encoding merges the symbols of one pre-token with a priority queue of merge ranks over a doubly linked list;
 entries whose symbols have changed since they were queued are stale and skipped. Decoding concatenates
 vocabulary strings. A document's pre-tokens are independent of each other, so each Python worker keeps a bounded
-cache of the pre-tokens it has met; the cache only saves time, never changes a result.
+cache of the pre-tokens it has met in a task; the cache only saves time, never changes a result.
 
-Null texts count as empty (no ids, empty decoded text); repeated rows are each encoded; extra columns are kept.
+Null texts count as empty (no ids, empty decoded text); repeated rows are each encoded; an empty table gives an empty one.
+Texts go through in runs of up to ``RUN_CHARS`` characters, and a longer text by itself, so memory follows the longest
+text. Extra columns are kept; a column that has the name of one to be added is refused with ValueError.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +30,16 @@ from pyspark.sql import types as T
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed by the public tokenizer format).
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Stands where a text is cut; texts that hold it are not cut.
+_MARK = "\0"
 #: A space between two other white-space characters: there, cutting at spaces is not enough.
 _ODD = re.compile(r"\s \s").search
+#: A line's end beside other white space: there, cutting at lines is not enough.
+_RAGGED = re.compile(r"\n(?:(?<=\s\n)|(?=\s))").search
 #: Pre-tokens a worker remembers, and the longest one worth remembering (characters).
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
+#: Rows and characters of texts that are worked on at a time, about.
+RUN_ROWS, RUN_CHARS = 4000, 1 << 23
 
 
 def byte_letters() -> dict[int, str]:
@@ -79,22 +89,70 @@ def cuttable(text: str) -> bool:
     return not (not text or "  " in text or text[-1] == " " or _ODD(text))
 
 
-class _Pieces(dict):
-    """Ids of pieces of text as little-endian int32 bytes, by piece; ``lead`` stands before every piece."""
+def cut(text: str) -> str | None:
+    """The text with marks where its pre-tokens part for certain: before spaces, and at both sides of a line's end. None if marks won't do."""
+    if _MARK in text or not cuttable(text):
+        return None
+    marked = text.replace(" ", f"{_MARK} ")
+    return marked if "\n" not in text or _RAGGED(text) else marked.replace("\n", f"{_MARK}\n{_MARK}")
 
-    def __init__(self, bpe: Bpe, lead: str):
-        self.bpe, self.lead = bpe, lead
+
+def encode_texts(texts: list[str], special: Iterable[str], by_piece: Callable[[list[str]], list[bytes]], by_text: Callable[[list[str]], list[bytes]]) -> pa.ListArray:
+    """Ids of texts. Texts are cut, and each distinct piece of a call is asked for once; what can't be cut is asked for whole.
+
+    Texts with special tokens in them are not cut. Both functions give ids as little-endian int32 bytes.
+    """
+    marked = [None if any(s in x for s in special) else cut(x) for x in texts]
+    pieces = pc.split_pattern(pa.array([x for x in marked if x is not None], pa.large_string()), _MARK)
+    coded = pieces.flatten().dictionary_encode()
+    known = _list_column(by_piece(coded.dictionary.to_pylist()))
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = known.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(sizes[at], dtype=np.int64))[pieces.offsets.to_numpy()]
+    found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), known.take(coded.indices).flatten())
+    if len(found) == len(texts):
+        return found
+    whole = [i for i, x in enumerate(marked) if x is None]
+    order = np.empty(len(texts), np.int64)
+    order[[i for i, x in enumerate(marked) if x is not None]] = np.arange(len(found))
+    order[whole] = np.arange(len(found), len(texts))
+    return pa.concat_arrays([found, _list_column(by_text([texts[i] for i in whole]))]).take(pa.array(order))
+
+
+class Remembered(dict):
+    """Values by key, of which the last CACHE_WORDS looked up at least are remembered, and twice as many at most."""
+
+    def __init__(self):
+        self.older: dict = {}
+
+    def trim(self) -> None:
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
+
+class _Pieces(Remembered):
+    """Ids of pieces of text as little-endian int32 bytes, by piece."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        bpe, words = self.bpe, self.bpe.find(self.lead + piece)
-        if len(words) == 1:
-            byte_id = bpe.byte_id
-            ids = np.array(merge([byte_id[b] for b in words[0].encode()], bpe.ranks, bpe.made), np.int32).tobytes()
-        else:
-            ids = b"".join(bpe.spaced[w[1:]] if w[0] == " " and len(w) > 1 and w.strip() else bpe.pieces[w] for w in words)
-        if len(piece) <= CACHE_CHARS and "\n" not in piece:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            bpe, words = self.bpe, self.bpe.find(piece)
+            if len(words) == 1:
+                byte_id = bpe.byte_id
+                ids = array("i", merge([byte_id[b] for b in piece.encode()], bpe.ranks, bpe.made)).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, words))
+        if len(piece) <= CACHE_CHARS:
+            self.trim()
             self[piece] = ids
         return ids
 
@@ -114,29 +172,46 @@ class Bpe:
         self.made = [vocab[a + b] for a, b in pairs]
         self.byte_id = [vocab[letters[b]] for b in range(256)]
         values = {c: b for b, c in letters.items()}
-        self.strings = {i: bytes(values[c] for c in s) for s, i in vocab.items()}
+        strings = {i: bytes(values[c] for c in s) for s, i in vocab.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings |= {i: s.encode() for s, i in special.items()}
+        strings |= {i: s.encode() for s, i in special.items()}
+        self.size = max(strings) + 1
+        self.strings = pa.array([strings.get(i) for i in range(self.size)], pa.large_binary())
         self.special = {s: np.int32(i).tobytes() for s, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(_PATTERN).findall
-        self.pieces, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
+        self.pieces = _Pieces(self)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian int32 bytes; special tokens' strings in it become their ids."""
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """Ids of texts; special tokens' strings in them become their ids."""
+        return encode_texts(texts, self.special, lambda pieces: [self.pieces[x] for x in pieces], lambda rest: [self._whole(x) for x in rest])
+
+    def _whole(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         return b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.cut.split(text))
 
     def _plain(self, text: str) -> bytes:
-        # A single space always belongs to the pre-token after it, so pieces cut before spaces can be looked up whole.
-        if not cuttable(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
-        first, *rest = text.split(" ")
-        return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def decode(self, ids: pa.ListArray) -> pa.LargeStringArray:
+        """The texts of lists of ids (null: empty): vocabulary strings put together, broken UTF-8 replaced."""
+        ids = ids.fill_null([]) if ids.null_count else ids
+        held = self.strings.take(ids.flatten())
+        if held.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        bounds = np.frombuffer(held.buffers()[1], np.int64) if len(held) else np.zeros(1, np.int64)
+        data = held.buffers()[2] or pa.py_buffer(b"")
+        ends = bounds[np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data])
+        try:
+            return out.cast(pa.large_string())  # checks the UTF-8 of each text
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.large_string())
+
+    def forget(self) -> None:
+        """Free the caches."""
+        self.pieces.forget()
 
 
 _loaded: dict[str, Bpe] = {}
@@ -156,47 +231,85 @@ def _list_column(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _rows(batch: pa.RecordBatch, step: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, step):
-        yield batch.slice(i, step)
+def runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of up to RUN_ROWS rows and about RUN_CHARS characters of a text column; a longer text is a run by itself."""
+    if not batch.num_rows:
+        return
+    until = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row = 0
+    while row < batch.num_rows:
+        before = until[row - 1] if row else 0
+        end = min(row + RUN_ROWS, max(row + 1, int(np.searchsorted(until, before + RUN_CHARS, "right"))))
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def _added(docs: DataFrame, names: tuple[str, ...], instead: tuple[str, ...] = ()) -> list[str]:
+    """The columns of docs that stay; none of them may have a name that is added."""
+    kept = [c for c in docs.columns if c not in instead]
+    if clash := sorted({c.lower() for c in kept} & {n.lower() for n in names}):
+        raise ValueError(f"the input has columns named {', '.join(clash)} already; rename them or choose other names")
+    return kept
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """A text column's values; null is empty."""
+    return [x or "" for x in column.to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of its texts in a column ``ids`` (array<int>), which takes the place of ``text``."""
-    kept = [c for c in docs.columns if c not in (text, ids)]
+    kept = _added(docs, (ids,), (text,))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
         bpe = tokenizer(path)
-        for whole in batches:
-            for b in _rows(whole, 2000):
-                column = _list_column([bpe.encode(x or "") for x in b.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], column], names=[*kept, ids])
+        for b in (part for whole in batches for part in runs(whole, len(kept))):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], bpe.encode(texts_of(b.column(len(kept))))], names=[*kept, ids])
+        bpe.forget()
+
+    return _plain_columns(docs, kept, text).mapInArrow(run, schema)
+
 
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
-    return plain.mapInArrow(run, schema)
+def _plain_columns(docs: DataFrame, kept: list[str], text: str) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column ``decoded``: the concatenated vocabulary strings of its ids (null ids: empty)."""
-    kept = [c for c in docs.columns if c != out]
+    kept = _added(docs, (out,))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.StringType(), False)])
     at = kept.index(ids)
 
     def run(batches):
         bpe = tokenizer(path)
         for whole in batches:
-            for b in _rows(whole, 2000):
-                column = pa.array([bpe.decode(x or ()) for x in b.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*kept, out])
+            for b in (whole.slice(i, RUN_ROWS) for i in range(0, whole.num_rows, RUN_ROWS)):
+                yield pa.RecordBatch.from_arrays([*b.columns, bpe.decode(b.column(at)).cast(pa.string())], names=[*kept, out])
 
     return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode and then decode, in one pass through one worker: docs with ``ids`` and ``decoded`` in place of ``text``."""
+    kept = _added(docs, (ids, out), (text,))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.StringType(), False)]
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for b in (part for whole in batches for part in runs(whole, len(kept))):
+            found = bpe.encode(texts_of(b.column(len(kept))))
+            columns = [*b.columns[: len(kept)], found, bpe.decode(found).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, out])
+        bpe.forget()
+
+    return _plain_columns(docs, kept, text).mapInArrow(run, schema)
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: token count and digests of its ids and of the text decoded from them."""
-    done = decode(encode(docs.select("doc_id", "text"), path), path)
-    return done.select(
+    return round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -13,7 +13,11 @@ row of four signed 64-bit numbers per record: doc_id, byte offset of the frame,
 this file. Readers that shuffle need only the index and then read single frames.
 
 Null texts are empty documents (only the end id). Equal doc_ids stay together, ordered by text; a null doc_id sorts
-first and is stored as the smallest 64-bit number.
+first and is stored as the smallest 64-bit number. Extra columns are ignored. An empty table gives no records. Texts are encoded in
+runs of bounded size, a very long text by itself, so memory follows the longest text.
+
+Each attempt of a task writes under a name of its own, and the manifest, which only finished attempts reach, names the
+files that count: a lost or repeated attempt leaves files behind that nothing reads.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, cuttable
+from .bpe import CACHE_CHARS, Remembered, encode_texts, runs, texts_of
 from .store import Scratch
 
 _NULL_ID = -(2**63)
-#: Documents encoded at a time.
-STEP = 1000
-
-
-class _Known(dict):
-    """Ids of pieces already met, by piece; a piece that is not known is noted and stands for itself until it is."""
-
-    def __init__(self, lead: str):
-        self.lead, self.wanted = lead, set()
-
-    def __missing__(self, piece: str) -> str:
-        self.wanted.add(piece)
-        return piece
-
 
 class LibraryEncoder:
     """Texts to ids by the tokenizers library.
 
-    The library is slow on whole texts of few distinct words, so texts are cut before single spaces, where its
-    pre-tokenizer always cuts too, and each distinct piece goes through it once; pieces already met are remembered up to
-    a bound. Texts where cutting at spaces is not enough, and those with special tokens in them, go through it whole.
+    The library is slow on whole texts of few distinct words, so texts are cut where its pre-tokenizer always cuts too,
+    and each distinct piece goes through it once; pieces already met are remembered up to a bound. Texts where such cuts
+    are not enough, and those with special tokens in them, go through it whole.
     """
 
     def __init__(self, path: str):
@@ -64,34 +55,28 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first, self.rest = _Known(""), _Known(" ")
+        self.known = Remembered()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.first, self.rest):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        out: list = [None] * len(texts)
-        whole, cut, look = [], [], self.rest.__getitem__
-        for i, x in enumerate(texts):
-            if not cuttable(x) or any(s in x for s in self.special):
-                whole.append(i)
-            else:
-                first, *rest = x.split(" ")
-                cut.append((i, self.first[first], list(map(look, rest))))
-        for known in (self.first, self.rest):
-            new = list(known.wanted)
-            known.wanted.clear()
-            known.update(zip(new, self._encode([known.lead + p for p in new]), strict=True))
-        for i, first, rest in cut:
-            head = self.first[first] if first.__class__ is str else first
-            out[i] = head + b"".join([look(p) if p.__class__ is str else p for p in rest])
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_piece(self, pieces: list[str]) -> list[bytes]:
+        known, older = self.known, self.known.older
+        found = [known.get(p) or older.get(p) for p in pieces]
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        made = iter(self._whole(new))
+        found = [next(made) if ids is None else ids for ids in found]
+        known.trim()
+        known.update((p, ids) for p, ids in zip(pieces, found, strict=True) if len(p) <= CACHE_CHARS)
+        return found
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        return encode_texts(texts, self.special, self._by_piece, self._whole)
+
+    def forget(self) -> None:
+        """Free the cache."""
+        self.known.forget()
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -127,11 +112,6 @@ def unframe(data: memoryview, at: int = 0) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
-def _publish(store: fs.FileSystem, temporary: str, final: str) -> None:
-    """A finished file gets its name in one step, so a lost or doubled attempt leaves no half-written file under it."""
-    store.move(temporary, final)
-
-
 def write(docs: DataFrame, path: str, folder: str, end_id: int, parts: int, wide: bool = False) -> DataFrame:
     """Write docs (doc_id, text) under the URI ``folder``. One row per file: part, name, n_docs, n_tokens."""
     kind = np.dtype("<u4") if wide else np.dtype("<u2")
@@ -140,24 +120,21 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, parts: int, wide
         encoder, part = library(path), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name, attempt = f"tokens-{part:06d}", uuid.uuid4().hex[:8]
-        rows, at, n = [], 0, 0
-        temporary = f"{base}/.{name}.{attempt}"
-        with store.open_output_stream(f"{temporary}.records") as out:
-            for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
-                texts = [x or "" for x in b.column(1).to_pylist()]
-                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids = np.frombuffer(ids, np.int32)
+        name = f"tokens-{part:06d}-{uuid.uuid4().hex[:8]}"
+        rows, at, n, last = [], 0, 0, np.array(end_id, kind).tobytes()
+        with store.open_output_stream(f"{base}/{name}.records") as out:
+            for b in (part for whole in batches for part in runs(whole, 1)):
+                found = encoder.encode(texts_of(b.column(1)))
+                flat, ends = found.flatten().to_numpy().astype(kind), np.append(0, np.cumsum(found.value_lengths().to_numpy()))
+                for doc_id, i, j in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     key = _NULL_ID if doc_id is None else doc_id
-                    payload = struct.pack("<qQ", key, len(ids) + 1) + np.append(ids, end_id).astype(kind).tobytes()
-                    data = frame(payload)
+                    data = frame(struct.pack("<qQ", key, j - i + 1) + flat[i:j].tobytes() + last)
                     out.write(data)
                     rows.append((key, at, len(data), n))
-                    at, n = at + len(data), n + len(ids) + 1
-        with store.open_output_stream(f"{temporary}.index") as out:
+                    at, n = at + len(data), n + j - i + 1
+        encoder.forget()
+        with store.open_output_stream(f"{base}/{name}.index") as out:
             out.write(np.array(rows, "<i8").tobytes())
-        for suffix in ("records", "index"):
-            _publish(store, f"{temporary}.{suffix}", f"{base}/{name}.{suffix}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([n], pa.int64())], names=["part", "name", "n_docs", "n_tokens"])
 
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

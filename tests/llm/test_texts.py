@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,9 +30,11 @@ TEXTS = ["Hello  world,\n\n it's 12345 <|endoftext|> don't\t x", "", None, " lea
 def test_encoding_equals_the_library(text):
     b = bpe.tokenizer(PATH)
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(b.encode(text), np.int32).tolist() == ids
-    assert np.frombuffer(records.library(PATH).encode([text])[0], np.int32).tolist() == ids
-    assert b.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+    for texts in ([text], ["a b", text, "c\nd e", text]):
+        found = b.encode(texts)
+        assert found.to_pylist()[texts.index(text)] == ids
+        assert records.library(PATH).encode(texts).equals(found)
+    assert b.decode(pa.array([ids], pa.list_(pa.int32()))).to_pylist() == [LIBRARY.decode(ids, skip_special_tokens=False)]
 
 
 def test_bpe_digest(docs):
