@@ -113,12 +113,12 @@ def mean_ratio(w: Column, table: Column, buckets: int = BUCKETS) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(2 * F.size(w) - 1, F.lit(1))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE, doc_id: str = "doc_id", text: str = "text") -> list[float]:
     """log p_trusted - log p_raw of each bucket; ``buckets`` numbers, whatever the size of the corpus."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     trusted = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("trusted", F.lit(1))
     # At most ``sample`` ids, so the broadcast is bounded.
-    flagged = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(trusted), "doc_id", "left")
+    flagged = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).join(F.broadcast(trusted), "doc_id", "left")
     grams = flagged.select("trusted", F.explode(F.flatten(buckets_of(F.col("w"), buckets))).alias("b")).where("b is not null")
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted")).collect()
     counts = {r["b"]: (r["raw"], r["trusted"]) for r in rows}
@@ -129,21 +129,29 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sampl
     return [math.log((t + 1) / all_trusted) - math.log((r + 1) / all_raw) for r, t in found]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, the statistics, base_failed, the mean log ratio ``llr`` and ``kept``."""
-    ratios = log_ratios(docs, labels, buckets, sample)
+def _verdict(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float, buckets: int, sample: int) -> DataFrame:
+    """docs with a struct ``v`` behind its columns: the statistics, base_failed, llr and kept."""
+    ratios = log_ratios(docs, labels, buckets, sample, doc_id, text)
     table = F.split(F.lit(",".join(f"{x:.9f}" for x in ratios)), ",").cast("array<double>")
-    verdict = _let(words(F.col("text")), lambda w: F.struct(*statistics(F.col("text"), w), mean_ratio(w, table, buckets).alias("llr")))
+    found = _let(words(F.col(text)), lambda w: F.struct(*statistics(F.col(text), w), mean_ratio(w, table, buckets).alias("llr")))
+
+    def decided(v: Column) -> Column:
+        failed = (v["n_words"] < LEAST_WORDS) | (100 * v["n_repeat_words"] > MOST_REPEATED_PERCENT * v["n_words"])
+        fields = [v[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")]
+        return F.struct(*fields, failed.alias("base_failed"), (~failed & (v["llr"] >= threshold)).alias("kept"))
+
     # Behind a generator a filter on the verdict stays where it is; pushed below it, the verdict would be worked out twice.
-    out = docs.select("doc_id", *(F.col(c) for c in keep or ()), F.explode(F.array(verdict)).alias("v")).select("doc_id", *(keep or ()), "v.*")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
-
-
-def keep(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    marked = [c for c in docs.columns if c != "doc_id"]
-    inner = docs.select("doc_id", *(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(marked)), F.col("text").alias("text"))
-    kept = judge(inner, labels, keep=[f"in_{i}" for i in range(len(marked))], **parameters).where("kept")
-    back = {c: F.col(f"in_{i}").alias(c) for i, c in enumerate(marked)}
-    return kept.select(*(back.get(c, F.col("doc_id")) for c in docs.columns))
+    return docs.select(*(F.col(c) for c in docs.columns), F.explode(F.array(_let(found, decided))).alias("v"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE) -> DataFrame:
+    """One row per document: doc_id, the statistics, base_failed, the mean log ratio ``llr`` and ``kept``."""
+    return _verdict(docs.select("doc_id", "text"), labels, "doc_id", "text", threshold, buckets, sample).select("doc_id", "v.*")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, sample: int = TRUSTED_SAMPLE) -> DataFrame:
+    """The documents that the rules keep, with all their columns, whatever their names."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    kept = _verdict(inner, labels, names["doc_id"], names["text"], threshold, buckets, sample).where("v.kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
