@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import staying
+
 #: White space as Unicode defines it; the tokenizer's pattern means exactly these characters by \s.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed by the public tokenizer format).
@@ -244,14 +246,6 @@ def runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         row = end
 
 
-def _added(docs: DataFrame, names: tuple[str, ...], instead: tuple[str, ...] = ()) -> list[str]:
-    """The columns of docs that stay; none of them may have a name that is added."""
-    kept = [c for c in docs.columns if c not in instead]
-    if clash := sorted({c.lower() for c in kept} & {n.lower() for n in names}):
-        raise ValueError(f"the input has columns named {', '.join(clash)} already; rename them or choose other names")
-    return kept
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """A text column's values; null is empty."""
     return [x or "" for x in column.to_pylist()]
@@ -259,7 +253,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of its texts in a column ``ids`` (array<int>), which takes the place of ``text``."""
-    kept = _added(docs, (ids,), (text,))
+    kept = staying(docs, (ids,), (text,))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
@@ -277,7 +271,7 @@ def _plain_columns(docs: DataFrame, kept: list[str], text: str) -> DataFrame:
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column ``decoded``: the concatenated vocabulary strings of its ids (null ids: empty)."""
-    kept = _added(docs, (out,))
+    kept = staying(docs, (out,))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.StringType(), False)])
     at = kept.index(ids)
 
@@ -292,7 +286,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encode and then decode, in one pass through one worker: docs with ``ids`` and ``decoded`` in place of ``text``."""
-    kept = _added(docs, (ids, out), (text,))
+    kept = staying(docs, (ids, out), (text,))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.StringType(), False)]
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 

@@ -76,10 +76,14 @@ def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 SQL = r"""
-WITH base AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS speaker,
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS label,
          replace(coalesce(text, ''), '<|', '< |') AS body
   FROM conversations),
+shared AS (SELECT conv_id, label, count(DISTINCT role) > 1 AS several FROM given GROUP BY ALL),
+base AS (
+  SELECT g.conv_id, turn, body, CASE WHEN several AND role <> g.label THEN g.label || '~' || hex(encode(role)) ELSE g.label END AS speaker
+  FROM given g JOIN shared s ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.label = s.label),
 people AS (SELECT DISTINCT conv_id, speaker AS participant FROM base WHERE speaker <> 'system'),
 turned AS (
   SELECT b.conv_id, participant, turn, speaker, speaker = participant AS own, body,

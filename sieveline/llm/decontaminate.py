@@ -7,10 +7,11 @@ benchmark item, or the whole of a shorter item that has words. The work goes as
 2. pick the rarest and second rarest term of every phrase;
 3. store the training postings (document row, position) of those terms, each with the codes of the words around it;
 4. join phrases with postings of their rarest term, intersect with those of the second at the right offset, and compare what is left
-   on all words.
+   on all words. Proximity matches, a phrase's words in any order in as many consecutive words, come from the same postings.
 
 Terms are compared by 64-bit codes. Null texts have no words. Every row of the documents gets a row of the result, repeated ones
-as well; extra columns are ignored. Without items nothing is hit.
+as well, in ``scan``; extra columns are ignored there and kept by ``keep``, which judges every row by itself, with or without a doc_id. Without
+items nothing is hit; without documents the result is empty. A very long text is read whole, alone in its step.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .seq import ALPHANUMERIC, LOWER, Tokens, slices
-from .store import Scratch
+from .store import Scratch, held
 
 PHRASE = 10
 #: Terms that are sent to all executors at a time, at most (8 bytes each). Beyond that terms are counted by joins, and phrases are searched in
@@ -127,65 +128,82 @@ def store_index(docs: DataFrame, terms: DataFrame, scratch: Scratch, around: int
     return scratch.table(docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "postings")
 
 
-def phrase_matches(index: DataFrame, plans: DataFrame, around: int = PHRASE - 1) -> DataFrame:
-    """Exact matches of phrases: (row, start, length, phrase).
+def matches(index: DataFrame, plans: DataFrame, around: int = PHRASE - 1) -> DataFrame:
+    """Places of phrases: (row, phrase, start, length, near). Exact matches have a start; near tells of a proximity match there.
 
     plans: (phrase, terms, first, first_at, second, second_at), the two rarest terms and where in the phrase they are. A
     phrase of one distinct word has no second.
     """
     postings = index.where(F.size("postings") > 0).select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.pos", "p.around")
-    lead = postings.join(plans, postings["term"] == plans["first"]).select(
-        "row", "phrase", "terms", "second", (F.col("pos") - F.col("first_at")).alias("start"), F.slice("around", around + 1 - F.col("first_at"), F.size("terms")).alias("found"), (F.col("pos") - F.col("first_at") + F.col("second_at")).alias("second_pos")
-    ).where("start >= 0")
-    other = postings.select("row", F.col("term").alias("second"), F.col("pos").alias("second_pos"))
-    two = lead.where("second is not null").join(other, ["row", "second", "second_pos"], "left_semi")
-    one = lead.where("second is null")
-    return two.select(one.columns).unionByName(one).where("found = terms").select("row", "start", F.size("terms").alias("length"), "phrase")
-
-
-def proximity_matches(index: DataFrame, queries: DataFrame, width: int) -> DataFrame:
-    """Places where all terms of a query lie within ``width`` words: (row, query, pos), pos that of the rarest term.
-
-    queries: (query, terms, first), first being its rarest term. The index must store all terms of the queries. Terms may come in
-    any order; a place counts if every distinct term is among the width - 1 words before or after the rarest one, all within
-    some ``width`` consecutive words.
-    """
-    postings = index.select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.pos")
-    lead = postings.join(queries, postings["term"] == queries["first"]).select("row", "query", "terms", F.col("pos").alias("at"))
-    close = lead.join(postings, "row").where("abs(pos - at) < %d" % width).where("array_contains(terms, term)")
-    starts = close.select("row", "query", "at", F.size(F.array_distinct("terms")).alias("n"), "term", F.explode(F.sequence(F.greatest(F.col("pos"), F.col("at")) - (width - 1), F.least("pos", "at"))).alias("start"))
-    full = starts.groupBy("row", "query", "at", "n", "start").agg(F.countDistinct("term").alias("got")).where("got = n")
-    return full.select("row", "query", F.col("at").alias("pos")).distinct()
+    lead = postings.join(plans, postings["term"] == plans["first"]).where(F.size(F.array_except("terms", "around")) == 0)
+    width, start = F.size("terms"), F.col("pos") - F.col("first_at")
+    lead = lead.select(
+        "row",
+        "phrase",
+        "terms",
+        "second",
+        start.alias("start"),
+        width.alias("length"),
+        F.slice("around", around + 1 - F.col("first_at"), width).alias("found"),
+        (start + F.col("second_at")).alias("second_pos"),
+        # the spans of as many words as the phrase has, round the rarest term: places 1 + around - i to ... of what is stored
+        F.exists(
+            F.sequence(F.lit(0), width - 1),
+            lambda i: F.array_sort(F.slice("around", around + 1 - i, width)) == F.array_sort("terms"),
+        ).alias("near"),
+    )
+    other = postings.select("row", F.col("term").alias("second"), F.col("pos").alias("second_pos"), F.lit(True).alias("met")).distinct()
+    two = lead.where("second is not null").join(other, ["row", "second", "second_pos"], "left")
+    both = two.select("row", "phrase", "start", "length", "near", (F.coalesce("met", F.lit(False)) & (F.col("found") == F.col("terms"))).alias("exact"))
+    one = lead.where("second is null").select("row", "phrase", "start", "length", "near", (F.col("found") == F.col("terms")).alias("exact"))
+    found = both.unionByName(one).where("near or exact")
+    return found.select("row", "phrase", F.when(F.col("exact") & (F.col("start") >= 0), F.col("start")).alias("start"), "length", "near")
 
 
-def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = PHRASE) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, items (sorted item ids that occur in it)."""
-    scratch = Scratch(spark, "decontaminate")
-    docs = repeats.keyed(docs.select("doc_id", "text"), scratch)
+def _scan(rows: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = PHRASE) -> DataFrame:
+    """For rows (row, text) with a row each: row, n_words, n_hit, items (sorted ids of those that occur), n_near."""
     items = scratch.table(phrases(benchmark, width), "phrases")
     distinct = scratch.table(items.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "distinct")
     vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
-    counts = scratch.table(count_terms(docs, vocabulary), "counts")
+    counts = scratch.table(count_terms(rows, vocabulary), "counts")
 
     placed = distinct.select("phrase", F.posexplode("terms").alias("at", "term")).groupBy("phrase", "term").agg(F.min("at").alias("at"))
     ranked = placed.join(counts, "term").groupBy("phrase").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "at"))), 1, 2).alias("rare"))
-    chosen = distinct.join(ranked, "phrase").select("phrase", "terms", F.col("rare")[0]["term"].alias("first"), F.col("rare")[0]["at"].alias("first_at"), F.get("rare", 1)["term"].alias("second"), F.get("rare", 1)["at"].alias("second_at"))
+    chosen = distinct.join(ranked, "phrase").select(
+        "phrase",
+        "terms",
+        F.col("rare")[0]["term"].alias("first"),
+        F.col("rare")[0]["at"].alias("first_at"),
+        F.get("rare", 1)["term"].alias("second"),
+        F.get("rare", 1)["at"].alias("second_at"),
+    )
     plans = scratch.table(chosen, "plans")
     parts = max(1, -(-4 * plans.count() // BROADCAST_TERMS))  # two terms a phrase at most, and room for uneven parts
-    matches, sizes = [], None
+    found, sizes = [], None
     for part in range(parts):
         own = plans.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part)
         terms = own.select(F.col("first").alias("term")).unionByName(own.where("second is not null").select(F.col("second").alias("term"))).distinct()
-        index = store_index(docs, terms, scratch, width - 1)
-        matches.append(scratch.table(phrase_matches(index, own, width - 1), "matches"))
+        index = store_index(rows, terms, scratch, width - 1)
+        found.append(scratch.table(matches(index, own, width - 1), "matches"))
         sizes = index if sizes is None else sizes
-    found = reduce(DataFrame.unionByName, matches)
+    every = reduce(DataFrame.unionByName, found)
+    exact = every.where("start is not null")
 
-    covered = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    named = found.select("row", "phrase").distinct().join(distinct, "phrase").join(items, "terms").select("row", "item").distinct()
+    words = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1))
+    covered = exact.select("row", words.alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = exact.select("row", "phrase").distinct().join(distinct, "phrase").join(items, "terms").select("row", "item").distinct()
     named = named.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = docs.select("row", "doc_id").join(sizes.select("row", "n_words"), "row").join(covered, "row", "left").join(named, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    near = every.where("near").select("row", "phrase").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+    out = sizes.select("row", "n_words").join(covered, "row", "left").join(named, "row", "left").join(near, "row", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("row", "n_words", number("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), number("n_near"))
+
+
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = PHRASE) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, items (sorted item ids that occur in it), n_near (phrases whose words lie together in any order)."""
+    scratch = Scratch(spark, "decontaminate")
+    rows = repeats.keyed(docs.select("doc_id", "text"), scratch)
+    return rows.select("row", "doc_id").join(_scan(rows, benchmark, scratch, width), "row").drop("row")
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -197,13 +215,17 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )
 
 
 def keep(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; rows with one doc_id go together, rows without one stay."""
-    gone = scan(spark, docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the rows that hold a phrase of the benchmark."""
+    scratch = Scratch(spark, "decontaminate")
+    plain, back = held(docs)
+    rows = repeats.keyed(plain, scratch)
+    gone = scratch.table(_scan(rows, benchmark, scratch).where("n_hit > 0").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*back)
 
 
 SQL = r"""
@@ -216,16 +238,20 @@ b AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
   FROM benchmark),
 cut AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
-phrases AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS p, least(10, len(w)) AS n FROM cut),
+phrases AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS p, list_sort(w[i:i + 9]) AS bag, least(10, len(w)) AS n FROM cut),
 sizes AS (SELECT DISTINCT n FROM phrases),
 places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
 hits AS (
   SELECT r, i, q.n, item
   FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM places) q JOIN phrases ON q.p = phrases.p AND q.n = phrases.n),
 spread AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS at FROM hits),
+bags AS (SELECT DISTINCT p, bag, n FROM phrases),
+near AS (
+  SELECT r, count(DISTINCT p) AS n_near
+  FROM (SELECT r, n, list_sort(w[i:i + n - 1]) AS bag FROM places) q JOIN bags ON q.bag = bags.bag AND q.n = bags.n GROUP BY r),
 covered AS (SELECT r, count(*) AS n_hit FROM spread GROUP BY r),
 named AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)
 """

@@ -6,7 +6,8 @@ length one. All machines are fitted here, on a sample of labelled documents that
 ``per_language``; nothing but the text is an input of a prediction.
 
 A null text and one without a letter are ``und`` with score 0, as is every text if nothing was learned. Rows with null labels or ids
-are not learned from. Each row gets a row; extra columns are ignored.
+are not learned from; of more than ``MOST_LANGUAGES`` labels the most frequent are learned. Each row gets a row, and an empty table none;
+extra columns are ignored. A very long text is read whole, alone in its step.
 """
 
 from __future__ import annotations
@@ -128,9 +129,7 @@ def _has_letter() -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS) -> Model | None:
     """Fit on at most ``per_language`` documents of each language, those first in the order of a hash of the id."""
     open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    names = [r[0] for r in open_.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = [r[0] for r in open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang").collect()]
     if not names:
         return None
     picks = [open_.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for x in sorted(names)]

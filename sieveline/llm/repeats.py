@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .seq import BASES, Prefix
@@ -22,7 +22,9 @@ from .store import Scratch
 
 _INDEX_BITS = 24
 #: Elements of one text handled at a time; longer ones are cut into overlapping pieces.
-PIECE = 1 << 22
+PIECE = 1 << 20
+#: Windows in a run, at most, as many as a mask has bits.
+MOST_WINDOWS = 64
 
 
 def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -81,7 +83,13 @@ def _runs(codes, ranges, length, k):
         return _runs(codes[:0], ranges, length, k)
     p = place[at]
     fresh = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(p) != 0))))
-    starts, n = at[fresh], np.diff(np.append(fresh, len(at)))
+    n = np.diff(np.append(fresh, len(at)))
+    if len(n) and int(n.max()) > MOST_WINDOWS:  # cut long runs
+        parts = -(-n // MOST_WINDOWS)
+        fresh = np.repeat(fresh, parts) + MOST_WINDOWS * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+        n = np.diff(np.append(fresh, len(at)))
+        n = np.minimum(n, MOST_WINDOWS)
+    starts = at[fresh]
     doc = np.searchsorted(ranges, starts, "right") - 1
     whole = Prefix(codes, BASES[2]).spans(starts, starts + n + length - 1)
     return grams[p[fresh]], whole, doc, starts - ranges[doc], n
@@ -106,20 +114,21 @@ def pack(runs: list[tuple], ) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "seg", "n", "row", "s", "more"])
 
 
-def repeated(runs: DataFrame) -> DataFrame:
-    """The runs whose anchor occurs more than once, still packed, with
+def repeated(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The runs whose anchor occurs more than once, still packed and written out, with
 
     ``first`` the earliest place of identical runs, ``copies`` their number, ``mixed`` whether the anchor has other runs too, and
-    ``leader`` on one row of the identical ones.
+    ``leader`` on one row of the identical ones. Counts combine before they are shuffled, and rows meet them in joins, which
+    Spark can split where an anchor has very many.
     """
     size = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
-    by_anchor, by_run = Window.partitionBy("a"), Window.partitionBy("a", "seg")
-    own = F.struct("row", "s")
-    out = runs.select("*", size.alias("size"), own.alias("own"))
-    out = out.withColumn("total", F.sum("size").over(by_anchor)).where("total > 1")
-    out = out.withColumn("mixed", F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor))
-    out = out.withColumn("first", F.min("own").over(by_run)).withColumn("copies", F.sum("size").over(by_run))
-    return out.withColumn("leader", F.col("own") == F.col("first")).select("a", "seg", "n", "row", "s", "more", "first", "copies", "mixed", "leader")
+    anchors = runs.groupBy("a").agg(F.sum(size).alias("total"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("total > 1")
+    several = scratch.table(runs.join(anchors.select("a", (F.col("low") != F.col("high")).alias("mixed")), "a"), "several")
+    same = several.groupBy("a", "seg").agg(F.min(F.struct("row", "s")).alias("first"), F.sum(size).alias("copies"))
+    out = several.join(same, ["a", "seg"]).withColumn("leader", F.struct("row", "s") == F.col("first"))
+    out = scratch.table(out.select("a", "seg", "n", "row", "s", "more", "first", "copies", "mixed", "leader"), "runs")
+    scratch.drop(several)
+    return out
 
 
 def places(packed: DataFrame) -> DataFrame:
@@ -130,8 +139,8 @@ def places(packed: DataFrame) -> DataFrame:
 
 
 def marks_by_row(marks: DataFrame) -> DataFrame:
-    """(row, start, end, mask) gathered per row as ``marks``; a document holds no more of them than it has runs."""
-    return marks.groupBy("row").agg(F.collect_list(F.struct("start", "end", "mask")).alias("marks"))
+    """(row, start, end, mask, ...) gathered per row as ``marks``; a document holds few more of them than it has runs."""
+    return marks.groupBy("row").agg(F.collect_list(F.struct(*(c for c in marks.columns if c != "row"))).alias("marks"))
 
 
 def covered(marks: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:

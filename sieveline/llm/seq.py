@@ -12,22 +12,25 @@ import numpy as np
 import pyarrow as pa
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-#: Bytes of text handled at a time; a longer document is handled alone.
+#: Bytes of text handled at a time; a longer document is handled alone, its words in blocks of that many bytes.
 SLICE = 1 << 20
+#: Powers of a base that stay in memory, at most; more are worked out for one use.
+_POWERS = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers[base] = tuple(both)
-    return _powers[base][0][:n], _powers[base][1][:n]
+    if base in _powers and len(_powers[base][0]) >= n:
+        return _powers[base][0][:n], _powers[base][1][:n]
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(max(n, 1 << 16), b, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    if n <= _POWERS:
+        _powers[base] = both[0], both[1]
+    return both[0][:n], both[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +94,15 @@ class Tokens:
         self.ranges = np.searchsorted(self.starts, offsets)
 
     def codes(self, base: int = BASES[0]) -> np.ndarray:
-        return Prefix(self.data, base).spans(self.starts, self.ends)
+        if len(self.data) <= 2 * SLICE:
+            return Prefix(self.data, base).spans(self.starts, self.ends)
+        out, i = [np.zeros(0, np.uint64)], 0
+        while i < len(self.starts):
+            at = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, at + SLICE, "right")))
+            out.append(Prefix(self.data[at : self.ends[j - 1]], base).spans(self.starts[i:j] - at, self.ends[i:j] - at))
+            i = j
+        return np.concatenate(out)
 
 
 def char_class(chars: bytes) -> np.ndarray:

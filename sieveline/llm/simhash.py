@@ -12,7 +12,8 @@ Equal fingerprints are one node of the graph. Only links that span a leaf's own
 with too many fingerprints for one task is searched as blocks against blocks.
 
 A null text has no words: its fingerprint is zero, linked like any other. Rows with one doc_id are one
-document with each row's own fingerprint; a null doc_id gets a null component and links nothing.
+document with each row's own fingerprint; a null doc_id gets a null component and links nothing. ``keep`` takes every row as a document. Extra
+columns are ignored, by ``keep`` kept. An empty table gives an empty one. A very long text is read whole.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import repeats
 from .components import components
-from .store import Scratch
+from .store import Scratch, held
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
-#: Fingerprints that the upper levels are fitted on, and the least number of them in a leaf: bounds of the trees.
-TREE_SAMPLE, TREE_LEAF = 32_768, 24
-#: Fingerprints of one leaf that one task searches; a set small enough to be compared pair by pair.
-TASK_LEAF, SMALL = 20_000, 700
+#: Fingerprints that the upper levels are fitted on: a sixteenth of all, between these bounds; and the least number of them in a leaf.
+TREE_SAMPLE, MOST_SAMPLE, TREE_LEAF = 32_768, 1 << 20, 24
+#: Fingerprints of one leaf that one task splits further and searches; a set small enough to be compared pair by pair.
+TASK_LEAF, SMALL = 400_000, 700
 PROJECTIONS = (0x00000000001FFFFF, 0x000003FFFFE00000, 0xFFFFFC0000000000)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.uint64(0x0101010101010101)
@@ -97,29 +99,41 @@ def _split(fps: np.ndarray, mask: np.uint64, radius: int):
     return best[1:] if best and best[0] < 0.9 * len(fps) ** 2 else None
 
 
-def grow(fps: np.ndarray, mask: np.uint64, radius: int, leaf: int):
-    """A tree over a sample: nested (point, bound, near, far), leaves None."""
-    if len(fps) <= leaf or (found := _split(fps, mask, radius)) is None:
-        return None
-    point, bound, d = found
-    return (point, bound, grow(fps[d <= bound + radius], mask, radius, leaf), grow(fps[d > bound], mask, radius, leaf))
+def grow(fps: np.ndarray, mask: np.uint64, radius: int, leaf: int) -> np.ndarray:
+    """A tree over a sample as an array of nodes: vantage point, bound, the places of its near and far side. A leaf has none, and its number as bound."""
+    nodes, leaves = [], 0
+    todo = [(fps, -1, "near")]
+    while todo:
+        own, parent, side = todo.pop()
+        if parent >= 0:
+            nodes[parent][2 if side == "near" else 3] = len(nodes)
+        if len(own) <= leaf or (found := _split(own, mask, radius)) is None:
+            nodes.append([0, leaves, -1, -1])
+            leaves += 1
+        else:
+            point, bound, d = found
+            todo += [(own[d <= bound + radius], len(nodes), "near"), (own[d > bound], len(nodes), "far")]
+            nodes.append([int(point), bound, -1, -1])
+    return np.array([tuple(n) for n in nodes], _NODE)
 
 
-def route(fps: np.ndarray, tree, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and leaf numbers: a fingerprint near a bound on its far side is in leaves of both sides."""
-    places, leaves, at = [], [], [0]
+_NODE = np.dtype([("point", np.uint64), ("bound", np.int32), ("near", np.int32), ("far", np.int32)])
+
 
-    def walk(node, who):
-        if node is None:
+def route(fps: np.ndarray, tree: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and leaf numbers: a fingerprint near a bound on its far side is in leaves of both sides."""
+    places, leaves, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [(0, np.arange(len(fps)))]
+    while todo:
+        at, who = todo.pop()
+        if not len(who):
+            continue
+        point, bound, near, far = tree[at]
+        if near < 0:
             places.append(who)
-            leaves.append(np.full(len(who), at[0]))
-            at[0] += 1
-            return
-        d = np.bitwise_count((fps[who] ^ node[0]) & mask)
-        walk(node[2], who[d <= node[1] + radius])
-        walk(node[3], who[d > node[1]])
-
-    walk(tree, np.arange(len(fps)))
+            leaves.append(np.full(len(who), bound, np.int64))
+        else:
+            d = np.bitwise_count((fps[who] ^ point) & mask)
+            todo += [(near, who[d <= bound + radius]), (far, who[d > bound])]
     return np.concatenate(places), np.concatenate(leaves)
 
 
@@ -182,15 +196,16 @@ def links(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE, task_lea
     """Rows (a, b) over nodes (fp, node), distinct in fp: links that span the same components as all pairs within ``distance``."""
     spark = nodes.sparkSession
     radius = distance // len(PROJECTIONS)
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = [grow(sample, np.uint64(m), radius, TREE_LEAF) if len(sample) else None for m in PROJECTIONS]
-    held = spark.sparkContext.broadcast(trees)  # bounded by TREE_SAMPLE
+    size = min(MOST_SAMPLE, max(TREE_SAMPLE, nodes.count() // 16))
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(size).toArrow().column(0).to_numpy().view(np.uint64)
+    trees = [grow(sample, np.uint64(m), radius, TREE_LEAF) for m in PROJECTIONS]
+    sent = spark.sparkContext.broadcast(trees)  # bounded by MOST_SAMPLE
 
     def deal(batches):
         for pdf in batches:
             fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             for p, m in enumerate(PROJECTIONS):
-                at, leaf = route(fps, held.value[p], np.uint64(m), radius)
+                at, leaf = route(fps, sent.value[p], np.uint64(m), radius)
                 yield pd.DataFrame({"fp": fps[at].view(np.int64), "node": pdf["node"].to_numpy()[at], "leaf": leaf * len(PROJECTIONS) + p})
 
     dealt = scratch.table(nodes.select("fp", "node").mapInPandas(deal, "fp long, node long, leaf long"), "leaves")
@@ -244,7 +259,9 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least doc_id stays, all its rows with it."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without near-duplicates: of each component the row with the least doc_id stays (null first; of equal ones that with the least text)."""
+    plain, back = held(docs)
+    rows = repeats.keyed(plain, Scratch(spark, "simhash-keep"))
+    found = near_duplicates(spark, rows.select(F.col("row").alias("doc_id"), "text"))
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*back)

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if "://" in named or named.startswith("file:") else "file://" + named.rstrip("/")
 
 
+def staying(docs: DataFrame, names: tuple[str, ...], instead: tuple[str, ...] = ()) -> list[str]:
+    """The columns of docs that stay; ValueError if one of them has a name that is to be added."""
+    kept = [c for c in docs.columns if c not in instead]
+    if clash := sorted({c.lower() for c in kept} & {n.lower() for n in names}):
+        raise ValueError(f"the input has columns named {', '.join(clash)} already; rename them")
+    return kept
+
+
+def held(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """(doc_id, text as string, ``held`` with all other columns under names of their own), and the columns that turn it into docs again."""
+    names = {c: f"held.c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    other = F.struct(*(F.col(f"`{c}`").alias(n.removeprefix("held.")) for c, n in names.items()))
+    back = [F.col(names.get(c, "text")).alias(c) for c in docs.columns]
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), other.alias("held")), back
+
+
 class Scratch:
     """A folder of its own for one run of an operator; written tables cut the lineage."""
 

@@ -8,11 +8,16 @@ input.
 Windows with one anchor (see ``repeats``) that follow each other are one compact edge from the start. Anchors where copies differ are
 opened up into single edges. Repeated edges are then compacted into nonbranching paths: a node with one edge in and
 one out disappears by joining its edges. Chains of edges that lie one behind the other in their first source are found by a window over source
-coordinates, and the chains left are joined by doubling steps. Each path keeps its source coordinates; its length is checked against
-them.
+coordinates, and the chains left are joined by doubling steps.
+
+Words are removed where paths lie. Every edge of a run has a place on a chain; the edges of a run that lie on one chain are one span of it,
+and each place where the run occurs is a place of that span: so paths get the coordinates of all their copies. Spans must be without gaps, and
+the words at every place are held against the run's first source by a second, independent hash.
 
 Null texts have no words. Each row of the input gives a row; rows that share a doc_id are separate documents, ordered by
-text. Documents shorter than a window keep everything. Extra columns are ignored by ``report`` and kept by ``remove``.
+text. Documents shorter than a window keep everything, and an empty table stays empty. Extra columns are ignored by ``report`` and kept by
+``remove``, which refuses those with the names of its own results, and by ``rewrite``, whatever their names. A very long text is handled in
+overlapping pieces.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .seq import BASES, NOT_BLANK, Prefix, Tokens, slices
-from .store import Scratch
+from .store import Scratch, held, staying
 
 LENGTH, ANCHOR = 35, 12
 
@@ -53,11 +58,17 @@ def word_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.select("row", F.col("text").cast("string")).mapInArrow(run, repeats.RUNS)
 
 
-_EDGES = "a long, seg long, copies long, mixed boolean, row long, pos int, size int, key long, head long, tail long"
+def _proofs(t: Tokens) -> Prefix:
+    """Hashes of spans of words that share nothing with those that runs are found by."""
+    return Prefix(t.codes(BASES[2]), BASES[0])
+
+
+_EDGES = "a long, seg long, copies long, row long, pos int, at int, size int, key long, head long, tail long, proof long"
 
 
 def edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Edges of runs, read from their first source: (row, pos) where an edge starts, ``size`` windows in it, its nodes head and tail.
+    """Edges of runs, read from their first source: (row, pos) where an edge starts, ``at`` which place of its run, ``size`` windows in it,
+    its nodes head and tail, and the proof of the run's words.
 
     Runs of mixed anchors become single edges, others one compact edge each.
     """
@@ -82,9 +93,12 @@ def edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     size = np.where(mixed[mine], 1, n[mine])[which]
                     at = begin[which] + inner
                     node, edge = Prefix(codes, BASES[1]), Prefix(codes, BASES[2])
-                    columns = [a[mine][which], seg[mine][which], copies[mine][which], mixed[mine][which], rows[first + doc[which]], (s[mine][which] + inner).astype(np.int32), size.astype(np.int32)]
-                    hashes = [edge.spans(at, at + size + length - 1), node.spans(at, at + length - 1), node.spans(at + size, at + size + length - 1)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in hashes)], names=["a", "seg", "copies", "mixed", "row", "pos", "size", "key", "head", "tail"])
+                    proof = _proofs(t).spans(begin, begin + n[mine] + length - 1)[which]
+                    places = [(s[mine][which] + inner).astype(np.int32), inner.astype(np.int32), size.astype(np.int32)]
+                    columns = [a[mine][which], seg[mine][which], copies[mine][which], rows[first + doc[which]], *places]
+                    hashes = [edge.spans(at, at + size + length - 1), node.spans(at, at + length - 1), node.spans(at + size, at + size + length - 1), proof]
+                    names = ["a", "seg", "copies", "row", "pos", "at", "size", "key", "head", "tail", "proof"]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(h.view(np.int64)) for h in hashes)], names=names)
 
     return pairs.select("row", "text", "asked").mapInArrow(run, _EDGES)
 
@@ -108,12 +122,11 @@ def chains(graph: DataFrame) -> DataFrame:
     return linked.select("row", "pos", "size", start.alias("start"), F.when(F.col("opens"), F.col("last")).alias("before"))
 
 
-def paths(graph: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def paths(edges_: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Nonbranching paths as chains of their source coordinates: (path, row, start, end, in words), ``path`` being shared by a path's chains.
 
-    The chain's edges must fill its span without a gap; that is checked for every chain.
+    edges_: what ``chains`` gives. A chain's edges must fill its span without a gap; that is checked for every chain.
     """
-    edges_ = scratch.table(chains(graph), "chains")
     spans = edges_.groupBy("row", "start").agg(F.max(F.expr("pos + size")).alias("stop"), F.sum("size").alias("windows"), F.first("before", ignorenulls=True).alias("before"))
     spans = spans.withColumn("end", F.expr(f"stop + {length - 1}"))
     spans = spans.withColumn("end", F.when(F.col("windows") == F.col("stop") - F.col("start"), F.col("end")).otherwise(F.raise_error(F.lit("a chain does not fill its source span"))))
@@ -137,56 +150,93 @@ def paths(graph: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
 
 def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """What repeated edges cover in docs (row, text): marks (row, start, end, mask; see repeats.covered), and the paths."""
-    packed = scratch.table(repeats.repeated(word_runs(docs, length, k)), "runs")
+    """Where paths lie in docs (row, text): marks (row, start, end, mask, s, n, proof) with the run each comes from, and the paths."""
+    packed = repeats.repeated(word_runs(docs, length, k), scratch)
     leaders = packed.where("leader").select("a", "seg", "n", "row", "s", "copies", "mixed").dropDuplicates(["a", "seg"])
-    same = Window.partitionBy("a", "key")
-    source = F.struct("row", "pos")
-    found = edges(docs, leaders, length).withColumn("all_copies", F.sum("copies").over(same)).withColumn("source", F.min(source).over(same))
-    found = scratch.table(found.where("all_copies > 1").withColumn("leads", source == F.col("source")).drop("source", "all_copies", "copies", "key"), "edges")
-    compacted = scratch.table(paths(found.where("leads").dropDuplicates(["row", "pos"]).select("row", "pos", "size", "head", "tail"), length, scratch), "paths")
-    # Sources are covered by whole chains; the other places of a run by the windows of it that are repeated.
-    by_source = compacted.select("row", "start", "end", F.lit(None).cast("long").alias("mask"))
-    at = repeats.places(packed.select("a", "seg", "n", "row", "s", "more", "mixed", "first"))
-    full = at.where("not mixed and not (row = first.row and s = first.s)").select("row", F.col("s").alias("start"), F.expr(f"s + n - 1 + {length}").alias("end"), F.lit(None).cast("long").alias("mask"))
-    some = found.where("mixed").join(leaders.select("a", "seg", "s"), ["a", "seg"]).groupBy("a", "seg").agg(F.expr("bit_or(shiftleft(1L, pos - s))").alias("mask"))
-    partial = at.where("mixed").join(some, ["a", "seg"]).select("row", F.col("s").alias("start"), F.col("s").alias("end"), "mask")
-    return by_source.unionByName(full.select("row", "start", F.col("end").cast("int").alias("end"), "mask")).unionByName(partial), compacted
-
-
-def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
-    """docs with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``; all other columns stay, the text if asked for."""
+    every = scratch.table(edges(docs, leaders, length), "edges")
+    sources = every.groupBy("a", "key").agg(F.sum("copies").alias("all_copies"), F.min(F.struct("row", "pos")).alias("source"))
+    found = every.join(sources.where("all_copies > 1"), ["a", "key"]).select("a", "seg", "row", "pos", "at", "size", "head", "tail", "proof", "source")
+    found = scratch.table(found, "repeated")
+    scratch.drop(every)
+    graph = found.where(F.struct("row", "pos") == F.col("source")).dropDuplicates(["row", "pos"]).select("row", "pos", "size", "head", "tail")
+    chained = scratch.table(chains(graph), "chains")
+    compacted = scratch.table(paths(chained, length, scratch), "paths")
+
+    # A run's edges by the chain that they lie on, and how far the run is shifted against it.
+    on = chained.select(F.struct("row", "pos").alias("source"), F.struct("row", "start").alias("chain"), (F.col("pos") - F.col("start")).alias("along"))
+    spans = found.join(on, "source").groupBy("a", "seg", "proof", "chain", (F.col("at") - F.col("along")).alias("shift"))
+    spans = spans.agg(F.min("at").alias("low"), F.max(F.expr("at + size")).alias("high"), F.sum("size").alias("windows"))
+    high = F.when(F.col("high") - F.col("low") == F.col("windows"), F.col("high")).otherwise(F.raise_error(F.lit("a span of a chain has gaps")))
+    spans = spans.groupBy("a", "seg", "proof").agg(F.collect_list(F.struct("low", high.alias("high"))).alias("spans"))
+    # Rows of identical runs meet the spans while they are still packed.
+    placed = repeats.places(packed.select("a", "seg", "n", "row", "s", "more").join(spans, ["a", "seg"]).drop("a", "seg"))
+    placed = placed.select("row", "s", "n", "proof", F.explode("spans").alias("span"))
+    end = F.col("s") + F.col("span.high") + F.lit(length - 1)
+    out = placed.select("row", (F.col("s") + F.col("span.low")).alias("start"), end.cast("int").alias("end"), F.lit(None).cast("long").alias("mask"), "s", "n", "proof")
+    return out, compacted
+
+
+def _verify(t: Tokens, found: pa.Array, length: int) -> None:
+    """The words at each mark's run must be those of the run's first source."""
+    flat = found.flatten()
+    if len(flat):
+        base = np.repeat(t.ranges[:-1], found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        s, n, proof = (flat.field(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+        if (_proofs(t).spans(base + s, base + s + n + length - 1).view(np.int64) != proof).any():
+            raise ValueError("different words share the hashes of a run")
+
+
+def _removed(spark: SparkSession, plain: DataFrame, length: int, k: int) -> DataFrame:
+    """plain (doc_id, text, held): held, text, and what is left: ``kept_text``, ``n_words``, ``n_removed``."""
     scratch = Scratch(spark, "substrings")
-    own = [c for c in docs.columns]
-    rows = repeats.keyed(docs, scratch)
+    rows = repeats.keyed(plain, scratch)
     found, _ = marks(rows.select("row", "text"), scratch, length, k)
     per_row = scratch.table(repeats.marks_by_row(found), "marks")
-    held = F.struct(F.col("row").alias("_row"), *(F.col(f"`{c}`") for c in own if c != "text")).alias("held")
-    joined = rows.select(held, "row", F.col("text").cast("string").alias("text")).join(per_row, "row", "left").select("held", "text", "marks")
+    joined = rows.select("row", "held", "text").join(per_row, "row", "left").select("held", "text", "marks")
 
     def run(batches):
         for whole in batches:
-            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                texts = [x.split() for x in b.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()]
-                sizes = np.array([len(x) for x in texts], np.int64)
+            for first, end, data, offsets in slices(whole.column(1)):
+                b = whole.slice(first, end - first)
+                t = Tokens(data, offsets, NOT_BLANK)
+                _verify(t, b.column(2), length)
+                sizes = np.diff(t.ranges)
                 gone = repeats.covered(b.column(2), sizes, length)
-                edges_ = np.append(0, np.cumsum(sizes))
-                removed = np.diff(np.append(0, np.cumsum(gone))[edges_])
-                kept = [b" ".join(x if not r else compress(x, (~gone[i:j]).tolist())).decode() for x, r, i, j in zip(texts, removed.tolist(), edges_[:-1].tolist(), edges_[1:].tolist(), strict=True)]
-                before = [b.column(1)] if keep_text else []
-                yield pa.RecordBatch.from_arrays([b.column(0), *before, pa.array(kept, pa.string()), pa.array(sizes), pa.array(removed.astype(np.int64))], names=schema.names)
+                removed = np.diff(np.append(0, np.cumsum(gone))[t.ranges])
+                kept = []
+                for x, r, i, j in zip(b.column(1).cast(pa.large_binary()).to_pylist(), removed.tolist(), t.ranges[:-1].tolist(), t.ranges[1:].tolist(), strict=True):
+                    words = (x or b"").split()
+                    kept.append(b" ".join(words if not r else compress(words, (~gone[i:j]).tolist())).decode())
+                added = [pa.array(kept, pa.string()), pa.array(sizes.astype(np.int64)), pa.array(removed.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *added], names=schema.names)
 
     added = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    schema = T.StructType([joined.schema["held"], *([T.StructField("text", T.StringType())] if keep_text else []), *added])
-    out = joined.mapInArrow(run, schema)
-    names = [f.name for f in added]
-    kept = [F.col("text") if c == "text" else F.col(f"held.`{c}`") for c in own if c not in names and (keep_text or c != "text")]
-    return out.select(*kept, *names)
+    schema = T.StructType([joined.schema["held"], T.StructField("text", T.StringType()), *added])
+    return joined.mapInArrow(run, schema)
+
+
+_ADDED = ("kept_text", "n_words", "n_removed")
+
+
+def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+    """docs with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``."""
+    staying(docs, _ADDED)
+    plain, back = held(docs)
+    return _removed(spark, plain, length, k).select(*back, *_ADDED)
+
+
+def rewrite(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, n_chars: str = "n_chars") -> DataFrame:
+    """docs with the kept words as texts where any word is removed; other texts stay as they are. A column ``n_chars`` follows."""
+    plain, back = held(docs)
+    cut = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), n_chars: F.length("kept_text").cast("long")}
+    columns = [F.when(cut, new[c]).otherwise(b).alias(c) if c in new else b for c, b in zip(docs.columns, back, strict=True)]
+    return _removed(spark, plain, length, k).select(*columns)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return remove(spark, docs.select("doc_id", "text"), keep_text=False).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return remove(spark, docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL = r"""

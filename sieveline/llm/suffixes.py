@@ -10,7 +10,8 @@ prefix of 0, 1, 2, ... bytes, by increasing value, and stops at ``length``: the
 agree on ``length`` bytes or more. In each such interval the earliest source stays.
 
 Null texts are empty. Each row of the input gives a row; rows that share a doc_id are separate documents, ordered by text.
-Extra columns are ignored by ``report`` and kept by ``remove``.
+Extra columns are ignored by ``report`` and kept by ``remove``; it refuses those with the names of its own results. An empty table
+gives an empty one. A very long text is handled in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .seq import slices
-from .store import Scratch
+from .store import Scratch, held, staying
 
 LENGTH, ANCHOR = 100, 40
 #: Bytes of runs in a shard, about, and the most that one anchor may bring into one.
@@ -186,7 +187,7 @@ def hot_runs(texts: DataFrame, length: int) -> DataFrame:
 
 def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """What later copies cover in docs (row, text): marks (row, start, end, mask; see repeats.covered)."""
-    packed = scratch.table(repeats.repeated(byte_runs(docs, length, k)), "runs")
+    packed = repeats.repeated(byte_runs(docs, length, k), scratch)
     leaders = packed.where("leader and mixed").select("a", "seg", "n", "row", "s").dropDuplicates(["a", "seg"])
     texts = scratch.table(run_texts(docs, leaders, length), "texts")
     total = texts.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -204,11 +205,12 @@ def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCH
 def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
     """docs with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``; all other columns stay, the text if asked for."""
     scratch = Scratch(spark, "suffixes")
-    own = [c for c in docs.columns]
-    rows = repeats.keyed(docs, scratch)
+    added = ["kept", "n_bytes", "n_removed", "n_spans"]
+    own = staying(docs, tuple(added), () if keep_text else ("text",))
+    plain, back = held(docs)
+    rows = repeats.keyed(plain, scratch)
     per_row = scratch.table(repeats.marks_by_row(marks(rows.select("row", "text"), scratch, length, k)), "marks")
-    held = F.struct(F.col("row").alias("_row"), *(F.col(f"`{c}`") for c in own if c != "text")).alias("held")
-    joined = rows.select(held, "row", F.col("text").cast("string").alias("text")).join(per_row, "row", "left").select("held", "text", "marks")
+    joined = rows.select("row", "held", "text").join(per_row, "row", "left").select("held", "text", "marks")
 
     def run(batches):
         for whole in batches:
@@ -226,11 +228,9 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k: int =
                 before = [b.column(1)] if keep_text else []
                 yield pa.RecordBatch.from_arrays([b.column(0), *before, kept.cast(pa.binary()), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64))], names=schema.names)
 
-    added = ["kept", "n_bytes", "n_removed", "n_spans"]
     schema = T.StructType([joined.schema["held"], *([T.StructField("text", T.StringType())] if keep_text else []), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
     out = joined.mapInArrow(run, schema)
-    kept = [F.col("text") if c == "text" else F.col(f"held.`{c}`") for c in own if c not in added and (keep_text or c != "text")]
-    return out.select(*kept, *added)
+    return out.select(*(b for b, c in zip(back, docs.columns, strict=True) if c in own), *added)
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

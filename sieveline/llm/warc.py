@@ -7,7 +7,11 @@ members by their local headers, and reads the index and then only the bytes of t
 
 Records with equal payloads of at least ``least`` bytes are written once: that with the largest page_id is the response, the others are
 revisits that refer to it. A null html is an empty payload; a null url is written as ``urn:page:<page_id>``. Repeated
-page_ids are separate records; among equal payloads of one page_id one is the response. Extra columns are ignored.
+page_ids are separate records; of equal payloads with one page_id, one is the response and the others revisit it, and a null page_id counts as
+the smallest. Control characters, blanks and line separators in a url are percent-encoded. Extra columns are ignored. An empty table gives
+no packages. Pages are written in runs of bounded size, a very long one by itself.
+
+Each attempt of a task writes a package under a name of its own; the manifest names those that count.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import urllib.parse
 import uuid
 import zipfile
 
@@ -26,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import repeats
+from .bpe import runs
 from .store import Scratch
 
 LEAST = 1000
@@ -105,19 +113,31 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Which page is a response and which a revisit: row, page_id, uri, html, digest, size, refers_to.
+def plan(pages: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Which page is a response and which a revisit: page_id, uri, html, digest, size, revisit, refers_to.
 
-    Payloads are compared by SHA-1 and length; only these travel, and least ids combine before the shuffle.
+    Payloads are compared by SHA-1 and length. Only these travel to find equal ones, and greatest rows combine before the shuffle; the pages
+    themselves are joined by their own rows, so that a page that very many share is no hot key.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    marked = pages.select("page_id", F.coalesce("url", F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))).alias("uri"), payload.alias("html"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("size"))
-    most = marked.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
-    return marked.join(most, ["digest", "size"], "left").select("page_id", "uri", "html", "digest", "size", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    text = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = repeats.keyed(pages.select(F.col("page_id").cast("long").alias("doc_id"), text.alias("text"), F.col("url").cast("string").alias("url")), scratch)
+    payload = F.encode("text", "UTF-8")
+    marked = rows.select("row", "doc_id", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("size")).where(F.col("size") >= least)
+    first = marked.groupBy("digest", "size").agg(F.max(F.struct("row", "doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = marked.join(first, ["digest", "size"]).where("row <> first.row").select("row", F.col("first.doc_id").alias("refers_to"), F.lit(True).alias("revisit"))
+    out = rows.join(revisits, "row", "left")
+    uri = F.coalesce("url", F.concat(F.lit("urn:page:"), F.col("doc_id").cast("string")))
+    digest, size = F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("size")
+    return out.select(F.col("doc_id").alias("page_id"), uri.alias("uri"), payload.alias("html"), digest, size, F.coalesce("revisit", F.lit(False)).alias("revisit"), "refers_to")
 
 
 def _name(page_id) -> str:
-    return f"urn:page:{page_id}"
+    return "urn:page:" + ("" if page_id is None else str(page_id))
+
+
+def safe(uri: str) -> str:
+    """A uri without characters that part lines or fields: control characters, blanks and line separators are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: urllib.parse.quote(m[0], safe=""), uri)
 
 
 def write(planned: DataFrame, folder: str) -> DataFrame:
@@ -126,27 +146,25 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"pages-{TaskContext.get().partitionId():06d}.wacz"
-        temporary = f"{base}/.{name}.{uuid.uuid4().hex[:8]}"
+        name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.wacz"
         lines, at = [], 0
-        with store.open_output_stream(temporary) as raw, zipfile.ZipFile(io.BufferedWriter(_Sink(raw)), "w", zipfile.ZIP_STORED) as z:
+        with store.open_output_stream(f"{base}/{name}") as raw, zipfile.ZipFile(io.BufferedWriter(_Sink(raw)), "w", zipfile.ZIP_STORED) as z:
             with z.open(DATA, "w", force_zip64=True) as out:
-                for b in batches:
+                for b in (part for whole in batches for part in runs(whole, whole.schema.get_field_index("html"))):
                     for r in b.to_pylist():
                         page = r["page_id"]
                         fields = {"WARC-Payload-Digest": f"sha1:{r['digest']}", "WARC-Payload-Length": str(r["size"]), "WARC-Page": "" if page is None else str(page)}
-                        uri = r["uri"].replace("\r", "%0D").replace("\n", "%0A") if r["uri"] else _name(page)
-                        if r["refers_to"] is None:
+                        uri = safe(r["uri"]) if r["uri"] else _name(page)
+                        if not r["revisit"]:
                             data = record("response", uri, _name(page), r["html"], fields)
                         else:
                             fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{_name(r['refers_to'])}>"}
                             data = record("revisit", uri, f"{_name(page)}:revisit", b"", fields)
                         data = gzip.compress(data, 1, mtime=0)
                         out.write(data)
-                        lines.append(f"{uri.replace(' ', '%20')} {_DATE} {json.dumps({'offset': at, 'length': len(data)})}\n")
+                        lines.append(f"{uri} {_DATE} {json.dumps({'offset': at, 'length': len(data)})}\n")
                         at += len(data)
             z.writestr(INDEX, "".join(lines))
-        store.move(temporary, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(lines)], pa.int64())], names=["package", "records"])
 
     return planned.mapInArrow(run, "package string, records long")
@@ -176,7 +194,7 @@ def locate(packages: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(f"{base}/{name}") as f:
                     found = members(f, f.size())
                     f.seek(found[INDEX][0])
-                    lines = f.read(found[INDEX][1]).decode().splitlines()
+                    lines = f.read(found[INDEX][1]).decode().split("\n")[:-1]
                 spans = [json.loads(x.split(" ", 2)[2]) for x in lines]
                 at = found[DATA][0]
                 yield pa.RecordBatch.from_arrays(
@@ -221,7 +239,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages to packages in the shared folder, read every record back, and describe it."""
     scratch = Scratch(spark, "warc")
     folder = scratch.path("packages")
-    packages = scratch.table(write(plan(pages), folder), "written")
+    packages = scratch.table(write(plan(pages, scratch), folder), "written")
     located = scratch.table(locate(packages.repartition(max(1, packages.count())), folder), "index")
     # In the order of the files, so that each task reads few packages from front to back.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -234,10 +252,11 @@ WITH marked AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 digests AS (
   SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM marked),
-first AS (
-  SELECT payload_bytes, payload_digest, max(page_id) AS first FROM digests WHERE payload_bytes >= 1000 GROUP BY ALL)
+placed AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first
+  FROM digests WINDOW w AS (PARTITION BY payload_bytes, payload_digest ORDER BY page_id DESC NULLS LAST))
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
-FROM digests LEFT JOIN first USING (payload_bytes, payload_digest)
+       CASE WHEN payload_bytes < 1000 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN first END AS refers_to
+FROM placed
 """

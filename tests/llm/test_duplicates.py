@@ -69,6 +69,13 @@ def test_suffixes(spark, docs, monkeypatch, seed, most):
     assert got == dict(enumerate(_brute_bytes(texts, 100)))
 
 
+def test_long_runs(spark, docs):
+    """Runs of more windows than a mask has bits are cut."""
+    texts = _texts(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove(spark, docs(*texts), length=200, k=40).collect()}
+    assert got == {i: x[:3] for i, x in enumerate(_brute_bytes(texts, 200))}
+
+
 def test_paths_are_compact(spark, docs):
     rng = random.Random(9)
     passage = " ".join(rng.choice(WORDS) for _ in range(300))
@@ -86,10 +93,17 @@ def test_edges_of_the_tables(spark, docs):
     for f in (substrings.report, suffixes.report, simhash.report):
         assert f(spark, empty).count() == 0
     text = " ".join(WORDS[:60])
-    twice = docs(text, text, "other", ids=[1, 1, None]).withColumn("n_removed", F.lit("mine")).withColumn("row", F.lit(7)).withColumn("marks", F.lit(7))
+    twice = docs(text, text, "other", ids=[1, 1, None]).withColumn("row", F.lit(7)).withColumn("marks", F.lit(7)).withColumn("held", F.lit(7))
     for f, n in ((substrings.remove, 120), (suffixes.remove, len(text.encode()))):
         rows = f(spark, twice).collect()
         assert len(rows) == 3 and sum(r["n_removed"] for r in rows) == n
+        assert all((r["row"], r["marks"], r["held"], r["lang"]) == (7, 7, 7, "en") for r in rows)
+        with pytest.raises(ValueError, match="n_removed"):
+            f(spark, twice.withColumn("n_removed", F.lit("mine")))
+    named = twice.withColumn("n_removed", F.lit("mine")).withColumn("kept_text", F.lit("mine"))
+    out = substrings.rewrite(spark, named)
+    assert out.columns == named.columns
+    assert sorted((r.text, r.n_chars, r.n_removed) for r in out.collect()) == [("", 0, "mine"), ("", 0, "mine"), ("other", 5, "mine")]
     got = {(r.doc_id, r.component_id) for r in simhash.report(spark, twice).collect()}
     assert got == {(1, 1), (None, None)}
 

@@ -154,14 +154,30 @@ def test_decontamination(spark, docs, monkeypatch, terms):
 
 
 def test_proximity(spark, docs):
-    texts = ["x a y b z c", "a b q q q q q q q c", "c b a", "a b"]
-    terms = spark.createDataFrame([("a b c",)], "text string").select(F.lit("q").alias("item_id"), "text")
-    row = decontaminate.phrases(terms).first()
-    rows = repeats.keyed(docs(*texts), store.Scratch(spark, "t"))
-    index = decontaminate.store_index(rows, spark.createDataFrame([(t,) for t in row.terms], "term long"), store.Scratch(spark, "t"))
-    queries = spark.createDataFrame([("q", row.terms, row.terms[0])], "query string, terms array<long>, first long")
-    near = decontaminate.proximity_matches(index, queries, 5).select(F.col("row").alias("doc_id"))
-    assert {r.doc_id for r in near.collect()} == {0, 2}
+    texts = ["x a y b z c", "c b a", "a b", "q b a c q", "a b c", "a b c c b a", "b b a c", None]
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    got = {r.doc_id: (r.n_near, r.n_hit) for r in decontaminate.scan(spark, docs(*texts), items).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0), 3: (1, 0), 4: (1, 3), 5: (1, 3), 6: (1, 0), 7: (0, 0)}
+
+
+def test_keep_judges_each_row(spark, docs):
+    """A contaminated row without an id goes; a clean one that shares an id with a contaminated one stays, with all its columns."""
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    rows = docs("a b c", "clean", "x a b c", "clean too", ids=[None, 1, 1, None]).withColumn("row", F.lit("mine")).withColumn("held", F.lit(3))
+    kept = decontaminate.keep(spark, rows, items)
+    assert kept.columns == rows.columns
+    assert sorted((str(r.doc_id), r.text, r.row, r.held) for r in kept.collect()) == [("1", "clean", "mine", 3), ("None", "clean too", "mine", 3)]
+
+
+def test_warc_odd_pages(spark):
+    """Line separators in urls, repeated and missing page_ids with equal payloads."""
+    big = "p" * 1500
+    urls = ["http://a/\x0bb\x0cc\x1cd\x1ee\x85f\u2028g\u2029h i\nj\rk", "u", None, "u", "u"]
+    rows = [(1, urls[0], "x"), (2, urls[1], big), (2, urls[2], big), (None, urls[3], big), (None, urls[4], None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()), key=str)
+    assert got == sorted([(1, 1, "response", None), (2, 1500, "response", None), (2, 1500, "revisit", 2), (None, 1500, "revisit", 2), (None, 0, "response", None)], key=str)
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
 def test_quality(spark, docs):
