@@ -15,12 +15,12 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--min-entropy", type=float)
     parser.add_argument("--no-base64", action="store_true")
     parser.add_argument("--max-bytes", type=int, default=64 << 20)
-    parser.add_argument("--format", choices=["jsonl", "sarif"], default="jsonl")
+    parser.add_argument("--format", choices=["json", "jsonl", "sarif"], default="jsonl")
     parser.add_argument("--baseline", help="report only what this kept baseline lacks")
     parser.add_argument("--write-baseline", help="keep the findings of a complete scan here")
     commands = parser.add_subparsers(dest="command", required=True)
     scan_ = commands.add_parser("scan")
-    scan_.add_argument("paths", nargs="+")
+    scan_.add_argument("paths", nargs="+", help="files and directories; - alone is standard input")
     scan_.add_argument("--no-ignore", action="store_true")
     for name in ("history", "staged"):
         git_ = commands.add_parser(name)
@@ -43,7 +43,10 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps([r.asDict() for r in R.inventory(spark, config.compiled()).collect()]))
         return 0
     if given.command == "scan":
-        inputs, errors = files.read(spark, given.paths, not given.no_ignore, given.max_bytes)
+        if given.paths == ["-"]:
+            inputs, errors = files.given(spark, sys.stdin.buffer, given.max_bytes)
+        else:
+            inputs, errors = files.read(spark, given.paths, not given.no_ignore, given.max_bytes)
         rows = archives.expand(inputs, given.max_bytes)
         errors = errors.unionByName(rows.where("error is not null").select("path", rows["error"].alias("message")))
         members, malformed = encodings.decode_utf16(rows.where("error is null"))
@@ -65,7 +68,8 @@ def main(args: list[str] | None = None) -> int:
         old, own = baseline.read(spark, given.baseline)
         found = baseline.diff(found, old, complete=complete, context=scanned, baseline_context=own)[0]
     closing = report.summary(found, errors)
-    out = report.sarif(found, errors) if given.format == "sarif" else report.json_lines(found, errors, closing)
+    whole = {"sarif": lambda: report.sarif(found, errors), "json": lambda: report.document(found, errors, closing)}
+    out = whole[given.format]() if given.format in whole else report.json_lines(found, errors, closing)
     for row in out.toLocalIterator():
         print(row[0])
     return closing.first()["exit_code"]

@@ -81,43 +81,64 @@ def arrow_matches(pattern: str, group: int | None):
     return F.pandas_udf(lambda views: pd.Series([one(v) for v in views]), MATCH)
 
 
+#: Marks around a match and its parts; views hold no characters beyond Latin-1.
+_OPEN, _LEAD, _SECRET, _CLOSE = "\ue000", "\ue001", "\ue002", "\ue003"
+_CHUNK = 256
+
+
+def _sums(sizes: Column) -> Column:
+    """Sums of what stands before each element, and of all: one element more than ``sizes``. Short arrays only."""
+    zero = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(sizes, zero, lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("bigint"))))
+
+
+def running(sizes: Column) -> Column:
+    """Sums of what stands before each element. Arrays grow by copies, so long ones are summed in chunks and over the chunks."""
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / _CHUNK).cast("int"))
+    chunks = F.transform(starts, lambda k: _sums(F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))))
+
+    def placed(own: Column) -> Column:
+        def shifted(before: Column) -> Column:
+            return F.flatten(F.transform(own, lambda c, k: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.get(before, k))))
+
+        return fn.let(_sums(F.transform(own, lambda c: F.element_at(c, -1))), shifted)
+
+    return fn.let(chunks, placed)
+
+
 def native_matches(view: Column, pattern: str, group: int | None) -> Column:
-    """Matches by Spark's own functions; raises Unsupported for what they cannot place."""
+    """Matches by Spark's own functions, the pattern running once over the view; raises Unsupported for what they cannot place."""
     found = regex.groups(pattern)
     if group is None and len(found) > 1:
         raise regex.Unsupported("a rule with several captures must name its secret's group")
     whole_too = group is None
     group = (1 if found else 0) if group is None else group
     if group:
-        lead_pattern, number = regex.with_lead(pattern, group)
-        p = F.lit(regex.translate(lead_pattern))
-        lead, secret = F.regexp_extract_all(view, p, F.lit(1)), F.regexp_extract_all(view, p, F.lit(number))
+        pattern, number = regex.with_lead(pattern, group)
+        marks = f"{_OPEN}$0{_LEAD}$1{_SECRET}${number}{_CLOSE}"
     else:
-        p = F.lit(regex.translate(pattern))
-        lead = secret = None
-    whole = F.regexp_extract_all(view, p, F.lit(0))
-    gaps = F.transform(F.split(view, regex.translate(lead_pattern if group else pattern), -1), F.length)
+        marks = f"{_OPEN}$0{_CLOSE}"
+    parts = F.split(F.regexp_replace(view, regex.translate(pattern), marks), _OPEN, -1)
+    between = lambda x, a, b: F.substring_index(F.substring_index(x, b, 1), a, -1)
 
-    def build(x: Column) -> Column:
-        m, s = x["m"], x["s"]
-        steps = F.zip_with(x["g"], F.transform(m, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        run = F.aggregate(steps, zero, lambda acc, y: F.struct((acc["at"] + y["g"] + F.coalesce(y["n"], F.lit(0))).alias("at"), F.concat(acc["out"], F.array((acc["at"] + y["g"]).cast("bigint"))).alias("out")))["out"]
+    def build(p: Column) -> Column:
+        pieces = F.slice(p, F.lit(2), F.size(p) - 1)
+        first = F.length(F.get(p, F.lit(0)))
+        text = lambda x: F.substring_index(x, _LEAD if group else _CLOSE, 1)
+        sizes = F.transform(pieces, lambda x: (F.length(text(x)) + F.length(F.substring_index(x, _CLOSE, -1))).cast("bigint"))
 
         def rows(at: Column) -> Column:
-            def one(text: Column, i: Column) -> Column:
-                own = F.get(s, i) if s is not None else text
-                first = F.get(x["l"], i)
+            def one(x: Column, i: Column) -> Column:
+                own, lead = (between(x, _SECRET, _CLOSE), between(x, _LEAD, _SECRET)) if group else (text(x), F.lit(""))
                 if whole_too and group:
-                    first, own = F.when(own != "", first).otherwise(""), F.when(own != "", own).otherwise(text)
-                return F.struct(F.get(at, i).alias("mstart"), text.alias("match"), first.alias("lead"), own.alias("secret"))
+                    lead, own = F.when(own != "", lead).otherwise(""), F.when(own != "", own).otherwise(text(x))
+                return F.struct((F.get(at, i) + first).alias("mstart"), text(x).alias("match"), lead.alias("lead"), own.alias("secret"))
 
-            return F.transform(m, one)
+            return F.transform(pieces, one)
 
-        return fn.let(run, rows)
+        return fn.let(running(sizes), rows)
 
-    empty = F.transform(whole, lambda _: F.lit(""))
-    return fn.let(F.struct(whole.alias("m"), (lead if group else empty).alias("l"), (secret if group else whole).alias("s"), gaps.alias("g")), build)
+    return fn.let(parts, build)
 
 
 def allowed(rule: Rule, path: Column, secret: Column, match: Column, line: Column) -> Column:
@@ -164,6 +185,8 @@ def candidates(view: Column, low: Column, path: Column, rule: Rule, min_entropy:
     condition = path_gate(path, rule)
     if gate:
         condition = condition & keyword_gate(low, rule)
+    if rule.requires is not None:
+        condition = condition & view.rlike(regex.translate(rule.requires))
     run = F.transform(F.filter(matches(view, rule.pattern, rule.secret_group, condition), keep), shape)
     return F.when(condition, run).otherwise(F.array().cast(CANDIDATE))
 

@@ -86,22 +86,66 @@ def sarif(findings: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def preview(findings: DataFrame, rows: int = PREVIEW_ROWS, budget: int = PREVIEW_BYTES) -> DataFrame:
-    """The first findings in report order, up to ``rows`` of them and ``budget`` bytes of JSON.
+    """The first findings in report order, up to ``rows`` of them and ``budget`` bytes of JSON: (place, finding).
 
-    A finding that does not fit is passed over and smaller ones behind it may still fit, so the choice is a fold over the order. It looks at rows in
-    order until enough are taken; as each takes some bytes of the budget, and one over the budget none, the fold keeps the rows as an array.
+    A finding that does not fit is passed over, and smaller ones behind it may still fit. What does not fit now will not fit later, so each
+    look takes the next findings that fit into what is left, ``rows`` of them, and takes one at least; most previews need one look.
     """
-    # A finding holds no free text beyond its path, so all but very long paths fit; ten times the rows is what the fold looks at.
-    first = ordered(findings).limit(rows * 10)
-    each = first.select(F.struct(*FINDING_ORDER, F.octet_length(finding_json(findings)).alias("size"), finding_json(findings).alias("json")).alias("x"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["out"]) < rows) & (acc["used"] + x["size"] <= budget)
-        return F.struct((acc["used"] + F.when(fits, x["size"]).otherwise(0)).cast("bigint").alias("used"), F.when(fits, F.concat(acc["out"], F.array(x["json"]))).otherwise(acc["out"]).alias("out"))
-
-    done = each.agg(F.aggregate(F.array_sort(F.collect_list("x")), zero, step).alias("r"))
-    return done.select(F.posexplode("r.out").alias("place", "finding"))
+    order = F.struct(*FINDING_ORDER)
+    each = findings.select(order.alias("place"), finding_json(findings).alias("finding")).withColumn("size", F.octet_length("finding"))
+    out, used, last = [], 0, None
+    while len(out) < rows:
+        left = each.where(F.col("size") <= budget - used)
+        if last is not None:
+            behind = (F.lit(v).cast(findings.schema[c].dataType).alias(c) for c, v in zip(FINDING_ORDER, last, strict=True))
+            left = left.where(F.col("place") > F.struct(*behind))
+        block = left.orderBy("place").limit(rows).collect()  # at most ``rows``, each within the budget
+        for r in block:
+            if len(out) < rows and used + r["size"] <= budget:
+                out.append(r["finding"])
+                used += r["size"]
+        if len(block) < rows:
+            break
+        last = tuple(block[-1]["place"])
+    return findings.sparkSession.createDataFrame(list(enumerate(out)), "place int, finding string")
+
+
+def document(findings: DataFrame, errors: DataFrame, closing: DataFrame) -> DataFrame:
+    """A whole JSON report as one value: findings in report order, errors, and the fields of the summary. For reports, not for tables."""
+    key = F.struct(*FINDING_ORDER)
+    all_ = findings.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), finding_json(findings).alias("json")))), lambda x: x["json"]).alias("findings"))
+    notes = errors.agg(F.array_sort(F.collect_list(F.struct("path", "message"))).alias("errors"))
+    one = all_.crossJoin(notes).crossJoin(closing)  # one row each
+    fields = F.to_json(F.struct(F.lit(1).alias("schema_version"), *closing.columns))
+    value = F.concat(F.substring_index(fields, "}", 1), F.lit(',"findings":['), F.array_join("findings", ","), F.lit('],"errors":'), F.to_json("errors"), F.lit("}"))
+    return one.select(value.alias("report"))
+
+
+def throttle_counts(times: DataFrame, gap: int = 100) -> DataFrame:
+    """times (key, ms): how many of a key's times in order are at least ``gap`` after the last one kept: (key, kept).
+
+    Times of a key are read in order as a stream, so a key may have any number of them.
+    """
+    import pandas as pd
+
+    def run(frames):
+        key, last, kept = None, None, 0
+        for pdf in frames:
+            out = []
+            for k, t in zip(pdf["key"].tolist(), pdf["ms"].tolist(), strict=True):
+                if k != key or last is None:
+                    if last is not None:
+                        out.append((key, kept))
+                    key, last, kept = k, t, 1
+                elif t - last >= gap:
+                    last, kept = t, kept + 1
+            if out:
+                yield pd.DataFrame(out, columns=["key", "kept"])
+        if last is not None:
+            yield pd.DataFrame([(key, kept)], columns=["key", "kept"])
+
+    ordered_ = times.select("key", "ms").distinct().repartition("key").sortWithinPartitions("key", "ms")
+    return ordered_.mapInPandas(run, "key long, kept long")
 
 
 def throttle(times: Column, gap: int = 100) -> Column:

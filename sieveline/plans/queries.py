@@ -180,7 +180,7 @@ def _coded(spark, sf):
     return _docs(spark, sf).withColumn("text", F.concat("text", F.lit("\n"), F.base64(F.encode(F.concat(F.lit('password = "inside-'), F.col("doc_id").cast("string"), F.lit('"')), "UTF-8")), F.lit(" .")))
 
 
-_CODED = "SELECT doc_id, source, substr(text, 1, 200) || chr(10) || to_base64(encode('password = \"inside-' || doc_id || '\"')) || ' .' AS text FROM documents"
+_CODED = "SELECT doc_id, source, text || chr(10) || to_base64(encode('password = \"inside-' || doc_id || '\"')) || ' .' AS text FROM documents"
 
 
 def base64_candidates(spark, sf):
@@ -249,8 +249,9 @@ def size_gate(spark, sf):
 def scan_summary(spark, sf):
     docs = _docs(spark, sf)
     inputs = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), "doc_id", "text", "source")
-    kept, errors = scan.size_gate(inputs, 4000)
-    counted = report.stats(inputs.select(F.octet_length("content").cast("long").alias("length")), 4000)
+    limit = scan.Config().max_bytes
+    kept, errors = scan.size_gate(inputs, limit)
+    counted = report.stats(inputs.select(F.octet_length("content").cast("long").alias("length")), limit)
     return report.summary(_scan(kept.select("doc_id", "text", "source"), TOKENS_ONLY), errors).crossJoin(counted)  # one row each
 
 
@@ -270,8 +271,8 @@ def git_occurrences(spark, sf):
     log = orders.select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("tree"))
     oid = (F.col("o_custkey") % 97).alias("oid")
     entries = orders.select(F.col("o_custkey").alias("tree"), oid, F.concat(F.lit("file-"), (F.col("o_custkey") % 97).cast("string"), F.lit(".txt")).alias("path")).distinct()
-    blobs = entries.select("oid", "path").distinct().select("oid", "path", F.col("path").alias("identity"), F.encode(F.concat(F.lit('x\npassword = "blob'), F.col("oid").cast("string"), F.lit('"')), "UTF-8").alias("content"))
-    found = scan.findings(blobs.where("oid % 2 = 0"), scan.Config(base64=False))
+    blobs = entries.select("oid", "path").distinct().select("oid", "path", F.col("path").alias("identity"), F.encode(F.concat(F.when(F.col("oid") % 2 == 0, F.lit('x\npassword = "blob')).otherwise(F.lit('x\nnote = "blob')), F.col("oid").cast("string"), F.lit('"')), "UTF-8").alias("content"))
+    found = scan.findings(blobs, scan.Config(base64=False))
     return git.occurrences(found, entries, log).select("commit", "path", "rule_id", "line")
 
 
@@ -314,8 +315,8 @@ def archive_names(spark, sf):
 
 def progress_throttle(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    each = events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms")).groupBy("user_id").agg(F.array_sort(F.collect_list("ms")).alias("times"))
-    return each.select("user_id", F.size(report.throttle(F.col("times"), 3_600_000)).cast("long").alias("kept"))
+    times = events.select(F.col("user_id").cast("long").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms"))
+    return report.throttle_counts(times, 3_600_000).select(F.col("key").alias("user_id"), "kept")
 
 
 def archive_expand(spark, sf):
@@ -421,11 +422,37 @@ WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (starts_with(matched, 'auth_token') AND l
     "baseline_resolved": f"WITH {_TOKENS} SELECT fingerprint, min(doc_id) AS doc_id FROM located WHERE doc_id % 3 <> 0 AND fingerprint NOT IN (SELECT fingerprint FROM located WHERE doc_id % 3 <> 1) GROUP BY fingerprint",
     "baseline_carry_forward": f"WITH {_TOKENS} SELECT fingerprint, min(doc_id) AS doc_id, CASE WHEN min(doc_id) % 3 <> 0 THEN 'seen in ' || min(doc_id) END AS disposition FROM located WHERE doc_id % 3 <> 1 GROUP BY fingerprint",
     "size_gate": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN strlen(text) > 4000 THEN 'input exceeds 4000 byte limit' ELSE '' END AS message FROM documents",
-    "scan_summary": f"""WITH {_TOKENS}, kept AS (SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE strlen(text) <= 4000),
-over AS (SELECT count(*) AS skipped FROM documents WHERE strlen(text) > 4000),
-n AS (SELECT count(*) AS finding_count FROM located JOIN documents USING (doc_id) WHERE strlen(text) <= 4000)
+    "scan_summary": f"""WITH {_TOKENS}, kept AS (SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE strlen(text) <= 67108864),
+over AS (SELECT count(*) AS skipped FROM documents WHERE strlen(text) > 67108864),
+n AS (SELECT count(*) AS finding_count FROM located JOIN documents USING (doc_id) WHERE strlen(text) <= 67108864)
 SELECT finding_count, skipped AS error_count, skipped = 0 AS complete, CASE WHEN skipped > 0 THEN 2 WHEN finding_count > 0 THEN 1 ELSE 0 END AS exit_code, files, bytes, skipped, files AS detection_passes FROM n, kept, over""",
-    "rule_inventory": "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(r.id)}, {_quoted(r.name)}, {_quoted(r.confidence)})" for r in R.override(R.authored(), R.providers(), [TOKEN], [R.Rule("github-pat", "Overridden", "x(y)", 1)])) + ") t(id, name, confidence)",
+    "rule_inventory": """SELECT * FROM (VALUES
+('corpus-token-assignment', 'Token assigned in text', 'medium'),
+('generic-credential-double', 'Literal assigned to a credential key', 'medium'),
+('generic-credential-single', 'Literal assigned to a credential key', 'medium'),
+('generic-credential-unquoted', 'Literal assigned to a credential key', 'medium'),
+('github-pat', 'Overridden', 'medium'),
+('uri-userinfo-password', 'Password in URI authority userinfo', 'medium'),
+('airtable-pat', 'Airtable personal access token', 'high'),
+('anthropic-api-key', 'Anthropic API key', 'high'),
+('aws-access-key-id', 'AWS access key id', 'high'),
+('databricks-api-token', 'Databricks API token', 'high'),
+('digitalocean-pat', 'DigitalOcean personal access token', 'high'),
+('doppler-api-token', 'Doppler API token', 'high'),
+('flyio-access-token', 'Fly.io access token', 'high'),
+('gitlab-pat', 'GitLab personal access token', 'high'),
+('google-api-key', 'Google API key', 'high'),
+('huggingface-token', 'Hugging Face token', 'high'),
+('linear-api-key', 'Linear API key', 'high'),
+('npm-access-token', 'npm access token', 'high'),
+('planetscale-api-token', 'PlanetScale API token', 'high'),
+('postman-api-token', 'Postman API token', 'high'),
+('pulumi-api-token', 'Pulumi API token', 'high'),
+('sendgrid-api-key', 'SendGrid API key', 'high'),
+('shopify-access-token', 'Shopify access token', 'high'),
+('slack-bot-token', 'Slack bot token', 'high'),
+('stripe-secret-key', 'Stripe secret key', 'high'),
+('twilio-api-key', 'Twilio API key', 'high')) t(id, name, confidence)""",
     "git_occurrences": f"WITH {_RELATIONS} SELECT commit, 'git:' || commit || ':' || path AS path, 'generic-credential-double' AS rule_id, CAST(2 AS BIGINT) AS line FROM commits JOIN entries USING (tree) WHERE oid % 2 = 0",
     "preview_topk": f"WITH {_TOKENS} SELECT row_number() OVER (ORDER BY path, start) - 1 AS place, path, start FROM located ORDER BY path, start LIMIT 10",
     "sarif_results": f"WITH {_TOKENS} SELECT path, start, rule_id AS rule, line, path AS uri FROM located",
@@ -434,5 +461,12 @@ SELECT finding_count, skipped AS error_count, skipped = 0 AS complete, CASE WHEN
     "logical_identities": "SELECT doc_id, source || '/doc-' || doc_id || '.txt' AS identity FROM documents",
     "archive_names": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 4 = 2 THEN 'zip' WHEN doc_id % 5 = 1 OR doc_id % 4 IN (0, 1) THEN 'gzip' END AS format,
 CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id || '.tar' WHEN 1 THEN 'f' || doc_id ELSE 'content' END AS member FROM documents""",
+    "archive_expand": f"""WITH {_TOKENS} SELECT CASE WHEN doc_id % 2 = 1 THEN 'd' || doc_id || '.gz!d' || doc_id ELSE 'd' || doc_id || '.zip!a.txt' END AS path, rule_id, start, "end", line, 'archive_member_bytes' AS coordinate_space FROM located""",
+    "progress_throttle": """WITH RECURSIVE times AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms FROM events),
+kept AS (
+  SELECT user_id, min(ms) AS ms FROM times GROUP BY user_id
+  UNION ALL
+  SELECT k.user_id, min(t.ms) FROM kept k JOIN times t ON t.user_id = k.user_id AND t.ms >= k.ms + 3600000 GROUP BY k.user_id)
+SELECT user_id, count(*) AS kept FROM kept GROUP BY user_id""",
     "utf16_findings": f"SELECT doc_id, sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 1))) AS secret_sha256 FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, 'invalid UTF-16 content' FROM documents WHERE doc_id % 10 = 3",
 }

@@ -44,6 +44,8 @@ class Rule:
     path: str | None = None
     allowlist: tuple[Allow, ...] = field(default_factory=tuple)
     exclude_paths: tuple[str, ...] = ()
+    #: A cheap pattern that every text with a match holds; for rules made here, not a field of rule files.
+    requires: str | None = None
 
     @property
     def rank(self) -> int:
@@ -54,7 +56,7 @@ def _strict(kind, data: dict, what: str):
     """An instance of a dataclass from JSON; unknown fields are refused."""
     if not isinstance(data, dict):
         raise RuleError(f"{what} is not an object")
-    names = {f.name for f in dataclasses.fields(kind)}
+    names = {f.name for f in dataclasses.fields(kind)} - {"requires"}
     if extra := sorted(set(data) - names):
         raise RuleError(f"{what} has unknown fields: {', '.join(extra)}")
     values = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items()}
@@ -89,6 +91,8 @@ def authored() -> list[Rule]:
     """The built-in rules: three for literals assigned to credential keys, one for passwords in URIs."""
     # Patterns and allowlists of the four rules.
     key = r"""(?im)\b(?:[a-z][a-z0-9_]{0,48}[_-])?(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret)\b["']?[ \t]*[:=]"""
+    # The end of each key and what stands behind it: what any of the three needs.
+    assigned = r"""(?i)(?:passw(?:or)?d|pwd|secret|key|token)["']?[ \t]*[:=]"""
     values = {
         "double": r"""[ \t]*(?:\r?\n[ \t]*)?"([^"\r\n\\]{4,128})"[ \t]*(?:[,;})\]]|#|//|/\*|\r?$)""",
         "single": r"""[ \t]*(?:\r?\n[ \t]*)?'([^'\r\n\\]{4,128})'[ \t]*(?:[,;})\]]|#|//|/\*|\r?$)""",
@@ -101,7 +105,7 @@ def authored() -> list[Rule]:
     config = r"(?i)^config\.[a-z_]\w*(?:\.[a-z_]\w*)*$"
     keywords = ("password", "passwd", "pwd", "secret", "api", "access", "auth", "client")
     out = [
-        Rule(f"generic-credential-{k}", "Literal assigned to a credential key", key + v, 1, keywords, allowlist=(Allow(regexes=(literals, templates, lookups, samples) + (config,) * (k == "unquoted")),))
+        Rule(f"generic-credential-{k}", "Literal assigned to a credential key", key + v, 1, keywords, allowlist=(Allow(regexes=(literals, templates, lookups, samples) + (config,) * (k == "unquoted")),), requires=assigned)
         for k, v in values.items()
     ]
     uri = r"""(?i)\b(?:postgres(?:ql)?|mysql|https?|rediss?)://[^:/@\s"'<>?#]*:([^/@\s"'<>?#]+)@(?:\[[0-9a-f:]+\]|[a-z0-9][a-z0-9.-]*)"""
@@ -123,6 +127,17 @@ def providers() -> list[Rule]:
         ("digitalocean-pat", "DigitalOcean personal access token", r"\b(dop_v1_[a-f0-9]{64})\b", "dop_v1_"),
         ("huggingface-token", "Hugging Face token", r"\b(hf_[A-Za-z]{34})\b", "hf_"),
         ("google-api-key", "Google API key", r"\b(AIza[A-Za-z0-9_-]{35})(?:[^A-Za-z0-9_-]|\z)", "aiza"),
+        ("twilio-api-key", "Twilio API key", r"\b(SK[0-9a-f]{32})\b", "sk"),
+        ("doppler-api-token", "Doppler API token", r"\b(dp\.pt\.[A-Za-z0-9]{43})\b", "dp.pt."),
+        ("linear-api-key", "Linear API key", r"\b(lin_api_[A-Za-z0-9]{40})\b", "lin_api_"),
+        ("postman-api-token", "Postman API token", r"\b(PMAK-[0-9a-f]{24}-[0-9a-f]{34})\b", "pmak-"),
+        ("pulumi-api-token", "Pulumi API token", r"\b(pul-[0-9a-f]{40})\b", "pul-"),
+        ("shopify-access-token", "Shopify access token", r"\b(shpat_[0-9a-f]{32})\b", "shpat_"),
+        ("databricks-api-token", "Databricks API token", r"\b(dapi[0-9a-f]{32})\b", "dapi"),
+        ("anthropic-api-key", "Anthropic API key", r"\b(sk-ant-api03-[A-Za-z0-9_-]{93}AA)(?:[^A-Za-z0-9_-]|\z)", "sk-ant-api03-"),
+        ("planetscale-api-token", "PlanetScale API token", r"\b(pscale_tkn_[A-Za-z0-9_-]{48})(?:[^A-Za-z0-9_-]|\z)", "pscale_tkn_"),
+        ("airtable-pat", "Airtable personal access token", r"\b(pat[A-Za-z0-9]{14}\.[0-9a-f]{64})\b", "pat"),
+        ("flyio-access-token", "Fly.io access token", r"\b(fo1_[A-Za-z0-9_-]{43})(?:[^A-Za-z0-9_-]|\z)", "fo1_"),
     ]
     return [Rule(i, n, p, 1, (k,), confidence="high") for i, n, p, k in formats]
 

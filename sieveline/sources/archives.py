@@ -62,6 +62,11 @@ def _members(form: str, name: str, data: bytes):
                     yield m.name, t.extractfile(m), None
                 elif m.issym() or m.islnk():
                     yield m.name, None, "archive link is not followed"
+                elif not m.isdir():
+                    yield m.name, None, "archive member type is unsupported"
+            # The reader stops at a header it cannot read as it does at the end: only a block of zeros is the end.
+            if data[t.offset : t.offset + tarfile.BLOCKSIZE] != bytes(tarfile.BLOCKSIZE):
+                raise tarfile.ReadError("no end of the archive")
 
 
 def expand_one(path: str, identity: str, data: bytes, max_bytes: int, depth: int = 0, left: list[int] | None = None):

@@ -93,3 +93,12 @@ def read(spark: SparkSession, roots: list[str], respect_ignore: bool = True, max
     over = F.col("length") > max_bytes
     errors = errors.unionByName(files.where(over).select(F.col("display").alias("path"), F.lit(f"input exceeds {max_bytes} byte limit").alias("message")))
     return files.where(~over).select(F.col("display").alias("path"), F.regexp_replace("file", "^file:", "").alias("identity"), "content"), errors
+
+
+def given(spark: SparkSession, stream, max_bytes: int, name: str = "<stdin>") -> tuple[DataFrame, DataFrame]:
+    """(input, errors) of one stream of bytes, of which no more than the limit and one byte is read."""
+    data = stream.read(max_bytes + 1)
+    over = len(data) > max_bytes
+    inputs = spark.createDataFrame([] if over else [(name, name, bytearray(data))], "path string, identity string, content binary")
+    errors = spark.createDataFrame([(name, f"input exceeds {max_bytes} byte limit")] if over else [], "path string, message string")
+    return inputs, errors

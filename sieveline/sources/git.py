@@ -15,6 +15,13 @@ def _git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True).stdout
 
 
+def root(place: str) -> str:
+    """The top of the working tree that holds a directory, or the directory itself for a bare repository."""
+    if _git(place, "rev-parse", "--is-bare-repository").strip() == b"true":
+        return place
+    return _git(place, "rev-parse", "--show-toplevel").decode(errors="surrogateescape").rstrip("\n")
+
+
 def commits(spark: SparkSession, repo: str, revisions: str | None = None) -> DataFrame:
     """(commit, tree) of all local refs or of a range of revisions."""
     if revisions is not None and not revisions.strip():
@@ -23,17 +30,24 @@ def commits(spark: SparkSession, repo: str, revisions: str | None = None) -> Dat
     return spark.createDataFrame(list(zip(out[::2], out[1::2], strict=True)), "commit string, tree string")
 
 
-def tree_entries(spark: SparkSession, repo: str, trees: list[str]) -> DataFrame:
-    """(tree, oid, path) of the files of trees; links to other repositories are left out."""
-    rows = []
-    for tree in trees:
-        for line in _git(repo, "ls-tree", "-r", "-z", tree).decode(errors="surrogateescape").split("\0"):
-            if line:
-                head, path = line.split("\t", 1)
-                mode, kind, oid = head.split(" ")
-                if kind == "blob" and mode != "120000":
-                    rows.append((tree, oid, path.encode(errors="surrogateescape").decode(errors="replace")))
-    return spark.createDataFrame(rows, "tree string, oid string, path string")
+def tree_entries(trees: DataFrame, repo: str) -> DataFrame:
+    """(tree, oid, path) of the files of trees (tree), listed by the tasks; links to other repositories are left out."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for tree in pdf["tree"].tolist():
+                rows = []
+                for line in _git(repo, "ls-tree", "-r", "-z", tree).decode(errors="surrogateescape").split("\0"):
+                    if line:
+                        head, path = line.split("\t", 1)
+                        mode, kind, oid = head.split(" ")
+                        if kind == "blob" and mode != "120000":
+                            rows.append((tree, oid, path.encode(errors="surrogateescape").decode(errors="replace")))
+                yield pd.DataFrame(rows, columns=["tree", "oid", "path"])
+
+    return trees.select("tree").repartition("tree").mapInPandas(run, "tree string, oid string, path string")
 
 
 def staged_entries(spark: SparkSession, repo: str) -> DataFrame:
@@ -49,37 +63,59 @@ def staged_entries(spark: SparkSession, repo: str) -> DataFrame:
     return spark.createDataFrame(rows, "oid string, path string")
 
 
-def blobs(oids: DataFrame, repo: str) -> DataFrame:
-    """(oid, content) read by the tasks; the repository must be reachable from them."""
+#: Bytes of blobs that are read at a time, about.
+_READ = 32 << 20
 
-    def run(frames):
-        import pandas as pd
 
-        for pdf in frames:
-            wanted = pdf["oid"].tolist()
-            out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input="\n".join(wanted).encode() + b"\n", capture_output=True, check=True).stdout
-            at, contents = 0, []
-            for _ in wanted:
-                end = out.index(b"\n", at)
-                size = int(out[at:end].split()[2])
-                contents.append(out[end + 1 : end + 1 + size])
-                at = end + 2 + size
-            yield pd.DataFrame({"oid": wanted, "content": contents})
+def blobs(oids: DataFrame, repo: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """(oid, content, error) read by the tasks; the repository must be reachable from them.
+
+    Sizes are asked for first: a blob beyond the limit is not read, and a missing object costs that object only.
+    """
 
-    return oids.select("oid").distinct().mapInPandas(run, "oid string, content binary")
+    def ask(what: str, wanted: list[str]) -> bytes:
+        return subprocess.run(["git", "-C", repo, "cat-file", what], input="\n".join(wanted).encode() + b"\n", capture_output=True, check=True).stdout
 
+    def groups(sizes):
+        group, total = [], 0
+        for oid, size in sizes:
+            if group and total + size > _READ:
+                yield group
+                group, total = [], 0
+            group.append(oid)
+            total += size
+        if group:
+            yield group
 
-def size_errors(contents: DataFrame, max_bytes: int) -> DataFrame:
-    return contents.where(F.octet_length("content") > max_bytes).select(F.concat(F.lit("git-object:"), "oid").alias("path"), F.lit(f"blob exceeds {max_bytes} byte limit").alias("message"))
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            heads = [line.split(" ") for line in ask("--batch-check", pdf["oid"].tolist()).decode().splitlines()] if len(pdf) else []
+            bad = [(h[0], None, "git object is missing or unreadable") for h in heads if len(h) != 3 or h[1] != "blob"]
+            sizes = [(h[0], int(h[2])) for h in heads if len(h) == 3 and h[1] == "blob"]
+            bad += [(oid, None, f"blob exceeds {max_bytes} byte limit") for oid, size in sizes if size > max_bytes]
+            if bad:
+                yield pd.DataFrame(bad, columns=["oid", "content", "error"])
+            for group in groups((oid, size) for oid, size in sizes if size <= max_bytes):
+                out, at, rows = ask("--batch", group), 0, []
+                for oid in group:
+                    end = out.index(b"\n", at)
+                    size = int(out[at:end].split()[2])
+                    rows.append((oid, out[end + 1 : end + 1 + size], None))
+                    at = end + 2 + size
+                yield pd.DataFrame(rows, columns=["oid", "content", "error"])
+
+    return oids.select("oid").distinct().mapInPandas(run, "oid string, content binary, error string")
 
 
 def decoded(contents: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(contents within the limit, UTF-16 ones decoded and flagged; errors of all others)."""
+    """Of blobs (oid, content, error): (contents, UTF-16 ones decoded and flagged; errors of all others)."""
     from sieveline.sources import encodings
 
-    small = contents.where(F.octet_length("content") <= max_bytes).withColumn("path", F.concat(F.lit("git-object:"), "oid"))
-    good, malformed = encodings.decode_utf16(small)
-    return good.drop("path"), size_errors(contents, max_bytes).unionByName(malformed)
+    named = contents.withColumn("path", F.concat(F.lit("git-object:"), "oid"))
+    good, malformed = encodings.decode_utf16(named.where("error is null").drop("error"))
+    return good.drop("path"), named.where("error is not null").select("path", F.col("error").alias("message")).unionByName(malformed)
 
 
 def occurrences(found: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
@@ -93,10 +129,10 @@ def history(spark: SparkSession, repo: str, revisions: str | None = None, config
     """(findings with a commit each, errors) of a repository's history."""
     from sieveline.operators import scan
 
+    repo = root(repo)
     log = commits(spark, repo, revisions)
-    trees = [r[0] for r in log.select("tree").distinct().collect()]
-    entries = tree_entries(spark, repo, trees)
-    contents, errors = decoded(blobs(entries, repo), max_bytes)
+    entries = tree_entries(log.select("tree").distinct(), repo).cache()  # listed once, read by three joins
+    contents, errors = decoded(blobs(entries, repo, max_bytes), max_bytes)
     inputs = contents.join(entries.select("oid", "path").distinct(), "oid").withColumn("identity", F.col("path"))
     return occurrences(scan.findings(inputs, config), entries, log), errors
 
@@ -105,7 +141,8 @@ def staged(spark: SparkSession, repo: str, config=None, max_bytes: int = 64 << 2
     """(findings, errors) of the index's version of changed files."""
     from sieveline.operators import scan
 
+    repo = root(repo)
     entries = staged_entries(spark, repo)
-    contents, errors = decoded(blobs(entries, repo), max_bytes)
+    contents, errors = decoded(blobs(entries, repo, max_bytes), max_bytes)
     inputs = contents.join(entries, "oid").withColumn("identity", F.col("path"))
     return scan.findings(inputs, config).drop("oid"), errors

@@ -251,3 +251,36 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["rules"]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 4
+
+
+def test_preview_looks_at_all_findings(spark):
+    """Very many findings that do not fit hide none that does."""
+    rows = [("generic", None, "p" * 500 + f"{i:03d}", i, i + 1, 1, 1, "r", "f", "e", "low", False, "s") for i in range(100)]
+    rows += [("generic", None, f"z{i}", i, i + 1, 1, 1, "r", "f", "e", "low", False, "s") for i in range(5)]
+    found = report.preview(spark.createDataFrame(rows, scan.FINDING), rows=3, budget=1150).collect()
+    assert [r.place for r in found] == [0, 1, 2]
+    assert [x["path"][:2] for x in (__import__("json").loads(r.finding) for r in found)] == ["pp", "z0", "z1"]
+
+
+def test_json_document(spark):
+    import json
+
+    rows = [("b", None, "p2", 3, 4, 1, 1, "r", "f", "e", "low", False, "s"), ("a", ["a", "b"], "p1", 1, 2, 1, 1, "r", "f", "e", "low", False, "s")]
+    found = spark.createDataFrame(rows, scan.FINDING)
+    errors = spark.createDataFrame([("q", 'bad "x"')], "path string, message string")
+    out = json.loads(report.document(found, errors, report.summary(found, errors)).first()[0])
+    assert [f["path"] for f in out["findings"]] == ["p1", "p2"] and out["errors"] == [{"path": "q", "message": 'bad "x"'}]
+    assert (out["schema_version"], out["finding_count"], out["complete"], out["exit_code"]) == (1, 2, False, 2)
+
+
+def test_sums_of_long_arrays(spark):
+    from sieveline.operators import detect
+
+    for n in (0, 1, 255, 256, 257, 2000):
+        row = spark.range(1).select(detect.running(F.transform(F.slice(F.sequence(F.lit(1), F.lit(3000)), F.lit(1), F.lit(n)), lambda x: x.cast("bigint"))).alias("s")).first()
+        assert row.s == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_throttle_counts(spark):
+    times = spark.createDataFrame([(1, t) for t in (0, 50, 100, 100, 199, 200)] + [(2, 7)], "key long, ms long")
+    assert sorted(tuple(r) for r in report.throttle_counts(times).collect()) == [(1, 3), (2, 1)]

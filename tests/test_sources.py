@@ -126,3 +126,53 @@ def test_patterns():
         except regex.Unsupported:
             continue
         raise AssertionError(bad)
+
+
+def test_damaged_tars_are_errors():
+    import io
+    import tarfile
+
+    from sieveline.sources import archives
+
+    sink = io.BytesIO()
+    with tarfile.open(fileobj=sink, mode="w") as out:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = 3
+            out.addfile(info, io.BytesIO(b"abc"))
+        pipe = tarfile.TarInfo("pipe")
+        pipe.type = tarfile.FIFOTYPE
+        out.addfile(pipe)
+    whole = sink.getvalue()
+    rows = list(archives.expand_one("x.tar", "x.tar", whole, 1 << 20))
+    assert [(r[0], r[2], r[3]) for r in rows] == [("x.tar!a", b"abc", None), ("x.tar!b", b"abc", None), ("x.tar!pipe", None, "archive member type is unsupported")]
+    damaged = whole[:1024] + b"\xff" * 512 + whole[1536:]
+    assert [r[3] for r in archives.expand_one("x.tar", "x.tar", damaged, 1 << 20)] == [None, "archive is corrupt or unsupported"]
+    assert list(archives.expand_one("x.tar", "x.tar", whole[:1024], 1 << 20))[-1][3] == "archive is corrupt or unsupported"
+
+
+def test_git_missing_and_large_objects(spark, tmp_path):
+    import subprocess
+
+    from sieveline.sources import git
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], capture_output=True, check=True).stdout.decode().strip()
+    run("init", "-q")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "f").write_text("x" * 100)
+    big, gone = run("hash-object", "-w", "sub/f"), "0" * 39 + "1"
+    got = {r.oid: (r.content, r.error) for r in git.blobs(spark.createDataFrame([(big,), (gone,)], "oid string"), str(tmp_path), 50).collect()}
+    assert got == {big: (None, "blob exceeds 50 byte limit"), gone: (None, "git object is missing or unreadable")}
+    assert git.blobs(spark.createDataFrame([(big,)], "oid string"), str(tmp_path)).first().content == b"x" * 100
+    assert git.root(str(tmp_path / "sub")) == str(tmp_path)
+
+
+def test_standard_input(spark):
+    import io
+
+    from sieveline.sources import files
+
+    inputs, errors = files.given(spark, io.BytesIO(b"abc"), 3)
+    assert inputs.first().content == b"abc" and errors.count() == 0
+    inputs, errors = files.given(spark, io.BytesIO(b"abcd"), 3)
+    assert inputs.count() == 0 and errors.count() == 1
