@@ -349,15 +349,20 @@ def archive_expand(spark, sf):
 
 def stream_scan(spark, sf):
     """A stream of documents scanned in micro-batches into a table."""
+    import tempfile
     import uuid
 
     from sieveline.streaming import scan as streaming
 
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:/tmp/sieveline-stream"
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     place = f"{place}/stream-{uuid.uuid4().hex[:12]}"
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select("doc_id", _path().alias("path"), fn.logical_identity(_path()).alias("identity"), F.encode("text", "UTF-8").alias("content"))
-    query = streaming.start(docs, lambda rows, _: rows.drop("matched_rule_ids").write.mode("append").parquet(f"{place}/findings"), f"{place}/state", TOKENS_ONLY)
+    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.[p]arquet").select("doc_id", _path().alias("path"), fn.logical_identity(_path()).alias("identity"), F.encode("text", "UTF-8").alias("content"))
+    query = streaming.start(docs, lambda rows, batch: rows.drop("matched_rule_ids").write.mode("overwrite").parquet(f"{place}/findings/batch={batch}"), f"{place}/state", TOKENS_ONLY)
     query.awaitTermination()
     return spark.read.parquet(f"{place}/findings").select("doc_id", "rule_id", "path", "start", "end", "line", "column", "fingerprint")
 
