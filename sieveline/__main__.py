@@ -31,6 +31,7 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from sieveline.operators import baseline, report, scan
     from sieveline.plans import context as C
@@ -48,6 +49,8 @@ def main(args: list[str] | None = None) -> int:
         else:
             inputs, errors = files.read(spark, given.paths, not given.no_ignore, given.max_bytes)
         rows = archives.expand(inputs, given.max_bytes)
+        # Members count, not their archives.
+        counted = report.stats(rows.where("error is null").select(F.octet_length("content").cast("long").alias("length")), given.max_bytes)
         errors = errors.unionByName(rows.where("error is not null").select("path", rows["error"].alias("message")))
         members, malformed = encodings.decode_utf16(rows.where("error is null"))
         errors = errors.unionByName(malformed)
@@ -57,8 +60,10 @@ def main(args: list[str] | None = None) -> int:
     elif given.command == "history":
         found, errors = git.history(spark, given.repo, given.range, config, given.max_bytes)
         found = found.drop("oid", "commit")
+        counted = git.stats(git.history_entries(spark, given.repo, given.range), given.repo, given.max_bytes)
     else:
         found, errors = git.staged(spark, given.repo, config, given.max_bytes)
+        counted = git.stats(git.staged_entries(spark, git.root(given.repo)), given.repo, given.max_bytes)
     found, errors = found.cache(), errors.cache()
     scanned = C.context(given.command, given.paths if given.command == "scan" else [given.repo, getattr(given, "range", None) or ""], config)
     complete = errors.limit(1).count() == 0
@@ -67,7 +72,7 @@ def main(args: list[str] | None = None) -> int:
     if given.baseline:
         old, own = baseline.read(spark, given.baseline)
         found = baseline.diff(found, old, complete=complete, context=scanned, baseline_context=own)[0]
-    closing = report.summary(found, errors)
+    closing = report.closed(report.summary(found, errors), counted, scanned)
     whole = {"sarif": lambda: report.sarif(found, errors), "json": lambda: report.document(found, errors, closing)}
     out = whole[given.format]() if given.format in whole else report.json_lines(found, errors, closing)
     for row in out.toLocalIterator():

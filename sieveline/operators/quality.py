@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,18 +23,52 @@ def classify(findings: DataFrame, labels: DataFrame) -> DataFrame:
     seen = pairs.groupBy("finding_id", "path", "start", "end").agg(ids(exact).alias("exact"), ids(overlap).alias("near"), F.coalesce(F.max(shared > 0), F.lit(False)).alias("touches"))
     seen = seen.withColumn("met", F.when(F.size("exact") > 0, F.col("exact")).otherwise(F.col("near")))
     lost = (F.size("met") > 1) | ((F.size("met") == 0) & F.col("touches"))
-    seen = seen.select("finding_id", "path", "start", "end", lost.alias("lost"), F.get("met", F.lit(0))["label_id"].alias("label_id"), F.get("met", F.lit(0))["label"].alias("label"), (F.size("exact") > 0).alias("exact"))
+    seen = seen.select("finding_id", "path", "start", "end", F.transform("met", lambda x: x["label_id"]).alias("candidates"), lost.alias("lost"), F.get("met", F.lit(0))["label_id"].alias("label_id"), F.get("met", F.lit(0))["label"].alias("label"), (F.size("exact") > 0).alias("exact"))
     place = F.when(F.col("label_id").isNotNull(), F.concat(F.lit("label "), F.col("label_id").cast("string"))).otherwise(F.concat_ws(" ", F.lit("span"), "path", F.col("start").cast("string"), F.col("end").cast("string")))
     nth = F.row_number().over(Window.partitionBy("lost", place).orderBy("finding_id"))
     kind = F.when(F.col("lost"), "unlocalized").when(F.col("nth") > 1, "duplicate").when(F.col("label") == "positive", "tp").otherwise("fp")
-    return seen.withColumn("nth", nth).select("finding_id", "label_id", "exact", kind.alias("class"))
+    return seen.withColumn("nth", nth).select("finding_id", "path", "label_id", "exact", "candidates", kind.alias("class"))
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b)
 
 
 def confusion(findings: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: tp, fp, fn, unlocalized, duplicates, precision, recall."""
+    """One row: tp, fp, fn, tn, unlocalized, duplicates, precision, recall, f1, negative_labels_flagged, negative_labels_unresolved.
+
+    A negative label that a finding may mean which is not localized (one of several that it meets, or any of its path) is unresolved, not a true negative.
+    """
     n = lambda k: F.count(F.when(F.col("class") == k, 1))
-    got = classify(findings, labels).agg(n("tp").alias("tp"), n("fp").alias("fp"), n("unlocalized").alias("unlocalized"), n("duplicate").alias("duplicates"))
-    all_ = labels.agg(F.count(F.when(F.col("label") == "positive", 1)).alias("positives"))
-    one = got.crossJoin(all_)  # one row each
-    share = lambda a, b: F.when(b > 0, a / b)
-    return one.select("tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), "unlocalized", "duplicates", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("positives")).alias("recall"))
+    seen = classify(findings, labels)
+    negative = labels.where("label = 'negative'").select("path", F.col("label_id").alias("negative_id"))
+    flagged = seen.where("class = 'fp' AND label_id IS NOT NULL").select(F.col("label_id").alias("negative_id")).distinct()
+    lost = seen.where("class = 'unlocalized'").select("path", "candidates").distinct()
+    meant = (F.size("candidates") == 0) | F.array_contains("candidates", F.col("negative_id"))
+    open_ = lost.join(negative, "path").where(meant).select("negative_id").distinct().join(flagged, "negative_id", "left_anti")
+    got = seen.agg(n("tp").alias("tp"), n("fp").alias("fp"), n("unlocalized").alias("unlocalized"), n("duplicate").alias("duplicates"))
+    kinds = (F.count(F.when(F.col("label") == k, 1)).alias(k) for k in ("positive", "negative"))
+    counted = (flagged.agg(F.count("*").alias("negative_labels_flagged")), open_.agg(F.count("*").alias("negative_labels_unresolved")))
+    one = got.crossJoin(labels.agg(*kinds)).crossJoin(counted[0]).crossJoin(counted[1])  # one row each
+    one = one.withColumn("precision", _share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _share(F.col("tp"), F.col("positive")))
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).when(F.col("positive") > 0, 0.0)
+    tn = F.col("negative") - F.col("negative_labels_flagged") - F.col("negative_labels_unresolved")
+    return one.select(
+        "tp", "fp", (F.col("positive") - F.col("tp")).alias("fn"), tn.alias("tn"), "unlocalized", "duplicates", "precision", "recall", f1.alias("f1"),
+        "negative_labels_flagged", "negative_labels_unresolved",
+    )
+
+
+def recall_by(findings: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """Of the positive labels, for each value of a label column such as provider or group (null: unspecified): (by, total, tp, recall)."""
+    met = classify(findings, labels).where("class = 'tp'").select("label_id", F.lit(1).alias("met"))
+    each = labels.where("label = 'positive'").select("label_id", F.coalesce(F.col(by).cast("string"), F.lit("unspecified")).alias(by))
+    got = each.join(met, "label_id", "left").groupBy(by).agg(F.count("*").alias("total"), F.count("met").alias("tp"))
+    return got.select(by, "total", "tp", _share(F.col("tp"), F.col("total")).alias("recall"))
+
+
+def missed(findings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The positive labels that no finding meets."""
+    met = classify(findings, labels).where("class = 'tp'").select("label_id")
+    return labels.where("label = 'positive'").join(met, "label_id", "left_anti")

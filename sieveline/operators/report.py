@@ -10,6 +10,7 @@ from sieveline.functions import text as fn
 FINDING_ORDER = ("path", "start", "end", "rule_id", "fingerprint")
 PREVIEW_ROWS, PREVIEW_BYTES = 100, 512 << 10
 TOOL = "sieveline"
+CANCELLED = "scan cancelled; remaining inputs were not fully scanned"
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -41,16 +42,60 @@ def finding_json(findings: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in findings.columns)))
 
 
+def _record(kind: str, *fields) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), *fields)).alias("value")
+
+
+def _found(findings: DataFrame) -> Column:
+    return _record("finding", F.struct(*findings.columns).alias("finding"))
+
+
+def _wrong() -> Column:
+    return _record("error", F.struct("path", "message").alias("error"))
+
+
+def closed(closing: DataFrame, counted: DataFrame, context: dict | None = None) -> DataFrame:
+    """A summary (one row) with the stats (one row) of what was scanned and the scan's context."""
+    own = counted.select(F.struct(*counted.columns).alias("stats"))
+    told = closing.crossJoin(own)  # one row each
+    return told if context is None else told.withColumn("context", F.struct(*(F.array(*map(F.lit, v)).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in context.items())))
+
+
 def json_lines(findings: DataFrame, errors: DataFrame, closing: DataFrame) -> DataFrame:
     """Lines in order: findings, errors, the summary. One column ``value``, for write.text."""
+    none = F.lit(0).cast("bigint").alias("at")
     rows = [
-        findings.select(F.lit(0).alias("part"), *FINDING_ORDER[:1], F.col("start").alias("at"), F.to_json(F.struct(F.lit("finding").alias("type"), F.struct(*findings.columns).alias("finding"))).alias("value")),
-        errors.select(F.lit(1).alias("part"), "path", F.lit(0).cast("bigint").alias("at"), F.to_json(F.struct(F.lit("error").alias("type"), F.struct("path", "message").alias("error"))).alias("value")),
-        closing.select(F.lit(2).alias("part"), F.lit("").alias("path"), F.lit(0).cast("bigint").alias("at"), F.to_json(F.struct(F.lit("summary").alias("type"), F.lit(1).alias("schema_version"), *closing.columns)).alias("value")),
+        findings.select(F.lit(0).alias("part"), *FINDING_ORDER[:1], F.col("start").alias("at"), _found(findings)),
+        errors.select(F.lit(1).alias("part"), "path", none, _wrong()),
+        closing.select(F.lit(2).alias("part"), F.lit("").alias("path"), none, _record("summary", F.lit(1).alias("schema_version"), *closing.columns)),
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).orderBy("part", "path", "at", "value").select("value")
 
 
+def events(findings: DataFrame, errors: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Records as they come, in no order: findings, errors and, with the stats of what was scanned so far, one of progress. One column ``value``."""
+    out = findings.select(_found(findings)).unionByName(errors.select(_wrong()))
+    return out if counted is None else out.unionByName(counted.select(_record("progress", F.struct(*counted.columns).alias("stats"))))
+
+
+def written(findings: DataFrame, errors: DataFrame, place: str, group: str) -> DataFrame:
+    """Write findings as Parquet under a job group's name; the errors, with one row more if the group is cancelled meanwhile.
+
+    Spark commits a table as a whole, so a cancelled scan leaves no findings behind, and its summary is incomplete. Other failures are raised.
+    """
+    spark = findings.sparkSession
+    spark.sparkContext.setJobGroup(group, "scan", interruptOnCancel=True)
+    try:
+        findings.write.parquet(place)
+    except Exception as e:
+        if "cancelled" not in str(e):
+            raise
+        return errors.unionByName(spark.createDataFrame([("scan", CANCELLED)], "path string, message string"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return errors
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """Distinct rules with the explanation of their first finding."""
     return findings.groupBy("rule_id").agg(F.min_by("explanation", F.struct(*FINDING_ORDER)).alias("text"))
@@ -117,7 +162,7 @@ def document(findings: DataFrame, errors: DataFrame, closing: DataFrame) -> Data
     notes = errors.agg(F.array_sort(F.collect_list(F.struct("path", "message"))).alias("errors"))
     one = all_.crossJoin(notes).crossJoin(closing)  # one row each
     fields = F.to_json(F.struct(F.lit(1).alias("schema_version"), *closing.columns))
-    value = F.concat(F.substring_index(fields, "}", 1), F.lit(',"findings":['), F.array_join("findings", ","), F.lit('],"errors":'), F.to_json("errors"), F.lit("}"))
+    value = F.concat(F.regexp_replace(fields, r"\}\z", ""), F.lit(',"findings":['), F.array_join("findings", ","), F.lit('],"errors":'), F.to_json("errors"), F.lit("}"))
     return one.select(value.alias("report"))
 
 

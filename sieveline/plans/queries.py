@@ -139,8 +139,7 @@ def entropy_filter(spark, sf):
 
 
 def entropy_values(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", F.substring("source", 1, 5).alias("s"))
-    return docs.select("doc_id", F.round(fn.entropy(F.concat("s", F.col("doc_id").cast("string"))), 9).alias("bits"))
+    return _docs(spark, sf).select("doc_id", F.round(fn.entropy(F.col("text")), 6).alias("bits"))
 
 
 def allowlist_groups(spark, sf):
@@ -153,14 +152,22 @@ def prose_filter(spark, sf):
     return _secret_hash(_scan(_seeded(spark, sf), scan.Config((rule,), builtin=False, base64=False), secrets=True))
 
 
+#: What goes before a contextual match's secret and behind it, by doc_id, next to the documents' own words.
+_LEADS = "CASE doc_id % 4 WHEN 0 THEN 'api_key \"' WHEN 1 THEN '\" \"' WHEN 2 THEN 'key: ' ELSE '{\"key\": \"' END"
+_TAILS = "CASE doc_id % 3 WHEN 0 THEN '\" : ' WHEN 1 THEN '\", x' ELSE '' END"
+
+
 def non_value_filter(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN 'api_key, \"' WHEN 1 THEN '\"api_key\", \"' WHEN 2 THEN 'key: ' ELSE '{\"key\": \"' END").alias("lead"), F.expr("CASE doc_id % 3 WHEN 0 THEN '\" : 1' WHEN 1 THEN '\", x' ELSE '' END").alias("tail"))
-    return docs.select("doc_id", fn.is_non_value(F.col("lead"), F.col("tail")).alias("non_value"))
+    lead = F.concat(F.substring_index("text", ".", 1), F.lit(" "), F.expr(_LEADS))
+    tail = F.concat(F.expr(_TAILS), F.substring_index("text", ".", -1))
+    return _docs(spark, sf).select("doc_id", fn.is_non_value(lead, tail).alias("non_value"))
 
 
 _TWO = (
     R.Rule("generic-a", "A", r'token = "([0-9a-f]{40})"', 1, ("token",), confidence="high"), R.Rule("provider-z", "Z", r'"([0-9a-f]{40})"', 1, ("token",)),
-    R.Rule("provider-b", "B", r'= "([0-9a-f]{40})"', 1, ("token",), confidence="high"), R.Rule("provider-a", "PA", r'n = "([0-9a-f]{40})"', 1, ("token",), confidence="high"),
+    R.Rule("provider-b", "B", r'= "([0-7][0-9a-f]{39})"', 1, ("token",), confidence="high"),
+    R.Rule("provider-a", "PA", r'n = "([0-9a-f]{39}[a-f])"', 1, ("token",), confidence="high"),
+    R.Rule("generic-half", "H", r'token = "([0-9a-f]{20})', 1, ("token",)),
 )
 
 
@@ -276,11 +283,20 @@ def git_occurrences(spark, sf):
     return git.occurrences(found, entries, log).select("commit", "path", "rule_id", "line")
 
 
-def quality_confusion(spark, sf):
+def _scored(spark, sf):
+    """Findings, shifted by up to 30 of their 40 bytes, and their spans as labels."""
     found = regex_findings(spark, sf).withColumn("finding_id", F.xxhash64("path", "start"))
     shifted = found.select("finding_id", "path", (F.col("start") - F.col("doc_id") % 4 * 10).alias("start"), (F.col("end") - F.col("doc_id") % 4 * 10).alias("end"))
-    labels = found.select(F.col("finding_id").alias("label_id"), "path", "start", "end", F.when(F.col("doc_id") % 5 == 0, "negative").otherwise("positive").alias("label"))
-    return quality.confusion(shifted, labels)
+    label = F.when(F.col("doc_id") % 5 == 0, "negative").otherwise("positive").alias("label")
+    return shifted, found.select(F.col("finding_id").alias("label_id"), "path", "start", "end", label, F.split_part("path", F.lit("/"), F.lit(1)).alias("provider"))
+
+
+def quality_confusion(spark, sf):
+    return quality.confusion(*_scored(spark, sf))
+
+
+def quality_by_provider(spark, sf):
+    return quality.recall_by(*_scored(spark, sf), "provider")
 
 
 def preview_topk(spark, sf):
@@ -387,16 +403,52 @@ QUERIES = {
     for f in (
         keyword_gate, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
         exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
-        git_occurrences, quality_confusion, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
+        git_occurrences, quality_confusion, quality_by_provider, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
     )
 }
 
 _SIMPLE_TOKEN = _quoted(TOKEN.pattern)
-_MERGED = "SELECT doc_id, start, \"end\", 'provider-a' AS rule_id, 'generic-a,provider-a,provider-b,provider-z' AS matched FROM located"
+#: Which rules meet in a span depends on the token's first and last digit; half a token is a span of its own.
+_MERGED = """SELECT l.doc_id, l.start, l."end", CASE WHEN p.last THEN 'provider-a' WHEN p.first THEN 'provider-b' ELSE 'provider-z' END AS rule_id,
+  'generic-a' || CASE WHEN p.last THEN ',provider-a' ELSE '' END || CASE WHEN p.first THEN ',provider-b' ELSE '' END || ',provider-z' AS matched
+FROM located l JOIN (SELECT doc_id, strlen(prefix) AS start, regexp_matches(secret, '^[0-7]') AS first, regexp_matches(secret, '[a-f]$') AS last FROM placed) p
+  ON l.doc_id = p.doc_id AND l.start = p.start
+UNION ALL SELECT doc_id, start, start + 20, 'generic-half', NULL FROM located"""
 #: Entropy of a string in SQL.
-_BITS = "list_sum(list_transform(list_distinct(string_split(s, '')), lambda c: -(strlen(s) - strlen(replace(s, c, ''))) / strlen(s) * log2((strlen(s) - strlen(replace(s, c, ''))) / strlen(s))))"
+_BITS = "list_sum(list_transform(list_distinct(string_split(s, '')), lambda c: -(length(s) - length(replace(s, c, ''))) / length(s) * log2((length(s) - length(replace(s, c, ''))) / length(s))))"
+
+#: Findings of _scored with the labels that they meet, and their classes.
+_SCORED = f"""{_TOKENS},
+labels AS (SELECT path, start AS l, "end" AS r, doc_id % 5 <> 0 AS positive FROM located),
+shown AS (SELECT path, start AS id, start - doc_id % 4 * 10 AS s, "end" - doc_id % 4 * 10 AS e FROM located),
+pairs AS (
+  SELECT f.path, f.id, f.s, f.e, g.l, g.positive, coalesce(f.s = g.l AND f.e = g.r, false) AS exact, coalesce(least(f.e, g.r) - greatest(f.s, g.l), 0) AS shared
+  FROM shown f LEFT JOIN labels g ON f.path = g.path),
+met AS (SELECT *, exact OR (NOT bool_or(exact) OVER (PARTITION BY path, id) AND shared >= 20) AS hit FROM pairs),
+each AS (
+  SELECT path, id, s, e, count(*) FILTER (hit) AS hits, bool_or(shared > 0) AS touches, min(l) FILTER (hit) AS label, coalesce(bool_or(positive) FILTER (hit), false) AS good
+  FROM met GROUP BY path, id, s, e),
+classed AS (
+  SELECT *, CASE WHEN hits > 1 OR (hits = 0 AND touches) THEN 'unlocalized'
+    WHEN row_number() OVER (PARTITION BY hits > 1 OR (hits = 0 AND touches), path, hits, CASE WHEN hits = 1 THEN label ELSE s END ORDER BY id) > 1 THEN 'duplicate'
+    WHEN good THEN 'tp' ELSE 'fp' END AS class FROM each)"""
+_NEGATIVES = """flagged AS (SELECT DISTINCT path, label AS l FROM classed WHERE class = 'fp' AND hits = 1),
+meant AS (
+  SELECT DISTINCT m.path, m.l FROM classed c JOIN met m ON c.path = m.path AND c.id = m.id WHERE c.class = 'unlocalized' AND NOT m.positive AND (c.hits = 0 OR m.hit)
+  EXCEPT SELECT path, l FROM flagged)"""
 
 ORACLES = {
+    "quality_confusion": f"""WITH {_SCORED}, {_NEGATIVES}, n AS (
+  SELECT count(*) FILTER (class = 'tp') AS tp, count(*) FILTER (class = 'fp') AS fp, count(*) FILTER (class = 'unlocalized') AS unlocalized,
+         count(*) FILTER (class = 'duplicate') AS duplicates, (SELECT count(*) FROM labels WHERE positive) AS p, (SELECT count(*) FROM labels WHERE NOT positive) AS q,
+         (SELECT count(*) FROM flagged) AS negative_labels_flagged, (SELECT count(*) FROM meant) AS negative_labels_unresolved FROM classed),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN p > 0 THEN tp / p END AS recall FROM n)
+SELECT tp, fp, p - tp AS fn, q - negative_labels_flagged - negative_labels_unresolved AS tn, unlocalized, duplicates, precision, recall,
+  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) WHEN p > 0 THEN 0.0 END AS f1,
+  negative_labels_flagged, negative_labels_unresolved FROM r""",
+    "quality_by_provider": f"""WITH {_SCORED}, hits AS (SELECT DISTINCT path, label AS seen FROM classed WHERE class = 'tp')
+SELECT split_part(labels.path, '/', 1) AS provider, count(*) AS total, count(seen) AS tp, count(seen) / count(*) AS recall
+FROM labels LEFT JOIN hits ON labels.path = hits.path AND l = seen WHERE positive GROUP BY 1""",
     "keyword_gate": f"WITH seeded AS ({_SEEDED})\n" + "\nUNION ALL ".join(_gate_sql(r) for r in [*R.authored(), TOKEN]),
     "regex_findings": f"WITH {_TOKENS} SELECT * FROM located",
     "stream_scan": f"WITH {_TOKENS} SELECT * FROM located",
@@ -406,7 +458,7 @@ ORACLES = {
     "secret_selection": f"SELECT doc_id, 'first' AS rule_id, sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 1))) AS secret_sha256 FROM documents UNION ALL SELECT doc_id, 'whole', sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 0))) FROM documents",
     "placeholder_filter": _ASSIGNED_SQL,
     "entropy_filter": _ASSIGNED_SQL + f" AND (SELECT {_BITS} FROM (SELECT secret AS s)) > 3.3",
-    "entropy_values": f"SELECT doc_id, round({_BITS}, 9) AS bits FROM (SELECT doc_id, substr(source, 1, 5) || doc_id AS s FROM documents)",
+    "entropy_values": f"SELECT doc_id, round(CASE WHEN s = '' THEN 0.0 ELSE {_BITS} END, 6) AS bits FROM (SELECT doc_id, text AS s FROM documents)",
     "allowlist_groups": f"""WITH seeded AS ({_SEEDED}),
 found AS (SELECT doc_id, list_last(string_split(text, chr(10))) AS line, regexp_extract_all(text, {_quoted(_ASSIGN)}, 1) AS secrets, regexp_extract_all(text, {_quoted(_ASSIGN)}, 0) AS matches FROM seeded),
 each AS (SELECT doc_id, line, unnest(secrets) AS secret, unnest(matches) AS matched FROM found)
@@ -416,7 +468,11 @@ WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (contains(matched, 'password') AND contai
 each AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:auth_token|password) = "([^"\\n]{{4,90}})"', 1)) AS secret, unnest(regexp_extract_all(text, '(?:auth_token|password) = "([^"\\n]{{4,90}})"', 0)) AS matched FROM seeded)
 SELECT doc_id, 'generic-credential-test' AS rule_id, sha256(secret) AS secret_sha256 FROM each
 WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (starts_with(matched, 'auth_token') AND len(string_split(secret, ' ')) >= 8 AND regexp_matches(secret, '[,;.!?]( |$)'))""",
-    "non_value_filter": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN doc_id % 3 = 0 WHEN 2 THEN false ELSE doc_id % 3 = 0 END AS non_value FROM documents""",
+    "non_value_filter": f"""WITH cut AS (
+  SELECT doc_id, regexp_replace(split_part(text, '.', 1) || ' ' || {_LEADS}, '[ \\t\\n\\f\\r]+$', '') AS lead, {_TAILS} || list_last(string_split(text, '.')) AS tail FROM documents),
+parts AS (SELECT doc_id, lead, tail, lead[-1] AS mark, regexp_replace(split_part(lead, ',', 1), '[ \\t\\n\\f\\r]+$', '')[-1] AS before FROM cut)
+SELECT doc_id, (mark IN ('"', '''') AND starts_with(tail, mark) AND regexp_matches(tail[2:], '^[ \\t\\n\\f\\r]*:'))
+  OR (contains(lead, ',') AND NOT (mark IN ('"', '''') AND before IN ('"', ''''))) AS non_value FROM parts""",
     "exact_span_merge": f"WITH {_TOKENS} {_MERGED}",
     "primary_rule_rank": f"WITH {_TOKENS} {_MERGED}",
     "base64_candidates": f"SELECT doc_id, run, CAST(strlen(run) AS BIGINT) AS size FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_-]{{24,}}={{0,2}}')) AS run FROM ({_CODED}))",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
+import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,51 +13,120 @@ from pyspark.sql import functions as F
 INPUT = "display string, path string, length bigint"
 
 
-def _ignores(folder: Path, names: tuple[str, ...]) -> list[tuple[str, bool, bool, bool]]:
-    """Ignore patterns of a folder: (pattern, negated, for folders only, anchored)."""
-    out = []
-    for name in names:
-        file = folder / name
-        if file.is_file():
-            for line in file.read_text(errors="replace").splitlines():
-                line = line.rstrip()
-                if line and not line.startswith("#"):
-                    negated, body = line.startswith("!"), line.removeprefix("!")
-                    out.append((body.strip("/"), negated, body.endswith("/"), "/" in body.rstrip("/")))
-    return out
+def _glob(body: str, anchored: bool) -> re.Pattern:
+    """An ignore pattern as a regular expression over the path below the pattern's folder; ValueError if it is none."""
+    out, at = [] if anchored else ["(?:.*/)?"], 0
+    while at < len(body):
+        if body.startswith("**/", at) and (at == 0 or body[at - 1] == "/"):
+            out.append("(?:.*/)?")
+            at += 3
+        elif body.startswith("/**", at) and at + 3 == len(body):
+            out.append("/.+")
+            at += 3
+        elif body[at] == "[":
+            end = body.find("]", at + 2 + (body[at + 1 : at + 2] in ("!", "^")))
+            if end < 0:
+                raise ValueError("an unclosed class")
+            inner = body[at + 1 : end]
+            refused = inner[0] in "!^"
+            out.append(f"(?!/)[{'^' * refused}" + re.sub(r"([\\\[\]&~|^])", r"\\\1", inner[refused:]) + "]")
+            at = end + 1
+        elif body[at] == "\\" and at + 1 < len(body):
+            out.append(re.escape(body[at + 1]))
+            at += 2
+        else:
+            run = len(body[at:]) - len(body[at:].lstrip("*"))
+            out.append("[^/]*" if run else "[^/]" if body[at] == "?" else re.escape(body[at]))
+            at += max(run, 1)
+    try:
+        return re.compile("".join(out), re.DOTALL)
+    except re.error:
+        raise ValueError("an invalid class") from None
+
+
+class _Patterns:
+    """The lines of one ignore file, applied to what lies below a folder."""
+
+    def __init__(self, folder: Path, file: Path, errors: list[tuple[str, str]]):
+        self.folder, self.lines = folder, []
+        try:
+            text = file.read_text(errors="replace") if file.is_file() else ""
+        except OSError:
+            errors.append((str(file), "ignore policy could not be read"))
+            return
+        for line in text.split("\n"):
+            line = re.sub(r"(?<!\\)[ \t\r]+\Z", "", line)
+            if not line or line.startswith("#"):
+                continue
+            negated, body = line.startswith("!"), line.removeprefix("!")
+            bare = body.rstrip("/")
+            try:
+                self.lines.append((_glob(bare.removeprefix("/"), "/" in bare), negated, body.endswith("/")))
+            except ValueError:
+                errors.append((str(file), "ignore policy holds an invalid pattern"))
+
+    def verdict(self, path: Path, folder: bool) -> bool | None:
+        """Whether the path is ignored, or None if no line speaks of it; the last one that does counts."""
+        inside = path.relative_to(self.folder).as_posix() if self.lines else ""
+        return next((not negated for glob, negated, folders in reversed(self.lines) if (folder or not folders) and glob.fullmatch(inside)), None)
+
+
+def _exclude_file(folder: Path) -> Path:
+    """info/exclude of a folder's repository, also of that which a linked working tree belongs to."""
+    git = folder / ".git"
+    if git.is_file():
+        own = folder / git.read_text(errors="replace").partition("gitdir:")[2].strip()
+        common = own / "commondir"
+        git = own / common.read_text(errors="replace").strip() if common.is_file() else own
+    return git / "info" / "exclude"
+
 
+def _global_file() -> Path:
+    """The user's ignore file for all repositories, as Git names it or at Git's default place."""
+    try:
+        named = subprocess.run(["git", "config", "--global", "--type=path", "core.excludesFile"], capture_output=True, text=True).stdout.strip()
+    except OSError:
+        named = ""
+    return Path(named) if named else Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "git" / "ignore"
 
-def _ignored(path: Path, folder: bool, stack: list[tuple[Path, list]]) -> bool:
-    hit = False
-    for root, patterns in stack:
-        inside = path.relative_to(root).as_posix()
-        for body, negated, folders, anchored in patterns:
-            if (not folders or folder) and (fnmatch.fnmatchcase(inside if anchored else path.name, body) or (body.startswith("**/") and fnmatch.fnmatchcase(inside, body[3:]))):
-                hit = not negated
-    return hit
+
+class _Policy:
+    """Ignore files in force in a folder. .ignore speaks before .gitignore, then info/exclude, then the user's file; inner folders before outer ones."""
+
+    def __init__(self, plain=(), git=(), exclude=(), user=()):
+        self.kinds = (plain, git, exclude, user)
+
+    def inside(self, folder: Path, errors: list[tuple[str, str]]) -> _Policy:
+        plain, git, exclude, user = self.kinds
+        if (folder / ".git").exists():  # a repository of its own
+            git, exclude = (), (_Patterns(folder, _exclude_file(folder), errors),)
+        return _Policy((_Patterns(folder, folder / ".ignore", errors), *plain), (_Patterns(folder, folder / ".gitignore", errors), *git), exclude, user)
+
+    def ignores(self, path: Path, folder: bool) -> bool:
+        said = (p.verdict(path, folder) for kind in self.kinds for p in kind)
+        return next((v for v in said if v is not None), False)
 
 
 def listing(roots: list[str], respect_ignore: bool = True) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(display, path) of the files below the roots, and (path, message) of roots that are missing.
+    """(display, path) of the files below the roots, and (path, message) of roots that are missing and ignore files with faults.
 
     Display paths are relative to the outermost root; files of nested roots count once. .git folders and links are not entered; hidden files are included. Ignore
-    files prune before anything is read; .gitignore counts only below a folder with .git.
+    files, also those of the folders above a root, prune before anything is read. A .gitignore counts outside of repositories too, but not across a
+    repository's border.
     """
     found, errors, seen = [], [], set()
     real = sorted({Path(r).resolve() for r in roots if Path(r).exists()})
     errors += [(r, "input path does not exist") for r in roots if not Path(r).exists()]
     tops = [r for r in real if not any(o in r.parents for o in real)]
 
-    def walk(folder: Path, root: Path, stack, in_git: bool):
-        in_git = in_git or (folder / ".git").exists()
-        names = (".gitignore", ".ignore") if in_git else (".ignore",)
-        stack = [*stack, (folder, _ignores(folder, names))] if respect_ignore else []
+    def walk(folder: Path, root: Path, policy: _Policy | None):
+        policy = policy and policy.inside(folder, errors)
         for entry in sorted(os.scandir(folder), key=lambda e: e.name):
             path = Path(entry.path)
-            if entry.is_symlink() or entry.name == ".git" or _ignored(path, entry.is_dir(), stack):
+            if entry.is_symlink() or entry.name == ".git" or (policy and policy.ignores(path, entry.is_dir())):
                 continue
             if entry.is_dir():
-                walk(path, root, stack, in_git)
+                walk(path, root, policy)
             elif entry.is_file() and path not in seen:
                 seen.add(path)
                 found.append((path.relative_to(root).as_posix(), str(path)))
@@ -64,8 +134,13 @@ def listing(roots: list[str], respect_ignore: bool = True) -> tuple[list[tuple[s
     for top in tops:
         if top.is_file():
             found.append((top.name, str(top)))
-        else:
-            walk(top, top, [], any((p / ".git").exists() for p in top.parents))
+            continue
+        policy = None
+        if respect_ignore:
+            policy = _Policy(user=(_Patterns(top, _global_file(), errors),))
+            for above in reversed(top.parents):
+                policy = policy.inside(above, errors)
+        walk(top, top, policy)
     return found, errors
 
 

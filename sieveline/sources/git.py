@@ -109,6 +109,33 @@ def blobs(oids: DataFrame, repo: str, max_bytes: int = 64 << 20) -> DataFrame:
     return oids.select("oid").distinct().mapInPandas(run, "oid string, content binary, error string")
 
 
+def history_entries(spark: SparkSession, repo: str, revisions: str | None = None) -> DataFrame:
+    """(tree, oid, path) of the files of all trees of a repository's history."""
+    repo = root(repo)
+    return tree_entries(commits(spark, repo, revisions).select("tree").distinct(), repo)
+
+
+def stats(entries: DataFrame, repo: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """One row about the blobs of entries (oid, path): each counts once in files, bytes and skipped, and once per path in detection_passes."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            if len(pdf):
+                wanted = "\n".join(pdf["oid"]).encode() + b"\n"
+                asked = subprocess.run(["git", "-C", repo, "cat-file", "--batch-check"], input=wanted, capture_output=True, check=True)
+                heads = [line.split(" ") for line in asked.stdout.decode().splitlines()]
+                sizes = [(h[0], int(h[2]) if len(h) == 3 and h[1] == "blob" else None) for h in heads]
+                yield pd.DataFrame(sizes, columns=["oid", "length"]).astype({"length": "Int64"})
+
+    paths = entries.groupBy("oid").agg(F.count_distinct("path").alias("paths"))
+    known = paths.select("oid").mapInPandas(run, "oid string, length long").join(paths, "oid")
+    fits = F.coalesce(F.col("length") <= max_bytes, F.lit(False))
+    total = lambda x: F.coalesce(F.sum(F.when(fits, F.col(x))), F.lit(0)).cast("long").alias
+    return known.agg(F.count(F.when(fits, 1)).alias("files"), total("length")("bytes"), F.count(F.when(~fits, 1)).alias("skipped"), total("paths")("detection_passes"))
+
+
 def decoded(contents: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Of blobs (oid, content, error): (contents, UTF-16 ones decoded and flagged; errors of all others)."""
     from sieveline.sources import encodings

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sieveline.operators import scan
+from sieveline.operators import report, scan
 from sieveline.sources import encodings
 
 
@@ -38,7 +38,6 @@ def start(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
     Without ``errors`` an input that cannot be scanned stops the query before its batch's findings are handed on.
     """
-    options = trigger or {"availableNow": True}
 
     def batch(inputs: DataFrame, number: int) -> None:
         wrong = stream_errors(inputs)
@@ -48,4 +47,26 @@ def start(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
             raise ValueError(f"{first[0].message}: {first[0].path}")
         sink(stream_findings(inputs, config), number)
 
+    return _run(source, batch, checkpoint, trigger)
+
+
+def start_events(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, config: scan.Config | None = None, **trigger) -> StreamingQuery:
+    """Run a stream into ``sink(records, batch_id)``: JSON records of a batch's findings and errors, and one of progress with the batch's stats.
+
+    Inputs over the size limit are errors. A batch that is run again after a failure gives the same records under the same number.
+    """
+    limit = (config or scan.Config()).max_bytes
+
+    def batch(inputs: DataFrame, number: int) -> None:
+        inputs = inputs.persist()
+        kept, over = scan.size_gate(inputs, limit)
+        counted = report.stats(inputs.select(F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("length")), limit)
+        sink(report.events(stream_findings(kept, config), over.unionByName(stream_errors(kept)), counted), number)
+        inputs.unpersist()
+
+    return _run(source, batch, checkpoint, trigger)
+
+
+def _run(source: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    options = trigger or {"availableNow": True}
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**options).start()

@@ -117,6 +117,20 @@ def test_scoring(spark):
     assert (one.tp, one.fp, one.fn, one.unlocalized, one.duplicates) == (1, 2, 1, 1, 1)
 
 
+def test_scores_by_provider(spark):
+    labels = spark.createDataFrame(
+        [(1, "a", 10, 20, "positive", "x"), (2, "a", 40, 50, "positive", None), (3, "a", 60, 70, "negative", "x"), (4, "b", 0, 9, "negative", "x")],
+        "label_id int, path string, start long, end long, label string, provider string",
+    )
+    found = spark.createDataFrame([(1, "a", 10, 20), (2, "a", 42, 43), (3, "b", 0, 9)], "finding_id int, path string, start long, end long")
+    one = quality.confusion(found, labels).first()
+    assert (one.tp, one.fp, one.fn, one.tn, one.unlocalized) == (1, 1, 1, 0, 1)
+    assert (one.negative_labels_flagged, one.negative_labels_unresolved, one.precision, one.recall, one.f1) == (1, 1, 0.5, 0.5, 0.5)
+    assert {r.provider: (r.total, r.tp, r.recall) for r in quality.recall_by(found, labels, "provider").collect()} == {"x": (1, 1, 1.0), "unspecified": (1, 0, 0.0)}
+    assert [r.label_id for r in quality.missed(found, labels).collect()] == [2]
+    assert quality.confusion(found.limit(0), labels.limit(0)).first().f1 is None
+
+
 def test_patterns():
     assert regex.translate("a$") == r"(?d)a\z" and regex.translate("(?m)a$") == "(?d)(?m)a$"
     assert regex.with_lead("(?i)ab(?:c)(d)e", 1) == ("(?i)(ab(?:c))(d)e", 2)
@@ -176,3 +190,119 @@ def test_standard_input(spark):
     assert inputs.first().content == b"abc" and errors.count() == 0
     inputs, errors = files.given(spark, io.BytesIO(b"abcd"), 3)
     assert inputs.count() == 0 and errors.count() == 1
+
+
+def _listed(*roots):
+    found, errors = files.listing([str(r) for r in roots])
+    return [d for d, _ in found], errors
+
+
+def test_ignore_patterns(tmp_path):
+    for name in ("a.log", "keep.log", "sub/a.log", "sub/deep/x.txt", "build/out.txt", "src/build.txt", "src/gen/one.c", "src/gen/sub/two.c", "t1.txt", "t2.txt", "tx.txt", "#x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    lines = ["# a comment", "*.log", "!/keep.log", "build/", "src/gen/*.c", "t[!2].txt", "**/deep", "\\#x", "trailing.txt   "]
+    (tmp_path / ".gitignore").write_text("\n".join(lines))
+    assert _listed(tmp_path) == ([".gitignore", "keep.log", "src/build.txt", "src/gen/sub/two.c", "t2.txt"], [])
+    (tmp_path / ".ignore").write_text("!a.log\n")  # speaks before .gitignore
+    assert "sub/a.log" in _listed(tmp_path)[0]
+
+
+def test_ignore_files_of_repositories(tmp_path, monkeypatch):
+    outer, user = tmp_path / "outer", tmp_path / "user"
+    inner = outer / "inner"
+    (inner / "sub").mkdir(parents=True)
+    (user / "git").mkdir(parents=True)
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(user))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(tmp_path / "none"))
+    (user / "git" / "ignore").write_text("*.user\n")
+    subprocess.run(["git", "init", "-q", str(inner)], check=True)
+    (outer / ".gitignore").write_text("*.outer\n")
+    (inner / ".gitignore").write_text("*.own\n")
+    (inner / ".git" / "info").mkdir(exist_ok=True)
+    (inner / ".git" / "info" / "exclude").write_text("*.excluded\n")
+    for name in ("a.user", "a.outer", "a.own", "a.excluded", "a.txt"):
+        (inner / "sub" / name).write_text("x")
+    assert _listed(inner / "sub") == (["a.outer", "a.txt"], [])  # files above the repository do not count in it
+    (outer / ".ignore").write_text("*.txt\n")  # this one does
+    assert _listed(inner / "sub") == (["a.outer"], [])
+
+
+def test_ignore_files_of_linked_trees(tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path / "main"), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    (tmp_path / "main").mkdir()
+    (tmp_path / "main" / "a.txt").write_text("x")
+    run("init", "-q"), run("add", "."), run("commit", "-qm", "1"), run("worktree", "add", "--detach", str(tmp_path / "linked"), "HEAD")
+    assert _listed(tmp_path / "linked") == (["a.txt"], [])
+    (tmp_path / "main" / ".git" / "info").mkdir(exist_ok=True)
+    (tmp_path / "main" / ".git" / "info" / "exclude").write_text("a.txt\n")
+    assert _listed(tmp_path / "linked") == ([], [])
+
+
+def test_invalid_ignore_patterns_are_errors(tmp_path):
+    (tmp_path / ".gitignore").write_text("private[z-a]\nopen[\n")
+    (tmp_path / "a.txt").write_text("x")
+    found, errors = _listed(tmp_path)
+    assert found == [".gitignore", "a.txt"] and len(errors) == 2 and "private" not in str([m for _, m in errors])
+
+
+def test_git_stats(spark, tmp_path):
+    from sieveline.sources import git
+
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    for name, text in (("a", "12345"), ("b", "12345"), ("c", "x" * 50)):
+        (tmp_path / name).write_text(text)
+    run("init", "-q"), run("add", "."), run("commit", "-qm", "1")
+    one = git.stats(git.history_entries(spark, str(tmp_path)), str(tmp_path), 20).first()
+    assert (one.files, one.bytes, one.skipped, one.detection_passes) == (1, 5, 1, 2)
+
+
+def test_event_records(spark, tmp_path):
+    import json
+
+    from sieveline.streaming import scan as streaming
+
+    (tmp_path / "in").mkdir()
+    rows = [("a", "a", bytearray(VALUE.encode())), ("b", "b", bytearray(b"z" * 500)), ("c", "c", bytearray(b"\xff\xfea"))]
+    spark.createDataFrame(rows, "path string, identity string, content binary").write.parquet(str(tmp_path / "in" / "x"))
+    seen = []
+    source = spark.readStream.schema("path string, identity string, content binary").parquet(str(tmp_path / "in" / "x"))
+    config = scan.Config(CONFIG.rules, builtin=False, max_bytes=400)
+    streaming.start_events(source, lambda df, _: seen.extend(json.loads(r.value) for r in df.collect()), str(tmp_path / "state"), config, availableNow=True).awaitTermination()
+    counted = [x["stats"] for x in seen if x["type"] == "progress"]
+    assert sorted(x["type"] for x in seen if x["type"] != "progress") == ["error", "error", "finding"]
+    assert {x["error"]["message"] for x in seen if x["type"] == "error"} == {"input exceeds 400 byte limit", "invalid UTF-16 content"}
+    assert {k: sum(x[k] for x in counted) for k in counted[0]} == {"files": 2, "bytes": len(VALUE) + 3, "skipped": 1, "detection_passes": 2}
+
+
+def test_cancelled_scans_are_incomplete(spark, tmp_path):
+    import threading
+    import time
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from sieveline.operators import report
+
+    none = spark.createDataFrame([], "path string, message string")
+    found = spark.createDataFrame([("r",)], "rule_id string")
+    assert report.written(found, none, str(tmp_path / "whole"), "g1").count() == 0
+
+    def slow(frames):
+        for pdf in frames:
+            time.sleep(60)
+            yield pdf
+
+    timer = threading.Timer(3, lambda: spark.sparkContext.cancelJobGroup("g2"))
+    timer.start()
+    errors = report.written(found.mapInPandas(slow, "rule_id string"), none, str(tmp_path / "cut"), "g2")
+    assert [r.message for r in errors.collect()] == [report.CANCELLED]
+    closing = report.summary(found.limit(0), errors).first()
+    assert (closing.complete, closing.exit_code) == (False, 2)
+    broken = spark.range(1).select(F.raise_error(F.lit("broken")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="broken"):  # a failure is no cancellation
+        report.written(broken, none, str(tmp_path / "bad"), "g3")
