@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, language, quality, records, simhash, substrings, suffixes, warc
+from . import bpe, chat, decontaminate, fim, language, negatives, packing, quality, records, simhash, substrings, suffixes, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,11 +59,35 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(spark, _table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality, op8_language, op9_chat, op10_token_records, pipeline)}
-ORACLES: dict[str, str] = {"op1_debruijn": substrings.SQL, "op2_suffix_array": suffixes.SQL, "op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op9_chat": chat.SQL}
+_NAMED = (
+    op1_debruijn, op2_suffix_array, op3_bpe, op4_decontaminate, op5_warc, op6_simhash, op7_quality,
+    op8_language, op9_chat, op10_token_records, op11_fim, op12_packing, op13_negatives, pipeline,
+)
+QUERIES = {f.__name__: f for f in _NAMED}
+ORACLES: dict[str, str] = {
+    "op1_debruijn": substrings.SQL,
+    "op2_suffix_array": suffixes.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+    "op5_warc": warc.SQL,
+    "op9_chat": chat.SQL,
+    "op11_fim": fim.SQL,
+    "op13_negatives": negatives.SQL,
+}
