@@ -40,8 +40,8 @@ class Config:
 
 
 def base64_runs(view: Column) -> Column:
-    """Runs that may be Base64: array of (mstart, match, ...) as detect.matches gives them."""
-    return detect.matches(view, BASE64_RUN, 0)
+    """Runs that may be Base64: array of (mstart, match, ...) as detect.placed gives them."""
+    return detect.native_matches(view, BASE64_RUN, 0)
 
 
 def decode_base64(run: Column) -> Column:
@@ -55,70 +55,85 @@ def decode_base64(run: Column) -> Column:
     return F.when(F.replace(F.base64(data), F.lit("\r\n"), F.lit("")) == padded, fn.latin1(data))
 
 
-def views(inputs: DataFrame, base64: bool = True) -> DataFrame:
-    """One row per view of an input: the raw one (view 0) and one for every run that decodes as Base64.
+_VIEW = "struct<view: string, base64: boolean, box_start: bigint, box_end: bigint>"
 
-    inputs: path, identity, content (binary), other columns kept. Adds view_no, view, base64, box_start and box_end (the run's place in the raw
-    view) and raw.
-    """
-    raw = inputs.withColumn("raw", fn.latin1(F.col("content"))).drop("content")
-    own = F.array(F.struct(F.lit(0).alias("view_no"), F.col("raw").alias("view"), F.lit(False).alias("base64"), F.lit(None).cast("bigint").alias("box_start"), F.lit(None).cast("bigint").alias("box_end")))
-    if base64:
-        # A cheap necessary condition first; most rows hold no such run.
-        runs = F.when(F.col("raw").rlike("[A-Za-z0-9+/_-]{24}"), F.filter(F.transform(base64_runs(F.col("raw")), lambda m, i: F.struct((i + 1).alias("view_no"), decode_base64(m["match"]).alias("view"), F.lit(True).alias("base64"), m["mstart"].alias("box_start"), (m["mstart"] + F.length(m["match"])).alias("box_end"))), lambda x: x["view"].isNotNull()))
-        own = F.concat(own, F.coalesce(runs, F.array().cast("array<struct<view_no: int, view: string, base64: boolean, box_start: bigint, box_end: bigint>>")))
-    kept = [c for c in raw.columns]
-    return raw.select(*kept, F.explode(own).alias("v")).select(*kept, "v.*")
+
+def views(raw: Column, base64: bool = True) -> Column:
+    """The views of a content: itself first, then what each run that decodes as Base64 holds, with the run's place in the raw view."""
+
+    def view(content: Column, coded: bool, start: Column, end: Column) -> Column:
+        return F.struct(content.alias("view"), F.lit(coded).alias("base64"), start.cast("bigint").alias("box_start"), end.cast("bigint").alias("box_end"))
+
+    def decoded(m: Column) -> Column:
+        return view(decode_base64(m["match"]), True, m["mstart"], m["mstart"] + F.length(m["match"]))
+
+    own = F.array(view(raw, False, F.lit(None), F.lit(None)))
+    if not base64:
+        return own
+    # A cheap necessary condition first; most contents hold no such run.
+    runs = F.when(raw.rlike("[A-Za-z0-9+/_-]{24}"), F.filter(F.transform(base64_runs(raw), decoded), lambda x: x["view"].isNotNull()))
+    return F.concat(own, F.coalesce(runs, F.array().cast(f"array<{_VIEW}>")))
 
 
 def findings(inputs: DataFrame, config: Config | None = None, space: str = "source_bytes", secrets: bool = False) -> DataFrame:
     """Findings in inputs (path, identity, content): one row each, without the secret unless ``secrets`` is asked for by a test.
 
-    Where a column ``utf16`` (see encodings.decode_utf16) is true, the content is decoded text and places are those in its UTF-16 source.
+    Where a column ``utf16`` (see encodings.decode_utf16) is true, the content is decoded text and places are those in its UTF-16 source. All views
+    of an input stay in its row, and the places of all its findings are worked out at once, so neither many runs nor many findings copy it.
     """
     config = config or Config()
     rules = config.compiled()
     names = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.name)))
     levels = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.confidence)))
     extra = [c for c in inputs.columns if c not in ("content", "utf16")]
-    marked = ["utf16"] if "utf16" in inputs.columns else []
-    decoded = F.col("utf16") if marked else F.lit(False)
-    seen = views(inputs, config.base64)
-    found = detect.merge(detect.all_candidates(F.col("view"), F.lower("view"), F.col("path"), rules, config.min_entropy), len(rules))
-    rows = seen.select(*extra, *marked, "raw", "base64", "box_start", "box_end", F.explode(found).alias("f"))
-    start = F.when(F.col("base64"), F.col("box_start")).otherwise(F.col("f.start"))
-    end = F.when(F.col("base64"), F.col("box_end")).otherwise(F.col("f.end"))
-    prefix = F.substring(F.col("raw"), F.lit(1), start.cast("int"))
-    column = fn.column_of(prefix)
-    source_start, source_end = start, end
-    if marked:
-        source_start = F.when(decoded, encodings.source_start(F.col("raw"), start)).otherwise(start)
-        source_end = F.when(decoded, encodings.source_end(F.col("raw"), end)).otherwise(end)
-        column = F.when(decoded, encodings.source_column(F.col("raw"), start)).otherwise(column)
-    out = rows.select(
+    decoded = F.coalesce(F.col("utf16"), F.lit(False)) if "utf16" in inputs.columns else F.lit(False)
+    seen = inputs.select(*extra, decoded.alias("_utf16"), views(fn.latin1(F.col("content")), config.base64).alias("_views"))
+    kernel = detect.Rules(rules, config.min_entropy)
+    ids, by_python = kernel.found(F.transform("_views", lambda v: v["view"]), F.col("path"))
+    seen = seen.withColumns({"_ids": ids} | ({} if by_python is None else {"_python": by_python}))
+
+    def merged(v: Column, i: Column) -> Column:
+        own = kernel.candidates(v["view"], F.get("_ids", i), None if by_python is None else F.get("_python", i), F.col("path"))
+        place = lambda f: F.struct(
+            F.coalesce(v["box_start"], f["start"]).alias("start"), F.coalesce(v["box_end"], f["end"]).alias("end"),
+            f["rule_id"].alias("rule_id"), f["matched"].alias("matched"), f["secret"].alias("secret"), v["base64"].alias("base64"),
+        )
+        return F.transform(detect.merge(own, len(rules)), place)
+
+    # Exploding a list of one list or none drops the inputs without findings, with the list worked out once.
+    any_ = fn.let(F.flatten(F.transform("_views", merged)), lambda f: F.when(F.size(f) > 0, F.array(f)).otherwise(F.slice(F.array(f), 1, 0)))
+    hits = seen.select(*extra, "_utf16", F.get("_views", F.lit(0))["view"].alias("_raw"), F.explode(any_).alias("_found"))
+    at = encodings.places("_raw", F.transform("_found", lambda f: f["start"]), F.transform("_found", lambda f: f["end"]), "_utf16")
+    each = hits.withColumn("_at", at).select(*extra, "_utf16", F.explode(F.zip_with("_found", "_at", lambda f, x: F.struct(f.alias("f"), x.alias("at")))).alias("_one"))
+    f, place = F.col("_one.f"), F.col("_one.at")
+    out = each.select(
         *(c for c in extra if c not in ("path", "identity")),
-        F.col("f.rule_id").alias("rule_id"),
-        F.col("f.matched").alias("matched_rule_ids"),
+        f["rule_id"].alias("rule_id"),
+        f["matched"].alias("matched_rule_ids"),
         "path",
-        source_start.alias("start"),
-        source_end.alias("end"),
-        fn.line_of(prefix).alias("line"),
-        column.alias("column"),
+        *(place[c].alias(c) for c in ("start", "end", "line", "column")),
         F.lit(fn.REDACTED).alias("redacted"),
-        fn.fingerprint(F.col("f.rule_id"), F.col("identity"), F.hex(F.encode(F.col("f.secret"), "ISO-8859-1")), config.fingerprint_key).alias("fingerprint"),
-        fn.explanation(names[F.col("f.rule_id")], levels[F.col("f.rule_id")], F.col("base64"), decoded).alias("explanation"),
-        levels[F.col("f.rule_id")].alias("confidence"),
-        F.col("base64").alias("is_base64_encoded"),
+        fn.fingerprint(f["rule_id"], F.col("identity"), F.hex(F.encode(f["secret"], "ISO-8859-1")), config.fingerprint_key).alias("fingerprint"),
+        fn.explanation(names[f["rule_id"]], levels[f["rule_id"]], f["base64"], F.col("_utf16")).alias("explanation"),
+        levels[f["rule_id"]].alias("confidence"),
+        f["base64"].alias("is_base64_encoded"),
         F.lit(space).alias("coordinate_space"),
-        *([F.col("f.secret").alias("secret")] if secrets else []),
+        *([f["secret"].alias("secret")] if secrets else []),
     )
     return out
 
 
-def scan_column(df: DataFrame, path: Column, content: Column, config: Config | None = None, identity: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings in a text or binary column of a table; columns in ``keep`` are carried along."""
-    data = content.cast("binary")
-    return findings(df.select(*keep, path.alias("path"), fn.logical_identity(identity if identity is not None else path).alias("identity"), data.alias("content")), config)
+def scan_column(
+    df: DataFrame, path: Column, content: Column, config: Config | None = None, identity: Column | None = None, keep: tuple[str, ...] = (), errors: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Findings in a text or binary column of a table; columns in ``keep`` are carried along.
+
+    UTF-16 contents with a byte order mark are decoded. With ``errors`` a pair is given: findings, and error rows (path, message) of malformed
+    ones; without, a malformed one fails the job, so that none is passed over in silence.
+    """
+    own = fn.logical_identity(identity if identity is not None else path)
+    good, bad = encodings.decode_utf16(df.select(*keep, path.alias("path"), own.alias("identity"), content.cast("binary").alias("content")), strict=not errors)
+    return (findings(good, config), bad) if errors else findings(good, config)
 
 
 def size_gate(inputs: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions import keywords
 from sieveline.functions import text as fn
 from sieveline.operators import baseline, detect, quality, report, scan
 from sieveline.plans import rules as R
@@ -85,6 +86,27 @@ def _gate_sql(r: R.Rule) -> str:
     return f"SELECT '{r.id}' AS rule_id, count(*) AS documents FROM seeded WHERE {test}"
 
 
+#: The rules of a scan with every rule that is shipped, and the token rule.
+_SHIPPED = [*R.authored(), *R.providers(), TOKEN]
+
+
+def rule_dispatch(spark, sf):
+    """Which rules each document is searched for: the automaton's answer for the keywords of all shipped rules."""
+    views = F.array(fn.latin1(F.encode("text", "UTF-8")))
+    ids = keywords.finder([r.keywords for r in _SHIPPED])(views)
+    names = F.array(*(F.lit(r.id) for r in _SHIPPED))
+    met = _seeded(spark, sf).select("doc_id", ids.alias("ids")).select("doc_id", F.explode(F.get("ids", F.lit(0))).alias("i"))
+    return met.select("doc_id", F.get(names, F.col("i")).alias("rule_id"))
+
+
+def _dispatch_sql() -> str:
+    words = ", ".join(f"({_quoted(r.id)}, {_quoted(k.lower())})" for r in _SHIPPED for k in r.keywords)
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH seeded AS ({_SEEDED}), words(rule_id, word) AS (VALUES {words}),
+low AS (SELECT doc_id, {low} AS low FROM seeded)
+SELECT DISTINCT doc_id, rule_id FROM low JOIN words ON contains(low, word)"""
+
+
 def regex_findings(spark, sf):
     return _scan(_docs(spark, sf), TOKENS_ONLY).select("doc_id", "rule_id", "path", "start", "end", "line", "column", "fingerprint")
 
@@ -401,7 +423,7 @@ def utf16_findings(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_gate, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
+        keyword_gate, rule_dispatch, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
         exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
         git_occurrences, quality_confusion, quality_by_provider, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
     )
@@ -450,6 +472,7 @@ SELECT tp, fp, p - tp AS fn, q - negative_labels_flagged - negative_labels_unres
 SELECT split_part(labels.path, '/', 1) AS provider, count(*) AS total, count(seen) AS tp, count(seen) / count(*) AS recall
 FROM labels LEFT JOIN hits ON labels.path = hits.path AND l = seen WHERE positive GROUP BY 1""",
     "keyword_gate": f"WITH seeded AS ({_SEEDED})\n" + "\nUNION ALL ".join(_gate_sql(r) for r in [*R.authored(), TOKEN]),
+    "rule_dispatch": _dispatch_sql(),
     "regex_findings": f"WITH {_TOKENS} SELECT * FROM located",
     "stream_scan": f"WITH {_TOKENS} SELECT * FROM located",
     "line_column": f'WITH {_TOKENS} SELECT doc_id, start, line, "column" FROM located',

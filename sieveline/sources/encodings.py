@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,48 +29,83 @@ def well_formed(content: Column, order: Column) -> Column:
     return let(F.struct(hexed.alias("hexed"), order.alias("order")), check)
 
 
-def decode_utf16(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inputs with UTF-16 contents as UTF-8 and a flag ``utf16``, error rows for malformed ones)."""
+def decode_utf16(inputs: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(inputs with UTF-16 contents as UTF-8 and a flag ``utf16``, error rows for malformed ones). ``strict``: a malformed one fails the job."""
     order = utf16_order(F.col("content"))
     marked = inputs.withColumn("order", order)
     marked = marked.withColumn("bad", F.when(F.col("order").isNotNull(), ~well_formed(F.col("content"), F.col("order"))).otherwise(F.lit(False)))
+    if strict:
+        told = F.raise_error(F.concat(F.lit("invalid UTF-16 content: "), F.coalesce("path", F.lit("")))).cast("boolean")
+        marked = marked.withColumn("bad", F.when(F.col("bad"), told).otherwise(F.lit(False)))
     body = F.substring(F.col("content"), F.lit(3), F.octet_length("content"))
-    as_text = F.when(F.col("order") == "UTF-16LE", F.decode(F.when(~F.col("bad"), body), "UTF-16LE")).when(F.col("order") == "UTF-16BE", F.decode(F.when(~F.col("bad"), body), "UTF-16BE"))
-    good = marked.where("not bad").withColumn("utf16", F.col("order").isNotNull()).withColumn("content", F.when(F.col("order").isNull(), F.col("content")).otherwise(F.encode(as_text, "UTF-8")))
-    errors = marked.where("bad").select("path", F.lit("invalid UTF-16 content").alias("message"))
-    return good.drop("order", "bad"), errors
-
-
-def source_offset(prefix: Column) -> Column:
-    """The source byte offset after a decoded prefix: the mark, and two bytes for each UTF-16 unit."""
-    units = F.length(prefix) + F.length(F.regexp_replace(prefix, r"[^\x{10000}-\x{10FFFF}]", ""))
-    return (2 + 2 * units).cast("long")
-
-
-def _text(view: Column) -> Column:
-    """The text of a Latin-1 view of whole UTF-8 characters."""
-    return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
-
-
-def _before(view: Column, start: Column) -> Column:
-    """The text of the whole characters before a place of a decoded view; a place inside a character is that character's."""
-    prefix = F.substring(view, F.lit(1), start.cast("int"))
-    inside = F.substring(view, start.cast("int") + 1, F.lit(1)).rlike(r"[\x80-\xBF]")
-    return _text(F.when(inside, F.regexp_replace(prefix, r"[\xC0-\xFF][\x80-\xBF]*\z", "")).otherwise(prefix))
+    le, be = (F.when((F.col("order") == o) & ~F.col("bad"), F.encode(F.decode(body, o), "UTF-8")) for o in ("UTF-16LE", "UTF-16BE"))
+    good = marked.where("not bad").withColumn("utf16", F.col("order").isNotNull()).withColumn("content", F.coalesce(le, be, F.col("content")))
+    return good.drop("order", "bad"), marked.where("bad").select("path", F.lit("invalid UTF-16 content").alias("message"))
+
+
+PLACES = "array<struct<start: bigint, end: bigint, line: bigint, column: bigint>>"
+
+
+def _places(views: pa.Array, starts: pa.Array, ends: pa.Array, decoded: pa.Array) -> pa.Array:
+    out, none = [], np.zeros(0, np.int64)
+    for view, start, end, utf16 in zip(views, starts, ends, decoded, strict=True):
+        if not view.is_valid or not start.is_valid:
+            out.append((none, none, none, none))
+            continue
+        data = np.frombuffer(view.as_py().encode("latin-1"), np.uint8)
+        a, b = (np.asarray(x.values, np.int64) for x in (start, end))
+        breaks = np.flatnonzero(data == 10)
+        line = np.searchsorted(breaks, a, "left")
+        first = np.append(0, breaks + 1)[line]  # where each one's line starts
+        if utf16.as_py():
+            lead = (data & 0xC0) != 0x80
+            units = np.append(0, np.cumsum(np.where(lead, 1 + (data >= 0xF0), 0)))
+            behind = np.append(lead, True)
+            # A start inside a character is that character's; units so far hold it already.
+            own = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0)) if len(data) else none
+            inside = ~behind[a]
+            at = a.copy()
+            at[inside] = own[a[inside]]
+            column = 2 * (units[at] - units[first]) + 2 * (line == 0)
+            a, b = 2 + 2 * units[at], 2 + 2 * units[b]
+        else:
+            column = a - first
+        out.append((a, b, line + 1, column))
+    flat = [pa.array(np.concatenate(c) if out else none) for c in zip(*out, strict=True)] or [pa.array(none)] * 4
+    sizes = np.append(0, np.cumsum([len(x[0]) for x in out], dtype=np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(flat, ["start", "end", "line", "column"]))
+
+
+def places(view: Column | str, starts: Column, ends: Column, decoded: Column | str) -> Column:
+    """For spans of a view: array of (start, end, line, column) in the source. Lines count from 1, columns are bytes from 0.
+
+    One sorted list of the line breaks of a view is searched for all its spans, so the work is linear in both. In decoded UTF-16 content places are
+    those of the source: the mark and two bytes for each unit, a span inside a character widened to it; on the first line the mark counts.
+    """
+    return F.arrow_udf(_places, PLACES)(view, starts, ends, decoded)
+
+
+def _place(view: Column, start: Column, end: Column) -> Column:
+    one = lambda x: F.array(x.cast("bigint"))
+    return F.get(places(view, one(start), one(end), F.lit(True)), F.lit(0))
 
 
 def source_start(view: Column, start: Column) -> Column:
     """The source byte offset of a start in the Latin-1 view of decoded content."""
-    return source_offset(_before(view, start))
+    return _place(view, start, start)["start"]
 
 
 def source_end(view: Column, end: Column) -> Column:
     """The source byte offset of an end in the Latin-1 view of decoded content; an end inside a character is behind it."""
-    more = F.length(F.regexp_extract(F.substring(view, end.cast("int") + 1, F.lit(3)), r"\A[\x80-\xBF]*", 0))
-    return source_offset(_text(F.substring(view, F.lit(1), end.cast("int") + more)))
+    return _place(view, end, end)["end"]
 
 
 def source_column(view: Column, start: Column) -> Column:
-    """0-based byte column of a start in the source; on the first line the mark counts, on others the line's units only."""
-    before = _before(view, start)
-    return F.when(F.instr(before, "\n") > 0, source_offset(F.substring_index(before, "\n", -1)) - 2).otherwise(source_offset(before))
+    """0-based byte column of a start in the source."""
+    return _place(view, start, start)["column"]
+
+
+def source_offset(prefix: Column) -> Column:
+    """The source byte offset after a decoded prefix: the mark, and two bytes for each UTF-16 unit."""
+    units = F.length(prefix) + F.length(F.regexp_replace(prefix, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return (2 + 2 * units).cast("long")
