@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 
@@ -11,13 +12,16 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sieveline")
     parser.add_argument("--rules", action="append", default=[], help="a rule file or directory")
     parser.add_argument("--no-builtin", action="store_true")
+    parser.add_argument("--providers", action="store_true", help="look for the published token formats of providers as well")
+    parser.add_argument("--fingerprint-key-file", help="a file of 32 bytes; fingerprints are keyed with it")
     parser.add_argument("--min-confidence", choices=["low", "medium", "high"], default="low")
     parser.add_argument("--min-entropy", type=float)
     parser.add_argument("--no-base64", action="store_true")
     parser.add_argument("--max-bytes", type=int, default=64 << 20)
     parser.add_argument("--format", choices=["json", "jsonl", "sarif"], default="jsonl")
-    parser.add_argument("--baseline", help="report only what this kept baseline lacks")
-    parser.add_argument("--write-baseline", help="keep the findings of a complete scan here")
+    kept = parser.add_mutually_exclusive_group()
+    kept.add_argument("--baseline", help="report only what this kept baseline lacks")
+    kept.add_argument("--write-baseline", help="keep the findings of a complete scan here, with the dispositions of what is there")
     commands = parser.add_subparsers(dest="command", required=True)
     scan_ = commands.add_parser("scan")
     scan_.add_argument("paths", nargs="+", help="files and directories; - alone is standard input")
@@ -30,6 +34,29 @@ def main(args: list[str] | None = None) -> int:
     commands.add_parser("rules")
     given = parser.parse_args(args)
 
+    from sieveline.operators.baseline import ContextError
+    from sieveline.plans.rules import RuleError
+
+    try:
+        return _run(given)
+    except (ContextError, RuleError) as e:
+        print(f"sieveline: {e}", file=sys.stderr)
+        return 2
+
+
+def _key(path: str | None) -> str | None:
+    from sieveline.plans.rules import RuleError
+
+    if path is None:
+        return None
+    with open(path, "rb") as f:
+        key = f.read(33)
+    if len(key) != 32:
+        raise RuleError("the fingerprint key file must hold exactly 32 bytes")
+    return key.hex()
+
+
+def _run(given: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
@@ -39,40 +66,49 @@ def main(args: list[str] | None = None) -> int:
     from sieveline.sources import archives, encodings, files, git
 
     spark = SparkSession.builder.appName("sieveline").getOrCreate()
-    config = scan.Config(tuple(r for p in given.rules for r in R.load(p)), not given.no_builtin, given.min_confidence, given.min_entropy, not given.no_base64, max_bytes=given.max_bytes)
+    config = scan.Config(
+        tuple(r for p in given.rules for r in R.load(p)), not given.no_builtin, given.min_confidence, given.min_entropy, not given.no_base64,
+        _key(given.fingerprint_key_file), given.max_bytes, given.providers,
+    )
     if given.command == "rules":
         print(json.dumps([r.asDict() for r in R.inventory(spark, config.compiled()).collect()]))
         return 0
+    policy: list[bytes] = []
     if given.command == "scan":
         if given.paths == ["-"]:
-            inputs, errors = files.given(spark, sys.stdin.buffer, given.max_bytes)
+            inputs, wrong = files.given(spark, sys.stdin.buffer, given.max_bytes)
+            roots = ["-"]
+            rows = inputs.withColumn("error", F.lit(None).cast("string")).unionByName(wrong.select("path", F.col("path").alias("identity"), F.lit(None).cast("binary").alias("content"), F.col("message").alias("error")))
         else:
-            inputs, errors = files.read(spark, given.paths, not given.no_ignore, given.max_bytes)
-        rows = archives.expand(inputs, given.max_bytes)
-        # Members count, not their archives.
-        counted = report.stats(rows.where("error is null").select(F.octet_length("content").cast("long").alias("length")), given.max_bytes)
-        errors = errors.unionByName(rows.where("error is not null").select("path", rows["error"].alias("message")))
-        members, malformed = encodings.decode_utf16(rows.where("error is null"))
-        errors = errors.unionByName(malformed)
-        found = scan.findings(members.where("not is_member").select("path", "identity", "content", "utf16"), config).unionByName(
-            scan.findings(members.where("is_member").select("path", "identity", "content", "utf16"), config, space="archive_member_bytes")
-        )
+            known = files.survey(given.paths, not given.no_ignore)
+            roots, policy, rows = known.roots, known.policy, files.rows(spark, known, given.max_bytes).drop("length")
+        # One pass: files are read, archives expanded, texts decoded and searched, inputs counted, errors carried along.
+        rows = archives.expand(rows, given.max_bytes).withColumn("length", F.octet_length("content").cast("long"))
+        rows, counted = report.observed(encodings.decoded(rows))
+        space = F.when(F.col("is_member"), "archive_member_bytes").otherwise("source_bytes")
+        all_ = scan.findings(rows.drop("length"), config, space).drop("is_member").cache()
+        all_.count()
+        found, errors = scan.parted(all_)
+        stats = report.told(spark, counted)
     elif given.command == "history":
+        roots = [os.path.realpath(git.root(given.repo)), given.range or ""]
         found, errors = git.history(spark, given.repo, given.range, config, given.max_bytes)
-        found = found.drop("oid", "commit")
-        counted = git.stats(git.history_entries(spark, given.repo, given.range), given.repo, given.max_bytes)
+        found, errors = found.drop("oid", "commit").cache(), errors.cache()
+        stats = git.stats(git.history_entries(spark, given.repo, given.range), given.repo, given.max_bytes)
     else:
+        roots = [os.path.realpath(git.root(given.repo))]
         found, errors = git.staged(spark, given.repo, config, given.max_bytes)
-        counted = git.stats(git.staged_entries(spark, git.root(given.repo)), given.repo, given.max_bytes)
-    found, errors = found.cache(), errors.cache()
-    scanned = C.context(given.command, given.paths if given.command == "scan" else [given.repo, getattr(given, "range", None) or ""], config)
+        found, errors = found.cache(), errors.cache()
+        stats = git.stats(git.staged_entries(spark, git.root(given.repo)), given.repo, given.max_bytes)
+    scanned = C.context(given.command, roots, config, policy)
     complete = errors.limit(1).count() == 0
     if given.write_baseline:
-        baseline.write(baseline.from_findings(found, complete=complete, context=scanned), given.write_baseline, scanned)
+        old, own = baseline.read(spark, given.write_baseline) if baseline.exists(spark, given.write_baseline) else (None, None)
+        baseline.write(baseline.from_findings(found, old, complete=complete, context=scanned, previous_context=own), given.write_baseline, scanned)
     if given.baseline:
         old, own = baseline.read(spark, given.baseline)
         found = baseline.diff(found, old, complete=complete, context=scanned, baseline_context=own)[0]
-    closing = report.closed(report.summary(found, errors), counted, scanned)
+    closing = report.closed(report.summary(found, errors), stats, scanned)
     whole = {"sarif": lambda: report.sarif(found, errors), "json": lambda: report.document(found, errors, closing)}
     out = whole[given.format]() if given.format in whole else report.json_lines(found, errors, closing)
     for row in out.toLocalIterator():

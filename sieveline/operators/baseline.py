@@ -7,6 +7,7 @@ contexts is refused, and an incomplete scan neither makes a baseline nor resolve
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,9 +65,21 @@ VERSION = 2
 
 
 def write(entries: DataFrame, path: str, context: dict) -> None:
-    """Keep a baseline as a table. It is written whole or not at all: Spark commits the files of a job together."""
+    """Keep a baseline as a table. It is written whole beside the old one, which may be read meanwhile, and then takes its place."""
+    spark = entries.sparkSession
     kept = F.lit(json.dumps(context, sort_keys=True))
-    entries.select(F.lit(VERSION).alias("schema_version"), kept.alias("context"), "fingerprint", "finding", "disposition").write.mode("overwrite").parquet(path)
+    beside = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:8]}"
+    entries.select(F.lit(VERSION).alias("schema_version"), kept.alias("context"), "fingerprint", "finding", "disposition").write.parquet(beside)
+    old, new_ = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new_, old):
+        raise OSError(f"the new baseline stays at {beside}: it could not take the old one's place")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:

@@ -80,16 +80,16 @@ def _sums(sizes: Column) -> Column:
 
 def running(sizes: Column) -> Column:
     """Sums of what stands before each element. Arrays grow by copies, so long ones are summed in chunks and over the chunks."""
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / _CHUNK).cast("int"))
-    chunks = F.transform(starts, lambda k: _sums(F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))))
 
-    def placed(own: Column) -> Column:
-        def shifted(before: Column) -> Column:
-            return F.flatten(F.transform(own, lambda c, k: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.get(before, k))))
+    def chunked(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(s), F.lit(1)) - 1) / _CHUNK).cast("int"))
+        return F.transform(starts, lambda k: _sums(F.slice(s, k * _CHUNK + 1, F.lit(_CHUNK))))
 
-        return fn.let(_sums(F.transform(own, lambda c: F.element_at(c, -1))), shifted)
+    def shifted(own: Column) -> Column:
+        totals = _sums(F.transform(own, lambda c: F.element_at(c, -1)))
+        return fn.let(totals, lambda before: F.flatten(F.transform(own, lambda c, k: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.get(before, k)))))
 
-    return fn.let(chunks, placed)
+    return fn.let(fn.let(sizes, chunked), shifted)
 
 
 def marked(pattern: str, group: int | None) -> tuple[str, str, bool]:

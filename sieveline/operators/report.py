@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as fn
@@ -10,6 +10,7 @@ from sieveline.functions import text as fn
 FINDING_ORDER = ("path", "start", "end", "rule_id", "fingerprint")
 PREVIEW_ROWS, PREVIEW_BYTES = 100, 512 << 10
 TOOL = "sieveline"
+STATS = ("files", "bytes", "skipped", "detection_passes")
 CANCELLED = "scan cancelled; remaining inputs were not fully scanned"
 
 
@@ -25,6 +26,22 @@ def stats(inputs: DataFrame, max_bytes: int) -> DataFrame:
     )
 
 
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows of inputs (length, error), and an observation of the stats that the first job over them counts in passing: no pass of its own."""
+    counted, good = Observation(), F.col("error").isNull()
+    skipped = F.count(F.when(F.col("error").rlike("exceed(s|ed)"), 1))
+    out = rows.observe(
+        counted, F.count(F.when(good, 1)).alias("files"), F.coalesce(F.sum(F.when(good, F.col("length"))), F.lit(0)).cast("long").alias("bytes"),
+        skipped.alias("skipped"), F.count(F.when(good, 1)).alias("detection_passes"),
+    )
+    return out, counted
+
+
+def told(spark: SparkSession, counted: Observation) -> DataFrame:
+    """The observed stats as one row; waits for the job that counts them."""
+    return spark.createDataFrame([tuple(counted.get[k] for k in STATS)], ", ".join(f"{k} long" for k in STATS))
+
+
 def summary(findings: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: finding_count, error_count, complete, exit_code."""
     both = findings.agg(F.count("*").alias("finding_count")).crossJoin(errors.agg(F.count("*").alias("error_count")))  # one row each

@@ -31,10 +31,12 @@ class Config:
     base64: bool = True
     fingerprint_key: str | None = None
     max_bytes: int = 64 << 20
+    providers: bool = False
 
     def compiled(self) -> list[R.Rule]:
         R.check_entropy(self.min_entropy)
-        chosen = R.select(R.override(R.authored() if self.builtin else [], list(self.rules)), self.min_confidence)
+        shipped = (R.authored() if self.builtin else []) + (R.providers() if self.providers else [])
+        chosen = R.select(R.override(shipped, list(self.rules)), self.min_confidence)
         R.check(chosen)
         return chosen
 
@@ -75,9 +77,11 @@ def views(raw: Column, base64: bool = True) -> Column:
     return F.concat(own, F.coalesce(runs, F.array().cast(f"array<{_VIEW}>")))
 
 
-def findings(inputs: DataFrame, config: Config | None = None, space: str = "source_bytes", secrets: bool = False) -> DataFrame:
+def findings(inputs: DataFrame, config: Config | None = None, space: str | Column = "source_bytes", secrets: bool = False) -> DataFrame:
     """Findings in inputs (path, identity, content): one row each, without the secret unless ``secrets`` is asked for by a test.
 
+    If inputs have a column ``error``, a row with one becomes a row with its path and error and no finding; see ``parted``.
+
     Where a column ``utf16`` (see encodings.decode_utf16) is true, the content is decoded text and places are those in its UTF-16 source. All views
     of an input stay in its row, and the places of all its findings are worked out at once, so neither many runs nor many findings copy it.
     """
@@ -86,8 +90,10 @@ def findings(inputs: DataFrame, config: Config | None = None, space: str = "sour
     names = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.name)))
     levels = F.create_map(*(F.lit(x) for r in rules for x in (r.id, r.confidence)))
     extra = [c for c in inputs.columns if c not in ("content", "utf16")]
+    failed = F.col("error").isNotNull() if "error" in extra else F.lit(False)
+    where = F.lit(space) if isinstance(space, str) else space
     decoded = F.coalesce(F.col("utf16"), F.lit(False)) if "utf16" in inputs.columns else F.lit(False)
-    seen = inputs.select(*extra, decoded.alias("_utf16"), views(fn.latin1(F.col("content")), config.base64).alias("_views"))
+    seen = inputs.select(*extra, where.alias("_space"), decoded.alias("_utf16"), views(fn.latin1(F.col("content")), config.base64).alias("_views"))
     kernel = detect.Rules(rules, config.min_entropy)
     ids, by_python = kernel.found(F.transform("_views", lambda v: v["view"]), F.col("path"))
     seen = seen.withColumns({"_ids": ids} | ({} if by_python is None else {"_python": by_python}))
@@ -101,10 +107,10 @@ def findings(inputs: DataFrame, config: Config | None = None, space: str = "sour
         return F.transform(detect.merge(own, len(rules)), place)
 
     # Exploding a list of one list or none drops the inputs without findings, with the list worked out once.
-    any_ = fn.let(F.flatten(F.transform("_views", merged)), lambda f: F.when(F.size(f) > 0, F.array(f)).otherwise(F.slice(F.array(f), 1, 0)))
-    hits = seen.select(*extra, "_utf16", F.get("_views", F.lit(0))["view"].alias("_raw"), F.explode(any_).alias("_found"))
+    any_ = fn.let(F.flatten(F.transform("_views", merged)), lambda f: F.when((F.size(f) > 0) | failed, F.array(f)).otherwise(F.slice(F.array(f), 1, 0)))
+    hits = seen.select(*extra, "_space", "_utf16", F.get("_views", F.lit(0))["view"].alias("_raw"), F.explode(any_).alias("_found"))
     at = encodings.places("_raw", F.transform("_found", lambda f: f["start"]), F.transform("_found", lambda f: f["end"]), "_utf16")
-    each = hits.withColumn("_at", at).select(*extra, "_utf16", F.explode(F.zip_with("_found", "_at", lambda f, x: F.struct(f.alias("f"), x.alias("at")))).alias("_one"))
+    each = hits.withColumn("_at", at).select(*extra, "_space", "_utf16", F.explode_outer(F.zip_with("_found", "_at", lambda f, x: F.struct(f.alias("f"), x.alias("at")))).alias("_one"))
     f, place = F.col("_one.f"), F.col("_one.at")
     out = each.select(
         *(c for c in extra if c not in ("path", "identity")),
@@ -117,12 +123,17 @@ def findings(inputs: DataFrame, config: Config | None = None, space: str = "sour
         fn.explanation(names[f["rule_id"]], levels[f["rule_id"]], f["base64"], F.col("_utf16")).alias("explanation"),
         levels[f["rule_id"]].alias("confidence"),
         f["base64"].alias("is_base64_encoded"),
-        F.lit(space).alias("coordinate_space"),
+        F.col("_space").alias("coordinate_space"),
         *([f["secret"].alias("secret")] if secrets else []),
     )
     return out
 
 
+def parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``findings`` gives for inputs with a column ``error``: (findings, errors path and message)."""
+    return found.where("error is null").drop("error"), found.where("error is not null").select("path", F.col("error").alias("message"))
+
+
 def scan_column(
     df: DataFrame, path: Column, content: Column, config: Config | None = None, identity: Column | None = None, keep: tuple[str, ...] = (), errors: bool = False
 ) -> DataFrame | tuple[DataFrame, DataFrame]:

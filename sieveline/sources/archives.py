@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_DEPTH = 4
 SCHEMA = "path string, identity string, content binary, error string, is_member boolean"
@@ -98,18 +99,41 @@ def expand_one(path: str, identity: str, data: bytes, max_bytes: int, depth: int
         yield path, identity, None, "nested archive is corrupt or unsupported" if depth else "archive is corrupt or unsupported", depth > 0
 
 
+#: Bytes of members that are handed on at a time, about.
+BATCH = 32 << 20
+
+
 def expand(inputs: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """inputs (path, identity, content) with archives replaced by their members; members' errors are rows with ``error``."""
+    """inputs (path, identity, content) with archives replaced by their members; members' errors are rows with ``error``.
+
+    Rows that have an ``error`` already pass as they are. Other columns are repeated for each member. Members are handed on as they are
+    opened, so a task holds one archive and BATCH bytes of members.
+    """
     import pyarrow as pa
 
+    own = [c.split()[0] for c in SCHEMA.split(", ")]
+    kept = [c for c in inputs.columns if c not in own]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
+
+    def batch(rows, rest):
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array([0] * len(rows))) for c in rest)], names=[*own, *kept])
+
     def run(batches):
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
-        names = ["path", "identity", "content", "error", "is_member"]
         for whole in batches:
             for b in (whole.slice(i, 1) for i in range(whole.num_rows)):  # contents may be large: one input at a time
-                path, identity, data = (c[0].as_py() for c in b.columns)
-                rows = list(expand_one(path or "", identity or "", data or b"", max_bytes))
+                path, identity, data, error = (b.column(i)[0].as_py() for i in range(4))
+                rest, rows, size = b.columns[4:], [], 0
+                found = [(path, identity, None, error, False)] if error is not None else expand_one(path or "", identity or "", data or b"", max_bytes)
+                for row in found:
+                    rows.append(row)
+                    size += len(row[2] or b"")
+                    if size >= BATCH:
+                        yield batch(rows, rest)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield batch(rows, rest)
 
-    return inputs.select("path", "identity", "content").mapInArrow(run, SCHEMA)
+    error = F.col("error") if "error" in inputs.columns else F.lit(None).cast("string")
+    extra = "".join(f", `{c}` {inputs.schema[c].dataType.simpleString()}" for c in kept)
+    return inputs.select("path", "identity", "content", error.alias("error"), *kept).mapInArrow(run, SCHEMA + extra)

@@ -29,18 +29,27 @@ def well_formed(content: Column, order: Column) -> Column:
     return let(F.struct(hexed.alias("hexed"), order.alias("order")), check)
 
 
+def decoded(inputs: DataFrame) -> DataFrame:
+    """inputs with UTF-16 contents as UTF-8, a flag ``utf16``, and a message in ``error`` in place of the content of a malformed one."""
+    marked = inputs.withColumn("_order", utf16_order(F.col("content")))
+    bad = F.when(F.col("_order").isNotNull(), ~well_formed(F.col("content"), F.col("_order"))).otherwise(F.lit(False))
+    marked = marked.withColumn("_bad", bad)
+    body = F.substring(F.col("content"), F.lit(3), F.octet_length("content"))
+    le, be = (F.when((F.col("_order") == o) & ~F.col("_bad"), F.encode(F.decode(body, o), "UTF-8")) for o in ("UTF-16LE", "UTF-16BE"))
+    known = F.col("error") if "error" in inputs.columns else F.lit(None).cast("string")
+    out = marked.withColumns({
+        "utf16": F.col("_order").isNotNull(), "error": F.coalesce(known, F.when(F.col("_bad"), "invalid UTF-16 content")),
+        "content": F.when(~F.col("_bad"), F.coalesce(le, be, F.col("content"))),
+    })
+    return out.drop("_order", "_bad")
+
+
 def decode_utf16(inputs: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(inputs with UTF-16 contents as UTF-8 and a flag ``utf16``, error rows for malformed ones). ``strict``: a malformed one fails the job."""
-    order = utf16_order(F.col("content"))
-    marked = inputs.withColumn("order", order)
-    marked = marked.withColumn("bad", F.when(F.col("order").isNotNull(), ~well_formed(F.col("content"), F.col("order"))).otherwise(F.lit(False)))
-    if strict:
-        told = F.raise_error(F.concat(F.lit("invalid UTF-16 content: "), F.coalesce("path", F.lit("")))).cast("boolean")
-        marked = marked.withColumn("bad", F.when(F.col("bad"), told).otherwise(F.lit(False)))
-    body = F.substring(F.col("content"), F.lit(3), F.octet_length("content"))
-    le, be = (F.when((F.col("order") == o) & ~F.col("bad"), F.encode(F.decode(body, o), "UTF-8")) for o in ("UTF-16LE", "UTF-16BE"))
-    good = marked.where("not bad").withColumn("utf16", F.col("order").isNotNull()).withColumn("content", F.coalesce(le, be, F.col("content")))
-    return good.drop("order", "bad"), marked.where("bad").select("path", F.lit("invalid UTF-16 content").alias("message"))
+    both = decoded(inputs)
+    told = F.raise_error(F.concat(F.col("error"), F.lit(": "), F.coalesce("path", F.lit("")))).cast("boolean")
+    good = both.where(F.when(F.col("error").isNull(), True).otherwise(told if strict else F.lit(False)))
+    return good.drop("error"), both.where("error is not null").select("path", F.col("error").alias("message"))
 
 
 PLACES = "array<struct<start: bigint, end: bigint, line: bigint, column: bigint>>"

@@ -10,6 +10,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.sources import archives, encodings
+
 
 def _git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True).stdout
@@ -52,14 +54,14 @@ def tree_entries(trees: DataFrame, repo: str) -> DataFrame:
 
 def staged_entries(spark: SparkSession, repo: str) -> DataFrame:
     """(oid, path) of files that the index adds or changes."""
-    changed = {x for x in _git(repo, "diff", "--cached", "--name-only", "-z", "--diff-filter=ACMR").decode().split("\0") if x}
+    changed = set(_git(repo, "diff", "--cached", "--name-only", "-z", "--diff-filter=ACMR").split(b"\0")) - {b""}
     rows = []
-    for line in _git(repo, "ls-files", "--stage", "-z").decode().split("\0"):
+    for line in _git(repo, "ls-files", "--stage", "-z").split(b"\0"):
         if line:
-            head, path = line.split("\t", 1)
-            mode, oid, stage = head.split(" ")
+            head, path = line.split(b"\t", 1)
+            mode, oid, stage = head.decode().split(" ")
             if stage == "0" and mode not in ("160000", "120000") and path in changed:
-                rows.append((oid, path))
+                rows.append((oid, path.decode(errors="replace")))
     return spark.createDataFrame(rows, "oid string, path string")
 
 
@@ -136,32 +138,44 @@ def stats(entries: DataFrame, repo: str, max_bytes: int = 64 << 20) -> DataFrame
     return known.agg(F.count(F.when(fits, 1)).alias("files"), total("length")("bytes"), F.count(F.when(~fits, 1)).alias("skipped"), total("paths")("detection_passes"))
 
 
-def decoded(contents: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Of blobs (oid, content, error): (contents, UTF-16 ones decoded and flagged; errors of all others)."""
-    from sieveline.sources import encodings
+def occurrences(found: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
+    """Rows per (oid, path) placed in every commit that holds them: path becomes git:<commit>:<path>, all else stays.
 
-    named = contents.withColumn("path", F.concat(F.lit("git-object:"), "oid"))
-    good, malformed = encodings.decode_utf16(named.where("error is null").drop("error"))
-    return good.drop("path"), named.where("error is not null").select("path", F.col("error").alias("message")).unionByName(malformed)
+    Rows of archive members have the archive's path in ``repo_path``; where found lacks that column it is the path.
+    """
+    if "repo_path" not in found.columns:
+        found = found.withColumn("repo_path", F.col("path"))
+    held = found.join(entries.select("tree", "oid", F.col("path").alias("repo_path")), ["oid", "repo_path"]).drop("repo_path")
+    return held.join(history, "tree").withColumn("path", F.concat(F.lit("git:"), "commit", F.lit(":"), "path")).drop("tree")
 
 
-def occurrences(found: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
-    """Findings per (oid, path) placed in every commit that holds them: path becomes git:<commit>:<path>, fingerprints stay."""
-    held = found.join(entries.withColumnRenamed("path", "repo_path"), (found["oid"] == entries["oid"]) & (found["path"] == F.col("repo_path"))).drop(entries["oid"]).drop("repo_path")
-    placed = held.join(history, "tree")
-    return placed.withColumn("path", F.concat(F.lit("git:"), "commit", F.lit(":"), "path")).drop("tree")
+def inputs(contents: DataFrame, entries: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Of blobs (oid, content, error) and their paths (oid, path): (inputs, archives expanded and UTF-16 decoded, each with its oid and the
+    path it has in the repository; errors of blobs that could not be read)."""
+    unread = contents.where("error is not null").select(F.concat(F.lit("git-object:"), "oid").alias("path"), F.col("error").alias("message"))
+    named = contents.where("error is null").drop("error").join(entries.select("oid", "path").distinct(), "oid")
+    named = named.select("oid", F.col("path").alias("repo_path"), "path", F.col("path").alias("identity"), "content")
+    return encodings.decoded(archives.expand(named, max_bytes)), unread
+
+
+def _scanned(contents: DataFrame, entries: DataFrame, config, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    from sieveline.operators import scan
+
+    given, unread = inputs(contents, entries, max_bytes)
+    space = F.when(F.col("is_member"), "archive_member_bytes").otherwise("source_bytes")
+    return scan.findings(given, config, space).drop("is_member"), unread
 
 
 def history(spark: SparkSession, repo: str, revisions: str | None = None, config=None, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """(findings with a commit each, errors) of a repository's history."""
+    """(findings with a commit each, errors) of a repository's history. What an archive or a text of a commit has for errors is an error of that commit."""
     from sieveline.operators import scan
 
     repo = root(repo)
     log = commits(spark, repo, revisions)
     entries = tree_entries(log.select("tree").distinct(), repo).cache()  # listed once, read by three joins
-    contents, errors = decoded(blobs(entries, repo, max_bytes), max_bytes)
-    inputs = contents.join(entries.select("oid", "path").distinct(), "oid").withColumn("identity", F.col("path"))
-    return occurrences(scan.findings(inputs, config), entries, log), errors
+    found, unread = _scanned(blobs(entries, repo, max_bytes), entries, config, max_bytes)
+    placed, errors = scan.parted(occurrences(found, entries, log))
+    return placed, unread.unionByName(errors)
 
 
 def staged(spark: SparkSession, repo: str, config=None, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
@@ -170,6 +184,6 @@ def staged(spark: SparkSession, repo: str, config=None, max_bytes: int = 64 << 2
 
     repo = root(repo)
     entries = staged_entries(spark, repo)
-    contents, errors = decoded(blobs(entries, repo, max_bytes), max_bytes)
-    inputs = contents.join(entries, "oid").withColumn("identity", F.col("path"))
-    return scan.findings(inputs, config).drop("oid"), errors
+    found, unread = _scanned(blobs(entries, repo, max_bytes), entries, config, max_bytes)
+    placed, errors = scan.parted(found.drop("oid", "repo_path"))
+    return placed, unread.unionByName(errors)
