@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import keywords, regex
 from sieveline.functions import text as fn
-from sieveline.plans.rules import Rule
+from sieveline.plans.rules import Rule, authored
 
-CANDIDATE = "array<struct<start: bigint, end: bigint, generic: int, rank: int, rule_id: string, secret: string>>"
+#: field_at: where the match begins, if it may be a public field of a Rust source.
+CANDIDATE = "array<struct<start: bigint, end: bigint, generic: int, rank: int, rule_id: string, secret: string, field_at: bigint>>"
 #: Rules whose matches may run into the next property name.
 CONTEXTUAL = ("generic-api-key", "linkedin-client-id")
+#: The rule whose match may be a field and its type; a rule of the same name from elsewhere is not meant.
+TYPED = next(r for r in authored() if r.id == "generic-credential-unquoted")
 #: Keywords up to which a gate of single ``contains`` is used; beyond, the automaton.
 FEW = 24
 
@@ -146,7 +149,7 @@ def native_matches(view: Column, pattern: str, group: int | None) -> Column:
 _ALLOW = "struct<both: boolean, target: string, regexes: array<string>, paths: array<string>, stopwords: array<string>>"
 _RULE = (
     "array<struct<id: string, rank: int, generic: int, pattern: string, marks: string, whole: boolean, requires: string, threshold: double, contextual: boolean, "
-    f"prose: boolean, path: string, skip: array<string>, allow: array<{_ALLOW}>>>"
+    f"prose: boolean, typed: boolean, path: string, skip: array<string>, allow: array<{_ALLOW}>>>"
 )
 
 
@@ -170,8 +173,9 @@ class Rules:
             rows.append({
                 "id": r.id, "rank": -r.rank, "generic": int(r.id.startswith("generic-")), "pattern": pattern, "marks": marks, "whole": whole,
                 "requires": r.requires and regex.translate(r.requires), "threshold": r.min_entropy if min_entropy is None else min_entropy,
-                "contextual": r.id in CONTEXTUAL, "prose": r.id.startswith("generic-credential-"), "path": r.path, "skip": [*r.exclude_paths, *alone], "allow": allow,
+                "contextual": r.id in CONTEXTUAL, "prose": r.id.startswith("generic-credential-"), "typed": r == TYPED, "path": r.path, "skip": [*r.exclude_paths, *alone], "allow": allow,
             })
+        self.typed = any(row["typed"] for row in rows)
         self.table = F.from_json(F.lit(json.dumps(rows)), _RULE)
 
     def gate(self, views: Column, on: bool = True) -> Column:
@@ -209,7 +213,10 @@ class Rules:
         def shape(m: Column, rule: Column) -> Column:
             start = (m["mstart"] + F.length(m["lead"])).cast("bigint")
             end = (start + F.length(m["secret"])).cast("bigint")
-            return F.struct(start.alias("start"), end.alias("end"), rule["generic"].alias("generic"), rule["rank"].alias("rank"), rule["id"].alias("rule_id"), m["secret"].alias("secret"))
+            field = F.when(rule["typed"] & F.endswith(path, F.lit(".rs")) & m["lead"].rlike(r":[ \t\n\f\r]*\z"), m["mstart"].cast("bigint"))
+            return F.struct(
+                start.alias("start"), end.alias("end"), rule["generic"].alias("generic"), rule["rank"].alias("rank"), rule["id"].alias("rule_id"), m["secret"].alias("secret"), field.alias("field_at")
+            )
 
         def native(i: Column) -> Column:
             def of(rule: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions import rust
 from sieveline.functions import text as fn
 from sieveline.operators import detect
 from sieveline.plans import rules as R
@@ -98,19 +99,33 @@ def findings(inputs: DataFrame, config: Config | None = None, space: str | Colum
     ids, by_python = kernel.found(F.transform("_views", lambda v: v["view"]), F.col("path"))
     seen = seen.withColumns({"_ids": ids} | ({} if by_python is None else {"_python": by_python}))
 
-    def merged(v: Column, i: Column) -> Column:
+    def searched(v: Column, i: Column) -> Column:
         own = kernel.candidates(v["view"], F.get("_ids", i), None if by_python is None else F.get("_python", i), F.col("path"))
+        return F.struct(own.alias("own"), v["base64"].alias("base64"), v["box_start"].alias("box_start"), v["box_end"].alias("box_end"))
+
+    # Exploding a list of one list or none drops the inputs without findings, with the list worked out once.
+    per_view = F.filter(F.transform("_views", searched), lambda x: F.size(x["own"]) > 0)
+    some = lambda found: F.explode(fn.let(found, lambda f: F.when((F.size(f) > 0) | failed, F.array(f)).otherwise(F.slice(F.array(f), 1, 0))))
+    hits = seen.select(*extra, "_space", "_utf16", F.get("_views", F.lit(0))["view"].alias("_raw"), some(per_view).alias("_met"))
+    if kernel.typed:
+        # Of what is left, matches in raw Rust sources whose colon introduces a type go.
+        asked = F.flatten(F.transform(F.filter("_met", lambda x: ~x["base64"]), lambda x: F.filter(F.transform(x["own"], lambda c: c["field_at"]), lambda n: n.isNotNull())))
+        hits = hits.withColumn("_asked", F.when(F.endswith("path", F.lit(".rs")), asked)).withColumn("_fields", rust.fields()("_raw", "_asked"))
+
+    def merged(x: Column) -> Column:
+        own = x["own"]
+        if kernel.typed:
+            own = F.filter(own, lambda c: x["base64"] | c["field_at"].isNull() | ~F.array_contains(F.col("_fields"), c["field_at"]))
         place = lambda f: F.struct(
-            F.coalesce(v["box_start"], f["start"]).alias("start"), F.coalesce(v["box_end"], f["end"]).alias("end"),
-            f["rule_id"].alias("rule_id"), f["matched"].alias("matched"), f["secret"].alias("secret"), v["base64"].alias("base64"),
+            F.coalesce(x["box_start"], f["start"]).alias("start"), F.coalesce(x["box_end"], f["end"]).alias("end"),
+            f["rule_id"].alias("rule_id"), f["matched"].alias("matched"), f["secret"].alias("secret"), x["base64"].alias("base64"),
         )
         return F.transform(detect.merge(own, len(rules)), place)
 
-    # Exploding a list of one list or none drops the inputs without findings, with the list worked out once.
-    any_ = fn.let(F.flatten(F.transform("_views", merged)), lambda f: F.when((F.size(f) > 0) | failed, F.array(f)).otherwise(F.slice(F.array(f), 1, 0)))
-    hits = seen.select(*extra, "_space", "_utf16", F.get("_views", F.lit(0))["view"].alias("_raw"), F.explode(any_).alias("_found"))
+    hits = hits.select(*extra, "_space", "_utf16", "_raw", some(F.flatten(F.transform("_met", merged))).alias("_found"))
     at = encodings.places("_raw", F.transform("_found", lambda f: f["start"]), F.transform("_found", lambda f: f["end"]), "_utf16")
     each = hits.withColumn("_at", at).select(*extra, "_space", "_utf16", F.explode_outer(F.zip_with("_found", "_at", lambda f, x: F.struct(f.alias("f"), x.alias("at")))).alias("_one"))
+    each = each.where(F.col("_one").isNotNull() | failed)
     f, place = F.col("_one.f"), F.col("_one.at")
     out = each.select(
         *(c for c in extra if c not in ("path", "identity")),
