@@ -219,7 +219,7 @@ def base64_candidates(spark, sf):
 
 def base64_findings(spark, sf):
     found = _scan(_coded(spark, sf), scan.Config(min_confidence="medium"), secrets=True).where("is_base64_encoded")
-    return found.select("doc_id", "rule_id", (F.col("end") - F.col("start")).alias("width"), F.sha2("secret", 256).alias("secret_sha256"))
+    return found.select("doc_id", "rule_id", "start", "end", "line", "column", F.sha2("secret", 256).alias("secret_sha256"))
 
 
 def _authored(spark, sf, prefix):
@@ -235,7 +235,8 @@ def uri_passwords(spark, sf):
     return _authored(spark, sf, "uri-")
 
 
-def _authored_sql(prefix: str) -> str:
+def _authored_sql(prefix: str, seeded: str = _SEEDED, more: str = "true") -> str:
+    """``more``: a further condition on doc_id and secret."""
     parts = []
     for r in R.authored():
         if r.id.startswith(prefix):
@@ -243,8 +244,24 @@ def _authored_sql(prefix: str) -> str:
             token = "regexp_matches(lower(lead), '(api_?key|access_?token|auth_?token)[\"'']?[ \\t]*[:=]')"
             prose = f"{token} AND len(list_filter(string_split_regex(secret, '[ \\t]+'), lambda x: x <> '')) >= 8 AND regexp_matches(secret, '[,;.!?]([ \\t]|$)')" if prefix == "generic-" else "false"
             pairs = f"SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(r.pattern)}, 1)) AS secret, unnest(regexp_extract_all(text, {_quoted(r.pattern)}, 0)) AS lead FROM seeded"
-            parts.append(f"SELECT doc_id, '{r.id}' AS rule_id, sha256(secret) AS secret_sha256 FROM ({pairs}) WHERE secret <> '' AND NOT ({_PLACEHOLDER_SQL}) AND NOT ({allow}) AND NOT ({prose})")
-    return f"WITH seeded AS ({_SEEDED})\n" + "\nUNION ALL ".join(parts)
+            parts.append(f"SELECT doc_id, '{r.id}' AS rule_id, sha256(secret) AS secret_sha256 FROM ({pairs}) WHERE secret <> '' AND NOT ({_PLACEHOLDER_SQL}) AND NOT ({allow}) AND NOT ({prose}) AND {more}")
+    return f"WITH seeded AS ({seeded})\n" + "\nUNION ALL ".join(parts)
+
+
+#: Rust code in front of the documents' texts, by doc_id % 4: two public fields, a macro's input, a private name.
+_RUST = """CASE doc_id % 4
+  WHEN 0 THEN 'struct S {' || chr(10) || '    pub access_token: Type' || doc_id || ',' || chr(10) || '}'
+  WHEN 1 THEN '// pub' || chr(10) || 'struct T { pub(in crate::a) client_secret: Type' || doc_id || ', }'
+  WHEN 2 THEN 'config! {' || chr(10) || '    pub access_token: Type' || doc_id || ',' || chr(10) || '}'
+  ELSE 'let password: Type' || doc_id || ';' END || chr(10) || text"""
+
+
+def rust_fields(spark, sf):
+    """Findings of the rule for unquoted values in documents as Rust sources."""
+    docs = _docs(spark, sf).withColumn("text", F.expr(_RUST))
+    path = F.concat(F.lit("src/doc"), F.col("doc_id").cast("string"), F.lit(".rs"))
+    inputs = docs.select("doc_id", path.alias("path"), path.alias("identity"), F.encode("text", "UTF-8").alias("content"))
+    return _secret_hash(scan.findings(inputs, scan.Config((detect.TYPED,), builtin=False, base64=False), secrets=True))
 
 
 def _split(spark, sf):
@@ -285,24 +302,24 @@ def scan_summary(spark, sf):
 
 
 def rule_inventory(spark, sf):
-    return R.inventory(spark, R.override(R.authored(), R.providers(), [TOKEN], [R.Rule("github-pat", "Overridden", "x(y)", 1)]))
-
-
-_RELATIONS = """commits AS (SELECT o_orderkey AS commit, o_custkey AS tree FROM orders),
-entries AS (SELECT DISTINCT o_custkey AS tree, o_custkey % 97 AS oid, 'file-' || (o_custkey % 97) || '.txt' AS path FROM orders)"""
+    """The rules of a scan, one of them overridden, and how many documents each is searched in."""
+    rules = R.inventory(spark, R.override(_SHIPPED, [R.Rule("github-pat", "Overridden", "x(y)", 1)]))
+    searched = rule_dispatch(spark, sf).groupBy("rule_id").agg(F.count("*").alias("documents"))
+    named = rules.join(searched, rules["id"] == searched["rule_id"], "left").drop("rule_id")
+    return named.withColumn("documents", F.coalesce("documents", F.lit(0)))
 
 
 def git_occurrences(spark, sf):
-    """Findings of blobs placed in commits, on relations made from orders: a stand-in for a repository, to try the joins."""
+    """Findings of documents, each a blob, placed in the commits of orders: the joins of a history, on a table of any size."""
     from sieveline.sources import git
 
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders, docs = spark.read.parquet(f"{sf}/orders.parquet"), _docs(spark, sf)
     log = orders.select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("tree"))
-    oid = (F.col("o_custkey") % 97).alias("oid")
-    entries = orders.select(F.col("o_custkey").alias("tree"), oid, F.concat(F.lit("file-"), (F.col("o_custkey") % 97).cast("string"), F.lit(".txt")).alias("path")).distinct()
-    blobs = entries.select("oid", "path").distinct().select("oid", "path", F.col("path").alias("identity"), F.encode(F.concat(F.when(F.col("oid") % 2 == 0, F.lit('x\npassword = "blob')).otherwise(F.lit('x\nnote = "blob')), F.col("oid").cast("string"), F.lit('"')), "UTF-8").alias("content"))
-    found = scan.findings(blobs, scan.Config(base64=False))
-    return git.occurrences(found, entries, log).select("commit", "path", "rule_id", "line")
+    trees = orders.select(F.col("o_custkey").alias("tree")).distinct()
+    blobs = docs.select(F.col("doc_id").alias("oid"), _path().alias("path"))
+    entries = trees.withColumn("oid", F.col("tree") % F.lit(docs.count())).join(blobs, "oid")
+    found = _scan(docs, TOKENS_ONLY).withColumnRenamed("doc_id", "oid")
+    return git.occurrences(found, entries, log).select("commit", "path", "rule_id", "line", "fingerprint")
 
 
 def _scored(spark, sf):
@@ -416,15 +433,15 @@ def utf16_findings(spark, sf):
     from sieveline.sources import encodings
 
     good, errors = encodings.decode_utf16(_utf16(spark, sf))
-    found = scan.findings(good, TOKENS_ONLY, secrets=True).select("doc_id", F.sha2("secret", 256).alias("secret_sha256"))
-    return found.unionByName(errors.select(F.col("path").cast("long").alias("doc_id"), F.col("message").alias("secret_sha256")))
+    found = scan.findings(good, TOKENS_ONLY, secrets=True).select("doc_id", "start", "end", "line", "column", F.sha2("secret", 256).alias("secret_sha256"))
+    return found.unionByName(errors.select(F.col("path").cast("long").alias("doc_id"), F.col("message").alias("secret_sha256")), allowMissingColumns=True).fillna(-1)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         keyword_gate, rule_dispatch, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
-        exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
+        rust_fields, exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
         git_occurrences, quality_confusion, quality_by_provider, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
     )
 }
@@ -439,6 +456,9 @@ UNION ALL SELECT doc_id, start, start + 20, 'generic-half', NULL FROM located"""
 #: Entropy of a string in SQL.
 _BITS = "list_sum(list_transform(list_distinct(string_split(s, '')), lambda c: -(length(s) - length(replace(s, c, ''))) / length(s) * log2((length(s) - length(replace(s, c, ''))) / length(s))))"
 
+#: UTF-16 units of a string in SQL.
+_UNITS = "(2 * length({0}) - length(regexp_replace({0}, '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
 #: Findings of _scored with the labels that they meet, and their classes.
 _SCORED = f"""{_TOKENS},
 labels AS (SELECT path, start AS l, "end" AS r, doc_id % 5 <> 0 AS positive FROM located),
@@ -496,10 +516,13 @@ WHERE NOT ({_PLACEHOLDER_SQL}) AND NOT (starts_with(matched, 'auth_token') AND l
 parts AS (SELECT doc_id, lead, tail, lead[-1] AS mark, regexp_replace(split_part(lead, ',', 1), '[ \\t\\n\\f\\r]+$', '')[-1] AS before FROM cut)
 SELECT doc_id, (mark IN ('"', '''') AND starts_with(tail, mark) AND regexp_matches(tail[2:], '^[ \\t\\n\\f\\r]*:'))
   OR (contains(lead, ',') AND NOT (mark IN ('"', '''') AND before IN ('"', ''''))) AS non_value FROM parts""",
+    "rust_fields": _authored_sql("generic-credential-unquoted", f"SELECT doc_id, {_RUST} AS text FROM documents", "NOT (doc_id % 4 < 2 AND secret = 'Type' || doc_id)"),
     "exact_span_merge": f"WITH {_TOKENS} {_MERGED}",
     "primary_rule_rank": f"WITH {_TOKENS} {_MERGED}",
     "base64_candidates": f"SELECT doc_id, run, CAST(strlen(run) AS BIGINT) AS size FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_-]{{24,}}={{0,2}}')) AS run FROM ({_CODED}))",
-    "base64_findings": "SELECT doc_id, 'generic-credential-double' AS rule_id, CAST(strlen(to_base64(encode('password = \"inside-' || doc_id || '\"'))) AS BIGINT) AS width, sha256('inside-' || doc_id) AS secret_sha256 FROM documents",
+    "base64_findings": """SELECT doc_id, 'generic-credential-double' AS rule_id, CAST(strlen(text) + 1 AS BIGINT) AS start,
+  CAST(strlen(text) + 1 + strlen(to_base64(encode('password = "inside-' || doc_id || '"'))) AS BIGINT) AS "end",
+  CAST(length(text) - length(replace(text, chr(10), '')) + 2 AS BIGINT) AS line, CAST(0 AS BIGINT) AS "column", sha256('inside-' || doc_id) AS secret_sha256 FROM documents""",
     "generic_assignments": _authored_sql("generic-"),
     "uri_passwords": _authored_sql("uri-"),
     "baseline_new": f"WITH {_TOKENS} SELECT doc_id, fingerprint FROM located WHERE doc_id % 3 <> 1 AND fingerprint NOT IN (SELECT fingerprint FROM located WHERE doc_id % 3 <> 0)",
@@ -510,7 +533,8 @@ SELECT doc_id, (mark IN ('"', '''') AND starts_with(tail, mark) AND regexp_match
 over AS (SELECT count(*) AS skipped FROM documents WHERE strlen(text) > 67108864),
 n AS (SELECT count(*) AS finding_count FROM located JOIN documents USING (doc_id) WHERE strlen(text) <= 67108864)
 SELECT finding_count, skipped AS error_count, skipped = 0 AS complete, CASE WHEN skipped > 0 THEN 2 WHEN finding_count > 0 THEN 1 ELSE 0 END AS exit_code, files, bytes, skipped, files AS detection_passes FROM n, kept, over""",
-    "rule_inventory": """SELECT * FROM (VALUES
+    "rule_inventory": f"""WITH met AS ({_dispatch_sql()}), n AS (SELECT rule_id, count(*) AS documents FROM met GROUP BY rule_id)
+SELECT t.*, coalesce(documents, 0) AS documents FROM (VALUES
 ('corpus-token-assignment', 'Token assigned in text', 'medium'),
 ('generic-credential-double', 'Literal assigned to a credential key', 'medium'),
 ('generic-credential-single', 'Literal assigned to a credential key', 'medium'),
@@ -536,8 +560,9 @@ SELECT finding_count, skipped AS error_count, skipped = 0 AS complete, CASE WHEN
 ('shopify-access-token', 'Shopify access token', 'high'),
 ('slack-bot-token', 'Slack bot token', 'high'),
 ('stripe-secret-key', 'Stripe secret key', 'high'),
-('twilio-api-key', 'Twilio API key', 'high')) t(id, name, confidence)""",
-    "git_occurrences": f"WITH {_RELATIONS} SELECT commit, 'git:' || commit || ':' || path AS path, 'generic-credential-double' AS rule_id, CAST(2 AS BIGINT) AS line FROM commits JOIN entries USING (tree) WHERE oid % 2 = 0",
+('twilio-api-key', 'Twilio API key', 'high')) t(id, name, confidence) LEFT JOIN n ON rule_id = id""",
+    "git_occurrences": f"""WITH {_TOKENS} SELECT o_orderkey AS commit, 'git:' || o_orderkey || ':' || path AS path, rule_id, line, fingerprint
+FROM orders JOIN located ON doc_id = o_custkey % (SELECT count(*) FROM documents)""",
     "preview_topk": f"WITH {_TOKENS} SELECT row_number() OVER (ORDER BY path, start) - 1 AS place, path, start FROM located ORDER BY path, start LIMIT 10",
     "sarif_results": f"WITH {_TOKENS} SELECT path, start, rule_id AS rule, line, path AS uri FROM located",
     "sarif_rules": f"WITH {_TOKENS} SELECT DISTINCT rule_id, 'Matched {TOKEN.name} (medium confidence); not live-validated' AS text FROM located",
@@ -552,5 +577,9 @@ kept AS (
   UNION ALL
   SELECT k.user_id, min(t.ms) FROM kept k JOIN times t ON t.user_id = k.user_id AND t.ms >= k.ms + 3600000 GROUP BY k.user_id)
 SELECT user_id, count(*) AS kept FROM kept GROUP BY user_id""",
-    "utf16_findings": f"SELECT doc_id, sha256(unnest(regexp_extract_all(text, {_SIMPLE_TOKEN}, 1))) AS secret_sha256 FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, 'invalid UTF-16 content' FROM documents WHERE doc_id % 10 = 3",
+    "utf16_findings": f"""WITH {_TOKENS},
+units AS (SELECT doc_id, secret, prefix, {_UNITS.format('prefix')} AS n, {_UNITS.format("list_last(string_split(prefix, chr(10)))")} AS own FROM placed WHERE doc_id % 10 <> 3)
+SELECT doc_id, CAST(2 + 2 * n AS BIGINT) AS start, CAST(82 + 2 * n AS BIGINT) AS "end", CAST(length(prefix) - length(replace(prefix, chr(10), '')) + 1 AS BIGINT) AS line,
+  CAST(2 * own + CASE WHEN contains(prefix, chr(10)) THEN 0 ELSE 2 END AS BIGINT) AS "column", sha256(secret) AS secret_sha256 FROM units
+UNION ALL SELECT doc_id, -1, -1, -1, -1, 'invalid UTF-16 content' FROM documents WHERE doc_id % 10 = 3""",
 }
