@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions import keywords, regex
+from sieveline.functions import keywords, literals, regex
 from sieveline.functions import text as fn
 from sieveline.plans.rules import Rule, authored
 
@@ -165,6 +165,7 @@ class Rules:
             except regex.Unsupported:
                 pattern, marks, whole = None, None, False
                 self.python.append(i)
+            needed = literals.required(r.pattern)
             alone = [p for a in r.allowlist if a.paths and (a.condition == "or" or not (a.regexes or a.stopwords)) for p in a.paths]
             allow = [
                 {"both": a.condition == "and", "target": a.target, "regexes": [regex.translate(x) for x in a.regexes], "paths": list(a.paths), "stopwords": [w.lower() for w in a.stopwords]}
@@ -172,7 +173,7 @@ class Rules:
             ]
             rows.append({
                 "id": r.id, "rank": -r.rank, "generic": int(r.id.startswith("generic-")), "pattern": pattern, "marks": marks, "whole": whole,
-                "requires": r.requires and regex.translate(r.requires), "threshold": r.min_entropy if min_entropy is None else min_entropy,
+                "requires": needed and regex.translate(needed), "threshold": r.min_entropy if min_entropy is None else min_entropy,
                 "contextual": r.id in CONTEXTUAL, "prose": r.id.startswith("generic-credential-"), "typed": r == TYPED, "path": r.path, "skip": [*r.exclude_paths, *alone], "allow": allow,
             })
         self.typed = any(row["typed"] for row in rows)
