@@ -52,7 +52,7 @@ def test_whatever_matches_holds_what_is_required(parts, seed, fold):
 def test_gated_rules_find_the_same(spark):
     """Rules with a shortcut, with and without their gate, on texts with many near misses."""
     r = random.Random(2)
-    parts = ["password", "api_key", "secret", '"', "'", " ", "=", ": ", "abcd1234", "\n", ";", ",", "SG.", "A" * 22, ".", "B" * 43, "x", "key", "token"]
+    parts = ["password", "api_key", "secret", '"', "'", " ", "=", ": ", "abcd1234", "\n", ";", ",", "SG.", "A" * 22, ".", "B" * 43, "x", "key", "token", 'pwd = "zq9xk2"\n', "client_secret: zq9xk2\n", f"SG.{'a1' * 11}.{'b2' * 21}c "]
     texts = [("".join(r.choices(parts, k=r.randint(1, 25))),) for _ in range(400)]
     rules = [*R.authored(), *R.providers()]
     view = spark.createDataFrame(texts, "t string").select(fn.latin1(F.encode("t", "UTF-8")).alias("v"))
