@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a path that are compared at a time: spans only meet in a block that both reach into.
+BLOCK = 4096
+
+
+def meetings(f: DataFrame, g: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs of findings (path, start, end, ...) and labels (path, l_start, l_end, ...) of a path whose spans share bytes or are equal.
+
+    Each span goes to the blocks that it reaches into and meets what is there; a pair counts in the first block of both. So the work follows
+    the pairs that meet, not findings times labels, and a path with very many of them is spread over its blocks.
+    """
+
+    def dealt(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
+        at = lambda x: F.floor(x / block).cast("long")
+        last = F.greatest(at(F.col(start)), at(F.col(end) - 1))
+        return df.withColumn(first, at(F.col(start))).withColumn("block", F.explode(F.sequence(first, last)))
+
+    both = dealt(f, "start", "end", "f_first").join(dealt(g, "l_start", "l_end", "g_first"), ["path", "block"])
+    equal = (F.col("start") == F.col("l_start")) & (F.col("end") == F.col("l_end"))
+    shared = F.least("end", "l_end") > F.greatest("start", "l_start")
+    return both.where((F.col("block") == F.greatest("f_first", "g_first")) & (equal | shared)).drop("block", "f_first", "g_first")
+
+
 def classify(findings: DataFrame, labels: DataFrame) -> DataFrame:
     """Every finding (finding_id, path, start, end) with its class: tp, fp, duplicate or unlocalized.
 
@@ -14,7 +36,7 @@ def classify(findings: DataFrame, labels: DataFrame) -> DataFrame:
     findings of a label or place are duplicates of the first in the order of finding_id.
     """
     f, g = findings.select("finding_id", "path", "start", "end"), labels.select("label_id", "path", F.col("start").alias("l_start"), F.col("end").alias("l_end"), "label")
-    pairs = f.join(g, "path", "left")
+    pairs = meetings(f, g).unionByName(f, allowMissingColumns=True)  # every finding has a row, with a label or without
     exact = (F.col("start") == F.col("l_start")) & (F.col("end") == F.col("l_end"))
     shared = F.when(F.col("label_id").isNotNull(), F.least("end", "l_end") - F.greatest("start", "l_start"))  # least() passes over nulls
     width = F.col("l_end") - F.col("l_start")
@@ -43,9 +65,10 @@ def confusion(findings: DataFrame, labels: DataFrame) -> DataFrame:
     seen = classify(findings, labels)
     negative = labels.where("label = 'negative'").select("path", F.col("label_id").alias("negative_id"))
     flagged = seen.where("class = 'fp' AND label_id IS NOT NULL").select(F.col("label_id").alias("negative_id")).distinct()
-    lost = seen.where("class = 'unlocalized'").select("path", "candidates").distinct()
-    meant = (F.size("candidates") == 0) | F.array_contains("candidates", F.col("negative_id"))
-    open_ = lost.join(negative, "path").where(meant).select("negative_id").distinct().join(flagged, "negative_id", "left_anti")
+    lost = seen.where("class = 'unlocalized'").select("path", "candidates")
+    named = lost.select(F.explode("candidates").alias("negative_id")).distinct().join(negative.select("negative_id"), "negative_id", "left_semi")
+    anywhere = negative.join(lost.where(F.size("candidates") == 0).select("path").distinct(), "path", "left_semi").select("negative_id")
+    open_ = named.unionByName(anywhere).distinct().join(flagged, "negative_id", "left_anti")
     got = seen.agg(n("tp").alias("tp"), n("fp").alias("fp"), n("unlocalized").alias("unlocalized"), n("duplicate").alias("duplicates"))
     kinds = (F.count(F.when(F.col("label") == k, 1)).alias(k) for k in ("positive", "negative"))
     counted = (flagged.agg(F.count("*").alias("negative_labels_flagged")), open_.agg(F.count("*").alias("negative_labels_unresolved")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,22 +97,71 @@ def events(findings: DataFrame, errors: DataFrame, counted: DataFrame | None = N
     return out if counted is None else out.unionByName(counted.select(_record("progress", F.struct(*counted.columns).alias("stats"))))
 
 
+class Control:
+    """Cancels a scan: the jobs of its group now, and those that it would still begin."""
+
+    def __init__(self, spark: SparkSession, group: str):
+        self.spark, self.group, self.cancelled = spark, group, False
+
+    def cancel(self) -> None:
+        self.cancelled = True
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+
+def _was_cancelled(error: Exception) -> bool:
+    """Whether Spark itself says that a job was cancelled; what messages hold otherwise, such as paths, does not count."""
+    java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while java is not None:
+        if java.getClass().getName() == "org.apache.spark.SparkException" and "SPARK_JOB_CANCELLED" in str(java.getCondition()):
+            return True
+        java = java.getCause()
+    return False
+
+
 def written(findings: DataFrame, errors: DataFrame, place: str, group: str) -> DataFrame:
     """Write findings as Parquet under a job group's name; the errors, with one row more if the group is cancelled meanwhile.
 
     Spark commits a table as a whole, so a cancelled scan leaves no findings behind, and its summary is incomplete. Other failures are raised.
+    For a scan that keeps what it has found, see ``written_units``.
     """
-    spark = findings.sparkSession
-    spark.sparkContext.setJobGroup(group, "scan", interruptOnCancel=True)
+    done, _ = written_units([findings], place, Control(findings.sparkSession, group))
+    return errors if done else errors.unionByName(errors.sparkSession.createDataFrame([("scan", CANCELLED)], "path string, message string"))
+
+
+def written_units(units: Iterable[DataFrame], place: str, control: Control) -> tuple[list[str], bool]:
+    """Write each of several tables under ``place``, one after the other: (what is committed, whether that is all).
+
+    A cancelled scan keeps the units committed so far and nothing of the one it was in. Other failures are raised. Running it again with the
+    same units goes on behind those that are there.
+    """
+    done, context = [], control.spark.sparkContext
+    context.setJobGroup(control.group, "scan", interruptOnCancel=True)
     try:
-        findings.write.parquet(place)
-    except Exception as e:
-        if "cancelled" not in str(e):
-            raise
-        return errors.unionByName(spark.createDataFrame([("scan", CANCELLED)], "path string, message string"))
+        for i, unit in enumerate(units):
+            path = f"{place.rstrip('/')}/unit={i:05d}"
+            if control.cancelled:
+                return done, False
+            marker = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+            if not marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker):
+                try:
+                    unit.write.mode("overwrite").parquet(path)
+                except Exception as e:
+                    if not _was_cancelled(e):
+                        raise
+                    return done, False
+            done.append(path)
+        return done, True
     finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    return errors
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def partial(spark: SparkSession, done: list[str], whole: bool, schema) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) of committed units of ``findings`` rows with a column ``error``; an error says so where they are not all."""
+    rows = spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+    errors = rows.where("error is not null").select("path", F.col("error").alias("message"))
+    if not whole:
+        errors = errors.unionByName(spark.createDataFrame([("scan", CANCELLED)], "path string, message string"))
+    return rows.where("error is null").drop("error"), errors
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -172,6 +223,25 @@ def preview(findings: DataFrame, rows: int = PREVIEW_ROWS, budget: int = PREVIEW
     return findings.sparkSession.createDataFrame(list(enumerate(out)), "place int, finding string")
 
 
+def preview_report(findings: DataFrame, errors: DataFrame, rows: int = PREVIEW_ROWS, budget: int = PREVIEW_BYTES) -> DataFrame:
+    """A bounded report as one row: the first findings and errors that fit, the numbers of all, and whether something was left out.
+
+    Findings come first; errors share what they leave of ``rows`` and of ``budget`` bytes.
+    """
+    shown = [r["finding"] for r in preview(findings, rows, budget).collect()]
+    left = budget - sum(len(x.encode()) for x in shown)
+    text = F.to_json(F.struct("path", "message"))
+    near = errors.select(text.alias("error")).where(F.octet_length("error") <= left).orderBy("error").limit(max(0, rows - len(shown))).collect()
+    told = []
+    for r in near:
+        if len(r["error"].encode()) <= left:
+            told.append(r["error"])
+            left -= len(r["error"].encode())
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    out = summary(findings, errors).withColumns({"findings": strings(shown), "errors": strings(told)})
+    return out.withColumn("output_truncated", (F.col("finding_count") > len(shown)) | (F.col("error_count") > len(told)))
+
+
 def document(findings: DataFrame, errors: DataFrame, closing: DataFrame) -> DataFrame:
     """A whole JSON report as one value: findings in report order, errors, and the fields of the summary. For reports, not for tables."""
     key = F.struct(*FINDING_ORDER)

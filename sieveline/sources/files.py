@@ -289,6 +289,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")])
 
 
+def units(known: Survey, folders: int = 256) -> list[Survey]:
+    """A survey in parts of so many folders, for scans that commit part by part."""
+    cut = [known.folders[i : i + folders] for i in range(0, len(known.folders), folders)] or [[]]
+    first = [Survey(known.roots, cut[0], known.files, known.errors, known.policy)]
+    return first + [Survey(known.roots, part, [], [], known.policy) for part in cut[1:]]
+
+
 def rows(spark: SparkSession, known: Survey, max_bytes: int = 64 << 20, longest: int | None = None) -> DataFrame:
     """One row (path, identity, content, length, error) for each file and each error of a survey; all in one pass over the files.
 
