@@ -162,6 +162,15 @@ def scan_column(
     return (findings(good, config), bad) if errors else findings(good, config)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores if its files give fewer splits than there are cores; a table of many splits stays where it is.
+
+    Searching costs far more than moving a few large splits once. For plain reads: counting the splits of a plan with shuffles would run it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def size_gate(inputs: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Inputs within the limit, and error rows (path, message) for the others."""
     over = F.octet_length("content") > max_bytes

@@ -31,7 +31,7 @@ _SEEDED = f"SELECT doc_id, source, text || chr(10) || {_SUFFIX} AS text FROM doc
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    return scan.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
 
 
 def _seeded(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def line_column(spark, sf):
 
 def pages_findings(spark, sf):
     rule = R.Rule("page-token", "Token in a page", "token = &quot;([0-9a-f]{40})&quot;", 1, ("token",))
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.col("url").alias("path"), F.col("url").alias("identity"), F.encode("html", "UTF-8").alias("content"))
+    pages = scan.spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")).select("page_id", F.col("url").alias("path"), F.col("url").alias("identity"), F.encode("html", "UTF-8").alias("content"))
     found = scan.findings(pages, scan.Config((rule,), builtin=False, base64=False), secrets=True)
     return found.select("page_id", "path", F.sha2("secret", 256).alias("secret_sha256"))
 
