@@ -137,13 +137,15 @@ class _Nesting:
         return before[-3:-1] == ["macro_rules", "!"]
 
 
-def public_fields(source: str) -> list[int]:
-    """Where the names of public fields begin, in characters; a raw name also where its bare form begins."""
+def public_fields(source: str, until: int | None = None) -> list[int]:
+    """Where the names of public fields begin, in characters, up to a place; a raw name also where its bare form begins."""
     out, nest = [], _Nesting()
     seen: list[tuple[str, int, int]] = []  # tokens since the last that ends what may lead to a field
     before: list[str] = []
     for token in tokens(source):
         kind, start, end = token
+        if until is not None and start > until:
+            break
         text = source[start:end] if kind in ("name", "mark") else ""
         if kind == "mark" or text == "macro":
             nest.see(text, before)
@@ -193,7 +195,7 @@ def _fields(views: pa.Array, wanted: pa.Array) -> pa.Array:
         except UnicodeDecodeError:
             out.append([])
             continue
-        found = _in_bytes(source, public_fields(source))
+        found = _in_bytes(source, public_fields(source, max(asked)))  # a place in bytes is none before that in characters
         out.append([x for x in asked if (i := bisect.bisect_left(found, x)) < len(found) and found[i] == x])
     return pa.array(out, pa.list_(pa.int64()))
 
