@@ -9,9 +9,9 @@ in one task, however long.
 System turns are nobody's: they are rendered as such and belong to no participant. Turns are ordered by turn, role and text, repeated
 rows are separate turns; a null turn comes first. Participants are told apart by the role as it is given. Their rendered labels have ``_`` for characters
 that could break the format; where several roles of a conversation would share a label, those that differ from it get ``~`` and their UTF-8 bytes
-in hex behind it, so that a label is one participant's only. A null role is the speaker ``unknown``, a null text is empty, and a null
-conv_id is a conversation of its own. Marks in a text that look like the format's own are broken up. Conversations without participants
-(system turns only) give no rows.
+in hex behind it, so that a label is one participant's only. A null role is the speaker ``unknown``, or ``unknown~`` in a conversation that
+has a role of that label: no other participant is rendered so. A null text is empty, and a null conv_id is a conversation of its own.
+Marks in a text that look like the format's own are broken up. Conversations without participants (system turns only) give no rows.
 """
 
 from __future__ import annotations
@@ -30,19 +30,20 @@ def speaker(role: Column) -> Column:
 
 def _labelled(base: DataFrame, scratch: Scratch) -> DataFrame:
     """base (conv_id, role, speaker, ...) with a speaker of its own for each role of a conversation, without role."""
-    shared = base.groupBy("conv_id", "speaker").agg(F.min("role").alias("low"), F.max("role").alias("high")).where("low < high")
+    shared = base.groupBy("conv_id", "speaker").agg(F.min("role").alias("low"), F.max("role").alias("high"), F.max(F.col("role").isNull()).alias("nameless"))
+    shared = shared.where("low < high or (nameless and low is not null)")
     # Written out, so that its size is known: mostly there is none, and the join needs no shuffle then.
     shared = scratch.table(shared.select(F.col("conv_id").alias("c"), F.col("speaker").alias("s"), F.lit(True).alias("shared")), "shared")
     both = base.join(shared, base["conv_id"].eqNullSafe(shared["c"]) & (base["speaker"] == shared["s"]), "left")
-    own = F.concat("speaker", F.lit("~"), F.hex(F.encode("role", "UTF-8")))
-    return both.withColumn("speaker", F.when(F.col("shared") & (F.col("role") != F.col("speaker")), own).otherwise(F.col("speaker"))).drop("role", "c", "s", "shared")
+    own = F.concat("speaker", F.lit("~"), F.coalesce(F.hex(F.encode("role", "UTF-8")), F.lit("")))
+    return both.withColumn("speaker", F.when(F.col("shared") & ~F.col("role").eqNullSafe(F.col("speaker")), own).otherwise(F.col("speaker"))).drop("role", "c", "s", "shared")
 
 
 def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
     """turns: conv_id, turn, role, text. See the module for the result."""
     parts = parts or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(turns.sparkSession, "chat")
-    base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), speaker(F.col("role")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
+    base = turns.select("conv_id", "turn", "role", speaker(F.col("role")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
     base = _labelled(base, scratch)
     people = base.where("speaker <> 'system'").select(F.col("conv_id").alias("conv"), F.col("speaker").alias("participant")).distinct()
     rows = base.join(people, base["conv_id"].eqNullSafe(people["conv"])).drop("conv")
@@ -77,12 +78,12 @@ def rotate(turns: DataFrame, parts: int | None = None) -> DataFrame:
 
 SQL = r"""
 WITH given AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS label,
+  SELECT conv_id, turn, role, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS label,
          replace(coalesce(text, ''), '<|', '< |') AS body
   FROM conversations),
-shared AS (SELECT conv_id, label, count(DISTINCT role) > 1 AS several FROM given GROUP BY ALL),
+shared AS (SELECT conv_id, label, count(DISTINCT role) + max(CASE WHEN role IS NULL THEN 1 ELSE 0 END) > 1 AS several FROM given GROUP BY ALL),
 base AS (
-  SELECT g.conv_id, turn, body, CASE WHEN several AND role <> g.label THEN g.label || '~' || hex(encode(role)) ELSE g.label END AS speaker
+  SELECT g.conv_id, turn, body, CASE WHEN several AND role IS DISTINCT FROM g.label THEN g.label || '~' || coalesce(hex(encode(role)), '') ELSE g.label END AS speaker
   FROM given g JOIN shared s ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.label = s.label),
 people AS (SELECT DISTINCT conv_id, speaker AS participant FROM base WHERE speaker <> 'system'),
 turned AS (

@@ -11,7 +11,8 @@ benchmark item, or the whole of a shorter item that has words. The work goes as
 
 Terms are compared by 64-bit codes. Null texts have no words. Every row of the documents gets a row of the result, repeated ones
 as well, in ``scan``; extra columns are ignored there and kept by ``keep``, which judges every row by itself, with or without a doc_id. Without
-items nothing is hit; without documents the result is empty. A very long text is read whole, alone in its step.
+items nothing is hit; without documents the result is empty. Words in an item without an item_id are hit, but it is no item of ``items``. A very
+long text is read whole, alone in its step.
 """
 
 from __future__ import annotations

@@ -6,23 +6,28 @@ length one. All machines are fitted here, on a sample of labelled documents that
 ``per_language``; nothing but the text is an input of a prediction.
 
 A null text and one without a letter are ``und`` with score 0, as is every text if nothing was learned. Rows with null labels or ids
-are not learned from; of more than ``MOST_LANGUAGES`` labels the most frequent are learned. Each row gets a row, and an empty table none;
+are not learned from. Every label is learned; of very many, ``MOST_ROWS`` bounds the documents of each. Each row gets a row, and an empty table none;
 extra columns are ignored. A very long text is read whole, alone in its step.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .seq import LOWER, slices
 
-BINS, PER_LANGUAGE, MOST_LANGUAGES = 2048, 1000, 400
+BINS, PER_LANGUAGE = 2048, 1000
+#: Documents that are learned from, in all; each language has at least one.
+MOST_ROWS = 50_000
+#: Languages without a listed family that are families of their own; more are dealt out over families of at least so many.
+ALONE = 12
 #: The family of each language code; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is"],
@@ -35,8 +40,12 @@ FAMILIES = {
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 
-def family(lang: str) -> str:
-    return _FAMILY.get(lang, f"only {lang}")
+def families(langs: list[str]) -> dict[str, str]:
+    """The family of each language. Machines grow with the square of families and of a family's languages, so very many unlisted ones share some."""
+    alone = sorted(x for x in langs if x not in _FAMILY)
+    size = max(ALONE, math.isqrt(len(alone)))
+    own = {x: f"only {x}" if len(alone) <= ALONE else f"other {i // size}" for i, x in enumerate(alone)}
+    return own | {x: _FAMILY[x] for x in langs if x in _FAMILY}
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -77,9 +86,10 @@ class Model:
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         self.languages: dict[str, list[str]] = {}
-        for lang in sorted(set(langs.tolist())):
-            self.languages.setdefault(family(lang), []).append(lang)
-        kinds = np.array([family(lang) for lang in langs], dtype=object)
+        family = families(sorted(set(langs.tolist())))
+        for lang in sorted(family):
+            self.languages.setdefault(family[lang], []).append(lang)
+        kinds = np.array([family[lang] for lang in langs], dtype=object)
         self.upper = self._machines(x, kinds, sorted(self.languages))
         self.lower = {f: self._machines(x, langs, own) for f, own in self.languages.items()}
 
@@ -126,18 +136,27 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of the first ``per_language`` rows of each language with a letter, in the order of a hash of the id, of rows with one id by their texts.
+
+    One pass over the ids finds the ids, with a bounded number of rows of each language leaving a task; their texts are read by these ids, and
+    rows of one id count one by one.
+    """
+    open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & _has_letter())
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    first = open_.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    # At most languages * per_language ids, which fit bounds by MOST_ROWS or the number of languages.
+    rows = open_.select("lang", "doc_id", "text").join(F.broadcast(first.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return rows.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= per_language).select("lang", "text")
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS) -> Model | None:
-    """Fit on at most ``per_language`` documents of each language, those first in the order of a hash of the id."""
-    open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    names = [r[0] for r in open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang").collect()]
-    if not names:
+    """Fit on at most ``per_language`` documents of each language and about MOST_ROWS in all; see ``sample``."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).agg(F.count_distinct("lang")).first()[0]
+    if not known:
         return None
-    picks = [open_.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for x in sorted(names)]
-    ids = picks[0]
-    for p in picks[1:]:
-        ids = ids.unionByName(p)
-    # At most languages * per_language ids, so the broadcast is bounded.
-    chosen = open_.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").where(_has_letter()).select("lang", "text")
+    chosen = sample(docs, max(1, min(per_language, MOST_ROWS // known)))
 
     def run(batches):
         for b in batches:

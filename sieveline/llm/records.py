@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_CHARS, Remembered, encode_texts, runs, texts_of
+from .repeats import RANGE_CHARS
 from .store import Scratch
 
 _NULL_ID = -(2**63)
@@ -137,7 +138,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, parts: int, wide
             out.write(np.array(rows, "<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([n], pa.int64())], names=["part", "name", "n_docs", "n_tokens"])
 
-    ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # Ranges by the text's beginning too, so that the rows of one doc_id, or of none, are parted; the order is that of doc_id and text.
+    ordered = own.repartitionByRange(parts, "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "part long, name string, n_docs long, n_tokens long")
 
 

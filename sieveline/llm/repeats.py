@@ -23,6 +23,8 @@ from .store import Scratch
 _INDEX_BITS = 24
 #: Elements of one text handled at a time; longer ones are cut into overlapping pieces.
 PIECE = 1 << 20
+#: Characters of a text that ranges of rows are drawn by.
+RANGE_CHARS = 256
 #: Windows in a run, at most, as many as a mask has bits.
 MOST_WINDOWS = 64
 
@@ -31,13 +33,14 @@ def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with a unique ``row`` that follows the order of doc_id.
 
     That is doc_id itself where it is unique and never null. Otherwise rows are ordered by doc_id (null first) and text, and
-    written out with their place.
+    written out with their place. Ranges are drawn by doc_id and the text's beginning (``RANGE_CHARS``), which agrees with that order and parts the
+    rows of one doc_id, or of none, as well; what is sampled to draw them stays small.
     """
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.withColumn("row", F.col("doc_id").cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(parts, "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     return scratch.table(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
