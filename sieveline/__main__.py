@@ -26,6 +26,9 @@ def main(args: list[str] | None = None) -> int:
     scan_ = commands.add_parser("scan")
     scan_.add_argument("paths", nargs="+", help="files and directories; - alone is standard input")
     scan_.add_argument("--no-ignore", action="store_true")
+    scan_.add_argument("--spread-archives", type=int, metavar="TASKS", help="cut large archives into parts and deal all inputs out over so many tasks")
+    scan_.add_argument("--units", metavar="DIR", help="commit findings here, part by part of the folders; an interrupted scan reports what is committed, and goes on when run again")
+    scan_.add_argument("--unit-folders", type=int, default=256, help="folders in a part")
     for name in ("history", "staged"):
         git_ = commands.add_parser(name)
         git_.add_argument("repo")
@@ -73,23 +76,39 @@ def _run(given: argparse.Namespace) -> int:
     if given.command == "rules":
         print(json.dumps([r.asDict() for r in R.inventory(spark, config.compiled()).collect()]))
         return 0
+    if given.command == "scan" and given.units and given.paths == ["-"]:
+        raise R.RuleError("--units needs files or directories: standard input cannot be read again")
     policy: list[bytes] = []
     if given.command == "scan":
         if given.paths == ["-"]:
             inputs, wrong = files.given(spark, sys.stdin.buffer, given.max_bytes)
             roots = ["-"]
-            rows = inputs.withColumn("error", F.lit(None).cast("string")).unionByName(wrong.select("path", F.col("path").alias("identity"), F.lit(None).cast("binary").alias("content"), F.col("message").alias("error")))
+            parts = [inputs.withColumn("error", F.lit(None).cast("string")).unionByName(wrong.select("path", F.col("path").alias("identity"), F.lit(None).cast("binary").alias("content"), F.col("message").alias("error")))]
         else:
             known = files.survey(given.paths, not given.no_ignore)
-            roots, policy, rows = known.roots, known.policy, files.rows(spark, known, given.max_bytes).drop("length")
-        # One pass: files are read, archives expanded, texts decoded and searched, inputs counted, errors carried along.
-        rows = archives.expand(rows, given.max_bytes).withColumn("length", F.octet_length("content").cast("long"))
-        rows, counted = report.observed(encodings.decoded(rows))
-        space = F.when(F.col("is_member"), "archive_member_bytes").otherwise("source_bytes")
-        all_ = scan.findings(rows.drop("length"), config, space).drop("is_member").cache()
-        all_.count()
-        found, errors = scan.parted(all_)
-        stats = report.told(spark, counted)
+            roots, policy = known.roots, known.policy
+            surveys = files.units(known, given.unit_folders) if given.units else [known]
+            parts = [files.rows(spark, u, given.max_bytes).drop("length") for u in surveys]
+
+        def searched(rows):
+            # One pass: files are read, archives expanded, texts decoded and searched, inputs counted, errors carried along.
+            rows = archives.expand(rows, given.max_bytes, given.spread_archives).withColumn("length", F.octet_length("content").cast("long"))
+            rows, counted = report.observed(encodings.decoded(rows))
+            space = F.when(F.col("is_member"), "archive_member_bytes").otherwise("source_bytes")
+            return scan.findings(rows.drop("length"), config, space).drop("is_member"), counted
+
+        if given.units:
+            scanned = C.context(given.command, roots, config, policy)
+            control = report.Control(spark, f"sieveline {os.getpid()}")
+            with report.interrupts(control):
+                all_, errors, stats = report.committed([(u.name(), *searched(p)) for u, p in zip(surveys, parts, strict=True)], given.units, control, scanned)
+            found = all_.cache()
+        else:
+            all_, counted = searched(parts[0])
+            all_ = all_.cache()
+            all_.count()
+            found, errors = scan.parted(all_)
+            stats = report.told(spark, counted)
     elif given.command == "history":
         roots = [os.path.realpath(git.root(given.repo)), given.range or ""]
         found, errors = git.history(spark, given.repo, given.range, config, given.max_bytes)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import signal
+import threading
+import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +134,57 @@ def written(findings: DataFrame, errors: DataFrame, place: str, group: str) -> D
     return errors if done else errors.unionByName(errors.sparkSession.createDataFrame([("scan", CANCELLED)], "path string, message string"))
 
 
+@contextmanager
+def interrupts(control: Control):
+    """While this is open, an interrupt (Ctrl-C) or a request to end cancels the scan, so that it reports what is committed."""
+
+    def cancel(number, frame):
+        # From a thread of its own: this one may be in the middle of a call to the JVM.
+        control.cancelled = True
+        threading.Thread(target=control.cancel, daemon=True).start()
+
+    known = {s: signal.signal(s, cancel) for s in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
+    try:
+        yield control
+    finally:
+        for number, handler in known.items():
+            signal.signal(number, handler)
+
+
+def committed(units: list[tuple[str, DataFrame, Observation]], place: str, control: Control, context: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, errors, stats) of units, as far as they are committed: each its name, ``findings`` rows with a column ``error``, and the observation of its inputs.
+
+    Units are kept under the scan's context and their names, which have to tell what they cover, so a scan that was cancelled goes on behind those of
+    the same rules, roots, policy and folders; what has changed in these folders since is not seen then. One that is whole is never used again. A unit counts
+    once its stats are committed, which say where it is.
+    """
+    spark = control.spark
+    place, attempt = f"{place.rstrip('/')}/{hashlib.sha256(json.dumps(context, sort_keys=True).encode()).hexdigest()[:16]}", 0
+    while _is_there(spark, f"{place}/{attempt}/whole"):
+        attempt += 1
+    place, kept, whole = f"{place}/{attempt}", [], True
+    for name, unit, counted in units:
+        own = f"{place}/{name}/stats"
+        if not _is_there(spark, own):
+            at, whole = written_units([unit], f"{place}/{name}/{uuid.uuid4().hex[:8]}", control)
+            if not whole:
+                break
+            told(spark, counted).withColumn("at", F.lit(at[0])).write.mode("overwrite").parquet(own)
+        kept.append(own)
+    if whole:
+        spark.range(1).write.parquet(f"{place}/whole")
+    schema = ", ".join([*(f"{k} long" for k in STATS), "at string"])
+    counts = spark.read.schema(schema).parquet(*kept) if kept else spark.createDataFrame([], schema)
+    found, errors = partial(spark, [r["at"] for r in counts.select("at").collect()], whole, units[0][1].schema)  # one row for each unit
+    return found, errors, counts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATS))
+
+
+def _is_there(spark: SparkSession, folder: str) -> bool:
+    """Whether a table is committed in a folder."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def written_units(units: Iterable[DataFrame], place: str, control: Control) -> tuple[list[str], bool]:
     """Write each of several tables under ``place``, one after the other: (what is committed, whether that is all).
 
@@ -141,8 +198,7 @@ def written_units(units: Iterable[DataFrame], place: str, control: Control) -> t
             path = f"{place.rstrip('/')}/unit={i:05d}"
             if control.cancelled:
                 return done, False
-            marker = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-            if not marker.getFileSystem(context._jsc.hadoopConfiguration()).exists(marker):
+            if not _is_there(control.spark, path):
                 try:
                     unit.write.mode("overwrite").parquet(path)
                 except Exception as e:

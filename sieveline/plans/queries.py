@@ -402,6 +402,40 @@ def archive_expand(spark, sf):
     return scan.findings(members, TOKENS_ONLY, space="archive_member_bytes").select("path", "rule_id", "start", "end", "line", "coordinate_space")
 
 
+def archive_parts(spark, sf):
+    """The members of archives that are cut into parts and opened by several tasks: each text is a ZIP or tar of its pieces of 2,000 characters."""
+    import io
+    import tarfile
+    import zipfile
+
+    from sieveline.sources import archives
+
+    def packed(frames):
+        for pdf in frames:
+            names, contents = [], []
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                pieces = [(text or "")[at : at + 2000].encode() for at in range(0, len(text or ""), 2000)]
+                sink = io.BytesIO()
+                if i % 2:
+                    with tarfile.open(fileobj=sink, mode="w") as t:
+                        for n, piece in enumerate(pieces):
+                            own = tarfile.TarInfo(f"p{n}")
+                            own.size = len(piece)
+                            t.addfile(own, io.BytesIO(piece))
+                else:
+                    with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+                        for n, piece in enumerate(pieces):
+                            z.writestr(f"p{n}", piece)
+                names.append(f"d{i}.tar" if i % 2 else f"d{i}.zip")
+                contents.append(sink.getvalue())
+            yield pdf.assign(path=names, identity=names, content=contents)[["path", "identity", "content"]]
+
+    inputs = _docs(spark, sf).select("doc_id", "text").mapInPandas(packed, "path string, identity string, content binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = archives.expand(inputs, spread=tasks, part=16 << 10)
+    return members.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("content_sha256"), "error")
+
+
 def stream_scan(spark, sf):
     """A stream of documents scanned in micro-batches into a table."""
     import tempfile
@@ -442,7 +476,7 @@ QUERIES = {
     for f in (
         keyword_gate, rule_dispatch, regex_findings, line_column, pages_findings, path_predicates, secret_selection, placeholder_filter, entropy_filter, entropy_values, allowlist_groups, prose_filter, non_value_filter,
         rust_fields, exact_span_merge, primary_rule_rank, base64_candidates, base64_findings, generic_assignments, uri_passwords, baseline_new, baseline_resolved, baseline_carry_forward, size_gate, scan_summary, rule_inventory,
-        git_occurrences, quality_confusion, quality_by_provider, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, stream_scan, utf16_findings,
+        git_occurrences, quality_confusion, quality_by_provider, preview_topk, sarif_results, sarif_rules, path_uris, logical_identities, archive_names, progress_throttle, archive_expand, archive_parts, stream_scan, utf16_findings,
     )
 }
 
@@ -571,6 +605,9 @@ FROM orders JOIN located ON doc_id = o_custkey % (SELECT count(*) FROM documents
     "archive_names": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 4 = 2 THEN 'zip' WHEN doc_id % 5 = 1 OR doc_id % 4 IN (0, 1) THEN 'gzip' END AS format,
 CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id || '.tar' WHEN 1 THEN 'f' || doc_id ELSE 'content' END AS member FROM documents""",
     "archive_expand": f"""WITH {_TOKENS} SELECT CASE WHEN doc_id % 2 = 1 THEN 'd' || doc_id || '.gz!d' || doc_id ELSE 'd' || doc_id || '.zip!a.txt' END AS path, rule_id, start, "end", line, 'archive_member_bytes' AS coordinate_space FROM located""",
+    "archive_parts": """WITH pieces AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS n FROM documents),
+cut AS (SELECT doc_id, n, substr(text, CAST(n * 2000 + 1 AS BIGINT), 2000) AS piece FROM pieces)
+SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 1 THEN '.tar' ELSE '.zip' END || '!p' || n AS path, strlen(piece) AS bytes, sha256(piece) AS content_sha256, CAST(NULL AS VARCHAR) AS error FROM cut""",
     "progress_throttle": """WITH RECURSIVE times AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms FROM events),
 kept AS (
   SELECT user_id, min(ms) AS ms FROM times GROUP BY user_id

@@ -7,6 +7,8 @@ them and open them by their literal names, so no name is taken for a pattern. A
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
 import os
 import pickle
 import re
@@ -145,6 +147,11 @@ class Survey:
     errors: list[tuple[str, str]] = field(default_factory=list)
     policy: list[bytes] = field(default_factory=list)
 
+    def name(self) -> str:
+        """Tells one part of a survey from another: a digest of the folders, with how many entries they had, files and errors that it covers."""
+        covered = [[(os.fspath(f), os.fspath(top), n) for f, top, _, n in self.folders], [os.fspath(f) for f in self.files], self.errors]
+        return hashlib.sha256(json.dumps(covered).encode("utf-8", "surrogateescape")).hexdigest()[:16]
+
 
 def _entries(folder: Path, policy: _Policy | None) -> Iterator[os.DirEntry]:
     """A folder's files and folders that count; links and .git are not entered."""
