@@ -26,6 +26,8 @@ from .seq import LOWER, slices
 BINS, PER_LANGUAGE = 2048, 1000
 #: Documents that are learned from, in all; each language has at least one.
 MOST_ROWS = 50_000
+#: Shares of a language that are ranked apart, so that a frequent one is not one task's.
+SHARES = 64
 #: Languages without a listed family that are families of their own; more are dealt out over families of at least so many.
 ALONE = 12
 #: The family of each language code; a language that is not listed is a family of its own.
@@ -136,19 +138,25 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
+def _first(rows: DataFrame, order: list[str], salt: Column, most: int) -> DataFrame:
+    """The first ``most`` rows of each language in an order: first those of shares of a language, dealt out by ``salt``, then those of all shares."""
+    for by in (["lang", "share"], ["lang"]):
+        own = rows.withColumn("share", F.pmod(salt, F.lit(SHARES))) if "share" in by else rows
+        rows = own.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= most)
+    return rows
+
+
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text) of the first ``per_language`` rows of each language with a letter, in the order of a hash of the id, of rows with one id by their texts.
 
-    One pass over the ids finds the ids, with a bounded number of rows of each language leaving a task; their texts are read by these ids, and
-    rows of one id count one by one.
+    One pass over the ids finds the ids, with a bounded number of rows of each language leaving a task or a share of it; their texts are read by these
+    ids, and rows of one id count one by one.
     """
     open_ = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & _has_letter())
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    first = open_.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    # At most languages * per_language ids, which fit bounds by MOST_ROWS or the number of languages.
-    rows = open_.select("lang", "doc_id", "text").join(F.broadcast(first.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
-    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return rows.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= per_language).select("lang", "text")
+    ids = _first(open_.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), ["h", "doc_id"], F.col("h"), per_language)
+    # At most languages * per_language ids, which ``fit`` bounds by MOST_ROWS or the number of languages.
+    rows = open_.select("lang", "doc_id", "text").join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
+    return _first(rows.withColumn("h", F.xxhash64("doc_id")), ["h", "doc_id", "text"], F.xxhash64("text"), per_language).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS) -> Model | None:
