@@ -99,15 +99,16 @@ def cut(text: str) -> str | None:
     return marked if "\n" not in text or _RAGGED(text) else marked.replace("\n", f"{_MARK}\n{_MARK}")
 
 
-def encode_texts(texts: list[str], special: Iterable[str], by_piece: Callable[[list[str]], list[bytes]], by_text: Callable[[list[str]], list[bytes]]) -> pa.ListArray:
+def encode_texts(texts: list[str], special: Iterable[str], by_piece: Callable[[pa.Array], pa.Array], by_text: Callable[[list[str]], list[bytes]]) -> pa.ListArray:
     """Ids of texts. Texts are cut, and each distinct piece of a call is asked for once; what can't be cut is asked for whole.
 
-    Texts with special tokens in them are not cut. Both functions give ids as little-endian int32 bytes.
+    Texts with special tokens in them are not cut. by_piece takes a column of pieces and gives a column of lists, by_text gives ids as little-endian
+    int32 bytes.
     """
     marked = [None if any(s in x for s in special) else cut(x) for x in texts]
     pieces = pc.split_pattern(pa.array([x for x in marked if x is not None], pa.large_string()), _MARK)
     coded = pieces.flatten().dictionary_encode()
-    known = _list_column(by_piece(coded.dictionary.to_pylist()))
+    known = by_piece(coded.dictionary)
     at = coded.indices.to_numpy(zero_copy_only=False)
     sizes = known.value_lengths().to_numpy(zero_copy_only=False)
     ends = np.append(0, np.cumsum(sizes[at], dtype=np.int64))[pieces.offsets.to_numpy()]
@@ -118,7 +119,7 @@ def encode_texts(texts: list[str], special: Iterable[str], by_piece: Callable[[l
     order = np.empty(len(texts), np.int64)
     order[[i for i, x in enumerate(marked) if x is not None]] = np.arange(len(found))
     order[whole] = np.arange(len(found), len(texts))
-    return pa.concat_arrays([found, _list_column(by_text([texts[i] for i in whole]))]).take(pa.array(order))
+    return pa.concat_arrays([found, list_column(by_text([texts[i] for i in whole]))]).take(pa.array(order))
 
 
 class Remembered(dict):
@@ -186,7 +187,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """Ids of texts; special tokens' strings in them become their ids."""
-        return encode_texts(texts, self.special, lambda pieces: [self.pieces[x] for x in pieces], lambda rest: [self._whole(x) for x in rest])
+        return encode_texts(texts, self.special, lambda pieces: list_column([self.pieces[x] for x in pieces.to_pylist()]), lambda rest: [self._whole(x) for x in rest])
 
     def _whole(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
@@ -226,13 +227,22 @@ def tokenizer(path: str) -> Bpe:
     return _loaded[path]
 
 
-def _list_column(parts: list[bytes]) -> pa.Array:
+def list_column(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
     if ends[-1] > 2**31 - 1:
         raise ValueError("too many ids in one batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
+def lists_of(ids: pa.LargeBinaryArray) -> pa.ListArray:
+    """list_column of a column of bytes without nulls."""
+    bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    if bounds[-1] - bounds[0] > 4 * (2**31 - 1):
+        raise ValueError("too many ids in one batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    flat = np.frombuffer(ids.buffers()[2] or b"", np.int32)[bounds[0] // 4 : bounds[-1] // 4]
+    return pa.ListArray.from_arrays(pa.array(((bounds - bounds[0]) // 4).astype(np.int32)), pa.array(flat))
+
+
 def runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of up to RUN_ROWS rows and about RUN_CHARS characters of a text column; a longer text is a run by itself."""
     if not batch.num_rows:

@@ -64,15 +64,35 @@ class Postings:
     def __init__(self, pieces: list[np.ndarray]):
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         n = max(1, len(pieces))
-        both = np.concatenate(pieces).astype(np.int64) * n + np.repeat(np.arange(len(pieces)), self.sizes)
+        terms = np.concatenate(pieces)
+        kind = np.uint32 if len(terms) and (int(terms.max()) + 1) * n <= 1 << 32 else np.int64  # short numbers sort much faster
+        both = terms.astype(kind) * kind(n) + np.repeat(np.arange(len(pieces), dtype=kind), self.sizes)
         both, self.count = np.unique(both, return_counts=True)
-        self.term, self.piece = np.divmod(both, n)
+        self.term, self.piece = (x.astype(np.int64) for x in np.divmod(both, kind(n)))
 
     def weights(self, idf: np.ndarray, mean: float) -> np.ndarray:
         """BM25's weight of each term in its piece."""
         norm = K1 * (1 - B + B * self.sizes / mean)
         return idf[self.term] * self.count * (K1 + 1) / (self.count + norm[self.piece])
 
+    def heaviest(self, weights: np.ndarray) -> list[np.ndarray]:
+        """The two terms that weigh most in each piece, the lesser of equal ones first; -1: the piece has no such term."""
+        order = np.argsort(self.piece.astype(np.min_scalar_type(len(self.sizes))), kind="stable")  # by piece and then term
+        terms, weights = self.term[order], weights[order]
+        some, counts = np.unique(self.piece[order], return_counts=True)
+        first, out = np.cumsum(counts) - counts, []
+        for _ in range(2):
+            found = np.full(len(self.sizes), -1, np.int64)
+            if len(some):
+                most = np.maximum.reduceat(weights, first)
+                at = np.flatnonzero(weights == np.repeat(most, counts))
+                at = at[np.searchsorted(at, first)]
+                left = weights[at] > -np.inf
+                found[some[left]] = terms[at[left]]
+                weights[at] = -np.inf
+            out.append(found)
+        return out
+
 
 class Index:
     """A shard: an inverted index of pieces."""
@@ -189,10 +209,7 @@ def _heaviest(tails: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
             if not b.num_rows:
                 continue
             held = Postings(_numbers(b.column(b.schema.get_field_index("ids"))))
-            order = np.lexsort((held.term, -held.weights(idf, mean), held.piece))
-            bounds = np.searchsorted(held.piece[order], np.arange(b.num_rows + 1))
-            two = np.append(held.term[order], -1)
-            first, second = two[bounds[:-1]], np.where(np.diff(bounds) > 1, two[np.minimum(bounds[:-1] + 1, len(two) - 1)], -1)
+            first, second = held.heaviest(held.weights(idf, mean))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first), pa.array(second)], names=[*b.schema.names, "a", "b"])
 
     return tails.mapInArrow(run, "row long, doc_id long, start long, ids binary, doc_tokens long, a long, b long")

@@ -22,6 +22,7 @@ files that count: a lost or repeated attempt leaves files behind that nothing re
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -30,23 +31,31 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHARS, Remembered, encode_texts, runs, texts_of
+from .bpe import CACHE_CHARS, Remembered, byte_letters, encode_texts, list_column, lists_of, runs, texts_of
 from .repeats import RANGE_CHARS
 from .store import Scratch
 
 _NULL_ID = -(2**63)
+#: A piece of two pre-tokens is a word of letters that all versions of Unicode know, with marks behind it or none (never an apostrophe, which may
+#: go with letters).
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and (c.isascii() or c >= "\xc0"))
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+_WORD = "^ ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+$"
+
 
 class LibraryEncoder:
     """Texts to ids by the tokenizers library.
 
     The library is slow on whole texts of few distinct words, so texts are cut where its pre-tokenizer always cuts too,
-    and each distinct piece goes through it once; pieces already met are remembered up to a bound. Texts where such cuts
-    are not enough, and those with special tokens in them, go through it whole.
+    and each distinct piece goes through it once. Most pieces are a word, with marks behind it or not: these are the library's own
+    pre-tokens (by ``_WORD``), so word and marks go through the library's model directly, each distinct one once, and those already
+    met are remembered up to a bound. Texts where such cuts are not enough, and those with special tokens in them, go through it whole.
     """
 
     def __init__(self, path: str):
@@ -57,20 +66,47 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known = Remembered()
+        spec = json.loads(self.library.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        # Only what the byte-level pre-tokenizer leaves as it is can be given to the model.
+        plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not spec["normalizer"]
+        self.model = self.library.model if plain and not spec["model"].get("dropout") else None
+        letters = byte_letters()
+        self.letters = "\0" + "".join(letters[b] for b in range(1, 256))
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_piece(self, pieces: list[str]) -> list[bytes]:
-        known, older = self.known, self.known.older
-        found = [known.get(p) or older.get(p) for p in pieces]
-        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
-        made = iter(self._whole(new))
-        found = [next(made) if ids is None else ids for ids in found]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens of the library, by its model."""
+        known, older, tokenize = self.known, self.known.older, self.model.tokenize
+        found = [known.get(w) or older.get(w) for w in words]
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        mapped = "\0".join(new).encode().decode("latin-1").translate(self.letters).split("\0") if new else []
+        made = [array("i", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
         known.trim()
-        known.update((p, ids) for p, ids in zip(pieces, found, strict=True) if len(p) <= CACHE_CHARS)
-        return found
+        known.update(zip(new, made, strict=True))
+        rest = iter(made)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def _by_piece(self, pieces: pa.Array) -> pa.Array:
+        if self.model is None:
+            return list_column(self._whole(pieces.to_pylist()))
+        word = pc.utf8_rtrim(pieces, _MARKS)
+        plain = pc.and_(pc.match_substring_regex(word, _WORD), pc.less_equal(pc.binary_length(pieces), CACHE_CHARS))
+        marks = pc.utf8_ltrim(pieces.filter(plain), " " + _LETTERS)
+        # Two columns of distinct strings, so that a word is asked for once, whatever marks are behind it.
+        ids = []
+        for own in (word.filter(plain), marks):
+            coded = own.dictionary_encode()
+            ids.append(pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices))
+        both = pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+        if len(both) < len(pieces):
+            rest = pa.array(self._whole(pieces.filter(pc.invert(plain)).to_pylist()), pa.large_binary())
+            both = pc.replace_with_mask(pa.nulls(len(pieces), pa.large_binary()), plain, both)
+            both = pc.replace_with_mask(both, pc.invert(plain), rest)
+        return lists_of(both)
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         return encode_texts(texts, self.special, self._by_piece, self._whole)

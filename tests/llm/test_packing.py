@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveline.llm import packing
+from sieveline.llm import packing, records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -109,3 +109,15 @@ def test_copies_share_windows(spark, docs):
     for p in packing.pack(spark, docs(*held.values()), PATH, window=128).collect():
         kinds[p.sequence_id].add(p.doc_id % 2)
     assert sum(len(k) == 1 for k in kinds.values()) >= 0.8 * len(kinds)
+
+
+def test_words_are_asked_for_once_whatever_marks_follow():
+    """Ids by word and marks are the library's, and a word is met once."""
+    encoder = records.LibraryEncoder(PATH)
+    r = random.Random(4)
+    parts = ["river", "Übermaß", "×", "ɏɐ", "x²", "don't", "'s", ",", ".'", "!!", "$$$", "_", "7", "漢", "\x85", " ", " ", "\n", "a" * 60, ""]
+    odd = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)]
+    assert encoder.encode(odd).to_pylist() == [LIBRARY.encode(t, add_special_tokens=False).ids for t in odd]
+    encoder.forget()
+    encoder.encode(["a river, river. river! river\nriver?"])
+    assert sorted(w for w in encoder.known if "river" in w) == [" river", "river"]
