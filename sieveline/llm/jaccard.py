@@ -1,14 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of the documents' sets of word shingles.
+"""Near-duplicates by SimHash fingerprints in vantage-point trees, held against the exact Jaccard similarity of the sets of word shingles.
 
-All pairs with a similarity of at least 4/5 are found, by prefix filtering: in any one order of all shingles, the first
+All pairs with a similarity of at least 4/5 are found. What the fingerprints leave is found by prefix filtering: in any one order of all shingles, the first
 n - ceil(4n / 5) + 1 of two similar sets have a shingle in common. The order is by hash, but shingles that earlier looks at the prefixes
 found often come last, rarer ones first, so that passages which several documents share are seldom in a prefix: as such shingles leave the
 prefixes others move up, so the looks go on while each leaves far fewer pairs than the one before. Of two similar sets the first shingle
 in common also leaves enough behind it in both; other meetings are not candidates. The order decides only how much work there is.
 
-Sets that meet in a shingle are first compared with one of the least sets that have it, which joins large groups of near copies
-without all their pairs; components that still meet in a shingle are then compared through their least members, and at last every
-pair that is still in different components. Candidates are compared on their whole texts: those to be compared with one document
+First come the pairs that vantage-point trees over SimHash fingerprints of the sets link (``simhash``), as far as they are similar: they join
+large groups of near copies without all their pairs. No radius of fingerprints has every similar pair, so the prefixes find the others: the
+least members of the components that meet in a shingle are compared with one of the least sets that have it, components that still meet
+through their least members, and at last every pair that is still in different components. Candidates are compared on their whole texts: those to be compared with one document
 are dealt to tasks behind it, in groups of bounded size, so that no set of shingles is ever stored.
 
 Words are runs of characters other than space and \\t \\n \\v \\f \\r, A-Z as a-z. Shingles are compared by 64-bit hashes. A text with
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import repeats, simhash
 from .components import components
 from .seq import BASES, LOWER, NOT_BLANK, Prefix, Tokens, mix, slices
 from .store import Scratch, held
@@ -57,16 +58,17 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndar
 
 
 def signatures(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row, and of its set of shingles the size and two sums of hashes (h, g): equal sets agree on all three."""
+    """row, and of its set of shingles the size, two sums of hashes (h, g) and the SimHash ``fp``: equal sets agree on all of them."""
 
     def run(batches):
         for b in batches:
             for first, end, sets in _sets(b.column(1), width):
                 sizes = np.array([len(s) for s in sets], np.int32)
                 sums = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for f in (mix, lambda s: mix(s ^ np.uint64(BASES[2])))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), *map(pa.array, (sizes, *sums))], names=["row", "size", "h", "g"])
+                fps = np.array([simhash.majority(mix(s)) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), *map(pa.array, (sizes, *sums, fps))], names=["row", "size", "h", "g", "fp"])
 
-    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, size int, h long, g long")
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, size int, h long, g long, fp long")
 
 
 def prefixes(texts: DataFrame, width: int = WIDTH, last: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -99,21 +101,21 @@ def prefixes(texts: DataFrame, width: int = WIDTH, last: tuple[np.ndarray, np.nd
     return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, place int")
 
 
-def ordered(texts: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
-    """The prefixes in an order that has often met shingles last, as a table."""
+def ordered(texts: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The prefixes in an order that has often met shingles last, and how often those in several of them are met (token, count), as tables."""
     hashes, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     before = last = None
     for look in range(LOOKS):
         entries = scratch.table(prefixes(texts, width, last), "entries")
-        counts = entries.groupBy("token").count().where("count > 1")
+        counts = scratch.table(entries.groupBy("token").count().where("count > 1"), "counts")
         pairs = counts.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
         if look == LOOKS - 1 or (before is not None and 4 * pairs > 3 * before):
-            return entries
+            return entries, counts
         before = pairs
         often = counts.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(LISTED).toArrow()
         if not len(often):
-            return entries
-        scratch.drop(entries)
+            return entries, counts
+        scratch.drop(entries, counts)
         hashes = np.concatenate((hashes, often.column(0).to_numpy().view(np.uint64)))
         seen = np.concatenate((seen, often.column(1).to_numpy()))
         top = np.lexsort((hashes, -seen))
@@ -166,19 +168,32 @@ def _leaves(a: str, at: str, b: str, bt: str):
     return 9 * F.least(F.col(a) - F.col(at), F.col(b) - F.col(bt)) >= 4 * (F.col(a) + F.col(b))
 
 
-def links(texts: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
-    """Rows (a, b) over texts (node, text), distinct in node: links that span the same components as all similar pairs."""
-    entries = ordered(texts, scratch, width)
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    met = scratch.table(entries.join(shared, "token"), "met")
+def near_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) that the vantage-point trees link, or that have one fingerprint."""
+    least = scratch.table(prints.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = prints.join(least.select("fp", F.col("node").alias("a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    linked = simhash.links(least, scratch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(linked).distinct()
+
+
+def links(texts: DataFrame, prints: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
+    """Rows (a, b) over texts (node, text) and their fingerprints (node, fp), distinct in node: links that span the same components as all similar pairs."""
+    first = scratch.table(near_prints(prints, scratch), "near-prints")
+    near_links = similar(first, texts, scratch, width)
+
+    entries, shared = ordered(texts, scratch, width)
+    met = scratch.table(entries.join(shared.select("token"), "token"), "met")
     scratch.drop(entries)
 
-    # Each set with one of the least sets that it meets, that of most shingles in common.
-    hubs = met.groupBy("token").agg(F.min(F.struct("node", "size")).alias("hub"))
-    near = met.join(hubs, "token").where(_fits("size", "hub.size")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count().where("a <> b")
+    # Of each component so far the least set stands for the others; it is compared with one of the least sets that it meets, that of most shingles in common.
+    placed = _placed(met, near_links, scratch)
+    own = placed.groupBy("token", "component").agg(F.min(F.struct("node", "size")).alias("own")).select("token", "own.*")
+    hubs = own.groupBy("token").agg(F.min(F.struct("node", "size")).alias("hub"))
+    near = own.join(hubs, "token").where(_fits("size", "hub.size")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count().where("a <> b")
     best = near.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    found = tested = similar(best, texts, scratch, width)
-    tested = best = scratch.table(best, "tested")
+    best = scratch.table(best.join(first, ["a", "b"], "left_anti"), "best")
+    found = near_links.unionByName(similar(best, texts, scratch, width))
+    tested = first.unionByName(best)
 
     # Components that meet, through their least members.
     placed = _placed(met, found, scratch)
@@ -197,7 +212,9 @@ def links(texts: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
     x = left.where("component <> top").select("token", F.col("node").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("component").alias("c"))
     y = left.select("token", F.col("node").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"), F.col("component").alias("d"), "top")
     pairs = x.join(y, "token").where("c <> d").where((F.col("d") == F.col("top")) | (F.col("a") < F.col("b"))).where(_leaves("m", "i", "n", "j"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Written before tested ones go, so that these are looked up once for each pair, not for each shingle that it meets in.
+    pairs = scratch.table(pairs, "met-pairs").join(tested, ["a", "b"], "left_anti")
     return found.unionByName(similar(pairs, texts, scratch, width))
 
 
@@ -212,11 +229,12 @@ def keep(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     plain, back = held(docs)
     rows = repeats.keyed(plain, scratch)
     signed = scratch.table(signatures(rows, width), "signatures")
-    nodes = signed.groupBy("size", "h", "g").agg(F.min("row").alias("node"))
+    nodes = signed.groupBy("size", "h", "g").agg(F.min("row").alias("node"))  # fp follows from the set
     ids = scratch.table(signed.join(nodes, ["size", "h", "g"]).select("row", "node"), "ids")
     copies = scratch.table(ids.where("row <> node").select(F.col("row").alias("node")), "copies")
     texts = rows.select(F.col("row").alias("node"), "text").join(copies, "node", "left_anti")
-    found = components(links(texts, scratch, width), scratch)
+    prints = scratch.table(signed.where("size > 0").select(F.col("row").alias("node"), "fp").join(copies, "node", "left_anti"), "prints")
+    found = components(links(texts, prints, scratch, width), scratch)
     # A node is the least row of its set, so a component's name is its least row.
     gone = ids.join(found, "node", "left").where(F.coalesce("component", "node") != F.col("row")).select("row")
     return rows.join(scratch.table(gone, "gone"), "row", "left_anti").select(*back)

@@ -57,7 +57,11 @@ def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
     """SimHash of the shingles of ``width`` words of a UTF-8 text, repeats included; fewer words are one shingle."""
-    hashes = shingles(text, width, seed)
+    return majority(shingles(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; no hashes give zero."""
     if len(hashes) < 2:
         return int(hashes[0]) if len(hashes) else 0
     n, out = len(hashes), 0

@@ -79,3 +79,35 @@ def test_near_dedup_of_an_empty_table(spark, docs):
     import corpus_pipeline
 
     assert corpus_pipeline.near_dedup(spark, docs("a").limit(0), "").count() == 0
+
+
+def test_vantage_point_trees_over_fingerprints_come_first(spark, docs, monkeypatch):
+    """What the trees link is connected as by brute force over the fingerprints, and it is compared before any prefix is made."""
+    import corpus_pipeline
+
+    class Reached(Exception):
+        pass
+
+    def stop(*_):
+        raise Reached
+
+    nodes, pairs, trees = [], [], []
+    links, near_prints, similar = jaccard.simhash.links, jaccard.near_prints, jaccard.similar
+    monkeypatch.setattr(jaccard.simhash, "links", lambda df, *rest: trees.append(1) or links(df, *rest))
+    monkeypatch.setattr(jaccard, "near_prints", lambda df, *rest: nodes.extend(df.select("node", "fp").collect()) or near_prints(df, *rest))
+    monkeypatch.setattr(jaccard, "similar", lambda df, *rest: pairs.extend(df.collect()) or similar(df, *rest))
+    monkeypatch.setattr(jaccard, "ordered", stop)
+    base = " ".join(WORDS)
+    with pytest.raises(Reached):
+        corpus_pipeline.near_dedup(spark, docs(base, base + " end", "one two three four five six", "start " + base, "", None), "")
+
+    def connected(edges):
+        name = {n: n for n, _ in nodes}
+        for a, b in edges:
+            low, high = sorted((name[a], name[b]))
+            name = {n: low if m == high else m for n, m in name.items()}
+        return name
+
+    near = [(a, b) for a, f in nodes for b, g in nodes if bin((f ^ g) & (2**64 - 1)).count("1") <= 4]
+    assert sorted(n for n, _ in nodes) == [0, 1, 2, 3] and pairs and trees
+    assert connected(near) == connected([(r.a, r.b) for r in pairs])
