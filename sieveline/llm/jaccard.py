@@ -4,7 +4,8 @@ All pairs with a similarity of at least 4/5 are found. What the fingerprints lea
 n - ceil(4n / 5) + 1 of two similar sets have a shingle in common. The order is by hash, but shingles that earlier looks at the prefixes
 found often come last, rarer ones first, so that passages which several documents share are seldom in a prefix: as such shingles leave the
 prefixes others move up, so the looks go on while each leaves far fewer pairs than the one before. Of two similar sets the first shingle
-in common also leaves enough behind it in both; other meetings are not candidates. The order decides only how much work there is.
+in common also leaves enough behind it in both; other meetings are not candidates. The order decides only how much work there is. Where
+many sets meet in a shingle, the last step also bounds from below in how many shingles two differ, by the parities of their hashed buckets.
 
 First come the pairs that vantage-point trees over SimHash fingerprints of the sets link (``simhash``), as far as they are similar: they join
 large groups of near copies without all their pairs. No radius of fingerprints has every similar pair, so the prefixes find the others: the
@@ -37,6 +38,8 @@ WIDTH = 5
 FREQUENT, LISTED, LOOKS = 4, 1_000_000, 5
 #: Documents that one group compares with one text, about.
 GROUP = 500
+#: Rows of a shingle from which on the sets that meet in it are told apart by their parities first, and the most 64-bit words of a set's parities.
+CROWD, MOST_WORDS = 8, 64
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -57,8 +60,18 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndar
         )
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of a set's shingles dealt to buckets by hash, whether each bucket's number is odd, as bits of 64-bit words.
+
+    Buckets that differ between two sets hold a shingle of only one of them each. There are as many words as the power of two from size / 32 on.
+    """
+    words = min(MOST_WORDS, 1 << max(0, -(-len(s) // 32) - 1).bit_length())
+    buckets = (mix(s ^ np.uint64(BASES[0])) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(buckets, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row, and of its set of shingles the size, two sums of hashes (h, g) and the SimHash ``fp``: equal sets agree on all of them."""
+    """row, and of its set of shingles the size, two sums of hashes (h, g), the SimHash ``fp`` and the parities ``odd``: equal sets agree on all of them."""
 
     def run(batches):
         for b in batches:
@@ -66,9 +79,11 @@ def signatures(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int32)
                 sums = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for f in (mix, lambda s: mix(s ^ np.uint64(BASES[2])))]
                 fps = np.array([simhash.majority(mix(s)) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), *map(pa.array, (sizes, *sums, fps))], names=["row", "size", "h", "g", "fp"])
+                odd = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
+                columns = [b.column(0).slice(first, end - first), *map(pa.array, (sizes, *sums, fps)), odd]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "h", "g", "fp", "odd"])
 
-    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, size int, h long, g long, fp long")
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, size int, h long, g long, fp long, odd array<long>")
 
 
 def prefixes(texts: DataFrame, width: int = WIDTH, last: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -168,6 +183,22 @@ def _leaves(a: str, at: str, b: str, bt: str):
     return 9 * F.least(F.col(a) - F.col(at), F.col(b) - F.col(bt)) >= 4 * (F.col(a) + F.col(b))
 
 
+def _may_agree(p: str, m: str, q: str, n: str):
+    """Whether sets of sizes m and n with parities p and q may have a similarity of 4/5: they differ in a shingle at least for each bucket that differs."""
+
+    def differ(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
+
+    def halved(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))
+
+    # Sets that fit each other's size have as many words, or one twice as many.
+    least = F.when(F.size(p) == F.size(q), differ(F.col(p), F.col(q))).when(F.size(p) == 2 * F.size(q), differ(halved(F.col(p)), F.col(q)))
+    least = least.when(2 * F.size(p) == F.size(q), differ(F.col(p), halved(F.col(q))))
+    return 9 * F.coalesce(least, F.lit(0)) <= F.col(m) + F.col(n)
+
+
 def near_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes (node, fp) that the vantage-point trees link, or that have one fingerprint."""
     least = scratch.table(prints.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
@@ -177,8 +208,8 @@ def near_prints(prints: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def links(texts: DataFrame, prints: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
-    """Rows (a, b) over texts (node, text) and their fingerprints (node, fp), distinct in node: links that span the same components as all similar pairs."""
-    first = scratch.table(near_prints(prints, scratch), "near-prints")
+    """Rows (a, b) over texts (node, text) and their prints (node, fp, odd), distinct in node: links that span the same components as all similar pairs."""
+    first = scratch.table(near_prints(prints.select("node", "fp"), scratch), "near-prints")
     near_links = similar(first, texts, scratch, width)
 
     entries, shared = ordered(texts, scratch, width)
@@ -206,12 +237,17 @@ def links(texts: DataFrame, prints: DataFrame, scratch: Scratch, width: int = WI
 
     # What is left: all pairs of different components. The largest component of a shingle is only compared with the others.
     placed = _placed(met, found, scratch)
-    counts = placed.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("n"))
-    counts = scratch.table(counts.where("n > 1").select("token", F.col("top.component").alias("top")), "mixed")
-    left = scratch.table(placed.join(counts, "token"), "left")
-    x = left.where("component <> top").select("token", F.col("node").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("component").alias("c"))
-    y = left.select("token", F.col("node").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"), F.col("component").alias("d"), "top")
+    counts = placed.groupBy("token", "component").count().groupBy("token")
+    counts = counts.agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("n"), F.sum("count").alias("rows"))
+    counts = scratch.table(counts.where("n > 1").select("token", F.col("top.component").alias("top"), (F.col("rows") >= CROWD).alias("crowd")), "mixed")
+    left = placed.join(counts, "token")
+    # Where many meet, their parities tell apart inside the join what the places alone would let through: only a small part of it is similar.
+    crowds = left.where("crowd").join(prints.select("node", "odd"), "node", "left").select(*left.columns, "odd")
+    left = scratch.table(crowds.unionByName(left.where("not crowd").withColumn("odd", F.lit(None).cast("array<long>"))), "left")
+    x = left.where("component <> top").select("token", *(F.col(c).alias(n) for c, n in (("node", "a"), ("size", "m"), ("place", "i"), ("component", "c"), ("odd", "p"))))
+    y = left.select("token", *(F.col(c).alias(n) for c, n in (("node", "b"), ("size", "n"), ("place", "j"), ("component", "d"), ("odd", "q"))), "top")
     pairs = x.join(y, "token").where("c <> d").where((F.col("d") == F.col("top")) | (F.col("a") < F.col("b"))).where(_leaves("m", "i", "n", "j"))
+    pairs = pairs.where(_may_agree("p", "m", "q", "n"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # Written before tested ones go, so that these are looked up once for each pair, not for each shingle that it meets in.
     pairs = scratch.table(pairs, "met-pairs").join(tested, ["a", "b"], "left_anti")
@@ -233,7 +269,7 @@ def keep(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ids = scratch.table(signed.join(nodes, ["size", "h", "g"]).select("row", "node"), "ids")
     copies = scratch.table(ids.where("row <> node").select(F.col("row").alias("node")), "copies")
     texts = rows.select(F.col("row").alias("node"), "text").join(copies, "node", "left_anti")
-    prints = scratch.table(signed.where("size > 0").select(F.col("row").alias("node"), "fp").join(copies, "node", "left_anti"), "prints")
+    prints = scratch.table(signed.where("size > 0").select(F.col("row").alias("node"), "fp", "odd").join(copies, "node", "left_anti"), "prints")
     found = components(links(texts, prints, scratch, width), scratch)
     # A node is the least row of its set, so a component's name is its least row.
     gone = ids.join(found, "node", "left").where(F.coalesce("component", "node") != F.col("row")).select("row")

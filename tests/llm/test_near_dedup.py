@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,45 @@ def test_vantage_point_trees_over_fingerprints_come_first(spark, docs, monkeypat
     near = [(a, b) for a, f in nodes for b, g in nodes if bin((f ^ g) & (2**64 - 1)).count("1") <= 4]
     assert sorted(n for n, _ in nodes) == [0, 1, 2, 3] and pairs and trees
     assert connected(near) == connected([(r.a, r.b) for r in pairs])
+
+
+def test_parities_keep_every_similar_pair(spark):
+    """Sets of a similarity of 4/5 or more pass, with as many words of parities or half as many; sets far from each other mostly do not."""
+    rng = np.random.default_rng(6)
+    near, far = [], []
+    for n in (1, 2, 9, 31, 33, 60, 64, 70, 128, 260, 500, 2100, 5000):
+        for _ in range(12):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            lost = int(rng.integers(0, len(a) // 9 + 1))
+            new = rng.integers(0, 1 << 63, int(rng.integers(0, (5 * (len(a) - lost) - 4 * len(a)) // 4 + 1))).astype(np.uint64)
+            b = np.unique(np.concatenate((a[lost:], new)))
+            assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+            near += [(a, b), (b, a)]
+            far.append((a, np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))))
+
+    def passed(pairs):
+        rows = [(jaccard.parities(a).tolist(), len(a), jaccard.parities(b).tolist(), len(b)) for a, b in pairs]
+        return spark.createDataFrame(rows, "p array<long>, m int, q array<long>, n int").where(jaccard._may_agree("p", "m", "q", "n")).count()
+
+    assert any(len(jaccard.parities(a)) != len(jaccard.parities(b)) for a, b in near)
+    assert passed(near) == len(near)
+    assert passed(far) <= len(far) // 10
+
+
+def test_copies_that_are_not_similar_to_each_other_are_not_all_paired(spark, docs, monkeypatch):
+    """A hundred copies of one text, edited in places of their own: nearly all pairs are under 4/5, and few of them are ever compared."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base, texts = [f"b{i}" for i in range(200)], []
+    for n in range(100):
+        copy = list(base)
+        for at in range(3):
+            copy[5 + 60 * at + rng.randrange(50)] = f"edit{n}-{at}"
+        texts.append(" ".join(copy))
+    compared, similar = [], jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda df, *rest: compared.append(df.count()) or similar(df, *rest))
+    rows = docs(*texts)
+    want = sorted(str(texts[i]) for i in _kept(list(range(100)), texts))
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == want
+    assert len(want) > 50 and sum(compared) < 1000, compared
