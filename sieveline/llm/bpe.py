@@ -6,7 +6,7 @@ vocabulary strings. A document's pre-tokens are independent of each other, so ea
 cache of the pre-tokens it has met in a task; the cache only saves time, never changes a result.
 
 Null texts count as empty (no ids, empty decoded text); repeated rows are each encoded; an empty table gives an empty one.
-Texts go through in runs of up to ``RUN_CHARS`` characters, and a longer text by itself, so memory follows the longest
+Texts go through in runs of up to ``OWN_CHARS`` characters, and a longer text by itself, so memory follows the longest
 text. Extra columns are kept; a column that has the name of one to be added is refused with ValueError.
 """
 
@@ -42,6 +42,8 @@ _RAGGED = re.compile(r"\n(?:(?<=\s\n)|(?=\s))").search
 CACHE_WORDS, CACHE_CHARS = 250_000, 48
 #: Rows and characters of texts that are worked on at a time, about.
 RUN_ROWS, RUN_CHARS = 4000, 1 << 23
+#: Characters of a run that this module's own encoder works on: a worker keeps what its largest run took, also for the stages that follow.
+OWN_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -243,15 +245,15 @@ def lists_of(ids: pa.LargeBinaryArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(((bounds - bounds[0]) // 4).astype(np.int32)), pa.array(flat))
 
 
-def runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of up to RUN_ROWS rows and about RUN_CHARS characters of a text column; a longer text is a run by itself."""
+def runs(batch: pa.RecordBatch, column: int, chars: int = RUN_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of up to RUN_ROWS rows and about ``chars`` characters of a text column; a longer text is a run by itself."""
     if not batch.num_rows:
         return
     until = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     row = 0
     while row < batch.num_rows:
         before = until[row - 1] if row else 0
-        end = min(row + RUN_ROWS, max(row + 1, int(np.searchsorted(until, before + RUN_CHARS, "right"))))
+        end = min(row + RUN_ROWS, max(row + 1, int(np.searchsorted(until, before + chars, "right"))))
         yield batch.slice(row, end - row)
         row = end
 
@@ -268,7 +270,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches):
         bpe = tokenizer(path)
-        for b in (part for whole in batches for part in runs(whole, len(kept))):
+        for b in (part for whole in batches for part in runs(whole, len(kept), OWN_CHARS)):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], bpe.encode(texts_of(b.column(len(kept))))], names=[*kept, ids])
         bpe.forget()
 
@@ -302,7 +304,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def run(batches):
         bpe = tokenizer(path)
-        for b in (part for whole in batches for part in runs(whole, len(kept))):
+        for b in (part for whole in batches for part in runs(whole, len(kept), OWN_CHARS)):
             found = bpe.encode(texts_of(b.column(len(kept))))
             columns = [*b.columns[: len(kept)], found, bpe.decode(found).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, out])

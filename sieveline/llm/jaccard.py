@@ -36,6 +36,8 @@ from .store import Scratch, held
 WIDTH = 5
 #: A shingle in more prefixes than this comes last in the order, as far as the list goes, over this many looks; no bound changes what is found.
 FREQUENT, LISTED, LOOKS = 4, 1_000_000, 5
+#: Bytes of texts whose sets of shingles are made at a time; a longer text's is made alone.
+SET_BYTES = 1 << 18
 #: Documents that one group compares with one text, about.
 GROUP = 500
 #: Rows of a shingle from which on the sets that meet in it are told apart by their parities first, and the most 64-bit words of a set's parities.
@@ -44,7 +46,7 @@ CROWD, MOST_WORDS = 8, 64
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Runs of rows of a text column with their sets of shingles: (first row, end row, sorted hashes of each)."""
-    for first, end, data, offsets in slices(column):
+    for first, end, data, offsets in slices(column, SET_BYTES):
         t = Tokens(LOWER[data], offsets, NOT_BLANK)
         hashed = Prefix(t.codes(), BASES[1])
         windows = hashed.windows(width)
