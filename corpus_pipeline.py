@@ -46,7 +46,7 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     path = public_tokenizers.path(VOCABULARY)
     text = F.coalesce("text", F.lit(""))
-    done = bpe.round_trip(docs.select("doc_id", "lang", "source", text.alias("text"), F.sha2(text, 256).alias("was")), path)
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", text.alias("text"), F.sha2(text, 256).alias("was")), path, chars=bpe.FEW_CHARS)
     decodes = F.sha2("decoded", 256) == F.col("was")
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), decodes.alias("decodes"))
 

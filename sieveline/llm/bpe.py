@@ -6,7 +6,7 @@ vocabulary strings. A document's pre-tokens are independent of each other, so ea
 cache of the pre-tokens it has met in a task; the cache only saves time, never changes a result.
 
 Null texts count as empty (no ids, empty decoded text); repeated rows are each encoded; an empty table gives an empty one.
-Texts go through in runs of up to ``OWN_CHARS`` characters, and a longer text by itself, so memory follows the longest
+Texts go through in runs of up to ``RUN_CHARS`` characters, and a longer text by itself, so memory follows the longest
 text. Extra columns are kept; a column that has the name of one to be added is refused with ValueError.
 """
 
@@ -42,8 +42,8 @@ _RAGGED = re.compile(r"\n(?:(?<=\s\n)|(?=\s))").search
 CACHE_WORDS, CACHE_CHARS = 250_000, 48
 #: Rows and characters of texts that are worked on at a time, about.
 RUN_ROWS, RUN_CHARS = 4000, 1 << 23
-#: Characters of a run that this module's own encoder works on: a worker keeps what its largest run took, also for the stages that follow.
-OWN_CHARS = 1 << 20
+#: Characters of a run where other stages follow in the same workers, which keep what their largest run took. It costs some more CPU.
+FEW_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def run(batches):
         bpe = tokenizer(path)
-        for b in (part for whole in batches for part in runs(whole, len(kept), OWN_CHARS)):
+        for b in (part for whole in batches for part in runs(whole, len(kept))):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], bpe.encode(texts_of(b.column(len(kept))))], names=[*kept, ids])
         bpe.forget()
 
@@ -296,15 +296,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encode and then decode, in one pass through one worker: docs with ``ids`` and ``decoded`` in place of ``text``."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded", chars: int = RUN_CHARS) -> DataFrame:
+    """encode and then decode, in one pass through one worker: docs with ``ids`` and ``decoded`` in place of ``text``. ``chars``: as in ``runs``."""
     kept = staying(docs, (ids, out), (text,))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.StringType(), False)]
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 
     def run(batches):
         bpe = tokenizer(path)
-        for b in (part for whole in batches for part in runs(whole, len(kept), OWN_CHARS)):
+        for b in (part for whole in batches for part in runs(whole, len(kept), chars)):
             found = bpe.encode(texts_of(b.column(len(kept))))
             columns = [*b.columns[: len(kept)], found, bpe.decode(found).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, out])

@@ -1,25 +1,34 @@
 """What a Python worker holds at a time is bounded by characters, whatever the size of the batch that it gets."""
 
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import pytest
 
-from sieveline.llm import bpe, jaccard
+from sieveline.llm import jaccard
 
 
-def _batch(texts):
-    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["c0", "text"])
+class _Held(Exception):
+    pass
 
 
-def test_the_encoder_works_on_about_a_million_characters_at_a_time(docs, monkeypatch):
-    df, ran = docs("a", extra=False), []
-    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: ran.append(run) or self)
-    bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.json"))
+def test_the_pipelines_encoder_works_on_about_a_million_characters_at_a_time(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    df, ran = docs("a"), []
+
+    def hold(self, run, schema):
+        ran.append(run)
+        raise _Held
+
+    monkeypatch.setattr(type(df), "mapInArrow", hold)
+    with pytest.raises(_Held):
+        corpus_pipeline.bpe_round_trip(spark, df, "")
     texts = ["", None, *(f"text {i} " + "some words " * 9_000 for i in range(30)), "x " * 700_000, "end"]  # one is longer than a run
-    out = list(ran[0](iter([_batch(texts)])))
-    assert [t for b in out for t in b.column(2).to_pylist()] == [t or "" for t in texts]
+    other = [pa.array(range(len(texts)), pa.int64()), *[pa.array([""] * len(texts))] * 3]
+    out = list(ran[0](iter([pa.RecordBatch.from_arrays([*other, pa.array(texts)], names=["c0", "c1", "c2", "c3", "text"])])))
+    assert [t for b in out for t in b.column("decoded").to_pylist()] == [t or "" for t in texts]
     assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
-    sizes = [(b.num_rows, pc.sum(pc.binary_length(b.column(2))).as_py()) for b in out]
+    sizes = [(b.num_rows, pc.sum(pc.binary_length(b.column("decoded"))).as_py()) for b in out]
     assert all(rows == 1 or chars <= 1 << 20 for rows, chars in sizes) and len(out) < 10, sizes
 
 
