@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHARS, Remembered, byte_letters, encode_texts, list_column, lists_of, runs, texts_of
+from .bpe import CACHE_CHARS, CACHE_WORDS, byte_letters, encode_texts, list_column, lists_of, runs, texts_of
 from .repeats import RANGE_CHARS
 from .store import Scratch
 
@@ -49,6 +50,38 @@ _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and c
 _WORD = "^ ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+$"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """to_pylist of a column without nulls, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class Met:
+    """Words with their ids as little-endian int32 bytes, of which the last CACHE_WORDS added at least are remembered, and twice as many at most.
+
+    Both are Arrow columns, so that a run's words are looked up all at once and take little memory.
+    """
+
+    def __init__(self):
+        self.forget()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_strings(self.words))
+
+    def find(self, words: pa.Array, make: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """Ids of distinct words; ``make`` gives those of words that are not remembered."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = words.filter(pa.array(at < 0))
+        at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        held, ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, make(new)])
+        found = ids.take(pa.array(at))
+        first = len(held) - CACHE_WORDS if len(held) > 2 * CACHE_WORDS else 0
+        self.words, self.ids = held.slice(first), ids.slice(first)
+        return found
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+
 class LibraryEncoder:
     """Texts to ids by the tokenizers library.
 
@@ -65,7 +98,7 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Remembered()
+        self.known = Met()
         spec = json.loads(self.library.to_str())
         pre = spec["pre_tokenizer"] or {}
         # Only what the byte-level pre-tokenizer leaves as it is can be given to the model.
@@ -78,17 +111,15 @@ class LibraryEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: pa.Array) -> pa.Array:
         """Ids of single pre-tokens of the library, by its model."""
-        known, older, tokenize = self.known, self.known.older, self.model.tokenize
-        found = [known.get(w) or older.get(w) for w in words]
-        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        mapped = "\0".join(new).encode().decode("latin-1").translate(self.letters).split("\0") if new else []
-        made = [array("i", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
-        known.trim()
-        known.update(zip(new, made, strict=True))
-        rest = iter(made)
-        return [next(rest) if ids is None else ids for ids in found]
+        tokenize = self.model.tokenize
+        mapped = "\0".join(_strings(words)).encode().decode("latin-1").translate(self.letters).split("\0") if len(words) else []
+        ids, ends = array("i"), array("q", [0])
+        for word in mapped:
+            ids.extend([t.id for t in tokenize(word)])
+            ends.append(4 * len(ids))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(mapped), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
 
     def _by_piece(self, pieces: pa.Array) -> pa.Array:
         if self.model is None:
@@ -96,12 +127,10 @@ class LibraryEncoder:
         word = pc.utf8_rtrim(pieces, _MARKS)
         plain = pc.and_(pc.match_substring_regex(word, _WORD), pc.less_equal(pc.binary_length(pieces), CACHE_CHARS))
         marks = pc.utf8_ltrim(pieces.filter(plain), " " + _LETTERS)
-        # Two columns of distinct strings, so that a word is asked for once, whatever marks are behind it.
-        ids = []
-        for own in (word.filter(plain), marks):
-            coded = own.dictionary_encode()
-            ids.append(pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices))
-        both = pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+        # Words and marks apart, so that a word is asked for once, whatever marks are behind it.
+        coded = pa.concat_arrays([word.filter(plain), marks]).dictionary_encode()
+        ids = self.known.find(coded.dictionary, self._words).take(coded.indices)
+        both = pc.binary_join_element_wise(ids.slice(0, len(marks)), ids.slice(len(marks)), pa.scalar(b"", pa.large_binary()))
         if len(both) < len(pieces):
             rest = pa.array(self._whole(pieces.filter(pc.invert(plain)).to_pylist()), pa.large_binary())
             both = pc.replace_with_mask(pa.nulls(len(pieces), pa.large_binary()), plain, both)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sieveline.llm import packing, records
+from sieveline.llm import bpe, packing, records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -121,3 +122,31 @@ def test_words_are_asked_for_once_whatever_marks_follow():
     encoder.forget()
     encoder.encode(["a river, river. river! river\nriver?"])
     assert sorted(w for w in encoder.known if "river" in w) == [" river", "river"]
+
+
+def test_met_words_cost_no_step_of_python_each():
+    """Words met before are looked up by column: calls from Python don't grow with them."""
+    encoder = records.LibraryEncoder(PATH)
+    r = random.Random(6)
+    text = " ".join({"".join(r.choices("abcdefgh", k=9)) for _ in range(5000)})
+    first, calls = encoder.encode([text]), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        second = encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert second.equals(first) and first.to_pylist() == [LIBRARY.encode(text, add_special_tokens=False).ids]
+    assert calls.total() < 2000
+
+
+def test_few_words_are_remembered_and_ids_stay_right(monkeypatch):
+    """The bound holds after each call, whatever a call brings; words that are forgotten and met again have the same ids."""
+    for module in (bpe, records):
+        monkeypatch.setattr(module, "CACHE_WORDS", 20, raising=False)
+    encoder = records.LibraryEncoder(PATH)
+    r = random.Random(8)
+    words = ["".join(r.choices("aeistnr", k=r.randint(1, 6))) for _ in range(300)]
+    for n in (1, 15, 300, 15, 3, 300, 0, 40):
+        held = [" ".join(r.choices(words, k=n)) + m for m in ("", ".", "!?", "\n")]
+        assert encoder.encode(held).to_pylist() == [LIBRARY.encode(t, add_special_tokens=False).ids for t in held]
+        assert len([*encoder.known, *getattr(encoder.known, "older", ())]) <= 40
